@@ -3,8 +3,9 @@
 One Arrow pass per document gives the exact set digest, `BANDS * ROWS` minima, their low `BITS` bits packed into longs,
 and one key per band. Exact copies of a set meet on its digest. In each band bucket every member is compared with
 the bucket's smallest id (a number of pairs linear in the members); buckets whose members still lie in more than
-one component are then compared in full, block by block. The collision-corrected b-bit estimate prunes, and
-every link is confirmed on full shingle sets.
+one component are then compared in full, block by block. The collision-corrected b-bit estimate prunes; in the blocks a parity bitmap of each
+set prunes too, as the bits in which two bitmaps differ are a lower bound of the elements in which the sets do. Pairs
+that pass are few, and every link is confirmed on full shingle sets.
 
 At the default 32 bands of 4 rows a pair of similarity 0.8 shares a bucket but for 5e-8; the estimate prunes
 5.5 standard deviations below the threshold, so it drops 2e-8 of such pairs.
@@ -64,8 +65,14 @@ def _described(sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return d1, d2, packed, keys
 
 
+def bitmap(members: np.ndarray) -> bytes:
+    """The parity of the members in each of 2 ** k buckets, about eight buckets a member, 512 to 65,536 of them."""
+    width = min(1 << 16, max(512, 1 << int(8 * len(members) - 1).bit_length()))
+    return np.packbits((np.bincount((members >> np.uint64(40)).astype(np.int64) & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n (set size), digest d1 d2, packed signature s0.., band keys. Null texts and texts without words: n 0, no keys."""
+    """Per row: id, n (set size), digest d1 d2, packed signature s0.., band keys, parity bitmap. Null texts and texts without words: n 0, no keys."""
 
     def run(batches):
         import pyarrow as pa
@@ -83,10 +90,11 @@ def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "te
                 counts = np.zeros(j - i, np.int32)
                 counts[full] = BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+                maps = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
                 signed = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (d1, d2, *packed.T)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *signed, lists], names=["id", "n", "d1", "d2", *SIGNATURE, "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *signed, lists, maps], names=["id", "n", "d1", "d2", *SIGNATURE, "keys", "bits"])
 
-    schema = "id long, n long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", keys array<long>"
+    schema = "id long, n long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", keys array<long>, bits binary"
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -154,10 +162,14 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int, key:
     return C.stored(joined.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct())
 
 
-def _across(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Pairs (a, b) of buckets, of different components and near by the estimate: each bucket whole, in blocks that bound a task."""
+def _across(members: DataFrame, described: DataFrame, least: float, percent: int) -> DataFrame:
+    """Pairs (a, b) of buckets, of different components and near by estimate and bitmap: each bucket whole, in blocks that bound a task.
+
+    Widths of bitmaps aside, a pair passes only if its sets may meet the threshold; rejected pairs never leave their task.
+    """
     sizes = members.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = members.join(sizes.where("c > 2 and lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    open_ = open_.join(described, "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -165,20 +177,27 @@ def _across(members: DataFrame, least: float, percent: int) -> DataFrame:
     def run(frame):
         import pandas as pd
 
-        frame = frame.drop_duplicates("id")
+        frame = frame.drop_duplicates("id").sort_values(["n", "id"])
         ids, comp, n = (frame[c].to_numpy() for c in ("id", "component", "n"))
-        sign = frame[SIGNATURE].to_numpy().view(np.uint64)
-        one = np.uint64(1)
-        found = []
-        for k in range(len(ids) - 1):
-            x = sign[k + 1 :] ^ sign[k]
-            x = (x | x >> one) & np.uint64(_LOW)
-            matched = 1 - np.bitwise_count(x).sum(axis=1) / (BANDS * ROWS)
-            near = (matched - 0.5**BITS) / (1 - 0.5**BITS) >= least
-            near &= (comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k]))
-            if near.any():
-                other = ids[k + 1 :][near]
-                found.append(np.stack([np.minimum(other, ids[k]), np.maximum(other, ids[k])], 1))
+        sign, bits = frame[SIGNATURE].to_numpy().view(np.uint64), [np.frombuffer(b, np.uint64) for b in frame["bits"]]
+        one, found = np.uint64(1), []
+        widths = np.array([len(b) for b in bits])
+        for width in np.unique(widths):  # a partner has at most a quarter more members, so the same width or twice as much
+            rows = np.flatnonzero((widths == width) | (widths == 2 * width))
+            maps = np.stack([bits[r] if widths[r] == width else bits[r][:width] ^ bits[r][width:] for r in rows])
+            for k in np.flatnonzero(widths[rows] == width):
+                a = rows[k]
+                end = int(np.searchsorted(n[rows], n[a] * 100 // percent, "right"))
+                some = np.arange(k + 1, end)
+                some = some[comp[rows[some]] != comp[a]]
+                x = sign[rows[some]] ^ sign[a]
+                x = (x | x >> one) & np.uint64(_LOW)
+                some = some[((1 - np.bitwise_count(x).sum(axis=1) / (BANDS * ROWS)) - 0.5**BITS) / (1 - 0.5**BITS) >= least]
+                both = n[a] + n[rows[some]]
+                shared = (both - np.bitwise_count(maps[some] ^ maps[k]).sum(axis=1, dtype=np.int64)) // 2  # at most
+                other = ids[rows[some[100 * shared >= percent * (both - shared)]]]
+                if len(other):
+                    found.append(np.stack([np.minimum(other, ids[a]), np.maximum(other, ids[a])], 1))
         out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -200,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = C.stored(bands.join(hubs, "key").distinct())
     least = least_estimate(percent / 100)
-    slim = reps.drop("keys")
+    slim = reps.drop("keys", "bits")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().alias("p")
     near = pairs.join(slim.alias("l"), F.expr("p.a = l.id")).join(slim.alias("r"), F.expr("p.b = r.id"))
     near = near.where((100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (estimate("l", "r") >= least))
@@ -208,8 +227,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     # rows of one id with different texts, and rows of one digest with different ids, are linked too
     same = live.join(exact.withColumnRenamed("id", "rep"), ["d1", "d2", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     label = C.stored(components(first))
-    labelled = members.join(slim, "id").join(label, "id", "left").select("key", "id", "n", *SIGNATURE, F.coalesce("component", "id").alias("component"))
-    second = C.stored(_across(labelled, least, percent))
+    labelled = C.stored(members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    second = C.stored(_across(labelled, reps.drop("keys"), least, percent))
     if second.limit(1).count():
         links = _confirmed(docs, second, percent, width, key, text)
         if links.limit(1).count():
@@ -221,6 +240,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
         component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
         return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
     to_rep = exact.join(label, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
-    named = sig.drop("keys", *SIGNATURE).join(to_rep, ["d1", "d2", "n"], "left")
+    named = sig.drop("keys", "bits", *SIGNATURE).join(to_rep, ["d1", "d2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
