@@ -40,7 +40,7 @@ def search(surfaces: list[Column], tokens: list[str]) -> Column:
 def tagged(tags: Column, query: str) -> Column:
     """any tag of the comma- or space-separated query is one of the comma-joined tags."""
     wanted = [t for t in query.replace(",", " ").split() if t]
-    have = F.transform(F.split(F.lower(tags), ","), F.trim)
+    have = F.transform(F.split(F.lower(tags), ","), lambda t: F.trim(t))
     return F.arrays_overlap(have, F.array(*[F.lit(t.lower()) for t in wanted])) if wanted else F.lit(True)
 
 
