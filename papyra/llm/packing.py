@@ -22,7 +22,10 @@ SHARD_TOKENS = 1 << 20
 TERMS, K1, B = 24, 1.2, 0.75
 END = 1
 #: Chunks whose ids a Python worker remembers; the memory is then emptied.
-_REMEMBERED = 200_000
+_REMEMBERED = 300_000
+#: White space, ASCII first.
+_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_ASCII = sum(c.isascii() for c in _BLANKS)
 
 
 def encoder(path: str):
@@ -31,6 +34,7 @@ def encoder(path: str):
     Texts are cut before single spaces, where the tokenizer's own pattern always cuts, so each chunk's ids can be remembered.
     Texts with runs of white space that hold a space go through the tokenizer whole.
     """
+    import array
     import base64
     import re
 
@@ -42,16 +46,19 @@ def encoder(path: str):
     coder = tiktoken.Encoding("papyra", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids must fit 16 bits")
+    # a space between two white-space characters is no place to cut; most texts can't hold one
     run = re.compile(r"\s (?:\s|\Z)|\A \s")
 
     def whole(text: str) -> bytes:
-        return np.array(coder.encode_ordinary(text), "<u2").tobytes()
+        return array.array("H", coder.encode_ordinary(text)).tobytes()
 
     class Memory(dict):
+        """Ids of a chunk that a space comes before."""
+
         def __missing__(self, chunk: str) -> bytes:
             if len(self) >= _REMEMBERED:
                 self.clear()
-            out = whole(chunk)
+            out = whole(" " + chunk)
             if len(chunk) <= 64:
                 self[chunk] = out
             return out
@@ -59,10 +66,11 @@ def encoder(path: str):
     memory = Memory()
 
     def encode(text: str) -> bytes:
-        if run.search(text):
+        blanks = [w for w in _BLANKS[: None if not text.isascii() else _ASCII] if w in text]
+        if (any(w + " " in text for w in blanks) or text[:1] == " ") and run.search(text):
             return whole(text)
         first, *rest = text.split(" ")
-        return b"".join(map(memory.__getitem__, [first, *[" " + x for x in rest]]))
+        return whole(first) + b"".join(map(memory.__getitem__, rest))
 
     return encode
 
