@@ -58,13 +58,13 @@ def statement_licences(docs: DataFrame, key: str = "doc_id", text: str = "text",
     templates = spark.createDataFrame(sorted(TEMPLATES.items()), "licence string, line string")
     lines = stored(statements(docs, key, text).withColumn("sid", F.xxhash64("line")))
     # equal statements are compared once, however many documents hold them
-    distinct = lines.groupBy("sid").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    distinct = stored(lines.groupBy("sid").agg(F.min("line").alias("line"), F.count("*").alias("n")))
     tf = distinct.select("sid", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("sid", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     ttf = templates.select("licence", F.explode(_terms(F.col("line"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
-    everything = distinct.agg((F.coalesce(F.sum("n"), F.lit(0)) + len(TEMPLATES)).alias("total")).withColumn("one", F.lit(1))
+    total = int(distinct.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)  # one number
     df = tf.select("term", "n").union(ttf.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("n").alias("df"))
-    idf = df.withColumn("one", F.lit(1)).join(F.broadcast(everything), "one").select("term", (1 + F.log((1 + F.col("total")) / (1 + F.col("df")))).alias("idf"))  # a single row
-    weighted = tf.join(idf, "term").select("sid", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    idf = df.select("term", (1 + F.log(F.lit(1 + total) / (1 + F.col("df")))).alias("idf"))
+    weighted = stored(tf.join(idf, "term").select("sid", "term", (F.col("tf") * F.col("idf")).alias("w")))
     tweighted = ttf.join(idf, "term").select("licence", "term", (F.col("tf") * F.col("idf")).alias("tw"))
     norm = weighted.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     tnorm = tweighted.groupBy("licence").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
