@@ -9,6 +9,8 @@ so that nothing is padded.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,18 +23,15 @@ SHARD_TOKENS = 1 << 20
 #: Terms of a seed that are looked up, and BM25's constants.
 TERMS, K1, B = 24, 1.2, 0.75
 END = 1
-#: Chunks whose ids a Python worker remembers; the memory is then emptied.
-_REMEMBERED = 300_000
-#: White space, ASCII first.
-_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-_ASCII = sum(c.isascii() for c in _BLANKS)
+#: White space in a row that the tokenizer's pattern may recurse on too deeply; longer runs are cut where the pattern cuts them.
+LONG_RUN = 100_000
 
 
+@functools.lru_cache(maxsize=4)
 def encoder(path: str):
-    """A function from a text to its ids as uint16 bytes, for a byte-level BPE rank file.
+    """A function from a text to its ids as uint16 bytes, for a byte-level BPE rank file; a worker's tasks share it.
 
-    Texts are cut before single spaces, where the tokenizer's own pattern always cuts, so each chunk's ids can be remembered.
-    Texts with runs of white space that hold a space go through the tokenizer whole.
+    Strings of special tokens in a text are ordinary text.
     """
     import array
     import base64
@@ -46,31 +45,18 @@ def encoder(path: str):
     coder = tiktoken.Encoding("papyra", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids must fit 16 bits")
-    # a space between two white-space characters is no place to cut; most texts can't hold one
-    run = re.compile(r"\s (?:\s|\Z)|\A \s")
-
-    def whole(text: str) -> bytes:
-        return array.array("H", coder.encode_ordinary(text)).tobytes()
-
-    class Memory(dict):
-        """Ids of a chunk that a space comes before."""
-
-        def __missing__(self, chunk: str) -> bytes:
-            if len(self) >= _REMEMBERED:
-                self.clear()
-            out = whole(" " + chunk)
-            if len(chunk) <= 64:
-                self[chunk] = out
-            return out
 
-    memory = Memory()
+    piece = tiktoken.Encoding("papyra-piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    run = re.compile(r"[^\S\x1c-\x1f]{%d,}" % LONG_RUN)
 
     def encode(text: str) -> bytes:
-        blanks = [w for w in _BLANKS[: None if not text.isascii() else _ASCII] if w in text]
-        if (any(w + " " in text for w in blanks) or text[:1] == " ") and run.search(text):
-            return whole(text)
-        first, *rest = text.split(" ")
-        return whole(first) + b"".join(map(memory.__getitem__, rest))
+        parts, at = [], 0
+        for found in run.finditer(text) if len(text) >= LONG_RUN else ():
+            # a run is one piece, but for its last character where a word follows
+            end = found.end() - (found.end() < len(text))
+            parts += coder.encode_ordinary(text[at : found.start()]) + piece.encode_ordinary(text[found.start() : end])
+            at = end
+        return array.array("H", parts + coder.encode_ordinary(text[at:])).tobytes()
 
     return encode
 

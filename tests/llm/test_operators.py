@@ -200,6 +200,16 @@ def test_encoder_equals_the_tokenizer_around_white_space():
         assert np.frombuffer(encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "q " + " " * 150_000 + "a b", "x" + "\t " * 70_000 + "\nb " + " " * 120_000, " " * 120_000 + "\x1c" + "\n" * 120_000 + "!", "\u3000" * 110_000 + "日本"])
+def test_encoder_equals_the_tokenizer_on_very_long_runs(text):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))(text)
+    assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_neighbours_share_windows():
     docs = [np.full(900, 3 + (i % 2), np.uint16) for i in range(20)]
     pieces = list(packing.windows(docs, np.ones(1 << 16, np.float32), 900.0))
