@@ -24,6 +24,8 @@ from . import common as C
 BANDS, ROWS, BITS = 32, 4, 2
 #: Members of a bucket that one task compares with one another; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
+#: Hashed ids of a bitmap that spares texts a shuffle.
+ID_BITS = 1 << 24
 _LANES = 64 // BITS
 _WORDS = BANDS * ROWS // _LANES
 SIGNATURE = [f"s{i}" for i in range(_WORDS)]
@@ -152,11 +154,24 @@ def components(edges: DataFrame) -> DataFrame:
         now = C.stored(small.where("u <> v").distinct())
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose id is not in ids, and with every one whose id is, before the rows' texts are shuffled.
+
+    A bitmap of `ID_BITS` hashed ids is broadcast: ID_BITS / 64 rows at most (262,144), whatever the input; a fuller one lets more rows by.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+    marked = ids.withColumn("place", place).selectExpr("place div 64 as word", "shiftleft(1L, cast(place % 64 as int)) as bit")
+    bitmap = F.broadcast(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    dealt = rows.withColumn("place", place).withColumn("word", F.expr("place div 64"))
+    return dealt.join(bitmap, "word").where("(bits & shiftleft(1L, cast(place % 64 as int))) <> 0").select(*rows.columns)
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int, key: str, text: str) -> DataFrame:
     """Those of pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    full = C.stored(sets_of(slim.join(ids, "id", "left_semi"), width, "id", "text"))
+    # ids are distinct; a semi-join would be pushed below the bitmap's join, and all texts shuffled
+    full = C.stored(sets_of(_likely(slim, ids).join(ids, "id"), width, "id", "text"))
     joined = pairs.join(full.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return C.stored(joined.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct())
