@@ -1,8 +1,9 @@
 """Lexical retrieval packing: documents that share terms fill a training window together.
 
-Documents are tokenised once into a stored table. They are dealt into shards of about equal tokens; each shard
+Documents are tokenised once into a stored table. They are dealt into shards of about equal tokens by content: a document's keys are the first of its
+token ids in two fixed random orders that favour rare ids (weighted MinHash), documents of equal or neighbouring keys share a shard. Each shard
 builds a BM25 inverted index over token ids with corpus-wide document frequencies (one number per vocabulary entry, whatever
-the input). A seed document opens a window; its best unused neighbours fill it; the one that is cut goes on
+the input). A seed, queried by all its terms, document opens a window; its best unused neighbours fill it; the one that is cut goes on
 in the next window and is its seed. All windows but a shard's last are full; the last tokens are laid out in sequences of powers of two,
 so that nothing is padded.
 """
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW = 2048
-#: Tokens of a shard, about: what one task indexes.
-SHARD_TOKENS = 1 << 20
-#: Terms of a seed that are looked up, and BM25's constants.
-TERMS, K1, B = 24, 1.2, 0.75
+#: Tokens of a shard, about: what one task indexes. A row counts as so many tokens more.
+SHARD_TOKENS, ROW_TOKENS = 1 << 20, 256
+#: BM25's constants.
+K1, B = 1.2, 0.75
 END = 1
 #: White space in a row that the tokenizer's pattern may recurse on too deeply; longer runs are cut where the pattern cuts them.
 LONG_RUN = 100_000
@@ -101,26 +102,124 @@ class Shard:
         terms, tfs, owners = [], [], []
         for i, ids in enumerate(docs):
             t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
+            terms.append(t.astype(np.int64))
             tfs.append(c)
             owners.append(np.full(len(t), i, np.int32))
         sizes = np.array([len(d) for d in docs], float)
         term, tf, owner = np.concatenate(terms), np.concatenate(tfs), np.concatenate(owners)
         impact = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / mean))).astype(np.float32)
         self.first = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
-        self.term, self.impact = term, impact
+        self.term = term
         by_term = np.argsort(term, kind="stable")
         self.owner, self.held = owner[by_term], impact[by_term]
         self.bounds = np.searchsorted(term[by_term], np.arange((1 << 16) + 1))
         self.n = len(docs)
+        # terms of an eighth of the documents or more: a row of a matrix each, at most eight numbers a posting
+        common = np.flatnonzero(np.diff(self.bounds) * 8 >= self.n) if self.n >= 64 else np.zeros(0, int)
+        self.row = np.full(1 << 16, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        at = self.row[term]
+        self.rows[at[at >= 0], owner[at >= 0]] = impact[at >= 0]
 
     def scores(self, seed: int) -> np.ndarray:
-        own = slice(self.first[seed], self.first[seed + 1])
-        term, impact = self.term[own], self.impact[own]
-        if len(term) > TERMS:
-            term = term[np.argpartition(-impact, TERMS)[:TERMS]]
-        spans = [(self.bounds[t], self.bounds[t + 1]) for t in term.tolist()]
-        return np.bincount(np.concatenate([self.owner[a:b] for a, b in spans]), np.concatenate([self.held[a:b] for a, b in spans]), self.n)
+        term = self.term[self.first[seed] : self.first[seed + 1]]
+        at = self.row[term]
+        rare = term[at < 0]
+        low, n = self.bounds[rare], self.bounds[rare + 1] - self.bounds[rare]
+        posting = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owner[posting], self.held[posting], self.n) + np.add.reduce(self.rows[at[at >= 0]], axis=0)
+
+
+class Deal:
+    """Which shard a document goes to, by content; a few numbers per vocabulary entry and shard, whatever the input.
+
+    Shards are runs of bins in key order. A bin is a first key; one too full for a shard is cut by the second key, and what that leaves too full
+    (large groups of copies) by a hash.
+    """
+
+    def __init__(self, idf: np.ndarray):
+        late = -np.log(1 - np.random.default_rng(7).random((2, 1 << 16))) / np.maximum(idf, 1e-9) ** 2
+        self.ranks = np.argsort(np.argsort(late, axis=1), axis=1).astype(np.uint16)
+
+    def keys(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Two rows of keys; no document is without an id."""
+        first = np.cumsum([0] + [len(x) for x in ids[:-1]])
+        return np.minimum.reduceat(self.ranks[:, np.concatenate(ids)], first, axis=1)
+
+    def cut(self, load: np.ndarray) -> None:
+        """Bins, from the tokens under each key (two rows)."""
+        self.parts = np.maximum(1, -(-load[0] // SHARD_TOKENS) * 4 * (load[0] > SHARD_TOKENS)).astype(np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.parts)))
+        self.share = (np.cumsum(load[1]) - load[1]) / max(load[1].sum(), 1)
+
+    def bins(self, keys: np.ndarray) -> np.ndarray:
+        return self.first[keys[0]] + (self.share[keys[1]] * self.parts[keys[0]]).astype(np.int64)
+
+    def fill(self, load: np.ndarray) -> int:
+        """Shards, from the tokens in each bin; their number."""
+        self.at, self.ways = np.zeros(len(load), np.int64), np.maximum(1, -(-load // SHARD_TOKENS)).astype(np.int64)
+        shard, held = 0, 0
+        for i in np.flatnonzero(load).tolist():
+            if held and held + load[i] > SHARD_TOKENS:
+                shard, held = shard + 1, 0
+            self.at[i], held = shard, held + load[i]
+            if self.ways[i] > 1:
+                shard, held = shard + int(self.ways[i]), 0
+        return shard + int(held > 0)
+
+    def shards(self, ids: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        b = self.bins(self.keys(ids))
+        return self.at[b] + hashes % self.ways[b]
+
+
+def dealt_by_content(ids: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
+    """ids with a column shard, and the number of shards."""
+    context, deal = ids.sparkSession.sparkContext, Deal(idf)
+    keyed_by = context.broadcast(deal)
+
+    def keys(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                k = keyed_by.value.keys([np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(k[0].astype(np.int32)), pa.array(k[1].astype(np.int32)), batch.column(1)], names=["k0", "k1", "load"])
+
+    keyed = C.stored(ids.select("ids", F.col("n_tokens") + ROW_TOKENS).mapInArrow(keys, "k0 int, k1 int, load long"))
+
+    def summed(rows: DataFrame, size: int) -> np.ndarray:
+        out = np.zeros(size, np.int64)
+        for r in rows.groupBy("bin").agg(F.sum("load").alias("load")).collect():
+            out[r.bin] = r.load
+        return out
+
+    deal.cut(np.stack([summed(keyed.select(F.col(k).alias("bin"), "load"), 1 << 16) for k in ("k0", "k1")]))
+    binned_by = context.broadcast(deal)
+
+    def bins(batches):
+        import pyarrow as pa
+
+        load = np.zeros(binned_by.value.first[-1], np.int64)
+        for batch in batches:
+            k0, k1, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            np.add.at(load, binned_by.value.bins(np.stack([k0, k1])), n)
+        seen = np.flatnonzero(load)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(load[seen])], names=["bin", "load"])
+
+    shards = max(1, deal.fill(summed(keyed.mapInArrow(bins, "bin long, load long"), int(deal.first[-1]))))
+    filled_by = context.broadcast(deal)
+
+    def dealt(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                found = filled_by.value.shards([np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()], batch.column(4).to_numpy())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found.astype(np.int32))], names=["doc_id", "ids", "n_tokens", "place", "shard"])
+
+    hashed = ids.select("doc_id", "ids", "n_tokens", "place", F.xxhash64("doc_id", "n_tokens", "place").alias("hash"))
+    return hashed.mapInArrow(dealt, "doc_id long, ids binary, n_tokens long, place long, shard int"), shards
 
 
 def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float):
@@ -130,26 +229,23 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float):
     upcoming, room, sequence = 0, WINDOW, 0
     left = sum(len(d) for d in docs)
     size = WINDOW
-    ranked, at, seed = None, 0, None
+    score, seed = None, None
     while left:
         # the next document: the seed's best unused neighbour, else the first unused one
         doc = None
         if seed is not None:
-            if ranked is None:
+            if score is None:
                 score = np.where(unused, index.scores(seed), 0)
-                near = np.flatnonzero(score > 0)
-                ranked, at = near[np.argsort(-score[near], kind="stable")], 0
-            while at < len(ranked) and not unused[ranked[at]]:
-                at += 1
-            if at < len(ranked):
-                doc = int(ranked[at])
+            best = int(score.argmax())
+            if score[best] > 0:
+                doc, score[best] = best, 0
         if doc is None:
             while not unused[upcoming]:
                 upcoming += 1
             doc = upcoming
         unused[doc] = False
         if seed is None:
-            seed, ranked = doc, None
+            seed, score = doc, None
         start, n = 0, len(docs[doc])
         while start < n:
             if room == size and left < WINDOW:  # the last tokens: powers of two
@@ -159,7 +255,7 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float):
             start, room, left = start + length, room - length, left - length
             if not room:
                 sequence, room, size = sequence + 1, WINDOW, WINDOW
-                seed, ranked = (doc, None) if start < n else (None, None)
+                seed, score = (doc, None) if start < n else (None, None)
 
 
 def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,10 +270,10 @@ def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     df = np.zeros(1 << 16)
     for r in frequencies(ids).collect():  # one row a vocabulary entry at most
         df[r.token] = r.df
-    shared = docs.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
     mean = max(tokens / n, 1.0)
-    shards = max(1, min(-(-tokens // SHARD_TOKENS), n))
-    dealt = ids.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "place"), F.lit(shards)).cast("int"))
+    dealt, shards = dealt_by_content(ids, idf)
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "place")
 
     def run(batches):

@@ -219,6 +219,32 @@ def test_neighbours_share_windows():
     assert sum(len(k) == 1 for k in kinds.values()) >= len(kinds) - 2
 
 
+def test_related_documents_share_a_shard(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1 << 13)
+    r = np.random.default_rng(5)
+    letters = list("bcdfghjklmnprstvz")
+    themes = [["".join(r.choice(letters, 6)) for _ in range(40)] for _ in range(60)]
+    rows = [(i, " ".join(r.permutation(themes[i % 60]))) for i in range(240)]
+    copies = [(1000 + i, "one text of a large group of copies " * 30) for i in range(200)]
+    got = packing.packed(spark.createDataFrame(rows + copies, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    shard = {p.doc_id: p.sequence_id >> 32 for p in got}
+    assert len(shard) == 440 and len(set(shard.values())) >= 8
+    assert max(collections.Counter(shard[d] for d in range(1000, 1200)).values()) < 60
+    assert np.mean([shard[d] == shard[d % 60] for d in range(60, 240)]) > 0.8
+
+
+def test_all_terms_of_a_seed_count():
+    common = np.arange(100, 160, dtype=np.uint16)
+    docs = [np.concatenate((common, np.arange(500, 540, dtype=np.uint16))), common, np.arange(500, 504, dtype=np.uint16), np.arange(900, 960, dtype=np.uint16)]
+    idf = np.where(np.arange(1 << 16) < 500, 1, 3).astype(np.float32)
+    index = packing.Shard(docs, idf, 60.0)
+    score = index.scores(0)
+    assert score[1] == pytest.approx(float(index.held[index.owner == 1].sum()), rel=1e-5)
+    assert score[1] > 0 and score[3] == 0
+
+
 def test_fingerprints_against_plain_python(docs):
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
     got = {r.doc_id: r for r in digest.compared(docs).collect()}
