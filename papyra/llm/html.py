@@ -2,8 +2,8 @@
 
 Each page becomes a list of text blocks in the zones main (inside an article or main container), chrome (menus, headers, footers,
 adverts, forms, comments ...) and open (everything else). The pages of a host, dealt into shards of bounded size, are concatenated as token streams;
-a suffix array over them finds substrings that recur on many distinct pages. A page with a main zone keeps that zone; any other
-page keeps the unique runs of its open blocks.
+a suffix array over them finds substrings that recur on many distinct pages. Every page keeps its main zone whole and the
+unique runs of its open blocks.
 """
 
 from __future__ import annotations
@@ -165,13 +165,12 @@ def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
     covered = np.concatenate(([0], np.cumsum(repeats(tokens, page, len(pages)))))
     out = []
     for k, p in enumerate(pages):
-        if any(z == MAIN for z, _ in p):
-            out.append(" ".join(t for z, t in p if z == MAIN))
-            continue
         at, kept, candidates = int(first[k]), [], []
         for zone, text in p:
             n = len(re.findall(C.WORD, text))
-            if zone == OPEN:
+            if zone == MAIN:
+                kept.append(text)
+            elif zone == OPEN:
                 candidates.append(text)
                 if covered[min(at + n, len(covered) - 1)] - covered[at] < COVER * n:
                     kept.append(text)

@@ -369,6 +369,16 @@ def test_repeats_equal_brute_force():
     assert (got == want).all()
 
 
+def html_texts(spark, rows):
+    return {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_open_blocks_beside_an_article_stay_if_unique(spark):
+    boiler = "this very long line stands on every page of the whole host again"
+    rows = [(i, f"http://h/{i}", f"<article>article {i}</article><div>{boiler}</div><div>Addendum of page {i}</div>") for i in range(6)]
+    assert html_texts(spark, rows) == {i: f"article {i} Addendum of page {i}" for i in range(6)}
+
+
 def test_audio_is_lossless(docs):
     import pyarrow as pa
 
