@@ -1,8 +1,8 @@
 """Main text of web pages: block zones by markup, and a host suffix array for what markup leaves open.
 
 Each page becomes a list of text blocks in the zones main (inside an article or main container), chrome (menus, headers, footers,
-adverts, forms, comments ...) and open (everything else). The pages of a host, dealt into shards of bounded size, are concatenated as token streams;
-a suffix array over them finds substrings that recur on many distinct pages. Every page keeps its main zone whole and the
+adverts, forms, comments ...) and open (everything else). Substrings of LEAST_TOKENS tokens that recur on enough distinct pages of a host are counted over the whole host,
+as 64-bit hashes; overlapping ones join to longer repeats. Every page keeps its main zone whole and the
 unique runs of its open blocks.
 """
 
@@ -17,14 +17,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Characters of html that one shard of a host holds, about.
-SHARD_CHARS = 1 << 20
-#: Large hosts whose shard counts are broadcast (at most some 10 MB); beyond that the counts are joined by shuffle.
-MOST_BROADCAST = 100_000
-#: Tokens of the shortest repeat that counts, and the distinct pages it must be on: a number and a share of the shard's pages.
-LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 8, 3, 0.2
-#: Share of a block's tokens that repeats must cover for it to be boilerplate.
-COVER = 0.8
+#: Tokens of the shortest repeat that counts, and the distinct pages of the host it must be on; a host's size doesn't matter (no share of its pages).
+LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 8, 3, 0.0
+#: Bits of the map that spares windows no open block holds the shuffle.
+MAP_BITS = 1 << 24
 
 _SKIP = frozenset("script style noscript template head title svg canvas iframe object math audio video".split())
 _CHROME = frozenset("nav footer aside form button select option textarea dialog menu label fieldset input datalist".split())
@@ -126,68 +122,77 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return parser.blocks
 
 
-def repeats(tokens: np.ndarray, page: np.ndarray, pages: int) -> np.ndarray:
-    """Which tokens lie in a substring of LEAST_TOKENS or more that is on enough distinct pages.
+def windows(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where substrings of LEAST_TOKENS tokens begin that don't run into the next page, and their hashes."""
+    n = len(tokens) - LEAST_TOKENS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    words, h = tokens.astype(np.uint64), np.zeros(n, np.uint64)
+    for k in range(LEAST_TOKENS):
+        h = C.mix(h * C._GOLD + words[k : k + n])
+    at = np.flatnonzero(page[:n] == page[LEAST_TOKENS - 1 :])
+    return at, h[at]
 
-    Prefix doubling ranks every suffix by its first LEAST_TOKENS tokens (a power of two), which is as far as the suffix array must
-    be sorted: equal ranks are the repeats, and overlapping ones join to longer substrings.
-    """
-    n = len(tokens)
-    covered = np.zeros(n, bool)
-    if n < LEAST_TOKENS or pages < LEAST_PAGES:
-        return covered
-    _, rank = np.unique(tokens, return_inverse=True)
-    width = 1
-    while width < LEAST_TOKENS:
-        behind = np.full(n, -1, np.int64)
-        behind[: n - width] = rank[width:]
-        _, rank = np.unique(rank.astype(np.int64) * (n + 1) + behind + 1, return_inverse=True)
-        width *= 2
-    whole = np.zeros(n, bool)  # substrings that don't run into the next page
-    whole[: n - LEAST_TOKENS + 1] = page[: n - LEAST_TOKENS + 1] == page[LEAST_TOKENS - 1 :]
-    at = np.flatnonzero(whole)
-    seen = np.unique(rank[at].astype(np.int64) * pages + page[at])
-    on_pages = np.bincount(seen // pages, minlength=int(rank.max()) + 1)
-    often = at[on_pages[rank[at]] >= max(LEAST_PAGES, LEAST_SHARE * pages)]
+
+def covered_by(at: np.ndarray, n: int) -> np.ndarray:
+    """Which of n tokens lie in a window that begins at one of `at`."""
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, often, 1)
-    np.add.at(edge, np.minimum(often + LEAST_TOKENS, n), -1)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, np.minimum(at + LEAST_TOKENS, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """The main text of each page of a shard."""
-    texts = [" ".join(t for _, t in p) for p in pages]
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    tokens, first = C.word_hashes(data, np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
-    page = np.repeat(np.arange(len(pages)), np.diff(first))
-    covered = np.concatenate(([0], np.cumsum(repeats(tokens, page, len(pages)))))
-    out = []
-    for k, p in enumerate(pages):
-        at, kept, candidates = int(first[k]), [], []
-        for zone, text in p:
-            n = len(re.findall(C.WORD, text))
+def repeats(tokens: np.ndarray, page: np.ndarray, pages: int) -> np.ndarray:
+    """Which tokens lie in a substring of LEAST_TOKENS or more that is on enough distinct ones of these pages."""
+    at, h = windows(tokens, page)
+    found, rank = np.unique(h, return_inverse=True)
+    on_pages = np.bincount(np.unique(rank * pages + page[at]) // pages, minlength=len(found))
+    return covered_by(at[on_pages[rank] >= max(LEAST_PAGES, LEAST_SHARE * pages)], len(tokens))
+
+
+class Stream:
+    """The tokens of a page's blocks in a row, and the hashes of their windows, which `host` sets apart from other hosts'."""
+
+    def __init__(self, zones: list[int], texts: list[str], host: int):
+        self.zones, self.words = zones, [t.split(" ") for t in texts]
+        raw = " ".join(texts).encode()
+        tokens, _ = C.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        self.block = np.repeat(np.arange(len(zones)), [len(w) for w in self.words])
+        self.at, h = windows(tokens, np.zeros(len(tokens), np.int8))
+        self.hashes = C.mix(h ^ np.uint64(host & (1 << 64) - 1)).view(np.int64)
+        is_open = np.concatenate(([0], np.cumsum(np.array(zones, int)[self.block] == OPEN)))
+        self.open = is_open[self.at + LEAST_TOKENS] > is_open[self.at]  # windows with a token of an open block
+
+    def text(self, often: np.ndarray) -> str:
+        """Main blocks whole; of open blocks, what no window of the hashes `often` covers.
+
+        A window over several blocks counts for those that windows cover whole. A page of nothing but repeats keeps them.
+        """
+        at = self.at[np.isin(self.hashes, often)]
+        n = len(self.block)
+        whole = covered_by(at, n)
+        inside = covered_by(at[self.block[at] == self.block[at + LEAST_TOKENS - 1]], n)
+        kept, candidates, first = [], [], 0
+        for zone, words in zip(self.zones, self.words):
+            last = first + len(words)
             if zone == MAIN:
-                kept.append(text)
+                kept += words
             elif zone == OPEN:
-                candidates.append(text)
-                if covered[min(at + n, len(covered) - 1)] - covered[at] < COVER * n:
-                    kept.append(text)
-            at += n
-        out.append(" ".join(kept or candidates))
-    return out
+                candidates += words
+                if not whole[first:last].all():
+                    kept += [w for w, gone in zip(words, inside[first:last].tolist()) if not gone]
+            first = last
+        return " ".join(kept or candidates)
 
 
 def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Per page: page_id, url, text, n_chars. Null and empty html give an empty text; null urls are one host; repeated rows each come back.
 
-    A host's shards hold about SHARD_CHARS characters each, dealt by a hash of the id and the html's size, so no task gathers a whole host.
+    Pages are parsed once into a stored table. Windows that touch an open block are counted over the whole host, with the pages on which other
+    blocks hold them; pages without open blocks are not shuffled.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
-    named = rows.withColumn("host", host)
-    sizes = C.stored(named.groupBy("host").agg(F.ceil(F.sum(F.length("html") + 100) / SHARD_CHARS).alias("shards")).where("shards > 1"))
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"), F.xxhash64(host).alias("host"), F.monotonically_increasing_id().alias("place"))
 
     def parse(batches):
         import pyarrow as pa
@@ -197,35 +202,53 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
                 part = batch.slice(i, 200)
                 found = [blocks(x) for x in part.column(2).to_pylist()]
                 lists = [pa.array([[b[k] for b in f] for f in found], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([len(x) for x in part.column(2).to_pylist()], pa.int64()), *lists], names=["page_id", "url", "host", "size", "zones", "texts"])
-
-    split = named.mapInArrow(parse, "page_id long, url string, host string, size long, zones array<int>, texts array<string>")
-    sizes = F.broadcast(sizes) if sizes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else sizes
-    dealt = split.join(sizes, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "size", "url"), F.coalesce("shards", F.lit(1))))
-    # several small hosts share a group; a group's shards stay apart inside it
-    total = F.xxhash64("host", "shard")
-
-    def run(batches):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), *lists], names=["page_id", "url", "host", "place", "zones", "texts"])
+
+    parsed = C.stored(rows.mapInArrow(parse, "page_id long, url string, host long, place long, zones array<int>, texts array<string>"))
+    is_open = F.array_contains("zones", OPEN)
+    main = F.array_join(F.transform(F.filter(F.arrays_zip("zones", "texts"), lambda b: b["zones"] == MAIN), lambda b: b["texts"]), " ")
+    done = lambda df, text: df.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    closed = done(parsed.where(~is_open), main)
+    if not parsed.where(is_open).limit(1).count():
+        return closed
+
+    def held(which: str, bits=None):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for i in range(0, len(batch), 200):
+                    places, hashes = [], []
+                    for place, host, zones, texts in zip(*(c.to_pylist() for c in batch.slice(i, 200).columns)):
+                        page = Stream(zones, texts, host)
+                        of_open = np.unique(page.hashes[page.open])
+                        if which == "others":
+                            other = np.setdiff1d(page.hashes[~page.open], of_open)
+                            slot = other & (MAP_BITS - 1)
+                            of_open = other[bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1]
+                        places.append(np.full(len(of_open), place, np.int64))
+                        hashes.append(of_open)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes))], names=["place", "hash"])
+
+        return run
+
+    shape = parsed.select("place", "host", "zones", "texts")
+    opens = C.stored(shape.where(is_open).mapInArrow(held("opens"), "place long, hash long"))
+    slots = opens.select(F.col("hash").bitwiseAND(MAP_BITS - 1).alias("slot")).groupBy(F.shiftright("slot", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(slot & 7 as int)))").alias("bits"))
+    bits = np.zeros(MAP_BITS >> 3, np.uint8)
+    for r in slots.collect():  # MAP_BITS / 8 rows at most
+        bits[r.byte] = r.bits
+    others = shape.mapInArrow(held("others", pages.sparkSession.sparkContext.broadcast(bits)), "place long, hash long")
+    counted = opens.select("hash", F.lit(1).alias("open")).union(others.select("hash", F.lit(0))).groupBy("hash").agg(F.count("*").alias("n"), F.max("open").alias("open"))
+    often = counted.where((F.col("n") >= LEAST_PAGES) & (F.col("open") == 1)).select("hash")
+    by_page = opens.join(often, "hash").groupBy("place").agg(F.collect_list("hash").alias("often"))
+    joined = parsed.where(is_open).join(by_page, "place", "left").select("page_id", "url", "host", "zones", "texts", "often")
+
+    def finish(batches):
         import pyarrow as pa
 
-        held: list[tuple] = []
-        now = None
-
-        def out():
-            found = main_texts([list(zip(z, t)) for _, _, z, t in held])
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.string()), pa.array(found, pa.string())], names=["page_id", "url", "text"])
-
         for batch in batches:
-            for name, doc, url, zones, texts in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                if name != now and held:
-                    yield out()
-                    held = []
-                now = name
-                held.append((doc, url, zones, texts))
-        if held:
-            yield out()
-
-    grouped = dealt.select(total.alias("name"), "page_id", "url", "zones", "texts")
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = grouped.repartition(parts, "name").sortWithinPartitions("name", "page_id", F.xxhash64("texts"))
-    return ordered.mapInArrow(run, "page_id long, url string, text string").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+            found = [Stream(z, t, h).text(np.array(o or [], np.int64)) for h, z, t, o in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
+
+    return closed.union(done(joined.mapInArrow(finish, "page_id long, url string, text string"), F.col("text")))

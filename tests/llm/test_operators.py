@@ -379,6 +379,18 @@ def test_open_blocks_beside_an_article_stay_if_unique(spark):
     assert html_texts(spark, rows) == {i: f"article {i} Addendum of page {i}" for i in range(6)}
 
 
+def test_repeats_count_over_the_whole_host(spark):
+    line = "a section line that stands on a few pages of a host"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(i, f"http://h/{i}", f"<div>{line if i % 25 == 0 else ''} {own(i)}</div>") for i in range(100)]  # 4 % of the pages, inside blocks
+    rows += [(200 + i, f"http://big/{i}", f"<div>{own(200 + i)} {line}</div><!--{'x' * 600_000}-->") for i in range(4)]  # pages of over half a MB
+    rows += [(300 + i, "http://two/", f"<div>{line} {own(300 + i)}</div>") for i in range(2)]  # two pages only
+    rows += [(400 + i, "http://zones/", f"<{tag}>{line}</{tag}><div>{own(400 + i)}</div>") for i, tag in enumerate(("div", "nav", "article"))]
+    got = html_texts(spark, rows)
+    assert all(got[i] == own(i) for i in (*range(100), *range(200, 204), 400, 401)) and got[402] == f"{line} {own(402)}"
+    assert all(got[i] == f"{line} {own(i)}" for i in (300, 301))
+
+
 def test_audio_is_lossless(docs):
     import pyarrow as pa
 
