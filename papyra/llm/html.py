@@ -35,7 +35,10 @@ _HINTS = frozenset(
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _CONTENT = frozenset("article articlebody main content post entry story".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-MAIN, OPEN, CHROME = 0, 1, 2
+#: Tags that don't end an open head.
+_IN_HEAD = frozenset("base link meta noscript script style template title head".split())
+#: INNER: an article in a chrome container; NAMED: content by class or id only. blocks() settles both by page.
+MAIN, OPEN, CHROME, INNER, NAMED = 0, 1, 2, 3, 4
 
 
 class Blocks(HTMLParser):
@@ -59,6 +62,7 @@ class Blocks(HTMLParser):
         return self.stack[-1][1:] if self.stack else (OPEN, False)
 
     def handle_starttag(self, tag, attrs):
+        self._end_head(tag)
         zone, skipped = self._at()
         if tag in _BLOCK:
             self.flush()
@@ -80,23 +84,35 @@ class Blocks(HTMLParser):
                     role = (v or "").lower()
                 elif k == "hidden" or k == "aria-hidden" and v == "true":
                     skipped = True
-            if role in _ROLES or not _HINTS.isdisjoint(names) and tag not in _HEADINGS:
+            named = not _HINTS.isdisjoint(names)
+            if tag == "main" or tag == "article" and role not in _ROLES or role in ("main", "article"):
+                zone = INNER if zone in (CHROME, INNER) or named and tag != "main" else MAIN
+            elif role in _ROLES or named and tag not in _HEADINGS:
                 zone = CHROME
             elif tag == "header":
                 zone = CHROME
-            elif zone == CHROME and tag in _HEADINGS and any(s[0] == "header" for s in self.stack) and self._main_outside():
-                zone = MAIN
-            elif zone == OPEN and (tag in ("article", "main") or role in ("main", "article") or not _CONTENT.isdisjoint(names)):
-                zone = MAIN
+            elif zone == CHROME and tag in _HEADINGS and any(s[0] == "header" for s in self.stack) and self._main_outside() is not None:
+                zone = self._main_outside()
+            elif zone == OPEN and not _CONTENT.isdisjoint(names):
+                zone = NAMED
         self.stack.append((tag, zone, skipped))
         self.zone = zone
 
-    def _main_outside(self) -> bool:
-        """Whether the innermost header, and nothing else, hides a heading of the main zone."""
+    def _main_outside(self) -> int | None:
+        """The main, inner or named zone of which the innermost header, and nothing else, hides a heading."""
         at = max(i for i, s in enumerate(self.stack) if s[0] == "header")
-        return at > 0 and self.stack[at - 1][1] == MAIN
+        zone = self.stack[at - 1][1] if at > 0 else CHROME
+        return zone if zone in (MAIN, INNER, NAMED) else None
+
+    def _end_head(self, tag: str) -> None:
+        """Ends an open head at body, or at a tag or text right in it that no head holds."""
+        tags = [s[0] for s in self.stack]
+        if "head" in tags and (tag == "body" or tags[-1] == "head" and tag not in _IN_HEAD):
+            del self.stack[tags.index("head") :]
+            self.zone = self._at()[0]
 
     def handle_startendtag(self, tag, attrs):
+        self._end_head(tag)
         if tag in _BLOCK:
             self.flush()
 
@@ -110,16 +126,26 @@ class Blocks(HTMLParser):
         self.zone = self._at()[0]
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._end_head("")
         if not self._at()[1]:
             self.parts.append(data)
 
 
 def blocks(html: str) -> list[tuple[int, str]]:
+    """(MAIN, OPEN or CHROME, text). An article inside chrome is main if the page has no other; content by class is main
+    if there is no article and it holds the larger part of the text that is not chrome, and open otherwise.
+    """
     parser = Blocks()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.blocks
+    size = [0] * 5
+    for zone, text in parser.blocks:
+        size[zone] += len(text)
+    inner = CHROME if size[MAIN] else MAIN
+    named = MAIN if not size[MAIN] + size[INNER] and size[NAMED] > size[OPEN] else OPEN
+    return [({INNER: inner, NAMED: named}.get(z, z), t) for z, t in parser.blocks]
 
 
 def windows(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -391,6 +391,24 @@ def test_repeats_count_over_the_whole_host(spark):
     assert all(got[i] == f"{line} {own(i)}" for i in (300, 301))
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>T</title><body><p>text", "text"),
+        ("<head><meta charset=x><title>T</title><p>text", "text"),
+        ("<head><title>T</title>text", "text"),
+        ('<div class="post-meta">By X</div><div class="text">a long article text</div>', "By X a long article text"),
+        ('<div class="content with-sidebar"><nav>menu</nav><article>text</article></div>', "text"),
+        ("<form><article>text</article></form>", "text"),
+        ('<main class="with-sidebar">text</main>', "text"),
+        ('<article>text</article><aside><article>teaser</article></aside>', "text"),
+        ('<div class="content">the larger part</div><div class="login">x</div>', "the larger part"),
+    ],
+)
+def test_main_text_of_ordinary_markup(page, want):
+    assert " ".join(t for z, t in html.blocks(page) if z in (html.MAIN, html.OPEN)) == want
+
+
 def test_audio_is_lossless(docs):
     import pyarrow as pa
 
