@@ -1,7 +1,7 @@
 """Licence scans in DataFrame functions: TF-IDF cosine of licence statements to templates, and inheritance by directory.
 
-Statements are the lines or sentences of a text that hold a licence word. Each is compared with every template; the best one of a
-document counts if it is near enough. A document without its own statement inherits that of the licence file in its nearest
+Statements are the lines or sentences of a text that hold a licence word, and the passages that open as a licence text, a header of
+several lines or a title does, up to their end. Each is compared with every template; the best one of a document counts if it is near enough. A document without its own statement inherits that of the licence file in its nearest
 ancestor directory, by joins on paths.
 """
 
@@ -32,6 +32,56 @@ TEMPLATES = {
     "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
 }
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code
+must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA
+OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Whole texts of the short licences; headers of several lines and titles of the long ones.
+PASSAGES = [
+    ("MIT", _MIT),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_3} {_BSD_END}"),
+    ("ISC", _ISC),
+    *((f"{k}-{v}", _GNU.format(name, n)) for k, name, v, n in (("GPL", "General Public License", "2.0", "2"), ("GPL", "General Public License", "3.0", "3"), ("LGPL", "Lesser General Public License", "3.0", "3"), ("AGPL", "Affero General Public License", "3.0", "3"))),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+#: How passages open and end; a passage without its end goes on to the end of the text. Comment signs may stand between words.
+PASSAGE = "(?is)" + "|".join(
+    x.replace(" ", r"[\s*#/;%-]+")
+    for x in (
+        r"permission is hereby granted, free of.*?(?:dealings in the software|\z)",
+        r"redistribution and use in source.*?(?:possibility of such damage|\z)",
+        r"permission to use, copy, modify,.*?(?:performance of this software|\z)",
+        r"is free software\b.*?(?:\.(?=\s|\z)|\z)",
+        r"licensed under the apache license\b.*?(?:\.(?=\s|\z)|\z)",
+        r"gnu (?:lesser |library |affero )?general public license,? version [0-9.]*[0-9]",
+        r"(?:apache|mozilla public) license,? (?:version|v\.) ?[0-9.]*[0-9]",
+    )
+)
+SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+)"
 MARK = r"(?i)licen[cs]e|SPDX|public domain|copyright"
 #: Texts are cut into statements at line ends and behind sentence ends.
 CUT = r"[\r\n]+|(?<=[.!?;|])\s+(?=\p{Lu})"
@@ -44,34 +94,42 @@ def _terms(text) -> F.Column:
 
 
 def statements(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, line, words, place): the licence statements of each text."""
-    cut = F.when(F.col(text).rlike(MARK), F.filter(F.split(text, CUT, -1), lambda s: s.rlike(MARK)))
+    """(id, place, line): the licence statements of each text."""
+    cut = F.when(F.col(text).rlike(MARK), F.concat(F.filter(F.split(text, CUT, -1), lambda s: s.rlike(MARK)), F.regexp_extract_all(F.col(text), F.lit(PASSAGE), F.lit(0))))
     return docs.select(F.col(key).alias("id"), F.posexplode(cut).alias("place", "line"))
 
 
+def tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, licence, score): the licences that SPDX identifiers name, in any of their versions' endings (-only, -or-later, +)."""
+    found = docs.select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(F.col(text), F.lit(SPDX), F.lit(1))).alias("tag"))
+    names = F.create_map(*[F.lit(x) for k in TEMPLATES for x in (k.lower(), k)])
+    licence = F.try_element_at(names, F.regexp_replace(F.lower("tag"), r"(?:-only|-or-later|\+)$", ""))
+    return found.select("id", licence.alias("licence"), F.lit(1.0).alias("score")).where("licence is not null")
+
+
 def statement_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """(id, licence, score): the nearest template of each id's statements, if its cosine is at least `least`.
+    """(id, licence, score): the nearest template of each id's statements, if its cosine is at least `least`; a licence named by SPDX scores 1.
 
     Inverse document frequencies cover all statements and templates. Ties go to the first licence by name.
     """
     spark = docs.sparkSession
-    templates = spark.createDataFrame(sorted(TEMPLATES.items()), "licence string, line string")
+    templates = spark.createDataFrame([(k, *x) for k, x in enumerate(sorted([*TEMPLATES.items(), *PASSAGES]))], "tid int, licence string, line string")
     lines = stored(statements(docs, key, text).withColumn("sid", F.xxhash64("line")))
     # equal statements are compared once, however many documents hold them
     distinct = stored(lines.groupBy("sid").agg(F.min("line").alias("line"), F.count("*").alias("n")))
     tf = distinct.select("sid", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("sid", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
-    ttf = templates.select("licence", F.explode(_terms(F.col("line"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
-    total = int(distinct.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)  # one number
+    ttf = templates.select("tid", "licence", F.explode(_terms(F.col("line"))).alias("term")).groupBy("tid", "licence", "term").agg(F.count("*").alias("tf"))
+    total = int(distinct.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES) + len(PASSAGES)  # one number
     df = tf.select("term", "n").union(ttf.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("n").alias("df"))
     idf = df.select("term", (1 + F.log(F.lit(1 + total) / (1 + F.col("df")))).alias("idf"))
     weighted = stored(tf.join(idf, "term").select("sid", "term", (F.col("tf") * F.col("idf")).alias("w")))
-    tweighted = ttf.join(idf, "term").select("licence", "term", (F.col("tf") * F.col("idf")).alias("tw"))
+    tweighted = ttf.join(idf, "term").select("tid", "licence", "term", (F.col("tf") * F.col("idf")).alias("tw"))
     norm = weighted.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    tnorm = tweighted.groupBy("licence").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
-    dot = weighted.join(F.broadcast(tweighted), "term").groupBy("sid", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # a row a term of TEMPLATES
-    cosine = dot.join(norm, "sid").join(F.broadcast(tnorm), "licence").select("sid", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("score"))
+    tnorm = tweighted.groupBy("tid").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
+    dot = weighted.join(F.broadcast(tweighted), "term").groupBy("sid", "tid", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # a row a term of a template
+    cosine = dot.join(norm, "sid").join(F.broadcast(tnorm), "tid").select("sid", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("score"))
     best = cosine.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")).select("sid", "best.licence", (-F.col("best.minus")).alias("score")).where(F.col("score") >= least)
-    return lines.join(best, "sid").groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")).select("id", "best.licence", (-F.col("best.minus")).alias("score"))
+    return lines.join(best, "sid").select("id", "licence", "score").union(tagged(docs, key, text)).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")).select("id", "best.licence", (-F.col("best.minus")).alias("score"))
 
 
 def licensed(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", licence_file: str = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$") -> DataFrame:

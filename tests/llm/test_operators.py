@@ -342,6 +342,27 @@ def test_licences_and_inheritance(spark):
     assert got == {1: ("MIT", "own"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "own"), 4: ("GPL-3.0", "own"), 5: (None, "none"), 6: ("MIT", "inherited"), 7: (None, "none")}
 
 
+def test_licence_texts_headers_and_tags(spark):
+    comment = lambda text: "/*\n" + "\n".join(f" * {x}" for x in text.split("\n")) + "\n */\nint main(void) { return 0; }\n" * 30
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope"
+    bodies = dict(licences.PASSAGES[:4])
+    want = {
+        1: ("MIT", comment(bodies["MIT"])),
+        2: ("BSD-3-Clause", bodies["BSD-3-Clause"].replace("copyright holder", "University")),
+        3: ("BSD-2-Clause", bodies["BSD-2-Clause"]),
+        4: ("ISC", comment(bodies["ISC"])),
+        5: ("GPL-3.0", comment(gpl)),
+        6: ("GPL-2.0", comment(gpl.replace("program", "library").replace("version 3", "version 2"))),
+        7: ("GPL-3.0", "// SPDX-License-Identifier: GPL-3.0-only\nint x;"),
+        8: ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation"),
+        9: ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n"),
+        10: ("AGPL-3.0", gpl.replace("GNU General", "GNU Affero General")),
+        11: (None, "permission to go home was granted, and copyright is a word"),
+    }
+    files = spark.createDataFrame([(k, f"d{k}/x.c", text) for k, (_, text) in want.items()], "doc_id long, path string, text string")
+    assert {r.id: r.licence for r in licences.licensed(files).collect()} == {k: v for k, (v, _) in want.items()}
+
+
 def test_html_main_text(spark):
     page = "<html><head><title>T</title></head><body><header>Top</header><nav><ul><li>A</li></ul></nav><div class='cookie-notice'>Accept</div><article><h1>Head &amp; tail</h1><p>One\n two<br>three<p>four <b>five</b><script>x='</p>'</script></p><div class=ad>Buy</div><section class='comments'><p>first!</p></section></article><aside>More</aside><footer>&copy;</footer>"
     rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, None, ""), (4, "http://h/3", "<p>just &lt;text&gt; &am")]
