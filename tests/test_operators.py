@@ -79,3 +79,27 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert rows(spark.read.parquet(sink)) == [(1, "a"), (2, "b"), (3, "c")]
     log = spark.createDataFrame([(1, True), (2, False)], "id long, final boolean")
     assert rows(ingest.pending(spark.read.parquet(sink).select("id"), log, "id")) == [(2,), (3,)]
+
+
+def test_fuzzy_dedupe_of_long_prompts(spark):
+    from papyra.operators import dedupe
+
+    words = "apple bridge candle dragon engine forest garden harbor island jungle kitten ladder".split()
+    long = " ".join(words[(i * i + i // 5) % 12] for i in range(150))
+    rows = [(1, long), (2, long.replace("dragon", "wagon", 1)), (3, " ".join(words[(7 * i + i // 3) % 12] for i in range(150)))]
+    got = dedupe.fuzzy(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    assert sorted(r.id for r in got.collect()) == [1, 3]
+
+
+def test_trigram_filter_drops_no_pair_of_the_ratio():
+    import random
+
+    from papyra.operators import dedupe
+
+    r = random.Random(4)
+    for _ in range(2000):
+        a = "".join(r.choice("abc ") for _ in range(r.randint(18, 60)))
+        b = "".join(c for c in a if r.random() > 0.05)
+        for least in (0.9, 0.97):
+            if dedupe.similarity(a, b) >= least:
+                assert dedupe.may_reach(dedupe.trigrams(a), dedupe.trigrams(b), len(a) + len(b), least)
