@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,28 +19,67 @@ PASS_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a new local one, which is then set."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a new local one, which is then set, if driver and executors are one process; else an error.
+
+    Executors of a cluster would write to their own disks, and what they wrote could not be read back whole.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="papyra-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: The folder of this driver process's tables, so that release() spares those of other jobs.
+_RUN = uuid.uuid4().hex
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, computed once, as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/papyra-tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/papyra-tables/{_RUN}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Removes what stored() has written in this shared folder; call it once no result is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/papyra-tables")
+    """Removes what stored() has written in this driver process; call it once no result is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/papyra-tables/{_RUN}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df, in any case of letters, doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key with one row in so many is joined by broadcast; there are at most so many such keys.
+HOT = 256
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """rows left-joined with lookup (at most a row a key), null keys never meeting; rows should be stored, as they are read several times.
+
+    Keys that hold a HOTth of all rows or more, HOT of them at most, meet their lookup rows by broadcast, so no task gets a hot key's rows.
+    """
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    full = rows.where(known)
+    order = [*rows.columns, *[c for c in lookup.columns if c not in keys]]
+    none = rows.where(~known).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in lookup.schema if f.name not in keys]).select(*order)
+    total = full.count()
+    hot = stored(full.groupBy(*keys).agg(F.count("*").alias("papyra_c")).where(F.col("papyra_c") >= max(HOT, total / HOT)).drop("papyra_c"))
+    if not hot.limit(1).count():
+        return full.join(lookup, keys, "left").select(*order).unionByName(none)
+    found = stored(hot.join(lookup, keys, "left"))  # HOT rows at most
+    cold = full.join(F.broadcast(hot), keys, "left_anti").join(lookup, keys, "left").select(*order)
+    return full.join(F.broadcast(found), keys).select(*order).unionByName(cold).unionByName(none)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
