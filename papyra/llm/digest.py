@@ -8,7 +8,7 @@ difference's share of the bound.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -59,8 +59,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 1 - (differ + length) / (6 * BUCKETS + _LENGTH_MOST)
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column fingerprint; null texts count as empty, whose buckets are all 0; equal texts have equal digests."""
+def fingerprints(docs: DataFrame, text: str = "text", name: str = "papyra_fingerprint") -> DataFrame:
+    """docs with a column of the given name; null texts count as empty, whose buckets are all 0; equal texts have equal digests."""
     place = docs.columns.index(text)
 
     def run(batches):
@@ -69,67 +69,86 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             data, offsets = C.utf8(batch.column(place))
             made = [encoded(codes(data[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "papyra_fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, C.extended(docs.schema, "papyra_fingerprint string"))
+    return docs.mapInArrow(run, C.extended(docs.schema, f"{name} string"))
 
 
-def _spread(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text, part, guest): id ranges of about equal text, each with the first row of the next range (ids descending) as a guest."""
-    spark = docs.sparkSession
-    ids = docs.select("doc_id", F.length("text").alias("n"))
-    n = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = max(1, min(int(n[0]), int(n[1]) // (8 << 20) + 1, 100_000), min(int(n[0]) // 50, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted({x for x in ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []}) if parts > 1 else []
-    # a binary search over the sorted cuts: the number of cuts below an id
-    part = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(int(c)) for c in cuts]) if len(cuts) < 2000 else F.from_json(F.lit(str(cuts)), "array<bigint>")
-        part = F.size(bounds) - F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0))
-    part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(part)
-    dealt = docs.withColumn("part", part.cast("int")).withColumn("guest", F.lit(False))
-    return dealt, len(cuts) + 1
+#: Code points of a range part, about.
+PART_CHARS = 1 << 26
+_RESULT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _pair(doc: int | None, text: str, code: np.ndarray, following: str, next_code: np.ndarray) -> tuple:
+    """The result row of a document and its next one."""
+    import hashlib
+
+    half = len(text) // 2
+    edited = (text[: len(text) - half] + following[:half]).encode()
+    edited_code = codes(np.frombuffer(edited, np.uint8))
+    return doc, len(text), hashlib.sha256(edited).hexdigest(), encoded(code), encoded(edited_code), likeness(code, edited_code), likeness(code, next_code)
+
+
+def _of(text: str) -> np.ndarray:
+    return codes(np.frombuffer(text.encode(), np.uint8))
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next smaller id, after the last the first; rows of equal id follow one another by text, null ids come
-    last. A sole document is its own next one. Null texts count as empty. Rows are ranged by id in parts of
-    about equal numbers; a part's last row gets its successor as a copied row, one a part.
+    The next document is that of the next smaller id, after the last the first; rows of equal id follow one another by a hash of the text, then as read; null
+    ids come last. A sole document is its own next one. Null texts count as empty. An empty table gives an empty result.
+
+    Rows are dealt to sorted ranges of id, hash and place in the table, so that not even one repeated row fills a range. Each range is compared in one pass;
+    its first and last documents are stored, and each last one meets the next range's first in a join of range numbers.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt, parts = _spread(rows)
-    least = dealt.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"))).alias("top"))
-    present = [(r.part, r.top.id, r.top.h) for r in least.collect()]  # one row a part
-    present.sort()
-    if not present:
-        firsts = dealt.where("false")
-    else:
-        before = {present[k][0]: present[k - 1][0] for k in range(len(present))}
-        to = docs.sparkSession.createDataFrame([(p, i, h, before[p]) for p, i, h in present], "part int, id long, h long, goes int")
-        keyed = dealt.join(F.broadcast(to), "part")  # one row a part, 100,000 parts at most
-        firsts = keyed.where((F.coalesce("doc_id", F.lit(-(2**63))) == F.col("id")) & (F.xxhash64("text") == F.col("h"))).dropDuplicates(["part"]).select("doc_id", "text", F.col("goes").alias("part"), F.lit(True).alias("guest"))
-    ranged = dealt.unionByName(firsts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_CHARS + 1)
+    keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("place")]
+    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
-        import hashlib
-
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, held, first = TaskContext.get().partitionId(), None, None
+        fields = [*_RESULT, "part", "first", "last"]
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.string())
+
+        def batched(out):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [[]] * len(types), types)], names=fields)
 
-        held = None
         for batch in batches:
             out = []
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 3)]
-            for doc, text, guest in zip(*columns):
-                raw = text.encode()
-                now = (doc, text, codes(np.frombuffer(raw, np.uint8)))
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                now = (doc, text, _of(text))
                 if held:
-                    half = len(held[1]) // 2
-                    edited = (held[1][: len(held[1]) - half] + text[:half]).encode()
-                    code = codes(np.frombuffer(edited, np.uint8))
-                    out.append((held[0], len(held[1]), hashlib.sha256(edited).hexdigest(), encoded(held[2]), encoded(code), likeness(held[2], code), likeness(held[2], now[2])))
-                held = None if guest else now
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [[]] * 7, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    return ranged.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                    out.append((*_pair(*held, text, now[2]), None, None, None))
+                first = text if first is None else first
+                held = now
+            yield batched(out)
+        if held:
+            yield batched([(held[0], *[None] * 6, part, first, held[1])])
+
+    made = C.stored(ranged.mapInArrow(run, f"{_DDL}, part long, first string, last string"))
+    # one row a range, of numbers alone, in one window; the texts meet in a join
+    numbers = made.where("part is not null").select("part")
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    after = numbers.select("part", following.alias("next"))
+    ends = made.where("part is not null").select("doc_id", "part", "last").join(after, "part")
+    edges = ends.join(made.where("part is not null").select(F.col("part").alias("next"), "first"), "next").select("doc_id", "last", "first")
+
+    def close(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc, last, first in zip(*(c.to_pylist() for c in batch.columns)):
+                row = _pair(doc, last, _of(last), first, _of(first))
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=list(_RESULT))
+
+    return made.where("part is null").select(*_RESULT).union(edges.mapInArrow(close, _DDL))
