@@ -21,6 +21,10 @@ from . import common as C
 WINDOW = 2048
 #: Tokens of a shard, about: what one task indexes. A row counts as so many tokens more.
 SHARD_TOKENS, ROW_TOKENS = 1 << 20, 256
+#: Shards of a partition, at most about: they are packed one after another.
+SHARDS_A_PART = 64
+#: Bins that documents are dealt to at most, beyond one a vocabulary entry: a bound of what is collected and broadcast (twelve bytes a bin).
+MOST_BINS = 1 << 22
 #: BM25's constants.
 K1, B = 1.2, 0.75
 END = 1
@@ -132,10 +136,10 @@ class Shard:
 
 
 class Deal:
-    """Which shard a document goes to, by content; a few numbers per vocabulary entry and shard, whatever the input.
+    """Which shard a document goes to, by content; a few numbers per vocabulary entry and bin, whatever the input.
 
     Shards are runs of bins in key order. A bin is a first key; one too full for a shard is cut by the second key, and what that leaves too full
-    (large groups of copies) by a hash.
+    (large groups of copies, and at most MOST_BINS bins of many shards each) by a hash.
     """
 
     def __init__(self, idf: np.ndarray):
@@ -149,7 +153,8 @@ class Deal:
 
     def cut(self, load: np.ndarray) -> None:
         """Bins, from the tokens under each key (two rows)."""
-        self.parts = np.maximum(1, -(-load[0] // SHARD_TOKENS) * 4 * (load[0] > SHARD_TOKENS)).astype(np.int64)
+        parts = -(-load[0] // SHARD_TOKENS) * 4.0 * (load[0] > SHARD_TOKENS)
+        self.parts = np.maximum(1, parts * min(1, MOST_BINS / max(parts.sum(), 1))).astype(np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.parts)))
         self.share = (np.cumsum(load[1]) - load[1]) / max(load[1].sum(), 1)
 
@@ -158,7 +163,7 @@ class Deal:
 
     def fill(self, load: np.ndarray) -> int:
         """Shards, from the tokens in each bin; their number."""
-        self.at, self.ways = np.zeros(len(load), np.int64), np.maximum(1, -(-load // SHARD_TOKENS)).astype(np.int64)
+        self.at, self.ways = np.zeros(len(load), np.int64), np.maximum(1, -(-load // SHARD_TOKENS)).astype(np.int32)
         shard, held = 0, 0
         for i in np.flatnonzero(load).tolist():
             if held and held + load[i] > SHARD_TOKENS:
@@ -190,11 +195,11 @@ def dealt_by_content(ids: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
 
     def summed(rows: DataFrame, size: int) -> np.ndarray:
         out = np.zeros(size, np.int64)
-        for r in rows.groupBy("bin").agg(F.sum("load").alias("load")).collect():
-            out[r.bin] = r.load
+        found = rows.groupBy("bin").agg(F.sum("load").alias("load")).toArrow()  # a row a vocabulary entry or bin at most
+        out[found["bin"].to_numpy()] = found["load"].to_numpy()
         return out
 
-    deal.cut(np.stack([summed(keyed.select(F.col(k).alias("bin"), "load"), 1 << 16) for k in ("k0", "k1")]))
+    deal.cut(np.stack([summed(keyed.select(F.col(k).cast("long").alias("bin"), "load"), 1 << 16) for k in ("k0", "k1")]))
     binned_by = context.broadcast(deal)
 
     def bins(batches):
@@ -261,8 +266,8 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float):
 def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids (little-endian 32-bit, binary), doc_tokens, sequence_id, offset.
 
-    Every id of every document, and its END, is in exactly one piece; null and empty texts are their END alone. Rows of equal
-    id are documents of their own. An empty table gives no pieces. `path` names a byte-level BPE rank file on every executor.
+    Every id of every document, and its END, is in exactly one piece; null and empty texts are their END alone. Rows of equal or null
+    id, and repeated rows, are documents of their own; ties of a seed's neighbours go to the first of the shard in id order. Other columns are ignored. An empty table gives no pieces. `path` names a byte-level BPE rank file on every executor.
     """
     ids = C.stored(tokenized(docs, path, key, text))
     total = ids.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
@@ -274,31 +279,45 @@ def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     mean = max(tokens / n, 1.0)
     dealt, shards = dealt_by_content(ids, idf)
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "place")
+    parts = max(-(-shards // SHARDS_A_PART), min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    share = -(-shards // parts)
+    dealt = dealt.repartitionById(parts, F.floor(F.col("shard") / share).cast("int")).sortWithinPartitions("shard", "doc_id", "n_tokens", "place")
 
     def run(batches):
+        """Packs shard after shard; the documents of one are held at a time."""
         import pyarrow as pa
 
-        names, held, shard = [], [], 0
-        for batch in batches:
-            names += batch.column(0).to_pylist()
-            held += [np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()]
-            shard = batch.column(4)[0].as_py() if len(batch) else shard
-        if not held:
-            return
-        rows: list[tuple] = []
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        def packed_shard(shard, names, held):
+            rows: list[tuple] = []
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for doc, start, length, sequence, offset in windows(held, shared.value, mean):
-            rows.append((names[doc], start, length, held[doc][start : start + length].astype("<u4").tobytes(), len(held[doc]), shard << 32 | sequence, offset))
-            if len(rows) == 2000:
+            for doc, start, length, sequence, offset in windows(held, shared.value, mean):
+                rows.append((names[doc], start, length, held[doc][start : start + length].astype("<u4").tobytes(), len(held[doc]), shard << 32 | sequence, offset))
+                if len(rows) == 2000:
+                    yield out()
+                    rows = []
+            if rows:
                 yield out()
-                rows = []
-        if rows:
-            yield out()
+
+        names, held, now = [], [], None
+        for batch in batches:
+            shard = batch.column(4).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and int(shard[a]) != now:
+                    yield from packed_shard(now, names, held)
+                    names, held = [], []
+                now = int(shard[a])
+                names += batch.column(0).slice(a, b - a).to_pylist()
+                held += [np.frombuffer(x, "<u2") for x in batch.column(1).slice(a, b - a).to_pylist()]
+        if held:
+            yield from packed_shard(now, names, held)
 
     return dealt.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
