@@ -24,8 +24,8 @@ from . import common as C
 BANDS, ROWS, BITS = 32, 4, 2
 #: Members of a bucket that one task compares with one another; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
-#: Hashed ids of a bitmap that spares texts a shuffle.
-ID_BITS = 1 << 24
+#: Hashed ids of the bitmap that spares texts a shuffle: sixteen places a candidate, within these bounds.
+LEAST_ID_BITS, MOST_ID_BITS = 1 << 20, 1 << 27
 _LANES = 64 // BITS
 _WORDS = BANDS * ROWS // _LANES
 SIGNATURE = [f"s{i}" for i in range(_WORDS)]
@@ -157,9 +157,12 @@ def components(edges: DataFrame) -> DataFrame:
 def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """rows without most of those whose id is not in ids, and with every one whose id is, before the rows' texts are shuffled.
 
-    A bitmap of `ID_BITS` hashed ids is broadcast: ID_BITS / 64 rows at most (262,144), whatever the input; a fuller one lets more rows by.
+    A bitmap of hashed ids is broadcast, sixteen places an id and MOST_ID_BITS at most: 2 ** 21 rows of 64 places, whatever the input. With more than
+    that bound's eight million candidates it fills up and lets more rows by; then the texts of about all candidates and of that share of the others are shuffled.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+    n = ids.count()
+    size = min(MOST_ID_BITS, max(LEAST_ID_BITS, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(size))
     marked = ids.withColumn("place", place).selectExpr("place div 64 as word", "shiftleft(1L, cast(place % 64 as int)) as bit")
     bitmap = F.broadcast(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")))
     dealt = rows.withColumn("place", place).withColumn("word", F.expr("place div 64"))
@@ -168,7 +171,7 @@ def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int, key: str, text: str) -> DataFrame:
     """Those of pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = C.stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     # ids are distinct; a semi-join would be pushed below the bitmap's join, and all texts shuffled
     full = C.stored(sets_of(_likely(slim, ids).join(ids, "id"), width, "id", "text"))
@@ -177,14 +180,33 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int, key:
     return C.stored(joined.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct())
 
 
-def _across(members: DataFrame, described: DataFrame, least: float, percent: int) -> DataFrame:
+def _open(members: DataFrame) -> DataFrame:
+    """Those of members (key, id, component) whose bucket holds several components, with the bucket's size c. A bucket of two was compared with its hub."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return members.join(sizes.where("c > 2 and lo <> hi").select("key", "c"), "key")
+
+
+def _narrowed(members: DataFrame, bands: DataFrame) -> DataFrame:
+    """Open buckets of members, larger ones than a block parted by a second band: pairs then meet only where they share two bands.
+
+    That keeps buckets of one loose template from being compared all with all: of documents of similarity 0.6 an eighth share a band and a sixtieth two.
+    A pair of similarity 0.8 shares fewer than two of the 32 bands with probability 1.1e-6.
+    """
+    held = C.stored(_open(members))
+    large = held.where(F.col("c") > BLOCK)
+    if not large.limit(1).count():
+        return held
+    second = large.join(bands.select("id", F.col("key").alias("other")), "id").where("other > key")
+    parted = second.select(F.xxhash64("key", "other").alias("key"), "id", "component")
+    return held.where(F.col("c") <= BLOCK).unionByName(_open(parted))
+
+
+def _across(members: DataFrame, described: DataFrame, bands: DataFrame, least: float, percent: int) -> DataFrame:
     """Pairs (a, b) of buckets, of different components and near by estimate and bitmap: each bucket whole, in blocks that bound a task.
 
     Widths of bitmaps aside, a pair passes only if its sets may meet the threshold; rejected pairs never leave their task.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = members.join(sizes.where("c > 2 and lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
-    open_ = open_.join(described, "id")
+    open_ = _narrowed(members, bands).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).join(described, "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -224,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
 
     Links: documents whose sets of distinct `width`-word shingles (A-Z lower-cased; shorter texts: the whole sequence)
     meet 100 * intersection >= percent * union. Null, empty and blank texts have no shingles and no links. Rows of equal id are
-    one node and each comes back; rows whose id is null are kept, with a null component. Other columns are ignored.
+    one node and each comes back; rows whose id is null are kept, with a null component. An empty table gives an empty result. Other columns are ignored.
     """
     sig = C.stored(signatures(docs, width, key, text))
     live = sig.where("n > 0 and id is not null")
@@ -239,22 +261,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     near = pairs.join(slim.alias("l"), F.expr("p.a = l.id")).join(slim.alias("r"), F.expr("p.b = r.id"))
     near = near.where((100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (estimate("l", "r") >= least))
     first = _confirmed(docs, C.stored(near.select("p.a", "p.b").distinct()), percent, width, key, text)
-    # rows of one id with different texts, and rows of one digest with different ids, are linked too
-    same = live.join(exact.withColumnRenamed("id", "rep"), ["d1", "d2", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     label = C.stored(components(first))
     labelled = C.stored(members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    second = C.stored(_across(labelled, reps.drop("keys"), least, percent))
+    second = C.stored(_across(labelled, reps.drop("keys"), bands, least, percent))
     if second.limit(1).count():
         links = _confirmed(docs, second, percent, width, key, text)
         if links.limit(1).count():
-            label = C.stored(components(first.union(links)))
-    rep_of = same.where("b is not null").groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-    if rep_of.where("low <> high").limit(1).count():  # only where ids repeat with different texts
-        label = C.stored(components(first.union(label.select("component", "id").toDF("a", "b")).union(same)))
-        named = sig.join(label, "id", "left")
-        component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-        return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-    to_rep = exact.join(label, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
-    named = sig.drop("keys", "bits", *SIGNATURE).join(to_rep, ["d1", "d2", "n"], "left")
+            first = C.stored(first.union(links))
+            label = C.stored(components(first))
+    # rows of one digest have the same set: the smallest id of each digest stands for them
+    digests = sig.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("d1")).alias("d1"), "d2")
+    to_rep = exact.withColumnRenamed("id", "rep")
+    repeated = live.groupBy("id").agg(F.min(F.struct("d1", "d2", "n")).alias("low"), F.max(F.struct("d1", "d2", "n")).alias("high")).where("low <> high")
+    if repeated.limit(1).count():  # rows of one id with different sets are one node
+        same = C.looked_up(digests, to_rep, ["d1", "d2", "n"]).where("rep is not null").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+        label = C.stored(components(first.union(same)))
+        named = digests.join(label, "id", "left").select("id", "n", "component")
+    else:
+        to_rep = to_rep.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+        named = C.looked_up(digests, to_rep, ["d1", "d2", "n"])
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
