@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import looked_up, n_words, stored
 
 # Short header statements of public licences.
 TEMPLATES = {
@@ -83,6 +83,8 @@ PASSAGE = "(?is)" + "|".join(
 )
 SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+)"
 MARK = r"(?i)licen[cs]e|SPDX|public domain|copyright"
+#: Statements that say that a licence does not hold.
+DENIED = r"(?i)\b(?:not|never|no longer|isn't|aren't)\s+(?:\w+\s+){0,2}(?:licen[cs]ed|released|distributed|published|available|covered|offered|under)\b"
 #: Texts are cut into statements at line ends and behind sentence ends.
 CUT = r"[\r\n]+|(?<=[.!?;|])\s+(?=\p{Lu})"
 TERM = r"[a-z]+[a-z0-9-]*|[0-9]+(?:\.[0-9]+)*"
@@ -93,28 +95,35 @@ def _terms(text) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def statements(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, place, line): the licence statements of each text."""
-    cut = F.when(F.col(text).rlike(MARK), F.concat(F.filter(F.split(text, CUT, -1), lambda s: s.rlike(MARK)), F.regexp_extract_all(F.col(text), F.lit(PASSAGE), F.lit(0))))
-    return docs.select(F.col(key).alias("id"), F.posexplode(cut).alias("place", "line"))
+def scanned(docs: DataFrame, key: str, path: str | None, text: str) -> DataFrame:
+    """(id, path, lines, tags) of each row: the licence statements of its text that deny nothing, and its SPDX identifiers. The one pass over the texts."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    said = F.filter(F.split(body, CUT, -1), lambda s: s.rlike(MARK))
+    lines = F.filter(F.concat(said, F.regexp_extract_all(body, F.lit(PASSAGE), F.lit(0))), lambda s: ~s.rlike(DENIED))
+    none = F.expr("cast(array() as array<string>)")
+    tags = F.regexp_extract_all(body, F.lit(SPDX), F.lit(1))
+    marked = body.rlike(MARK)
+    where = F.col(path) if path else F.lit(None)
+    return docs.select(F.col(key).alias("id"), where.cast("string").alias("path"), F.when(marked, lines).otherwise(none).alias("lines"), F.when(marked, tags).otherwise(none).alias("tags"))
 
 
-def tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, licence, score): the licences that SPDX identifiers name, in any of their versions' endings (-only, -or-later, +)."""
-    found = docs.select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(F.col(text), F.lit(SPDX), F.lit(1))).alias("tag"))
-    names = F.create_map(*[F.lit(x) for k in TEMPLATES for x in (k.lower(), k)])
-    licence = F.try_element_at(names, F.regexp_replace(F.lower("tag"), r"(?:-only|-or-later|\+)$", ""))
-    return found.select("id", licence.alias("licence"), F.lit(1.0).alias("score")).where("licence is not null")
+def _templates(spark) -> DataFrame:
+    """(tid, licence, line), as literals."""
+    rows = [F.struct(F.lit(k).alias("tid"), F.lit(name).alias("licence"), F.lit(line).alias("line")) for k, (name, line) in enumerate(sorted([*TEMPLATES.items(), *PASSAGES]))]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+
 
+def _best(scores: DataFrame, key: str) -> DataFrame:
+    return scores.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")).select(key, "best.licence", (-F.col("best.minus")).alias("score"))
 
-def statement_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """(id, licence, score): the nearest template of each id's statements, if its cosine is at least `least`; a licence named by SPDX scores 1.
+
+def nearest_templates(found: DataFrame, least: float = LEAST) -> DataFrame:
+    """(id, licence, score) from scanned(): the nearest template of each id's statements, if its cosine is at least `least`; a licence named by SPDX scores 1.
 
     Inverse document frequencies cover all statements and templates. Ties go to the first licence by name.
     """
-    spark = docs.sparkSession
-    templates = spark.createDataFrame([(k, *x) for k, x in enumerate(sorted([*TEMPLATES.items(), *PASSAGES]))], "tid int, licence string, line string")
-    lines = stored(statements(docs, key, text).withColumn("sid", F.xxhash64("line")))
+    templates = _templates(found.sparkSession)
+    lines = stored(found.select("id", F.explode("lines").alias("line")).withColumn("sid", F.xxhash64("line")))
     # equal statements are compared once, however many documents hold them
     distinct = stored(lines.groupBy("sid").agg(F.min("line").alias("line"), F.count("*").alias("n")))
     tf = distinct.select("sid", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("sid", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
@@ -128,39 +137,45 @@ def statement_licences(docs: DataFrame, key: str = "doc_id", text: str = "text",
     tnorm = tweighted.groupBy("tid").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
     dot = weighted.join(F.broadcast(tweighted), "term").groupBy("sid", "tid", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # a row a term of a template
     cosine = dot.join(norm, "sid").join(F.broadcast(tnorm), "tid").select("sid", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("score"))
-    best = cosine.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")).select("sid", "best.licence", (-F.col("best.minus")).alias("score")).where(F.col("score") >= least)
-    return lines.join(best, "sid").select("id", "licence", "score").union(tagged(docs, key, text)).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")).select("id", "best.licence", (-F.col("best.minus")).alias("score"))
+    best = stored(_best(cosine, "sid").where(F.col("score") >= least))
+    names = F.create_map(*[F.lit(x) for k in TEMPLATES for x in (k.lower(), k)])
+    licence = F.try_element_at(names, F.regexp_replace(F.lower("tag"), r"(?:-only|-or-later|\+)$", ""))
+    tagged = found.select("id", F.explode("tags").alias("tag")).select("id", licence.alias("licence"), F.lit(1.0).alias("score")).where("licence is not null")
+    near = looked_up(lines.select("id", "sid"), best, ["sid"]).where("licence is not null")  # one statement may stand in a third of all texts
+    return _best(near.select("id", "licence", "score").union(tagged), "id")
 
 
 def licensed(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", licence_file: str = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$") -> DataFrame:
-    """Per row of files: its id, licence, score and origin (own, inherited or none), and licence_dir for inherited ones.
+    """Per row of files: its id, path, licence, score and origin (own, inherited or none), and licence_dir for inherited ones.
 
     A licence file's directory passes its licence on to all below that have no nearer one; of several files of a directory the best statement, then
-    the first licence by name, counts. Null paths and texts have nothing to inherit or to say; rows of equal id share their statements.
+    the first licence by name, counts. Null paths and texts have nothing to inherit or to say; rows of equal id share their statements, rows without id have none.
+    Other columns are ignored. An empty table gives an empty result.
     """
-    own = statement_licences(files, key, text)
-    rows = files.select(F.col(key).alias("id"), F.col(path).alias("papyra_path"))
-    named = rows.join(own, "id", "left")
+    found = stored(scanned(files, key, path, text))
+    own = stored(nearest_templates(found))
+    named = stored(found.select("id", "path").join(own, "id", "left"))
     folder = lambda p: F.regexp_replace(p, r"/?[^/]*$", "")
-    dirs = named.where(F.col("papyra_path").rlike(licence_file) & F.col("licence").isNotNull()).groupBy(folder(F.col("papyra_path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("d"))
+    dirs = named.where(F.col("path").rlike(licence_file) & F.col("licence").isNotNull()).groupBy(folder(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("d"))
     dirs = dirs.select("dir", F.col("d.licence").alias("dir_licence"), (-F.col("d.minus")).alias("dir_score"))
     # one row for each distinct directory, then for each of its ancestors
-    below = named.where("licence is null and papyra_path is not null").select(folder(F.col("papyra_path")).alias("folder")).distinct()
+    below = named.where("licence is null and path is not null").select(folder(F.col("path")).alias("folder")).distinct()
     parts = F.split("folder", "/")
     ups = below.select("folder", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("dir")).distinct()
     nearest = ups.join(dirs, "dir").groupBy("folder").agg(F.max(F.struct(F.length("dir").alias("depth"), "dir", "dir_licence", "dir_score")).alias("up"))
-    out = named.withColumn("folder", F.when(F.col("licence").isNull(), folder(F.col("papyra_path")))).join(nearest, "folder", "left")
+    out = looked_up(named.withColumn("folder", F.when(F.col("licence").isNull(), folder(F.col("path")))), nearest, ["folder"])
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("up").isNotNull(), "inherited").otherwise("none")
-    return out.select("id", F.col("papyra_path").alias("path"), F.coalesce("licence", "up.dir_licence").alias("licence"), F.coalesce("score", "up.dir_score").alias("score"), origin.alias("origin"), F.when(origin == "inherited", F.col("up.dir")).alias("licence_dir"))
+    return out.select("id", "path", F.coalesce("licence", "up.dir_licence").alias("licence"), F.coalesce("score", "up.dir_score").alias("score"), origin.alias("origin"), F.when(origin == "inherited", F.col("up.dir")).alias("licence_dir"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """documents as files: source/lang/doc_id.txt; a text that is little but a licence statement (twenty words at most) is LICENSE-doc_id of its source."""
-    short = F.col("text").rlike(MARK) & (n_words(F.col("text")) <= 20)
-    name = F.when(short, F.concat_ws("/", "source", F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string")))).otherwise(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    """documents as files, a demonstration, as the table has no paths: source/lang/doc_id.txt; a text of which licence statements are the larger part is its source's LICENSE-doc_id."""
+    said = F.filter(F.split("text", CUT, -1), lambda s: s.rlike(MARK))
+    is_file = F.col("text").rlike(MARK) & (2 * n_words(F.array_join(said, " ")) > n_words(F.col("text")))
+    name = F.when(is_file, F.concat_ws("/", "source", F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string")))).otherwise(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", name.alias("path"))
 
 
 def licences(docs: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, path, licence, score, origin, licence_dir."""
+    """Per row of documents: doc_id, path, licence, score, origin, licence_dir. Ties, null and empty texts and repeated rows as in licensed()."""
     return licensed(document_paths(docs)).withColumnRenamed("id", "doc_id")
