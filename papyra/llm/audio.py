@@ -124,12 +124,14 @@ def _arrow():
 
 
 def recorded(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with columns media (WAV bytes), tensors (Arrow IPC bytes), spans (begin, end in seconds) and mean_mel (MELS floats).
+    """docs with columns papyra_media (WAV bytes), papyra_tensors (Arrow IPC bytes), papyra_spans (begin, end in seconds) and papyra_mel (MELS floats);
+    a name that docs has in use gets an underscore more.
 
     A text's UTF-8 bytes, with bytes 255 up to a positive multiple of 576, are the samples; null counts as empty. All features are made from
     the stored bytes, so equal texts have equal values. Any length is taken whole, a block of frames at a time.
     """
     place = docs.columns.index(text)
+    made_names = [C.fresh(docs, f"papyra_{x}") for x in ("media", "tensors", "spans", "mel")]
 
     def run(batches):
         import pyarrow as pa
@@ -145,14 +147,17 @@ def recorded(docs: DataFrame, text: str = "text") -> DataFrame:
                     mel = log_mel(samples(media))
                     made.append((media, tensors(mel), [{"begin": a, "end": b} for a, b in segments(mel)], np.round(mel.mean(axis=0, dtype=np.float64), 4).tolist()))
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*made), (pa.binary(), pa.binary(), span, pa.list_(pa.float64())))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(batch.num_columns)), *columns], names=[*batch.schema.names, "papyra_media", "papyra_tensors", "papyra_spans", "papyra_mel"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(batch.num_columns)), *columns], names=[*batch.schema.names, *made_names])
 
-    schema = C.extended(docs.schema, "papyra_media binary, papyra_tensors binary, papyra_spans array<struct<begin:double,end:double>>, papyra_mel array<double>")
+    schema = C.extended(docs.schema, "{} binary, {} binary, {} array<struct<begin:double,end:double>>, {} array<double>".format(*made_names))
     return docs.mapInArrow(run, schema)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Digest columns of recorded(): sizes, hashes and the payload as read back from the stored bytes, and a feature string."""
+    """Digest columns of recorded(): sizes, hashes and the payload as read back from the stored bytes, and a feature string.
+
+    Null and empty texts are one unit of bytes 255; rows of equal or null id each come back; an empty table gives an empty result.
+    """
     out = recorded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     payload = F.expr(f"substring(papyra_media, {HEADER + 1}, octet_length(papyra_media) - {HEADER})")
     held = out.withColumn("payload", F.when(F.expr(f"conv(hex(reverse(substring(papyra_media, 41, 4))), 16, 10) = octet_length(papyra_media) - {HEADER}"), payload))

@@ -100,10 +100,12 @@ def quality_weights(labels: DataFrame, low: float = 0.5) -> DataFrame:
 def mixed(docs: DataFrame, quality=None, seed: int = 7, **options) -> DataFrame:
     """The mix itself: rows of docs with all their columns, each as often as the plan takes it whole (boundary documents are whole or absent).
 
-    Whole epochs repeat every document of the source, also those without words. Rows of equal id are told apart by their words.
+    Whole epochs repeat every document of the source, also those without words (null and empty texts). Rows of equal id are told apart by their source and
+    number of words, and are taken alike; null ids and sources are values. An empty table gives an empty mix.
     """
-    taken = plan(docs, quality, seed, cut=False, **options).groupBy("doc_id", "source", "size").agg(F.max("n_copies").alias("papyra_copies"))
-    sized = docs.withColumn("papyra_size", C.n_words(F.col("text")))
-    match = sized.doc_id.eqNullSafe(taken.doc_id) & sized.source.eqNullSafe(taken.source) & (sized.papyra_size == taken["size"])
-    held = sized.join(taken.where("papyra_copies > 0"), match).select(*[sized[f"`{c}`"] for c in docs.columns], "papyra_copies")
-    return held.withColumn("papyra_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("papyra_copies")))).drop("papyra_copies")
+    copies, size = C.fresh(docs, "papyra_copies"), C.fresh(docs, "papyra_size")
+    taken = plan(docs, quality, seed, cut=False, **options).groupBy("doc_id", "source", "size").agg(F.max("n_copies").alias(copies))
+    sized = docs.withColumn(size, C.n_words(F.col("text")))
+    match = sized.doc_id.eqNullSafe(taken.doc_id) & sized.source.eqNullSafe(taken.source) & (sized[size] == taken["size"])
+    held = sized.join(taken.where(F.col(copies) > 0), match).select(*[sized[f"`{c}`"] for c in docs.columns], copies)
+    return held.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(copies)

@@ -74,23 +74,29 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
     so reruns agree, whatever the partitions.
     """
     rank = F.xxhash64(F.lit("toxicity"), F.col(key).cast("string"), F.col(text))
-    # the features are hashed on all executors before the few rows meet in one task
     picked = labelled.where(F.col(label).isNotNull()).select(rank.alias("rank"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).orderBy("rank").limit(sample)
 
-    def run(batches):
+    def hashed(batches):
         import pyarrow as pa
 
-        rows, seen = [], 0
         for batch in batches:
             data, offsets = C.utf8(batch.column(1))
-            order, label_ = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for i, j in C.passes(offsets):
                 at, doc = features(data, offsets[i : j + 1])
                 pairs = np.unique(doc << SPACE_BITS | at)
-                cuts = np.searchsorted(pairs, np.arange(j - i + 1) << SPACE_BITS)
-                flat = (pairs & ((1 << SPACE_BITS) - 1)).astype(np.int32)
-                rows += [(int(order[i + k]), flat[cuts[k] : cuts[k + 1]], int(label_[i + k])) for k in range(j - i)]
-        rows.sort(key=lambda r: r[0])
+                cuts = np.searchsorted(pairs, np.arange(j - i + 1) << SPACE_BITS).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array((pairs & ((1 << SPACE_BITS) - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, batch.column(2).slice(i, j - i)], names=["rank", "at", "label"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = []
+        for batch in batches:
+            flat, cuts = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            cuts = cuts - cuts[0]
+            rows += [(r, flat[a:b], y) for r, a, b, y in zip(batch.column(0).to_pylist(), cuts.tolist(), cuts[1:].tolist(), batch.column(2).to_pylist())]
+        rows.sort(key=lambda r: (r[0], r[2]))
         model = Ftrl(1 << SPACE_BITS)
         if rows:
             for _ in range(EPOCHS):
@@ -101,11 +107,13 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(w[kept], model.bias()))], names=["coordinate", "weight"])
 
-    return picked.repartition(1).mapInArrow(run, "coordinate long, weight double")
+    # features are hashed on all executors; the few rows then meet in one task, as training is sequential
+    dealt = picked.repartition(64).mapInArrow(hashed, "rank long, at array<int>, label int")
+    return dealt.repartition(1).mapInArrow(run, "coordinate long, weight double")
 
 
-def scored(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column score: 0 to 1, higher the likelier toxic. Null texts count as empty, whose score is the bias's."""
+def scored(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "papyra_score") -> DataFrame:
+    """docs with a column of the given name, the score: 0 to 1, higher the likelier toxic. Null texts count as empty, whose score is the bias's."""
     size = 1 << SPACE_BITS
     table = np.zeros(size, np.float32)
     bias = 0.0
@@ -131,9 +139,9 @@ def scored(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
                 pairs = np.unique(doc[hit] << SPACE_BITS | at[hit])
                 total[i:j] += np.bincount(pairs >> SPACE_BITS, weights[pairs & (size - 1)], j - i)
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "papyra_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
-    schema = C.extended(docs.schema, "papyra_score double")
+    schema = C.extended(docs.schema, f"{name} double")
     return docs.mapInArrow(run, schema)
 
 
