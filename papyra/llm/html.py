@@ -1,9 +1,9 @@
-"""Main text of web pages: block zones by markup, and a host suffix array for what markup leaves open.
+"""Main text of web pages: block zones by markup, and host suffix arrays for what markup leaves open.
 
 Each page becomes a list of text blocks in the zones main (inside an article or main container), chrome (menus, headers, footers,
-adverts, forms, comments ...) and open (everything else). Substrings of LEAST_TOKENS tokens that recur on enough distinct pages of a host are counted over the whole host,
-as 64-bit hashes; overlapping ones join to longer repeats. Every page keeps its main zone whole and the
-unique runs of its open blocks.
+adverts, forms, comments ...) and open (everything else). The pages of a host that lie in one batch are a token stream with a suffix array, whose
+common prefixes give every substring of LEAST_TOKENS tokens or more with the pages that hold it; the batches' counts are added up over the whole host. What is on
+LEAST_PAGES pages or more is boilerplate. Every page keeps its main zone whole and the unique runs of its open blocks.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Tokens of the shortest repeat that counts, and the distinct pages of the host it must be on; a host's size doesn't matter (no share of its pages).
-LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 8, 3, 0.0
+#: Tokens of the shortest repeat that counts, and the distinct pages of the host it must be on, whatever the host's size.
+LEAST_TOKENS, LEAST_PAGES = 8, 3
 #: Bits of the map that spares windows no open block holds the shuffle.
 MAP_BITS = 1 << 24
 
@@ -168,12 +168,55 @@ def covered_by(at: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeats(tokens: np.ndarray, page: np.ndarray, pages: int) -> np.ndarray:
-    """Which tokens lie in a substring of LEAST_TOKENS or more that is on enough distinct ones of these pages."""
-    at, h = windows(tokens, page)
-    found, rank = np.unique(h, return_inverse=True)
-    on_pages = np.bincount(np.unique(rank * pages + page[at]) // pages, minlength=len(found))
-    return covered_by(at[on_pages[rank] >= max(LEAST_PAGES, LEAST_SHARE * pages)], len(tokens))
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a token stream in the order of what begins there, and how many tokens each shares with the one before it (0 for the first).
+
+    Ranks of 1, 2, 4 ... tokens are made from one another until all differ; common prefixes are read off the same ranks, longest first.
+    """
+    n = len(tokens)
+    levels = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
+    width = 1
+    while n and levels[-1].max() < n - 1 and width < n:
+        follow = np.zeros(n, np.int64)
+        follow[:-width] = levels[-1][width:] + 1
+        levels.append(np.unique(levels[-1] * (n + 1) + follow, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    order = np.argsort(levels[-1], kind="stable")
+    a, b, shared = order[:-1].copy(), order[1:].copy(), np.zeros(n, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        inside = np.maximum(a, b) < n
+        same = np.zeros(len(a), bool)
+        same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
+        # a rank of fewer tokens than its width ends at the stream's end and is equal to no other
+        shared[1:][same] += 1 << k
+        a[same] += 1 << k
+        b[same] += 1 << k
+    return order, shared
+
+
+def repeated(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, place, group) of every place of the pages' streams where LEAST_TOKENS tokens begin; places of equal ones are of one group."""
+    ends = np.cumsum([len(t) + 1 for t in streams])
+    values, ids = np.unique(np.concatenate(streams), return_inverse=True) if len(streams) else (np.zeros(0), np.zeros(0, int))
+    joined = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    page = np.repeat(np.arange(len(streams)), [len(t) + 1 for t in streams])
+    last = np.zeros(len(joined), bool)
+    last[ends - 1] = True
+    joined[~last] = ids
+    joined[last] = len(values) + np.arange(len(streams))  # an end of its own for each page: nothing runs on into the next
+    order, shared = suffix_array(joined)
+    group = np.cumsum(shared < LEAST_TOKENS)
+    place = order - (ends - [len(t) + 1 for t in streams])[page[order]]
+    whole = place + LEAST_TOKENS <= np.array([len(t) for t in streams])[page[order]]
+    return page[order][whole], place[whole], group[whole]
+
+
+def repeats(streams: list[np.ndarray]) -> list[np.ndarray]:
+    """Which tokens of each page lie in a substring of LEAST_TOKENS or more that is on enough distinct ones of these pages."""
+    page, place, group = repeated(streams)
+    pages_of = np.bincount(np.unique(group * len(streams) + page) // max(len(streams), 1), minlength=int(group.max(initial=0)) + 1)
+    often = pages_of[group] >= LEAST_PAGES
+    return [covered_by(place[often & (page == k)], len(t)) for k, t in enumerate(streams)]
 
 
 class Stream:
@@ -182,7 +225,7 @@ class Stream:
     def __init__(self, zones: list[int], texts: list[str], host: int):
         self.zones, self.words = zones, [t.split(" ") for t in texts]
         raw = " ".join(texts).encode()
-        tokens, _ = C.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        self.tokens = tokens = C.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
         self.block = np.repeat(np.arange(len(zones)), [len(w) for w in self.words])
         self.at, h = windows(tokens, np.zeros(len(tokens), np.int8))
         self.hashes = C.mix(h ^ np.uint64(host & (1 << 64) - 1)).view(np.int64)
@@ -212,7 +255,8 @@ class Stream:
 
 
 def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Per page: page_id, url, text, n_chars. Null and empty html give an empty text; null urls are one host; repeated rows each come back.
+    """Per page: page_id, url, text, n_chars. Null and empty html give an empty text; null urls are one host; repeated rows each come back, and
+    count as pages of their own. Other columns are ignored. An empty table gives an empty result.
 
     Pages are parsed once into a stored table. Windows that touch an open block are counted over the whole host, with the pages on which other
     blocks hold them; pages without open blocks are not shuffled.
@@ -239,35 +283,48 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
         return closed
 
     def held(which: str, bits=None):
+        """(hash, places) of the substrings that a batch's pages of one host have in open blocks, or in other blocks if the map knows them."""
+
         def run(batches):
             import pyarrow as pa
 
             for batch in batches:
                 for i in range(0, len(batch), 200):
-                    places, hashes = [], []
+                    hashes, places = [], []
+                    by_host: dict[int, list] = {}
                     for place, host, zones, texts in zip(*(c.to_pylist() for c in batch.slice(i, 200).columns)):
-                        page = Stream(zones, texts, host)
-                        of_open = np.unique(page.hashes[page.open])
+                        by_host.setdefault(host, []).append((place, Stream(zones, texts, host)))
+                    for pages_ in by_host.values():
+                        streams = [p for _, p in pages_]
+                        page, at, group = repeated([p.tokens for p in streams])
+                        first = np.cumsum([0, *[len(p.hashes) for p in streams]])
+                        window = first[page] + at  # one window a place, in order
+                        is_open_ = np.concatenate([p.open for p in streams])[window]
+                        hash_ = np.concatenate([p.hashes for p in streams])[window]
+                        pairs, back = np.unique(group * len(streams) + page, return_index=True)
+                        of_open = np.zeros(len(pairs), bool)
+                        np.logical_or.at(of_open, np.searchsorted(pairs, group * len(streams) + page), is_open_)
+                        keep = of_open
                         if which == "others":
-                            other = np.setdiff1d(page.hashes[~page.open], of_open)
-                            slot = other & (MAP_BITS - 1)
-                            of_open = other[bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1]
-                        places.append(np.full(len(of_open), place, np.int64))
-                        hashes.append(of_open)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes))], names=["place", "hash"])
+                            slot = hash_[back] & (MAP_BITS - 1)
+                            keep = ~of_open & (bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1)
+                        own = np.array([p for p, _ in pages_])[(pairs % len(streams))[keep]]
+                        starts = np.flatnonzero(np.diff(pairs[keep] // len(streams), prepend=-1))
+                        hashes.append(hash_[back][keep][starts])
+                        places += np.split(own, starts[1:]) if len(starts) else []
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *hashes])), pa.array(places, pa.list_(pa.int64()))], names=["hash", "places"])
 
         return run
 
     shape = parsed.select("place", "host", "zones", "texts")
-    opens = C.stored(shape.where(is_open).mapInArrow(held("opens"), "place long, hash long"))
-    slots = opens.select(F.col("hash").bitwiseAND(MAP_BITS - 1).alias("slot")).groupBy(F.shiftright("slot", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(slot & 7 as int)))").alias("bits"))
+    opens = C.stored(shape.where(is_open).mapInArrow(held("opens"), "hash long, places array<long>"))
+    slots = opens.select(F.col("hash").bitwiseAND(MAP_BITS - 1).alias("slot")).groupBy(F.shiftright("slot", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(slot & 7 as int)))").alias("bits")).toArrow()
     bits = np.zeros(MAP_BITS >> 3, np.uint8)
-    for r in slots.collect():  # MAP_BITS / 8 rows at most
-        bits[r.byte] = r.bits
-    others = shape.mapInArrow(held("others", pages.sparkSession.sparkContext.broadcast(bits)), "place long, hash long")
-    counted = opens.select("hash", F.lit(1).alias("open")).union(others.select("hash", F.lit(0))).groupBy("hash").agg(F.count("*").alias("n"), F.max("open").alias("open"))
+    bits[slots["byte"].to_numpy()] = slots["bits"].to_numpy()  # MAP_BITS / 8 rows at most
+    others = shape.mapInArrow(held("others", pages.sparkSession.sparkContext.broadcast(bits)), "hash long, places array<long>")
+    counted = opens.select("hash", F.size("places").alias("n"), F.lit(1).alias("open")).union(others.select("hash", F.size("places"), F.lit(0))).groupBy("hash").agg(F.sum("n").alias("n"), F.max("open").alias("open"))
     often = counted.where((F.col("n") >= LEAST_PAGES) & (F.col("open") == 1)).select("hash")
-    by_page = opens.join(often, "hash").groupBy("place").agg(F.collect_list("hash").alias("often"))
+    by_page = opens.join(often, "hash").select("hash", F.explode("places").alias("place")).groupBy("place").agg(F.collect_list("hash").alias("often"))
     joined = parsed.where(is_open).join(by_page, "place", "left").select("page_id", "url", "host", "zones", "texts", "often")
 
     def finish(batches):

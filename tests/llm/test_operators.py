@@ -317,7 +317,7 @@ def luhn(s):
 
 def test_pseudonyms_keep_format_and_links(spark):
     texts = ["card 4539578763621486, 4539 5787 6362 1486 and 4539578763621487", "born 2001-02-28, 28.02.2001, not 2001-02-30", "at 10.0.0.1 not 10.0.0.256", "call +1 (974) 555-3436 or 078-05-1120", "éva.90@mail2.example.com", None, "", "no data", "7" * 5000]
-    got = [r.text for r in pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     a, b, c = re.fullmatch(r"card (\d{16}), (\d{4} \d{4} \d{4} \d{4}) and (\d{16})", got[0]).groups()
     assert a == b.replace(" ", "") != "4539578763621486" and luhn(a) and c == "4539578763621487"
     y, z = re.fullmatch(r"born (\d{4}-\d\d-\d\d), (\d\d\.\d\d\.\d{4}), not 2001-02-30", got[1]).groups()
@@ -376,18 +376,29 @@ def test_html_main_text(spark):
 
 def test_repeats_equal_brute_force():
     r = np.random.default_rng(6)
-    pages = [list(r.integers(0, 3, int(r.integers(5, 60)))) for _ in range(12)]
-    tokens, page = np.array([t for p in pages for t in p]), np.repeat(np.arange(12), [len(p) for p in pages])
-    got, k = html.repeats(tokens, page, 12), html.LEAST_TOKENS
+    pages = [r.integers(0, 3, int(r.integers(0, 60))) for _ in range(12)]
+    got, k = html.repeats(pages), html.LEAST_TOKENS
     on = collections.defaultdict(set)
-    for i in range(len(tokens) - k + 1):
-        if page[i] == page[i + k - 1]:
-            on[tuple(tokens[i : i + k])].add(page[i])
-    want = np.zeros(len(tokens), bool)
-    for i in range(len(tokens) - k + 1):
-        if page[i] == page[i + k - 1] and len(on[tuple(tokens[i : i + k])]) >= max(html.LEAST_PAGES, html.LEAST_SHARE * 12):
-            want[i : i + k] = True
-    assert (got == want).all()
+    for p, t in enumerate(pages):
+        for i in range(len(t) - k + 1):
+            on[tuple(t[i : i + k])].add(p)
+    for p, t in enumerate(pages):
+        want = np.zeros(len(t), bool)
+        for i in range(len(t) - k + 1):
+            if len(on[tuple(t[i : i + k])]) >= html.LEAST_PAGES:
+                want[i : i + k] = True
+        assert (got[p] == want).all()
+
+
+def test_suffix_array_equals_sorted_suffixes():
+    r = np.random.default_rng(8)
+    for n in (1, 2, 7, 80, 300):
+        t = r.integers(0, 3, n).tolist()
+        order, shared = html.suffix_array(np.array(t))
+        assert order.tolist() == sorted(range(n), key=lambda i: t[i:])
+        for a, b, k in zip(order, order[1:], shared[1:]):
+            x, y = t[a:], t[b:]
+            assert x[:k] == y[:k] and (len(x) == k or len(y) == k or x[k] != y[k])
 
 
 def html_texts(spark, rows):
@@ -457,5 +468,5 @@ def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    for df in (minhash.near_duplicates(empty), mixing.plan(empty), mixing.mixed(empty), toxicity.toxicity(empty, labels), packing.packed(empty, path), digest.compared(empty), secrets.secret_digests(empty), pii.pii(empty), licences.licences(empty), html.extracted(pages), audio.media_digests(empty)):
+    for df in (minhash.near_duplicates(empty), mixing.plan(empty), mixing.mixed(empty), toxicity.toxicity(empty, labels), packing.packed(empty, path), digest.compared(empty), secrets.secret_digests(empty), pii.pii(empty, "k"), licences.licences(empty), html.extracted(pages), audio.media_digests(empty)):
         assert df.count() == 0
