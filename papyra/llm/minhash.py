@@ -181,41 +181,46 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int, key:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Those of members (key, id, component) whose bucket holds several components, with the bucket's size c. A bucket of two was compared with its hub."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return members.join(sizes.where("c > 2 and lo <> hi").select("key", "c"), "key")
+    """Those of members (key, id, component) whose bucket holds several components: with main (the component with most members), c (members) and others (those outside main).
+
+    A bucket of two was compared with its hub.
+    """
+    per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("key").agg(F.sum("n").alias("c"), F.max(F.struct("n", "component")).alias("m")).where("c > 2 and m.n < c")
+    return members.join(sizes.select("key", "c", F.col("m.component").alias("main"), (F.col("c") - F.col("m.n")).alias("others")), "key")
 
 
 def _narrowed(members: DataFrame, bands: DataFrame) -> DataFrame:
-    """Open buckets of members, larger ones than a block parted by a second band: pairs then meet only where they share two bands.
+    """Open buckets of members; those with more than a block of members outside their main component are parted by a second band: pairs then meet only where they share two.
 
     That keeps buckets of one loose template from being compared all with all: of documents of similarity 0.6 an eighth share a band and a sixtieth two.
     A pair of similarity 0.8 shares fewer than two of the 32 bands with probability 1.1e-6.
     """
     held = C.stored(_open(members))
-    large = held.where(F.col("c") > BLOCK)
+    large = held.where(F.col("others") > BLOCK)
     if not large.limit(1).count():
         return held
     second = large.join(bands.select("id", F.col("key").alias("other")), "id").where("other > key")
     parted = second.select(F.xxhash64("key", "other").alias("key"), "id", "component")
-    return held.where(F.col("c") <= BLOCK).unionByName(_open(parted))
+    return held.where(F.col("others") <= BLOCK).unionByName(_open(parted))
 
 
 def _across(members: DataFrame, described: DataFrame, bands: DataFrame, least: float, percent: int) -> DataFrame:
     """Pairs (a, b) of buckets, of different components and near by estimate and bitmap: each bucket whole, in blocks that bound a task.
 
-    Widths of bitmaps aside, a pair passes only if its sets may meet the threshold; rejected pairs never leave their task.
+    Members of the main component stay in their block; only the others go to all blocks of the bucket, so a large group of copies with a few strangers
+    is not compared with itself. Widths of bitmaps aside, a pair passes only if its sets may meet the threshold; rejected pairs never leave their task.
     """
     open_ = _narrowed(members, bands).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).join(described, "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    to = F.when(F.col("component") == F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = open_.withColumn("home", block).withColumn("block", F.explode(to)).withColumn("at_home", F.col("home") == F.col("block"))
 
     def run(frame):
         import pandas as pd
 
         frame = frame.drop_duplicates("id").sort_values(["n", "id"])
-        ids, comp, n = (frame[c].to_numpy() for c in ("id", "component", "n"))
+        ids, comp, n, home = (frame[c].to_numpy() for c in ("id", "component", "n", "at_home"))
         sign, bits = frame[SIGNATURE].to_numpy().view(np.uint64), [np.frombuffer(b, np.uint64) for b in frame["bits"]]
         one, found = np.uint64(1), []
         widths = np.array([len(b) for b in bits])
@@ -226,7 +231,7 @@ def _across(members: DataFrame, described: DataFrame, bands: DataFrame, least: f
                 a = rows[k]
                 end = int(np.searchsorted(n[rows], n[a] * 100 // percent, "right"))
                 some = np.arange(k + 1, end)
-                some = some[comp[rows[some]] != comp[a]]
+                some = some[(comp[rows[some]] != comp[a]) & (home[a] | home[rows[some]])]
                 x = sign[rows[some]] ^ sign[a]
                 x = (x | x >> one) & np.uint64(_LOW)
                 some = some[((1 - np.bitwise_count(x).sum(axis=1) / (BANDS * ROWS)) - 0.5**BITS) / (1 - 0.5**BITS) >= least]
@@ -238,7 +243,7 @@ def _across(members: DataFrame, described: DataFrame, bands: DataFrame, least: f
         out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return dealt.drop("home", "c", "others", "main", "blocks").groupBy("key", "block").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
