@@ -42,9 +42,13 @@ def codes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def encoded(code: np.ndarray) -> str:
+def packed(code: np.ndarray) -> bytes:
     quads = code[1:].reshape(-1, 4)
-    return f"{code[0]:02x}" + (quads[:, 0] << 6 | quads[:, 1] << 4 | quads[:, 2] << 2 | quads[:, 3]).astype(np.uint8).tobytes().hex()
+    return bytes(code[:1]) + (quads[:, 0] << 6 | quads[:, 1] << 4 | quads[:, 2] << 2 | quads[:, 3]).astype(np.uint8).tobytes()
+
+
+def encoded(code: np.ndarray) -> str:
+    return packed(code).hex()
 
 
 def decoded(text: str) -> np.ndarray:
@@ -77,7 +81,9 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "papyra_finger
 #: Code points of a range part, about.
 PART_CHARS = 1 << 26
 _RESULT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Hashes and digests are bytes until the result is shown, which halves what is stored.
+_BYTES = ("edited_sha256", "fingerprint", "edited_fingerprint")
+_DDL = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _pair(doc: int | None, text: str, code: np.ndarray, following: str, next_code: np.ndarray) -> tuple:
@@ -87,7 +93,7 @@ def _pair(doc: int | None, text: str, code: np.ndarray, following: str, next_cod
     half = len(text) // 2
     edited = (text[: len(text) - half] + following[:half]).encode()
     edited_code = codes(np.frombuffer(edited, np.uint8))
-    return doc, len(text), hashlib.sha256(edited).hexdigest(), encoded(code), encoded(edited_code), likeness(code, edited_code), likeness(code, next_code)
+    return doc, len(text), hashlib.sha256(edited).digest(), packed(code), packed(edited_code), likeness(code, edited_code), likeness(code, next_code)
 
 
 def _of(text: str) -> np.ndarray:
@@ -117,7 +123,7 @@ def compared(docs: DataFrame) -> DataFrame:
 
         part, held, first = TaskContext.get().partitionId(), None, None
         fields = [*_RESULT, "part", "first", "last"]
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.string())
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.string())
 
         def batched(out):
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [[]] * len(types), types)], names=fields)
@@ -148,7 +154,8 @@ def compared(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, last, first in zip(*(c.to_pylist() for c in batch.columns)):
                 row = _pair(doc, last, _of(last), first, _of(first))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=list(_RESULT))
 
-    return made.where("part is null").select(*_RESULT).union(edges.mapInArrow(close, _DDL))
+    out = made.where("part is null").select(*_RESULT).union(edges.mapInArrow(close, _DDL))
+    return out.select(*[F.lower(F.hex(c)).alias(c) if c in _BYTES else F.col(c) for c in _RESULT])
