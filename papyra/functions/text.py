@@ -1,4 +1,4 @@
-"""Column builders for text: canonical forms, anchors, delimiters, literal search, payload display."""
+"""Column builders for text: canonical forms, anchors, delimiters, literal search, tags, labels, names."""
 
 from __future__ import annotations
 
@@ -7,24 +7,54 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that turn a question's sense round.
-NEGATIVES = ("not", "never", "no", "without", "nicht", "ne", "pas", "jamais")
+# Words and word parts that turn a question's sense round.
+NEGATIVE_PARTS = ("옳지않", "아닌", "틀린", "잘못된", "부적절", "하지않", "없는것", "제외한", "제외되는", "불가능")
+NEGATIVE_WORDS = ("not", "incorrect", "wrong", "except", "least")
+#: What every regular expression of the original counts as white space.
+SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case without white space, punctuation and symbols; null counts as empty."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{P}\p{S}]+", "")
+    """Lower case without bracketed section labels, (a) labels, choice glyphs, dashes, white space and punctuation; null counts as empty."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern in (r"\[[^\]]*제\p{Nd}+과목[^\]]*\]", r"\(([a-z])\)", "[㉮㉯㉴㉵]", "[-‐‑‒–—−]", rf"[{SPACE}.,!?？:;·ㆍ'\"“”‘’()\[\]{{}}<>/\\]"):
+        out = F.regexp_replace(out, pattern, "")
+    return out
 
 
 def numbers(text: Column) -> Column:
-    """All numbers, thousands' commas removed, as one comma-joined text."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"([0-9]),([0-9][0-9][0-9])", "$1$2")
-    return F.array_join(F.regexp_extract_all(plain, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), ",")
+    """All numbers, commas between digits removed, as one comma-joined text."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<=\p{Nd}),(?=\p{Nd})", "")
+    return F.array_join(F.regexp_extract_all(plain, F.lit(r"\p{Nd}+(?:\.\p{Nd}+)?"), F.lit(0)), ",")
 
 
 def negative(text: Column) -> Column:
-    """Whether a negating word stands between spaces or at an end."""
-    return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")).rlike(" (" + "|".join(NEGATIVES) + ") ")
+    """Whether a negating word, or a negating part of the text without white space, occurs."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    part = F.regexp_replace(low, f"[{SPACE}]+", "").rlike("|".join(NEGATIVE_PARTS))
+    return part | low.rlike(r"(?<![\p{L}\p{N}_])(?:" + "|".join(NEGATIVE_WORDS) + r")(?![\p{L}\p{N}_])")
+
+
+def choice_fingerprint(choices: Column) -> Column:
+    """Canonical choices, empty ones dropped, sorted."""
+    return F.sort_array(F.filter(F.transform(choices, canonical), lambda c: c != ""))
+
+
+def spaced(text: Column) -> Column:
+    """Character references of the five markup signs decoded, runs of white space (no-break spaces too) one space, trimmed."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), "&nbsp;|&#160;", " ")
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    return F.trim(F.regexp_replace(out, f"[{SPACE}]+", " "))
+
+
+def subject_code(name: Column) -> Column:
+    """auto_, a slug of at most 40 characters, and six digits of the name's SHA-1."""
+    raw = F.coalesce(name, F.lit(""))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim(raw)), f"[{SPACE}]+", "_"), "[^0-9a-zA-Z가-힣_]+", "")
+    slug = F.regexp_replace(slug, "^_+|_+$", "")
+    slug = F.when(slug == "", "subject").otherwise(F.regexp_replace(F.substring(slug, 1, 40), "_+$", ""))
+    return F.concat(F.lit("auto_"), slug, F.lit("_"), F.substring(F.sha1(raw), 1, 6))
 
 
 def contains_literal(text: Column, needle: str) -> Column:
@@ -44,24 +74,136 @@ def tagged(tags: Column, query: str) -> Column:
     return F.arrays_overlap(have, F.array(*[F.lit(t.lower()) for t in wanted])) if wanted else F.lit(True)
 
 
-def unbalanced(text: Column, open_: str, close: str) -> Column:
-    """Whether the opening and closing characters differ in number."""
-    size = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-    return F.coalesce(size(open_) != size(close), F.lit(False))
+def clean_tag(tag: Column) -> Column:
+    """A tag trimmed, with a leading #; null and blank give null."""
+    out = F.trim(tag)
+    return F.when(out != "", F.when(out.startswith("#"), out).otherwise(F.concat(F.lit("#"), out)))
+
+
+def built_tags(metadata: list[Column], text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The metadata's tags, then those of the rules whose pattern matches the text in lower case; distinct, in order, joined by ", "."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    made = [*[clean_tag(m) for m in metadata], *[F.when(low.rlike(pattern), F.lit(tag)) for tag, pattern in rules]]
+    return F.array_join(F.array_distinct(F.array_compact(F.array(*made))), ", ")
+
+
+def manual_tags(tags: Column, required: list[str]) -> Column:
+    """The tags split at commas and white space, and each required one that is not there in any case of letters, joined by ", "."""
+    tokens = F.filter(F.split(F.coalesce(tags, F.lit("")), rf"[,{SPACE}]+"), lambda t: t != "")
+    bare = F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), "^#+", ""))
+    more = F.array_compact(F.array(*[F.when(~F.array_contains(bare, r.lower().lstrip("#")), F.lit(r)) for r in required]))
+    return F.array_join(F.concat(tokens, more), ", ")
+
+
+def unbalanced(text: Column) -> Column:
+    """Round brackets that don't pair in order, or square ones that differ in number. A closing one behind a label ("a)", "1)", "No.)") may stand alone.
+
+    A fold over the brackets alone: depth, and whether a closing one stood without an opening one or a label.
+    """
+    value = F.coalesce(text, F.lit(""))
+    label = r"(?:^|(?<=[^0-9A-Za-z가-힣]))(?:[A-Za-z]|[ivxIVX]{1,4}|\p{Nd}+|(?i:Ex|Example|Fig|No)\.)" + rf"[{SPACE}]*\)"
+    signs = F.regexp_extract_all(value, F.lit(rf"{label}|[()]"), F.lit(0))
+
+    def step(acc, s):
+        close = s != "("
+        depth = F.when(~close, acc["depth"] + 1).when(acc["depth"] > 0, acc["depth"] - 1).otherwise(acc["depth"])
+        return F.struct(depth.alias("depth"), (acc["bad"] | (s == ")") & (acc["depth"] == 0)).alias("bad"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("bad"))
+    round_ = F.aggregate(signs, zero, step, lambda a: (a["depth"] != 0) | a["bad"])
+    square = F.length(F.replace(value, F.lit("["), F.lit(""))) != F.length(F.replace(value, F.lit("]"), F.lit("")))
+    return round_ | square
 
 
 def ladder(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
-    """The label of the first rule whose pattern matches."""
+    """The label of the first rule whose pattern matches."""
     out = F.lit(otherwise)
     for pattern, label in reversed(rules):
         out = F.when(text.rlike(pattern), F.lit(label)).otherwise(out)
     return out
 
 
-def display(payload: Column, field: str = "k") -> Column:
-    """The display text of a JSON payload's field; empty if the payload is not valid."""
-    return F.coalesce(F.get_json_object(payload, f"$.{field}"), F.lit(""))
+def topic_ladder(text: Column, rules: list[tuple[str, tuple]], otherwise: tuple) -> Column:
+    """struct<l1, l2, l3, confidence> of the first rule whose pattern matches."""
+    made = lambda t: F.struct(*[F.lit(x).alias(n) for n, x in zip(("l1", "l2", "l3", "confidence"), t)])
+    out = made(otherwise)
+    for pattern, topic in reversed(rules):
+        out = F.when(text.rlike(pattern), made(topic)).otherwise(out)
+    return out
+
+
+def question_type(value: Column) -> Column:
+    """Descriptive for its synonyms, else multiple_choice."""
+    return F.when(F.lower(F.trim(F.coalesce(value, F.lit("")))).isin("descriptive", "subjective", "essay", "written"), "descriptive").otherwise("multiple_choice")
+
+
+def choice_marker(number: Column, style: str) -> Column:
+    """The n-th marker of a style: digits, letters or circled digits; null beyond ten."""
+    marks = {"digit": [str(n) for n in range(1, 11)], "letter": [chr(96 + n) for n in range(1, 11)], "circled": [chr(0x2460 + n) for n in range(10)]}[style]
+    return F.get(F.array(*[F.lit(m) for m in marks]), number - 1)
+
+
+def safe_stem(name: Column, most: int = 80) -> Column:
+    """A file stem: what is no letter, digit, point, underline or dash is one underline, trimmed, cut at `most`; "file" if nothing is left."""
+    out = F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{N}._-]+", "_"), r"^[._]+|[._]+$", ""), 1, most)
+    return F.when(out == "", "file").otherwise(out)
+
+
+def title_date(title: Column) -> Column:
+    """struct<year, month, day, session> of a title like 2024년 3월 5일(2회); session 1 if it has none, nulls if there is no date."""
+    pattern = rf"(\p{{Nd}}{{4}})년[{SPACE}]*(\p{{Nd}}{{1,2}})월[{SPACE}]*(\p{{Nd}}{{1,2}})일(?:\((\p{{Nd}}+)회\))?"
+    part = lambda k: F.try_to_number(F.nullif(F.regexp_extract(title, pattern, k), F.lit("")), F.lit("9999")).cast("int")
+    found = title.rlike(pattern)
+    return F.struct(F.when(found, part(1)).alias("year"), F.when(found, part(2)).alias("month"), F.when(found, part(3)).alias("day"), F.when(found, F.coalesce(part(4), F.lit(1))).alias("session"))
+
+
+def evidence(text: Column, markers: list[str], least: int = 40, most: int = 180) -> Column:
+    """The text in single spaces, cut at the first marker behind `least` characters, `most` at most."""
+    plain = spaced(text)
+    at = [F.locate(m, plain, least + 1) for m in markers]
+    first = F.array_min(F.filter(F.array(*at), lambda x: x > 0))
+    return F.substring(F.when(first.isNotNull(), F.trim(F.substring(plain, F.lit(1), first - 1))).otherwise(plain), 1, most)
+
+
+def difficulty(text: Column, level2: Column, level1: Column, placeholder: Column, hard: str, middle: list[str], easy: list[str]) -> Column:
+    """struct<level, risk> by the first rule that holds: placeholder, hard words, middle topics, easy topics, else medium."""
+    made = lambda level, risk: F.struct(F.lit(level).alias("level"), F.lit(risk).alias("risk"))
+    return F.when(placeholder, made("unknown", 0.5)).when(text.rlike(hard), made("high", 1.0)).when(level2.isin(*middle), made("medium", 0.6)).when(level1.isin(*easy), made("low", 0.3)).otherwise(made("medium", 0.6))
+
+
+def review_reasons(placeholder: Column, confidence: Column, excerpt: Column) -> Column:
+    """The reasons for which a row needs review, joined by "; "; empty if it needs none."""
+    reasons = F.array(F.when(placeholder, "missing text"), F.when(confidence < 0.70, "low confidence"), F.when(F.length(excerpt) < 40, "short evidence"))
+    return F.array_join(F.array_compact(reasons), "; ")
 
 
 def url_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
+
+
+def allowed_url(url: Column, scheme: str, host: str, blocked: list[str]) -> Column:
+    """F16: scheme and host are the given ones, and no blocked part occurs."""
+    same = (F.regexp_extract(url, "^([^:/?#]+)://", 1) == scheme) & (F.lower(F.regexp_extract(url, "^[^:/?#]+://([^/?#]*)", 1)) == host)
+    return reduce(lambda a, b: a & ~url.contains(b), blocked, same)
+
+
+def query_value(url: Column, name: str) -> Column:
+    """The value of a query parameter; empty if there is none."""
+    return F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1)
+
+
+def canonical_url(url: Column) -> Column:
+    """Scheme, lower-case host and path without its last slash, of urls without query and fragment; null for others."""
+    plain = url.rlike(r"^[a-z]+://[^/?#]+(?:/[^?#]*)?$")
+    return F.when(plain, F.regexp_replace(F.concat(F.regexp_extract(url, "^([a-z]+://)", 1), F.lower(url_host(url)), F.regexp_extract(url, "^[a-z]+://[^/]+(/.*)?$", 1)), "/+$", ""))
+
+
+def joined_base(url: Column, href: Column) -> Column:
+    """The decoded last path step of a link as its page resolves it."""
+    whole = F.when(href.rlike("^[a-z]+://"), href).when(href.startswith("/"), F.concat(F.regexp_extract(url, "^([a-z]+://[^/?#]+)", 1), href)).otherwise(F.concat(F.regexp_extract(url, "^([a-z]+://[^?#]*/|[a-z]+://[^/?#]+)", 1), href))
+    return F.coalesce(F.try_url_decode(F.element_at(F.split(F.regexp_replace(whole, "[?#].*$", ""), "/"), -1)), F.lit(""))
+
+
+def path_year(path: Column) -> Column:
+    """The first number of 1980 to 2100 that a path holds between other characters than digits."""
+    return F.regexp_extract(path, r"(?:^|[^0-9])(19[89][0-9]|20[0-9]{2}|2100)(?![0-9])", 1).try_cast("int")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def previous(rows: DataFrame, partition: str, order: list[str], value: str, matches: Column) -> DataFrame:
-    """The value of the last earlier row that matches."""
+    """J27, backward part: the value of the last earlier row that matches."""
     w = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("previous", F.last(F.when(matches, F.col(value)), ignorenulls=True).over(w))
 
 
 def nearest(rows: DataFrame, partition: str, order: list[str], at: str, matches: Column) -> DataFrame:
-    """The distance to the nearest other row that matches, before or after."""
+    """J26 along one axis: the distance to the nearest other row that matches, before or after."""
     w = Window.partitionBy(partition).orderBy(*order)
     before = F.last(F.when(matches, F.col(at)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(F.when(matches, F.col(at)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
@@ -42,10 +42,10 @@ def segments(rows: DataFrame, partition: str, order: str, starts: Column) -> Dat
 
 
 def latest(rows: DataFrame, partition: str, order: list[str], value: str) -> DataFrame:
-    """Per group the last value that isn't blank."""
+    """Per group the last value that isn't blank, the first row's if all are."""
     at = F.struct(*order)
     good = F.col(value).isNotNull() & (F.trim(F.col(value).cast("string")) != "")
-    return rows.where(good).groupBy(partition).agg(F.max_by(value, at).alias(value))
+    return rows.groupBy(partition).agg(F.coalesce(F.max_by(F.when(good, F.col(value)), F.when(good, at)), F.min_by(value, at)).alias(value))
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -68,3 +68,129 @@ def systematic(rows: DataFrame, group: str, order: list[str], step: int) -> Data
 def exact_sample(rows: DataFrame, key: Column, count: int, seed: int) -> DataFrame:
     """P09 with single units: exactly `count` rows (all if there are fewer), those of the least md5 of key and seed."""
     return rows.withColumn("rank", F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))).orderBy("rank").limit(count)
+
+
+def asof(rows: DataFrame, partition: str, order: list[str], value: str, matches: Column, default) -> DataFrame:
+    """The value of the last earlier row that matches, else of the first later one, else the default."""
+    w = Window.partitionBy(partition).orderBy(*order)
+    seen = F.when(matches, F.col(value))
+    before = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(seen, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return rows.withColumn("asof", F.coalesce(before, after, F.lit(default)))
+
+
+def monotone(rows: DataFrame, partition: str, order: list[str], number: str, most: int = 8) -> DataFrame:
+    """Rows whose number is larger than the last kept one's, by `most` at most; the first row of a partition is kept. The carry is a fold over the partition's array."""
+    items = F.array_sort(F.collect_list(F.struct(*order, number)))
+
+    def step(acc, x):
+        keep = acc["last"].isNull() | (x[number] > acc["last"]) & (x[number] - acc["last"] <= most)
+        return F.struct(F.when(keep, x[number]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+
+    made = rows.groupBy(partition).agg(items.alias("items"))
+    kind = made.schema["items"].dataType.simpleString()
+    number_type = rows.schema[number].dataType.simpleString()
+    zero = F.struct(F.lit(None).cast(number_type).alias("last"), F.expr(f"cast(array() as {kind})").alias("kept"))
+    return made.select(partition, F.explode(F.aggregate("items", zero, step, lambda a: a["kept"])).alias("x")).select(partition, "x.*")
+
+
+def subject_switches(rows: DataFrame, partition: str, order: list[str], number: str, full: int = 25, reset: int = 20) -> DataFrame:
+    """Rows with the index of their subject: it moves on at a number 1 behind `reset` or more, or when `full` rows of it have passed."""
+    items = F.array_sort(F.collect_list(F.struct(*order, number)))
+
+    def step(acc, x):
+        over = (acc["last"].isNotNull() & (x[number] == 1) & (acc["last"] >= reset)) | (acc["count"] >= full)
+        subject = acc["subject"] + over.cast("int")
+        count = F.when(over, 0).otherwise(acc["count"]) + 1
+        return F.struct(x[number].cast("long").alias("last"), count.alias("count"), subject.alias("subject"), F.concat(acc["out"], F.array(subject)).alias("out"))
+
+    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("count"), F.lit(0).alias("subject"), F.expr("cast(array() as array<int>)").alias("out"))
+    made = rows.groupBy(partition).agg(items.alias("items"))
+    both = F.arrays_zip("items", F.aggregate("items", zero, step, lambda a: a["out"]).alias("subject"))
+    return made.select(partition, F.explode(both).alias("x")).select(partition, "x.items.*", F.col("x.subject").alias("subject"))
+
+
+def wide_gaps(rows: DataFrame, partition: str, order: list[str], low: str, high: str, least: float) -> DataFrame:
+    """Rows with the gap to their left neighbour's end, where it is at least `least`."""
+    w = Window.partitionBy(partition).orderBy(*order)
+    return rows.withColumn("gap", F.col(low) - F.lag(high).over(w)).where(F.col("gap") >= least)
+
+
+def cluster_means(rows: DataFrame, partition: str, order: list[str], at: str, gap: float) -> DataFrame:
+    """(partition, session, mean, n): runs of values whose steps are at most `gap`, with their means."""
+    return sessions(rows, partition, order, at, gap).groupBy(partition, "session").agg(F.avg(at).alias("mean"), F.count("*").alias("n"))
+
+
+def split_by_median(rows: DataFrame, partition: str, order: list[str], at: str, factor: float = 1.55, least: float = 45.0) -> DataFrame:
+    """Rows numbered by runs that part where a gap is over `factor` times the partition's median gap, and over `least`."""
+    w = Window.partitionBy(partition).orderBy(*order)
+    gaps = rows.withColumn("gap", F.col(at) - F.lag(at).over(w))
+    middle = gaps.groupBy(partition).agg(F.coalesce(F.median("gap"), F.lit(0.0)).alias("middle"))
+    marked = gaps.join(middle, partition).withColumn("new", F.coalesce((F.col("gap") > F.greatest(F.col("middle") * factor, F.lit(least))).cast("long"), F.lit(0)))
+    return marked.withColumn("run", F.sum("new").over(w)).drop("gap", "middle", "new")
+
+
+def missing_between(rows: DataFrame, partition: str, number: str) -> DataFrame:
+    """Numbers n + 1 that are missing between neighbours n and n + 2."""
+    w = Window.partitionBy(partition).orderBy(number)
+    return rows.withColumn("next", F.lead(number).over(w)).where(F.col("next") == F.col(number) + 2).select(partition, (F.col(number) + 1).alias("missing"))
+
+
+def kth_pairs(left: DataFrame, right: DataFrame, partition: str, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """The k-th row of the left side beside the k-th of the right side, in each partition."""
+    k = lambda df, order: df.withColumn("k", F.row_number().over(Window.partitionBy(partition).orderBy(*order)))
+    return k(left, left_order).join(k(right, right_order), [partition, "k"])
+
+
+def rotated(rows: DataFrame, partition: str, order: list[str], offset: int) -> DataFrame:
+    """Places from 0 after a rotation by the offset, so that a resumed run goes on where the last one ended."""
+    w = Window.partitionBy(partition)
+    place = F.row_number().over(w.orderBy(*order)) - 1
+    total = F.count("*").over(w)
+    return rows.withColumn("place", F.pmod(place - F.lit(offset) % total, total).cast("long"))
+
+
+def occurrences(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The running number of each key's rows, from 1: a session number."""
+    return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+
+
+def first_band(rows: DataFrame, partition: str, order: list[str], low: str, high: str, gap: float) -> DataFrame:
+    """The rows from the first one on up to the first gap over `gap`."""
+    return sessions_by_gap(rows, partition, order, low, high, gap).where("session = 0")
+
+
+def sessions_by_gap(rows: DataFrame, partition: str, order: list[str], low: str, high: str, gap: float) -> DataFrame:
+    """Rows numbered by runs in which each begins at most `gap` behind the furthest end so far."""
+    w = Window.partitionBy(partition).orderBy(*order)
+    reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("new", F.coalesce((F.col(low) - reach > gap).cast("long"), F.lit(0))).withColumn("session", F.sum("new").over(w)).drop("new")
+
+
+def exam_sets(pages: DataFrame, document: str, page: str, meta: str, first_number: str) -> DataFrame:
+    """Pages numbered by exam set: a set begins where the forward-filled heading changes, or where numbering falls back to 1."""
+    w = Window.partitionBy(document).orderBy(page)
+    filled = pages.withColumn("heading", F.last(meta, ignorenulls=True).over(w))
+    change = ~F.col("heading").eqNullSafe(F.lag("heading").over(w)) | ((F.col(first_number) == 1) & (F.lag(first_number).over(w) > 1))
+    begins = F.when(F.row_number().over(w) == 1, 1).otherwise(F.coalesce(change, F.lit(False)).cast("int"))
+    return filled.withColumn("begins", begins).withColumn("set", F.sum("begins").over(w).cast("long")).drop("begins")
+
+
+def child_order(rows: DataFrame, group: str, order: str, number: str, index: str) -> DataFrame:
+    """The place of each child in its group: by its order, those without one last, then number, then input."""
+    w = Window.partitionBy(group).orderBy(F.col(order).asc_nulls_last(), F.col(number).asc_nulls_last(), index)
+    return rows.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def reading_order(blocks: DataFrame, page: str, x0: str, x1: str, y0: str, width: float, divider: float) -> DataFrame:
+    """The place of each block of a page: a full-width block of the top (its width over half the page, above all others) first, then columns left to right, each from the top."""
+    w = Window.partitionBy(page)
+    top = (F.col(x1) - F.col(x0) > width / 2) & (F.col(y0) == F.min(y0).over(w))
+    column = F.when(top, -1).when(F.col(x0) < divider, 0).otherwise(1)
+    return blocks.withColumn("column", column).withColumn("place", F.row_number().over(w.orderBy("column", y0, x0)).cast("long"))
+
+
+def balanced(rows: DataFrame, group: str, order: list[str], limit: int) -> DataFrame:
+    """`limit` rows, dealt in turns from the groups in name order; all rows if there are no more."""
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("turn", turn.cast("long")).where(F.col("turn") <= limit).orderBy("turn", group).limit(limit)

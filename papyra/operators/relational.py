@@ -70,15 +70,22 @@ def swapped(base: DataFrame, wanted: DataFrame, key: str, column: str) -> DataFr
 
 
 def remapped(rows: DataFrame, key: str, start: int = 1) -> DataFrame:
-    """(old_id, new_id): dense new ids in key order. Ids are counted per range of keys, so no task sorts the whole table."""
+    """(old_id, new_id): dense new ids in key order. Ids are counted per range of 4,096 keys, ranges per 4,096 ranges, so one window sees a row for 16 million keys."""
     ranged = rows.select(F.col(key).alias("old_id")).distinct().withColumn("range", F.floor(F.col("old_id") / 4096))
-    before = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("upper", F.floor(F.col("range") / 4096))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upper = counts.groupBy("upper").agg(F.sum("n").alias("n")).select("upper", upto(Window.orderBy("upper")).alias("far"))
+    before = counts.withColumn("near", upto(Window.partitionBy("upper").orderBy("range"))).join(upper, "upper").select("range", (F.col("near") + F.col("far")).alias("before"))
     inside = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy("old_id")))
-    return inside.join(before, "range").select("old_id", (F.col("rank") + F.coalesce("before", F.lit(0)) + start - 1).cast("long").alias("new_id"))
+    return inside.join(before, "range").select("old_id", (F.col("rank") + F.col("before") + start - 1).cast("long").alias("new_id"))
 
 
-def percentile_map(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Each key's value as the share of values at most as large, over distinct values with their counts."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(value)) / F.sum("n").over(Window.partitionBy())
-    return rows.join(counts.select(value, upto.alias("percentile")), value).select(key, value, "percentile")
+def prefix_siblings(files: DataFrame, key: str, prefix: str, is_answer: str) -> DataFrame:
+    """Each question file with the first answer file that shares its prefix; an equi-join on the derived prefix, one answer a prefix."""
+    first = files.where(F.col(is_answer) & (F.col(prefix) != "")).groupBy(prefix).agg(F.min(key).alias("answer_id"))
+    return files.where(~F.col(is_answer)).join(first, prefix, "left")
+
+
+def counters_added(counters: DataFrame, more: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Counters with more added by key; new keys come in."""
+    return counters.select(*keys, n).unionByName(more.select(*keys, n)).groupBy(*keys).agg(F.sum(n).alias(n))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,37 @@ def pending(inventory: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return inventory.join(log.where(F.col("final")).select(key).distinct(), key, "left_anti")
 
 
-def event_counts(events: DataFrame) -> DataFrame:
-    """The batch equivalent of the counting stream: rows and summed values by event type, repeated ids counted once."""
-    return events.dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+def working_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where driver and executors are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="papyra-stream-")
+    return f"{root.rstrip('/')}/papyra-stream/{uuid.uuid4().hex}"
+
+
+def streamed_counts(spark: SparkSession, source: str, key: str = "event_id", group: str = "event_type", value: str = "value") -> DataFrame:
+    """Rows and summed values by group of what a stream over the source's files has written; a second run over the same files adds nothing."""
+    folder = working_folder(spark)
+    schema = spark.read.parquet(source).schema
+    source = source.removesuffix("/") + "*"  # a pattern finds a file and a folder alike
+    for _ in range(2):  # the second run finds no new file
+        ingest(spark, source, schema, f"{folder}/mark", f"{folder}/sink", key)
+    return spark.read.schema(schema).parquet(f"{folder}/sink").groupBy(group).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+
+
+def statuses(candidates: DataFrame, known: DataFrame, key: str, dry_run: bool = False) -> DataFrame:
+    """Candidates (key, ok) with the status that an import gives: blocked_quality, skipped_duplicate (known, or a repeated key behind its first row), dry_run or imported."""
+    from pyspark.sql import Window
+
+    marked = candidates.join(known.select(key).distinct().withColumn("papyra_known", F.lit(True)), key, "left")
+    again = F.row_number().over(Window.partitionBy(key, "ok").orderBy(*[c for c in candidates.columns if c not in (key, "ok")])) > 1
+    status = F.when(~F.col("ok"), "blocked_quality").when(F.col("papyra_known") | again, "skipped_duplicate").otherwise("dry_run" if dry_run else "imported")
+    return marked.withColumn("status", status).drop("papyra_known")
+
+
+def retry_class(codes) -> F.Column:
+    """What a failed import's set of error codes asks for: nothing, a retry later, a new parse, or a look by hand."""
+    one_of = lambda *names: F.size(F.array_except(codes, F.array(*[F.lit(n) for n in names]))) == 0
+    return F.when(F.size(codes) == 0, "none").when(one_of("timeout", "connection"), "retry").when(one_of("question_count", "choice_count", "timeout", "connection"), "reparse").otherwise("manual")
