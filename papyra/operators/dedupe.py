@@ -1,10 +1,8 @@
-"""First-wins deduplication by content: exact keys, and fuzzy prompts within lossless length bands."""
+"""First-wins deduplication by content."""
 
 from __future__ import annotations
 
-from collections import Counter
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions.text import canonical, negative, numbers
@@ -20,51 +18,10 @@ def exact(rows: DataFrame, key: str, text: str) -> DataFrame:
     return keyed(rows, text).groupBy(F.sha2(F.concat_ws("|", "prompt", "numbers", F.col("negative").cast("string")), 256).alias("content_key")).agg(F.min(key).alias(key), F.count("*").alias("copies"))
 
 
-def similarity(a: str, b: str) -> float:
-    """The matching-blocks ratio."""
-    from difflib import SequenceMatcher
-
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
-
-
-def trigrams(text: str) -> Counter:
-    return Counter(map("".join, zip(text, text[1:], text[2:])))
-
-
-def may_reach(a: Counter, b: Counter, size: int, least: float) -> bool:
-    """False only where no ratio of `least` is possible; size: both lengths together.
-
-    Of m matched characters in k blocks, m - 2k trigrams at least are common. Blocks lie apart by an unmatched character, so k <= size - 2m + 1.
-    """
-    return (a & b).total() >= least * size / 2 - 2 * ((1 - least) * size + 1) - 1
-
-
-def fuzzy(rows: DataFrame, key: str, text: str, least: float = 0.97, shortest: int = 18, longest: int | None = None) -> DataFrame:
-    """P02-P05 without choices: a row goes if an earlier kept row of equal numbers and polarity is as near as `least`, or has its key.
-
-    Greedy in key order and not transitive, so a block is scanned by one task: blocks are numbers and polarity, cut where sorted prompt lengths leave
-    a gap that no pair of the ratio can bridge. Pairs whose common trigrams rule the ratio out are not matched. Prompts under `shortest` go by exact key
-    alone, and those over `longest` where a caller sets it (the reference has no such limit); matching a near pair takes time in the square of its length.
-    """
-    parts = keyed(rows.select(key, text), text).withColumn("n", F.length("prompt"))
-    middle = F.col("n") >= shortest if longest is None else F.col("n").between(shortest, longest)
-    by_key = parts.where(~middle).withColumn("r", F.row_number().over(Window.partitionBy("prompt", "numbers", "negative").orderBy(key))).where("r = 1").select(key)
-    w = Window.partitionBy("numbers", "negative").orderBy("n")
-    sizes = parts.where(middle).select("numbers", "negative", "n").distinct()
-    cut = F.coalesce((F.lag("n").over(w) < F.col("n") * (least / (2 - least))).cast("int"), F.lit(0))
-    bands = sizes.withColumn("cut", cut).withColumn("band", F.sum("cut").over(w)).drop("cut")
-    banded = parts.where(middle).join(bands, ["numbers", "negative", "n"])
-
-    def scan(frame):
-        kept: list[tuple[str, int, Counter]] = []
-        ids = []
-        for i, prompt in sorted(zip(frame[key].tolist(), frame["prompt"].tolist())):
-            low, high = len(prompt) * least / (2 - least), len(prompt) * (2 - least) / least
-            grams = trigrams(prompt)
-            if not any(low <= n <= high and (p == prompt or may_reach(g, grams, n + len(prompt), least) and similarity(p, prompt) >= least) for p, n, g in kept):
-                kept.append((prompt, len(prompt), grams))
-                ids.append(i)
-        return frame[frame[key].isin(ids)][[key]]
+def fuzzy(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """P02/P04 without choices and groups: keys of the rows that are like no earlier kept row, in key order; prompts of any length."""
+    from papyra.operators import selection
 
-    survivors = banded.groupBy("numbers", "negative", "band").applyInPandas(scan, rows.select(key).schema)
-    return by_key.union(survivors)
+    k, none = F.col(key), F.lit(None)
+    questions = rows.select(k.alias("id"), k.cast("long").alias("idx"), none.cast("long").alias("group_id"), none.cast("int").alias("group_order"), none.cast("int").alias("number"), F.col(text).alias("text"), none.cast("array<string>").alias("choices"), none.cast("string").alias("shared"))
+    return selection.first_wins(selection.units(questions)).select(F.get("ids", F.lit(0)).alias(key))

@@ -177,8 +177,9 @@ def exam_sets(pages: DataFrame, document: str, page: str, meta: str, first_numbe
 
 
 def child_order(rows: DataFrame, group: str, order: str, number: str, index: str) -> DataFrame:
-    """The place of each child in its group: by its order, those without one last, then number, then input."""
-    w = Window.partitionBy(group).orderBy(F.col(order).asc_nulls_last(), F.col(number).asc_nulls_last(), index)
+    """The place of each child in its group: those with an order by it, then those with a number by that, then the others; input breaks ties."""
+    kind = F.when(F.col(order).isNotNull(), 0).when(F.col(number).isNotNull(), 1).otherwise(2)
+    w = Window.partitionBy(group).orderBy(kind, F.coalesce(F.col(order).cast("double"), F.col(number).cast("double"), F.col(index).cast("double")), index)
     return rows.withColumn("place", F.row_number().over(w).cast("long"))
 
 

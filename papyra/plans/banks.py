@@ -172,10 +172,12 @@ def exam_sets(lineitem):
     return O.exam_sets(pages, "d", "page", "meta", "first").select("d", "page", "heading", "set")
 
 
-@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END NULLS LAST, p_retailprice NULLS LAST, p_partkey) AS place FROM part")
+@query("""
+WITH g AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS o, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS n FROM part)
+SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN o IS NOT NULL THEN 0 WHEN n IS NOT NULL THEN 1 ELSE 2 END, coalesce(o, n, p_partkey), p_partkey) AS place FROM g""")
 def child_order(part):
-    rows = part.withColumn("group_order", F.when(F.col("p_size") % 3 != 0, F.col("p_size")))
-    return O.child_order(rows, "p_brand", "group_order", "p_retailprice", "p_partkey").select("p_partkey", "place")
+    rows = part.withColumn("group_order", F.when(F.col("p_size") % 3 != 0, F.col("p_size"))).withColumn("number", F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")))
+    return O.child_order(rows, "p_brand", "group_order", "number", "p_partkey").select("p_partkey", "place")
 
 
 @query("""

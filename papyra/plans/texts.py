@@ -197,11 +197,6 @@ def topic_rules(documents):
     return documents.select("doc_id", t.alias("t")).select("doc_id", "t.l1", "t.l2", "t.confidence")
 
 
-@query(None)
-def fuzzy_dedupe(benchmark):
-    return dedupe.fuzzy(benchmark, "item_id", "text")
-
-
 @query("SELECT doc_id, sha256(doc_id || '|' || lang || '|' || source) AS record_hash FROM documents")
 def record_hashes(documents):
     return documents.select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source"), 256).alias("record_hash"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.sources.scratch import working_folder
+
 
 def ingest(spark: SparkSession, source: str, schema, checkpoint: str, sink: str, key: str) -> None:
     """Reads every file of a folder that no earlier run has read, drops repeated keys, and appends to a Parquet sink.
@@ -25,16 +23,6 @@ def pending(inventory: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return inventory.join(log.where(F.col("final")).select(key).distinct(), key, "left_anti")
 
 
-def working_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where driver and executors are one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="papyra-stream-")
-    return f"{root.rstrip('/')}/papyra-stream/{uuid.uuid4().hex}"
-
-
 def streamed_counts(spark: SparkSession, source: str, key: str = "event_id", group: str = "event_type", value: str = "value") -> DataFrame:
     """Rows and summed values by group of what a stream over the source's files has written; a second run over the same files adds nothing."""
     folder = working_folder(spark)

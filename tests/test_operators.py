@@ -91,15 +91,18 @@ def test_fuzzy_dedupe_of_long_prompts(spark):
     assert sorted(r.id for r in got.collect()) == [1, 3]
 
 
-def test_trigram_filter_drops_no_pair_of_the_ratio():
+def test_rare_trigrams_miss_no_pair_of_the_ratio():
     import random
 
-    from papyra.operators import dedupe
+    from papyra.operators import selection
 
     r = random.Random(4)
     for _ in range(2000):
         a = "".join(r.choice("abc ") for _ in range(r.randint(18, 60)))
         b = "".join(c for c in a if r.random() > 0.05)
-        for least in (0.9, 0.97):
-            if dedupe.similarity(a, b) >= least:
-                assert dedupe.may_reach(dedupe.trigrams(a), dedupe.trigrams(b), len(a) + len(b), least)
+        for with_choices, least in ((True, 0.9), (False, 0.97)):
+            if len(b) >= 18 and selection.similarity(a, b) >= least:
+                both = set(selection.signs(a, with_choices)) & set(selection.signs(b, with_choices))
+                for x in (a, b):
+                    # of all but the prefix at least one less can be shared, so the prefixes meet
+                    assert len(both) > len(x) - 2 - selection.prefix_size(len(x), with_choices)
