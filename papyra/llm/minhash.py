@@ -24,7 +24,7 @@ from . import common as C
 BANDS, ROWS, BITS = 32, 4, 2
 #: Members of a bucket that one task compares with one another; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
-#: Hashed ids of the bitmap that spares texts a shuffle: sixteen places a candidate, within these bounds.
+#: Hashed ids of the bitmap that spares texts a shuffle: 64 places a candidate at least, within these bounds.
 LEAST_ID_BITS, MOST_ID_BITS = 1 << 20, 1 << 27
 _LANES = 64 // BITS
 _WORDS = BANDS * ROWS // _LANES
@@ -157,11 +157,11 @@ def components(edges: DataFrame) -> DataFrame:
 def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """rows without most of those whose id is not in ids, and with every one whose id is, before the rows' texts are shuffled.
 
-    A bitmap of hashed ids is broadcast, sixteen places an id and MOST_ID_BITS at most: 2 ** 21 rows of 64 places, whatever the input. With more than
-    that bound's eight million candidates it fills up and lets more rows by; then the texts of about all candidates and of that share of the others are shuffled.
+    A bitmap of hashed ids is broadcast, 64 places an id or more and MOST_ID_BITS at most: 2 ** 21 rows of 64 places, whatever the input. With more than
+    that bound's two million candidates it fills up and lets more rows by; then the texts of about all candidates and of that share of the others are shuffled.
     """
     n = ids.count()
-    size = min(MOST_ID_BITS, max(LEAST_ID_BITS, 1 << (16 * n).bit_length()))
+    size = min(MOST_ID_BITS, max(LEAST_ID_BITS, 1 << (64 * n).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(size))
     marked = ids.withColumn("place", place).selectExpr("place div 64 as word", "shiftleft(1L, cast(place % 64 as int)) as bit")
     bitmap = F.broadcast(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")))
