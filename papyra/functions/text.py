@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,3 +208,118 @@ def joined_base(url: Column, href: Column) -> Column:
 def path_year(path: Column) -> Column:
     """The first number of 1980 to 2100 that a path holds between other characters than digits."""
     return F.regexp_extract(path, r"(?:^|[^0-9])(19[89][0-9]|20[0-9]{2}|2100)(?![0-9])", 1).try_cast("int")
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility-composed lower case; null counts as empty. No built-in function normalises Unicode, so Arrow batches pass through Python."""
+    @F.pandas_udf("string")
+    def normal(values: pd.Series) -> pd.Series:
+        return values.fillna("").str.normalize("NFKC").str.lower()
+
+    return normal(text)
+
+
+def display_units(text: Column) -> Column:
+    """Display width of the longest line: wide, full-width and ambiguous characters 2, narrow ones a half, others 1. Character widths are Python's tables."""
+    @F.pandas_udf("double")
+    def width(values: pd.Series) -> pd.Series:
+        import unicodedata
+
+        def units(c: str) -> float:
+            return 0.5 if c in " \t.,:;!'\"|ilI" else 2.0 if unicodedata.east_asian_width(c) in "WFA" else 1.0
+
+        return values.fillna("").map(lambda t: max((sum(map(units, line)) for line in t.splitlines()), default=0.0)).astype(float)
+
+    return width(text)
+
+
+def label(text: Column) -> Column:
+    """X11: a label to compare by: lower case without white space, dashes, underlines and brackets."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[{SPACE}_()\[\]{{}}-]+", "")
+
+
+def no_text_case(raw: Column, clean: Column, images: Column, questions: Column, choices: Column) -> Column:
+    """Why a document gave no text, by its counts."""
+    return (
+        F.when(clean > 0, "has_clean_text")
+        .when((raw == 0) & (images > 0), "ocr_required")
+        .when(raw == 0, "empty_or_unreadable_pdf")
+        .when((questions >= 1) & (choices >= 4), "text_start_detection_failed")
+        .when((questions >= 5) & (choices == 0), "listing_or_non_exam_page")
+        .when(raw >= 500, "text_non_exam_or_answer_only")
+        .otherwise("unknown_no_text")
+    )
+
+
+# Patterns of document roles in names.
+NOTICE = r"(?:채용|시험|연간).{0,30}공고|공고.{0,30}(?:채용|시험|계획)"
+ANSWER = r"(?:기출)?(?:정답|답안)|정답\s*&\s*해설|확정\s*답안|정답\s*및\s*해설"
+QUESTION = r"(?:기출)?문제(?:지)?"
+
+
+def document_role(path: Column, question_marks: Column, choice_marks: Column, answer_marks: Column) -> Column:
+    """Notice, answer or question by the name, in that order, else by the marks that a probe has counted; unknown otherwise."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return (
+        F.when(name.rlike(NOTICE), "notice").when(path.rlike(ANSWER), "answer").when(name.rlike(QUESTION), "question").when(answer_marks > 0, "answer").when((question_marks > 0) & (choice_marks >= 4), "question").otherwise("unknown")
+    )
+
+
+def error_class(error: Column) -> Column:
+    """The class of an error message."""
+    value = spaced(error)
+    low = F.lower(value)
+    has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    counted = has("mismatch", "count", "개수")
+    return (
+        F.when(has("correct_answer", "correct answer", "정답"), F.when(counted, "answer_key_count_mismatch").otherwise("invalid_correct_answer"))
+        .when(has("answer") & has("mismatch", "count"), "answer_key_count_mismatch")
+        .when(has("choice", "선택지", "보기"), "choice_count")
+        .when(has("contiguous", "연속"), "question_numbers_not_contiguous")
+        .when(has("ambiguous", "range"), "ambiguous_group_range")
+        .when(has("image", "이미지"), "missing_question_image")
+        .when(value == "", "<blank>")
+        .otherwise(F.substring(F.substring_index(value, ":", 1), 1, 80))
+    )
+
+
+def mapped(text: Column, glyphs: dict[str, str]) -> Column:
+    """Single glyphs (private-use ones, say) mapped one to one."""
+    return F.translate(text, "".join(glyphs), "".join(glyphs.values()))
+
+
+def repaired(text: Column, words: list[tuple[str, str]], phrases: list[tuple[str, str]] = ()) -> Column:
+    """Known misreadings replaced: words where no letter or digit stands beside them, phrases anywhere, in the given order."""
+    out = text
+    for old, new in words:
+        out = F.regexp_replace(out, rf"(?<![0-9A-Za-z])\Q{old}\E(?![0-9A-Za-z])", new.replace("\\", "\\\\").replace("$", "\\$"))
+    for old, new in phrases:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+# Patterns of misread texts.
+OCR_NOISE = r"다읔|디음|다음°|오으\s*것|오은\s+거\s+은|0[卜ㅏ]|(?<![A-Za-z])[O0]h(?![A-Za-z])|[卜入人]{2,}|으\s*(?:9|느|그)|으\s+거|[가-힣A-Za-z][卜入人][가-힣A-Za-z]|[튢飇恤喬盞]|[가-힣]°[°。]?[가-힣]|(?<=[a-z])¯(?=[a-z])|[己呑粼訃]"
+BROKEN_UNIT = r"\[(?:0/해|Ⅵ|H기|시|외|P비|kg되|넣디|Q|\(\)|\))"
+CONFUSABLE = r"\b(?:t0|0f|A11|011e|S0011)\b|\b[A-Za-z]{1,12}[01]+[A-Za-z][A-Za-z01]*\b|\b[A-Za-z][A-Za-z01]*[01]+[A-Za-z]{1,12}\b|(?<=[A-Za-z])[㈜ⅰ-ⅹ殂盞飇恤喬訃粼](?=[A-Za-z])"
+DAMAGED_MARKER = r"(?m)^\s*@(?=\s*[A-Za-z가-힣])"
+REPEATED_CIRCLE = r"([①-⑳])(?:\s+\1)+"
+COUNTING = r"(?:모두|총)\s*몇\s*(?:개|가지|명|척)"
+LIST_MARKER = r"(?<!\S)(?:[ㄱ-ㅎ][.)]|[㉠-㉻Ⓐ-Ⓩⓐ-ⓩ①-⑳]|\((?:[A-Za-z]|\d{1,2})\)|[A-Ia-i][.)](?=\s))"
+CJK_NOTE = r"[（(](?=[가-힣一-龥\s,·/]{1,32}[)）])(?=[^()）]*[一-龥])[가-힣一-龥\s,·/]{1,32}[)）]"
+CJK_PARTY = r"(?<![0-9A-Za-z가-힣一-龥])[甲乙丙丁](?=(?:(?:선장|경장|씨|어선|소유자|사업자|회사))?(?:에게서|에게|은|는|이|가|을|를|의|과|와|도|만)?(?:\s|[,.!?·:;)]|$))"
+
+
+def quality_codes(text: Column) -> Column:
+    """Codes of a text that was misread: ocr_noise, broken_unit, damaged_list_marker, unbalanced_delimiter.
+
+    Noise: known misreadings, digits in English words (formulas aside), circled numbers that repeat, and CJK signs but for notes in brackets and
+    party names. A list is damaged if a line opens with @, or if a counting question with four colons or more and no view block has fewer than three markers.
+    """
+    value = F.coalesce(text, F.lit(""))
+    formula = value.rlike(r"^[A-Za-z0-9_+\-*/^().=\s]+$") & value.rlike(r"[()+\-*/^=]") & value.rlike(r"\d")
+    cjk = F.regexp_replace(F.regexp_replace(value, CJK_NOTE, ""), CJK_PARTY, "").rlike("[一-龥]")
+    noise = value.rlike(OCR_NOISE) | ~formula & value.rlike("(?U)" + CONFUSABLE) | value.rlike(REPEATED_CIRCLE) | cjk
+    colons = F.length(value) - F.length(F.replace(value, F.lit(":"), F.lit("")))
+    listed = value.rlike(COUNTING) & (colons >= 4) & ~value.rlike(r"<\s*보\s*기\s*>") & (F.regexp_count(value, F.lit(LIST_MARKER)) < 3)
+    return F.array_compact(F.array(F.when(noise, "ocr_noise"), F.when(value.rlike(BROKEN_UNIT), "broken_unit"), F.when(value.rlike(DAMAGED_MARKER) | listed, "damaged_list_marker"), F.when(unbalanced(value), "unbalanced_delimiter")))

@@ -286,7 +286,7 @@ def attached_sources(customer, supplier):
     return C.attached(rows, supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("source"), F.col("s_name").alias("more")), ["k"], "source", "tags", "more").select("c_custkey", "source", "tags")
 
 
-@query("SELECT l_orderkey, (n - 1) // 3 AS line, string_agg(n || '.' || a, ' ' ORDER BY n) AS text FROM (SELECT l_orderkey, l_linenumber AS n, min(l_suppkey) AS a FROM lineitem GROUP BY ALL) GROUP BY 1, 2")
+@query("SELECT l_orderkey, CAST((n - 1) // 3 AS BIGINT) AS line, string_agg(n || '.' || a, ' ' ORDER BY n) AS text FROM (SELECT l_orderkey, l_linenumber AS n, min(l_suppkey) AS a FROM lineitem GROUP BY ALL) GROUP BY 1, 2")
 def answer_rows(lineitem):
     answers = lineitem.groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_suppkey").alias("a"))
     return C.answer_rows(answers, "l_orderkey", "n", "a", 3)

@@ -77,7 +77,7 @@ def spot_check(orders):
     return analytics.spot_check(orders.select("o_orderkey"), ["o_orderkey"])
 
 
-@query("SELECT coalesce(max(o_orderkey), 0) + 1 AS next_id, coalesce(sum(CASE WHEN o_totalprice < 0 THEN 1 END), 0) AS negatives FROM orders")
+@query("SELECT coalesce(max(o_orderkey), 0) + 1 AS next_id, CAST(coalesce(sum(CASE WHEN o_totalprice < 0 THEN 1 END), 0) AS BIGINT) AS negatives FROM orders")
 def next_sequence(orders):
     return G.next_number(orders, "o_orderkey").crossJoin(orders.agg(F.coalesce(F.sum(F.when(F.col("o_totalprice") < 0, 1)), F.lit(0)).alias("negatives")))
 
