@@ -22,6 +22,8 @@ EPOCHS = 3
 REPEAT = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 1.0
 STEM = 4
+#: Features that a row carries to the training task, at most: Arrow batches count rows, so this bounds their bytes.
+A_ROW = 256
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[list(_PUNCTUATION)] = 32
@@ -78,29 +80,44 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
 
     def hashed(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        row = TaskContext.get().partitionId() << 32  # tells equal texts of one id apart
         for batch in batches:
             data, offsets = C.utf8(batch.column(1))
             for i, j in C.passes(offsets):
                 at, doc = features(data, offsets[i : j + 1])
                 pairs = np.unique(doc << SPACE_BITS | at)
-                cuts = np.searchsorted(pairs, np.arange(j - i + 1) << SPACE_BITS).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array((pairs & ((1 << SPACE_BITS) - 1)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, batch.column(2).slice(i, j - i)], names=["rank", "at", "label"])
+                cuts = np.searchsorted(pairs, np.arange(j - i + 1) << SPACE_BITS)
+                n = np.maximum(1, -(-np.diff(cuts) // A_ROW))
+                owner = np.repeat(np.arange(j - i), n)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                starts = np.append(cuts[owner] + piece * A_ROW, cuts[-1]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array((pairs & ((1 << SPACE_BITS) - 1)).astype(np.int32)))
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(own), pa.array(row + owner), pa.array(piece), lists, batch.column(2).slice(i, j - i).take(own)], names=["rank", "row", "piece", "at", "label"])
+                row += j - i
 
     def run(batches):
         import pyarrow as pa
 
-        rows = []
+        columns, parts = [], []
         for batch in batches:
-            flat, cuts = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
-            cuts = cuts - cuts[0]
-            rows += [(r, flat[a:b], y) for r, a, b, y in zip(batch.column(0).to_pylist(), cuts.tolist(), cuts[1:].tolist(), batch.column(2).to_pylist())]
-        rows.sort(key=lambda r: (r[0], r[2]))
+            cuts = batch.column(3).offsets.to_numpy()
+            parts += np.split(batch.column(3).flatten().to_numpy().copy(), (cuts[1:-1] - cuts[0])) if len(batch) else []
+            columns.append(np.stack([batch.column(k).to_numpy().astype(np.int64) for k in (0, 4, 1, 2)]))
+        rows = []
+        if parts:
+            rank, label_, row, piece = np.concatenate(columns, axis=1)
+            order = np.lexsort((piece, row, label_, rank))
+            begins = np.flatnonzero(piece[order] == 0)
+            for x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(order)]):
+                rows.append((np.concatenate([parts[k] for k in order[x:y]]), int(label_[order[x]])))
+            del parts, columns
         model = Ftrl(1 << SPACE_BITS)
         if rows:
             for _ in range(EPOCHS):
-                for _, at, y in rows:
+                for at, y in rows:
                     for _ in range(REPEAT if y else 1):
                         model.learn(at, y)
         w = model.weights()
@@ -108,7 +125,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(w[kept], model.bias()))], names=["coordinate", "weight"])
 
     # features are hashed on all executors; the few rows then meet in one task, as training is sequential
-    dealt = picked.repartition(64).mapInArrow(hashed, "rank long, at array<int>, label int")
+    dealt = picked.repartition(64).mapInArrow(hashed, "rank long, row long, piece long, at array<int>, label int")
     return dealt.repartition(1).mapInArrow(run, "coordinate long, weight double")
 
 
