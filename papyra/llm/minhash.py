@@ -164,9 +164,9 @@ def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     size = min(MOST_ID_BITS, max(LEAST_ID_BITS, 1 << (64 * n).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(size))
     marked = ids.withColumn("place", place).selectExpr("place div 64 as word", "shiftleft(1L, cast(place % 64 as int)) as bit")
-    bitmap = F.broadcast(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    bitmap = F.broadcast(marked.groupBy("word").agg(F.bit_or("bit").alias("held")))
     dealt = rows.withColumn("place", place).withColumn("word", F.expr("place div 64"))
-    return dealt.join(bitmap, "word").where("(bits & shiftleft(1L, cast(place % 64 as int))) <> 0").select(*rows.columns)
+    return dealt.join(bitmap, "word").where("(held & shiftleft(1L, cast(place % 64 as int))) <> 0").select(*rows.columns)
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, width: int, key: str, text: str) -> DataFrame:
@@ -205,13 +205,15 @@ def _narrowed(members: DataFrame, bands: DataFrame) -> DataFrame:
     return held.where(F.col("others") <= BLOCK).unionByName(_open(parted))
 
 
-def _across(members: DataFrame, described: DataFrame, bands: DataFrame, least: float, percent: int) -> DataFrame:
+def _across(members: DataFrame, signed: DataFrame, bands: DataFrame, least: float, percent: int) -> DataFrame:
     """Pairs (a, b) of buckets, of different components and near by estimate and bitmap: each bucket whole, in blocks that bound a task.
 
     Members of the main component stay in their block; only the others go to all blocks of the bucket, so a large group of copies with a few strangers
     is not compared with itself. Widths of bitmaps aside, a pair passes only if its sets may meet the threshold; rejected pairs never leave their task.
+    Of signed (id, n, signature, bits) only the rows of open buckets' members are shuffled.
     """
-    open_ = _narrowed(members, bands).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).join(described, "id")
+    held = C.stored(_narrowed(members, bands).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")))
+    open_ = held.join(_likely(signed, held.select("id").distinct()), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     to = F.when(F.col("component") == F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = open_.withColumn("home", block).withColumn("block", F.explode(to)).withColumn("at_home", F.col("home") == F.col("block"))
@@ -219,7 +221,7 @@ def _across(members: DataFrame, described: DataFrame, bands: DataFrame, least: f
     def run(frame):
         import pandas as pd
 
-        frame = frame.drop_duplicates("id").sort_values(["n", "id"])
+        frame = frame.drop_duplicates(["id", "n", *SIGNATURE]).sort_values(["n", "id"])  # an id may have several texts
         ids, comp, n, home = (frame[c].to_numpy() for c in ("id", "component", "n", "at_home"))
         sign, bits = frame[SIGNATURE].to_numpy().view(np.uint64), [np.frombuffer(b, np.uint64) for b in frame["bits"]]
         one, found = np.uint64(1), []
@@ -256,19 +258,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     sig = C.stored(signatures(docs, width, key, text))
     live = sig.where("n > 0 and id is not null")
     exact = live.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"))
-    reps = C.stored(live.drop("d1", "d2").join(exact.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n", *SIGNATURE]))
+    reps = C.stored(live.drop("d1", "d2", "bits").join(exact.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n", *SIGNATURE]))
     bands = reps.select("id", F.explode("keys").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = C.stored(bands.join(hubs, "key").distinct())
     least = least_estimate(percent / 100)
-    slim = reps.drop("keys", "bits")
+    slim = reps.drop("keys")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().alias("p")
     near = pairs.join(slim.alias("l"), F.expr("p.a = l.id")).join(slim.alias("r"), F.expr("p.b = r.id"))
     near = near.where((100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (estimate("l", "r") >= least))
     first = _confirmed(docs, C.stored(near.select("p.a", "p.b").distinct()), percent, width, key, text)
     label = C.stored(components(first))
     labelled = C.stored(members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    second = C.stored(_across(labelled, reps.drop("keys"), bands, least, percent))
+    second = C.stored(_across(labelled, live.select("id", "n", *SIGNATURE, "bits"), bands, least, percent))
     if second.limit(1).count():
         links = _confirmed(docs, second, percent, width, key, text)
         if links.limit(1).count():
