@@ -162,3 +162,41 @@ def normalized(table: Column, index: Column) -> Column:
         F.coalesce(F.nullif(table["id"], F.lit("")), F.concat(F.lit("table-"), (index + 1).cast("string"))).alias("id"), rows.alias("rows"), F.transform(F.coalesce(table["cells"], none), cell).alias("cells"),
         widths(table).alias("column_widths"), width_mode(table).alias("width_mode"), score.alias("score"), F.when(mode.isin(*RENDER_MODES), mode).otherwise("auto").alias("render_mode"),
     )
+
+
+def with_row(rows: Column, at: Column, columns: Column) -> Column:
+    """Rows with an empty row of `columns` cells before the place `at` (0 is the first)."""
+    return F.concat(F.slice(rows, F.lit(1), at), F.array(F.array_repeat(F.lit(""), columns)), F.slice(rows, at + 1, F.size(rows)))
+
+
+def without_row(rows: Column, at: Column) -> Column:
+    """Rows without the one at a place; the last row stays."""
+    return F.when(F.size(rows) > 1, F.filter(rows, lambda r, i: i != at)).otherwise(rows)
+
+
+def with_column(rows: Column, at: Column) -> Column:
+    """Rows with an empty cell before the place `at` of each."""
+    return F.transform(rows, lambda r: F.concat(F.slice(r, F.lit(1), at), F.array(F.lit("")), F.slice(r, at + 1, F.size(r))))
+
+
+def without_column(rows: Column, at: Column) -> Column:
+    """Rows without their cell at a place; a last column stays."""
+    return F.when(F.array_max(F.transform(rows, F.size)) > 1, F.transform(rows, lambda r: F.filter(r, lambda c, i: i != at))).otherwise(rows)
+
+
+def rectangular(rows: Column) -> Column:
+    """Rows padded with empty cells to the widest; null cells and rows are empty; one cell at least."""
+    width = F.greatest(F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0)), F.lit(1))
+    full = F.transform(rows, lambda r: F.concat(F.transform(F.coalesce(r, F.expr("cast(array() as array<string>)")), lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), width - F.greatest(F.coalesce(F.size(r), F.lit(0)), F.lit(0)))))
+    return F.when(F.size(rows) > 0, full).otherwise(F.array(F.array(F.lit(""))))
+
+
+def aligned_choice(headers: Column, values: Column) -> Column:
+    """struct<text, payload> of one choice of a (가)/(나) matrix: its searchable text and a table of two rows; null if headers or values don't fit."""
+    named = F.slice(F.array(*[F.lit(f"({x})") for x in "가나다라"]), F.lit(1), F.size(headers))
+    good = F.size(headers).between(2, 4) & (headers == named) & (F.size(values) == F.size(headers)) & F.forall(values, lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
+    plain = F.transform(values, lambda v: F.trim(v))
+    cell = lambda row: lambda t, i: F.struct(F.lit(row).alias("row"), i.alias("col"), t.alias("text"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))
+    table = F.struct(F.array(headers, plain).alias("rows"), F.concat(F.transform(headers, cell(0)), F.transform(plain, cell(1))).alias("cells"))
+    made = F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), F.array(table).alias("tables")))
+    return F.when(good, F.struct(F.array_join(F.zip_with(headers, plain, lambda h, v: F.concat_ws(" ", h, v)), " / ").alias("text"), made.alias("payload")))

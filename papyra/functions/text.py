@@ -323,3 +323,48 @@ def quality_codes(text: Column) -> Column:
     colons = F.length(value) - F.length(F.replace(value, F.lit(":"), F.lit("")))
     listed = value.rlike(COUNTING) & (colons >= 4) & ~value.rlike(r"<\s*보\s*기\s*>") & (F.regexp_count(value, F.lit(LIST_MARKER)) < 3)
     return F.array_compact(F.array(F.when(noise, "ocr_noise"), F.when(value.rlike(BROKEN_UNIT), "broken_unit"), F.when(value.rlike(DAMAGED_MARKER) | listed, "damaged_list_marker"), F.when(unbalanced(value), "unbalanced_delimiter")))
+
+
+# Categories named on a page's head, in the order in which they count.
+CATEGORIES = (("선박관제", "선박관제 9급"), ("해경학과", "해경학과"), ("일반직", "일반직공무원"), ("국민.*(?:안전처|전처)|(?:안전처|전처).*국민", "국민안전처"), ("경장", "경장"), ("순경", "순경"), ("경찰공무원", "경찰공무원"), ("해양경찰|해영경찰|H영경찰", "해양경찰 채용"))
+
+
+def page_head(text: Column, low: int = 2013, high: int = 2026) -> Column:
+    """struct<year, period, session, category> of a page's first 600 to 900 characters; year null, the others a default where nothing names them.
+
+    A year counts within low to high; its digits may be apart.
+    """
+    head = F.substring(spaced(text), 1, 700)
+    joined = F.regexp_replace(F.substring(F.coalesce(text, F.lit("")), 1, 600), f"[{SPACE}]+", "")
+    year = F.nullif(F.regexp_extract(joined, "20[012][0-9]", 0), F.lit("")).try_cast("int")
+    period = F.when(head.rlike(r"상\s*반\s*기"), "상반기").when(head.rlike(r"하\s*(?:반|만|발)\s*기"), "하반기").otherwise("")
+    found = r"제\s*([1-4])\s*(회|차|자)"
+    session = F.when(head.rlike(found), F.concat(F.lit("제"), F.regexp_extract(head, found, 1), F.when(F.regexp_extract(head, found, 2) == "회", "회").otherwise("차"))).otherwise("")
+    return F.struct(F.when(year.between(low, high), year).alias("year"), period.alias("period"), session.alias("session"), ladder(F.substring(spaced(text), 1, 900), [(f"(?s){p}", c) for p, c in CATEGORIES], "채용구분 미상").alias("category"))
+
+
+def cover(text: Column) -> Column:
+    """struct<year, session, type> of a cover, by the first pattern of each that fits; null if one of them is missing."""
+    dated = (r"(?s)(\d{4})\s*년\s*정기.*?제\s*회\s*(\d+)", r"(?s)(\d{4})\s*년\s*정기.*?제\s*(\d+)\s*회", r"년\s*정기\s*제\s*회\s*(\d{4})\s*(\d+)", r"년\s*제\s*회\s*정기시험\s*(\d{4})\s*(\d+)")
+    pick = lambda k: F.coalesce(*[F.nullif(F.regexp_extract(text, p, k), F.lit("")).try_cast("int") for p in dated])
+    graded = F.when(text.rlike(r"(\d)급\s*([가-힣]+사)"), F.concat(F.regexp_extract(text, r"(\d)급\s*([가-힣]+사)", 1), F.lit("급"), F.regexp_extract(text, r"(\d)급\s*([가-힣]+사)", 2)))
+    turned = r"급\s*([가-힣]+사)\s*(?:(?:상선|어선|국내한정|국내)\s*)?(\d)"
+    other = F.when(text.rlike(turned), F.concat(F.regexp_extract(text, turned, 2), F.lit("급"), F.regexp_extract(text, turned, 1)))
+    kind = F.when(text.contains("소형선박조종사"), "소형선박조종사").otherwise(F.coalesce(graded, other))
+    domestic = F.when(kind.contains("항해사"), F.array_join(F.array_compact(F.array(F.when(text.contains("국내"), "국내"), F.when(text.contains("상선"), "상선").when(text.contains("어선"), "어선"))), " ")).otherwise(F.when(text.contains("국내"), "국내").otherwise(""))
+    named = F.when(domestic != "", F.concat(kind, F.lit("("), domestic, F.lit(")"))).otherwise(kind)
+    return F.when(pick(1).isNotNull() & pick(2).isNotNull() & kind.isNotNull(), F.struct(pick(1).alias("year"), pick(2).alias("session"), named.alias("type")))
+
+
+# Signs of texts whose parts have lost their order.
+ARTIFACTS = (
+    r"(?:→\s*){2,}$", r"제\s+번\s+\d+\s+", r"제\s+심\s+\d+\s+", r"총톤수\s+톤.+?\s+\d+\s+", r"길이\s+미터.+?\s+\d+\s+", r"해리\s+(?:이상|이하)\s+\d+\s+", r"개의\s+\d+\s+(?:물표|마스트등|원뿔)", r"분을\s+\d+\s+넘지", r"몇\s+\d+\s+(?:회|헥토파스칼)",
+    r"시간을\s+\d+\s+초과", r"년이\s+\d+\s+경과", r"^(?:약\s+)?(?:이상|이하|미만|초과)\s*\d", r"^(?:미터|센티미터)\s+(?:이상|이하|미만|초과)\s*\d", r"(?:\]\d{1,2}\.|[가-힣]\d{1,2}\.)[0-9A-Za-z가-힣\[].+\?", r"경우에\d+(?:\.\d+)?서도",
+)
+
+
+def disordered(text: Column) -> Column:
+    """Whether a sign of lost order stands in a text, or a number glued behind a Hangul word and followed by another (law articles and 기관1-3 aside)."""
+    value = F.trim(F.coalesce(text, F.lit("")))
+    law = F.regexp_replace(value, r"제?\d+조(?:의\d+)?\s*제?\d+항|기관[1-3]\s+문제", "")
+    return (value != "") & (law.rlike(r"[가-힣]{1,8}\d+(?:,\d{3})*(?:\.\d+)?\s+[가-힣]{1,8}") | value.rlike("|".join(ARTIFACTS)))

@@ -197,3 +197,27 @@ def tag_line(tags: str) -> F.Column:
     """Tags split at commas, trimmed, each once in order, joined by commas."""
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(tags), F.lit("")), ","), lambda t: F.regexp_replace(t, f"^[{SPACE}]+|[{SPACE}]+$", "")), lambda t: t != "")
     return F.array_join(F.array_distinct(parts), ",")
+
+
+def without_fragments(questions: DataFrame, groups: DataFrame, exam: str) -> tuple[DataFrame, DataFrame]:
+    """questions (exam, number, text, choices) that have a text or a choice, and groups (exam, group, children) with their children among these; childless groups go."""
+    kept = questions.where((F.trim(F.coalesce("text", F.lit(""))) != "") | (F.coalesce(F.size("choices"), F.lit(0)) > 0))
+    members = groups.select(exam, "group", F.posexplode("children").alias("place", "number")).join(kept.select(exam, "number").distinct(), [exam, "number"], "left_semi")
+    children = members.groupBy(exam, "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "number"))), lambda x: x["number"]).alias("children"))
+    return kept, groups.drop("children").join(children, [exam, "group"])
+
+
+def migrated(rows: DataFrame, key: str, columns: list[str], change) -> tuple[DataFrame, DataFrame]:
+    """Rows as change(rows) makes them, and (key, column) of the values that differ where they must not: all columns but those named."""
+    after = change(rows)
+    fixed = [c for c in rows.columns if c not in (key, *columns)]
+    both = rows.select(key, F.struct(*fixed).alias("before"), F.lit(True).alias("was")).join(after.select(key, F.struct(*fixed).alias("after"), F.lit(True).alias("is")), key, "full")
+    lost = F.when(F.col("was").isNull() | F.col("is").isNull(), F.array(F.lit("row")))
+    differ = F.array_compact(F.array(*[F.when(~F.col("before")[c].eqNullSafe(F.col("after")[c]), F.lit(c)) for c in fixed]))
+    return after, both.select(key, F.explode(F.coalesce(lost, differ)).alias("column"))
+
+
+def boards(links: DataFrame, page: str, pattern: str) -> DataFrame:
+    """(board, document, text) of document links, the first link of each document in page order."""
+    found = links.withColumn("board", F.regexp_extract("href", pattern, 1)).withColumn("document", F.regexp_extract("href", pattern, 2)).where("document <> ''")
+    return found.groupBy("board", "document").agg(F.min(F.struct(page, "place", "text")).alias("f")).select("board", "document", "f.text")

@@ -161,3 +161,56 @@ SELECT doc_id, i - 1 AS place, TRY_CAST(n[i] AS INT) AS number, md5(trim(regexp_
 def page_segments(documents):
     found = papers.segments(documents.withColumn("page", F.lit(1)), "doc_id", "page", "text", r"([0-9]+)")
     return found.select("doc_id", "place", "number", F.md5("segment").alias("segment"))
+
+
+@query("""
+WITH q AS (SELECT l_orderkey AS exam, CAST(l_linenumber AS INT) AS number, bool_or(l_quantity > 20) AS keep FROM lineitem GROUP BY ALL), g AS (SELECT o_orderkey AS exam, 'g' || k AS grp, CASE k WHEN 1 THEN [1, 2] ELSE [5, 3, 4] END AS children FROM orders, unnest([1, 2]) t(k))
+SELECT g.exam, grp AS "group", array_to_string(list_filter(children, lambda x: list_contains(held, x)), ',') AS children FROM g JOIN (SELECT exam, list(number) FILTER (keep) AS held FROM q GROUP BY exam) h ON h.exam = g.exam WHERE list_has_any(children, held)""")
+def fragment_groups(orders, lineitem):
+    q = lineitem.groupBy(F.col("l_orderkey").alias("exam"), F.col("l_linenumber").alias("number")).agg(F.bool_or(F.col("l_quantity") > 20).alias("keep"))
+    questions = q.select("exam", "number", F.when(F.col("keep"), "t").otherwise(" ").alias("text"), F.expr("cast(array() as array<string>)").alias("choices"))
+    groups = orders.select(F.col("o_orderkey").alias("exam"), F.explode(F.array(F.struct(F.lit("g1").alias("group"), F.array(F.lit(1), F.lit(2)).alias("children")), F.struct(F.lit("g2").alias("group"), F.array(F.lit(5), F.lit(3), F.lit(4)).alias("children")))).alias("g")).select("exam", "g.*")
+    kept = B.without_fragments(questions, groups, "exam")[1]
+    return kept.select("exam", "group", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"))
+
+
+@query("SELECT p_partkey, 'source' AS column FROM (SELECT p_partkey FROM part WHERE p_size = 7) UNION ALL SELECT p_partkey, 'row' FROM part WHERE p_partkey % 97 = 0 AND p_size <> 7 UNION ALL SELECT p_partkey, 'row' FROM part WHERE p_partkey % 97 = 0 AND p_size = 7 EXCEPT SELECT p_partkey, 'source' FROM part WHERE p_partkey % 97 = 0")
+def migration_diff(part):
+    rows = part.select("p_partkey", "p_size", F.col("p_brand").alias("source"), F.col("p_name").alias("text"))
+    change = lambda df: df.where("p_partkey % 97 <> 0").withColumn("text", F.upper("text")).withColumn("source", F.when(F.col("p_size") == 7, "other").otherwise(F.col("source")))
+    return B.migrated(rows, "p_partkey", ["text"], change)[1]
+
+
+@query(r"""
+WITH h AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2 0 1 8년 상 반기 제 2 회 순경' WHEN 1 THEN '2031 하반기 제3차 해양경찰' WHEN 2 THEN 'x' ELSE '2020년 하 발기 국민 xx 안전처 ' END || ' ' || lang AS t FROM documents)
+SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 2018 WHEN 3 THEN 2020 END AS INT) AS year, CASE doc_id % 4 WHEN 0 THEN '상반기' WHEN 1 THEN '하반기' WHEN 2 THEN '' ELSE '하반기' END AS period, CASE doc_id % 4 WHEN 0 THEN '제2회' WHEN 1 THEN '제3차' ELSE '' END AS session,
+  CASE doc_id % 4 WHEN 0 THEN '순경' WHEN 1 THEN '해양경찰 채용' WHEN 2 THEN '채용구분 미상' ELSE '국민안전처' END AS category FROM h""")
+def page_heads(documents):
+    heads = ["2 0 1 8년 상 반기 제 2 회 순경", "2031 하반기 제3차 해양경찰", "x", "2020년 하 발기 국민 xx 안전처 "]
+    text = F.concat(F.get(F.array(*[F.lit(h) for h in heads]), (F.col("doc_id") % 4).cast("int")), F.lit(" "), "lang")
+    return documents.select("doc_id", X.page_head(text).alias("h")).select("doc_id", "h.*")
+
+
+@query("""
+WITH r AS (SELECT p_partkey, [[p_name, p_brand], [p_type]] AS rows FROM part)
+SELECT p_partkey, array_to_string([p_name, p_brand, p_type, ''], '|') AS full, array_to_string(['', '', p_name, p_brand, p_type], '|') AS inserted, p_type AS deleted, array_to_string([p_brand], '|') AS first_cut FROM part""")
+def table_algebra(part):
+    rows = F.array(F.array("p_name", "p_brand"), F.array("p_type"))
+    shown = lambda r: F.array_join(F.flatten(r), "|")
+    r = part.select("p_partkey", rows.alias("r"))
+    return r.select("p_partkey", shown(P.rectangular(F.col("r"))).alias("full"), shown(P.with_row(F.col("r"), F.lit(0), F.lit(2))).alias("inserted"), shown(P.without_row(F.col("r"), F.lit(0))).alias("deleted"), shown(P.without_column(F.col("r"), F.lit(0))).alias("first_cut"))
+
+
+@query("""SELECT p_partkey, '(가) ' || p_name || ' / (나) ' || p_brand AS text, '[["(가)","(나)"],["' || p_name || '","' || p_brand || '"]]' AS rows FROM part""")
+def aligned_choices(part):
+    made = P.aligned_choice(F.array(F.lit("(가)"), F.lit("(나)")), F.array("p_name", F.concat(F.lit(" "), "p_brand")))
+    return part.select("p_partkey", made.alias("a")).select("p_partkey", "a.text", F.get_json_object("a.payload", "$.tables[0].rows").alias("rows"))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="(/[^"]+)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="(/[^"]+)">([^<]*)</a>', 2) AS t FROM pages), l AS (SELECT page_id, i, h[i] AS href, t[i] AS text FROM a, unnest(range(1, len(h) + 1)) u(i))
+SELECT regexp_extract(href, '^/(.)(.+)$', 1) AS board, regexp_extract(href, '^/(.)(.+)$', 2) AS document, arg_min(text, (page_id, i)) AS text FROM l WHERE regexp_matches(href, '^/(.)(.+)$') GROUP BY 1, 2""")
+def board_documents(pages):
+    from papyra.sources import tables as S
+
+    return B.boards(S.links(pages), "page_id", "^/(.)(.+)$")

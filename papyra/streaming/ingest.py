@@ -47,3 +47,20 @@ def retry_class(codes) -> F.Column:
     """What a failed import's set of error codes asks for: nothing, a retry later, a new parse, or a look by hand."""
     one_of = lambda *names: F.size(F.array_except(codes, F.array(*[F.lit(n) for n in names]))) == 0
     return F.when(F.size(codes) == 0, "none").when(one_of("timeout", "connection"), "retry").when(one_of("question_count", "choice_count", "timeout", "connection"), "reparse").otherwise("manual")
+
+
+def ingest_new(spark: SparkSession, source: str, schema, checkpoint: str, sink: str, key: str) -> None:
+    """Like ingest(), with the keys that the sink holds read anew before each batch; the state that a stream keeps doesn't grow."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        try:
+            known = spark.read.schema(schema).parquet(sink).select(key)
+            fresh = fresh.join(known, key, "left_anti")
+        except Exception as missing:  # the sink's first batch
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+        fresh.write.mode("append").parquet(sink)
+
+    query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

@@ -99,3 +99,24 @@ def test_anchors_are_found_by_context(spark):
     for anchor, want in ((at(5, "hello", " wor"), (5, False)), (at(2, "hello", ""), (5, True)), (at(99, "", "world"), (6, True)), (at(-1, "he", "ld"), (9, True)), (at(99, "zz", "yy"), (11, True)), (at(3, "", ""), (3, False))):
         row = spark.createDataFrame([("hello world",)], "t string").select(P.anchor(F.col("t"), anchor).alias("a")).first().a
         assert (row.place, row.moved) == want
+
+
+def test_covers_and_disorder(spark):
+    df = spark.createDataFrame([("2019년 정기 시험 제 2 회 3급 항해사 국내한정 상선",), ("년 정기 제 회 2020 4 급 기관사 5",), ("소형선박조종사",), ("no cover",)], "t string")
+    got = [r.c and tuple(r.c) for r in df.select(X.cover(F.col("t")).alias("c")).collect()]
+    assert got == [(2019, 2, "3급항해사(국내 상선)"), (2020, 4, "5급기관사"), None, None]
+    texts = ["길이가12 미터인 배", "제3조제2항 기준", "법 제3조 제2항12 이상", "시간을 24 초과하여", "plain", None, "기관1 문제"]
+    flags = [r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.disordered(F.col("t")).alias("d")).collect()]
+    assert flags == [True, False, False, True, False, False, False]
+
+
+def test_ingest_without_growing_state(spark, tmp_path):
+    from papyra.streaming import ingest
+
+    source, sink, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, v string")
+    df.write.parquet(source)
+    ingest.ingest_new(spark, source, df.schema, mark, sink, "id")
+    spark.createDataFrame([(2, "b"), (3, "c")], df.schema).write.mode("append").parquet(source)
+    ingest.ingest_new(spark, source, df.schema, mark, sink, "id")
+    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2, 3]
