@@ -126,12 +126,13 @@ def nearest_templates(found: DataFrame, least: float = LEAST) -> DataFrame:
     lines = stored(found.select("id", F.explode("lines").alias("line")).withColumn("sid", F.xxhash64("line")))
     # equal statements are compared once, however many documents hold them
     distinct = stored(lines.groupBy("sid").agg(F.min("line").alias("line"), F.count("*").alias("n")))
-    tf = distinct.select("sid", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("sid", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    tf = stored(distinct.select("sid", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("sid", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n")))
     ttf = templates.select("tid", "licence", F.explode(_terms(F.col("line"))).alias("term")).groupBy("tid", "licence", "term").agg(F.count("*").alias("tf"))
     total = int(distinct.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES) + len(PASSAGES)  # one number
     df = tf.select("term", "n").union(ttf.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("n").alias("df"))
     idf = df.select("term", (1 + F.log(F.lit(1 + total) / (1 + F.col("df")))).alias("idf"))
-    weighted = stored(tf.join(idf, "term").select("sid", "term", (F.col("tf") * F.col("idf")).alias("w")))
+    # the licence words themselves stand in every statement
+    weighted = stored(looked_up(tf, idf, ["term"]).select("sid", "term", (F.col("tf") * F.col("idf")).alias("w")))
     tweighted = ttf.join(idf, "term").select("tid", "licence", "term", (F.col("tf") * F.col("idf")).alias("tw"))
     norm = weighted.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     tnorm = tweighted.groupBy("tid").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))

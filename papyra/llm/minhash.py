@@ -248,6 +248,16 @@ def _across(members: DataFrame, signed: DataFrame, bands: DataFrame, least: floa
     return dealt.drop("home", "c", "others", "main", "blocks").groupBy("key", "block").applyInPandas(run, "a long, b long").distinct()
 
 
+def _with_hubs(bands: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(key, id, hub) of the bands (id, key) that several ids share. Keys that hold a HOTth of those rows or more, HOT of them at most, meet their hub by broadcast."""
+    total = hubs.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]  # one number
+    hot = hubs.where(F.col("c") >= max(C.HOT, total / C.HOT)).select("key", "hub")
+    if not hot.limit(1).count():
+        return bands.join(hubs.drop("c"), "key").select("key", "id", "hub")
+    cold = bands.join(F.broadcast(hot.select("key")), "key", "left_anti").join(hubs.drop("c"), "key")
+    return cold.select("key", "id", "hub").union(bands.join(F.broadcast(hot), "key").select("key", "id", "hub"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest linked id, itself included), kept (it is that id).
 
@@ -260,8 +270,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     exact = live.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"))
     reps = C.stored(live.drop("d1", "d2", "bits").join(exact.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "n", *SIGNATURE]))
     bands = reps.select("id", F.explode("keys").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = C.stored(bands.join(hubs, "key").distinct())
+    hubs = C.stored(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1"))
+    members = C.stored(_with_hubs(bands, hubs).distinct())
     least = least_estimate(percent / 100)
     slim = reps.drop("keys")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().alias("p")

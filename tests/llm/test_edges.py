@@ -77,8 +77,10 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     assert got == [(i, 1) for i in range(40)] + [(50, 2), (51, None), (52, None)]
 
 
-def test_large_open_buckets_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [256, 8])
+def test_large_open_buckets_lose_no_link(spark, monkeypatch, hot):
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(common, "HOT", hot)
     r = random.Random(2)
     template = [f"t{i}" for i in range(40)]
     rows = []
