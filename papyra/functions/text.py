@@ -16,23 +16,27 @@ SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case without bracketed section labels, (a) labels, choice glyphs, dashes, white space and punctuation; null counts as empty."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern in (r"\[[^\]]*제\p{Nd}+과목[^\]]*\]", r"\(([a-z])\)", "[㉮㉯㉴㉵]", "[-‐‑‒–—−]", rf"[{SPACE}.,!?？:;·ㆍ'\"“”‘’()\[\]{{}}<>/\\]"):
-        out = F.regexp_replace(out, pattern, "")
-    return out
+    """Lower case without bracketed section labels, (a) labels, choice glyphs, dashes, white space and punctuation; null counts as empty.
+
+    Labels are looked for only where their signs occur; all single signs go in one pass.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.when(low.contains("과목"), F.regexp_replace(low, r"\[[^\]]*제\p{Nd}+과목[^\]]*\]", "")).otherwise(low)
+    out = F.when(out.contains("("), F.regexp_replace(out, r"\(([a-z])\)", "")).otherwise(out)
+    return F.regexp_replace(out, rf"[㉮㉯㉴㉵‐‑‒–—−{SPACE}.,!?？:;·ㆍ'\"“”‘’()\[\]{{}}<>/\\-]+", "")
 
 
 def numbers(text: Column) -> Column:
     """All numbers, commas between digits removed, as one comma-joined text."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<=\p{Nd}),(?=\p{Nd})", "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.when(low.contains(","), F.regexp_replace(low, r"(?<=\p{Nd}),(?=\p{Nd})", "")).otherwise(low)
     return F.array_join(F.regexp_extract_all(plain, F.lit(r"\p{Nd}+(?:\.\p{Nd}+)?"), F.lit(0)), ",")
 
 
 def negative(text: Column) -> Column:
-    """Whether a negating word, or a negating part of the text without white space, occurs."""
+    """Whether a negating word, or a negating part of the text without white space, occurs. Texts without Hangul have no such part."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    part = F.regexp_replace(low, f"[{SPACE}]+", "").rlike("|".join(NEGATIVE_PARTS))
+    part = F.when(low.rlike("[가-힣]"), F.regexp_replace(low, f"[{SPACE}]+", "").rlike("|".join(NEGATIVE_PARTS))).otherwise(F.lit(False))
     return part | low.rlike(r"(?<![\p{L}\p{N}_])(?:" + "|".join(NEGATIVE_WORDS) + r")(?![\p{L}\p{N}_])")
 
 
