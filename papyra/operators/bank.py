@@ -41,12 +41,9 @@ def registered(dims: DataFrame, names: DataFrame, name: str, code: str) -> DataF
     return dims.select(code, name).unionByName(new.select(subject_code(F.col(name)).alias(code), name))
 
 
-def exam_sheet(questions: DataFrame, section: str, order: list[str], group: str, passage: str) -> DataFrame:
-    """Questions numbered from 1 across sections in order, and the passage where it is printed: before the first question of each run of a group in a section.
-
-    An exam is small: its questions meet in one window.
-    """
-    w = Window.orderBy(section, *order)
+def exam_sheet(questions: DataFrame, exam: str, section: str, order: list[str], group: str, passage: str) -> DataFrame:
+    """Each exam's questions numbered from 1 across its sections in order, and the passage where it is printed: before the first question of each run of a group in a section."""
+    w = Window.partitionBy(exam).orderBy(section, *order)
     numbered = questions.withColumn("display_number", F.row_number().over(w).cast("long"))
     before = F.lag(F.struct(section, group)).over(w)
     first = F.col(group).isNotNull() & ~before.eqNullSafe(F.struct(section, group))
@@ -221,3 +218,22 @@ def boards(links: DataFrame, page: str, pattern: str) -> DataFrame:
     """(board, document, text) of document links, the first link of each document in page order."""
     found = links.withColumn("board", F.regexp_extract("href", pattern, 1)).withColumn("document", F.regexp_extract("href", pattern, 2)).where("document <> ''")
     return found.groupBy("board", "document").agg(F.min(F.struct(page, "place", "text")).alias("f")).select("board", "document", "f.text")
+
+
+def route(mounts: list[dict], mount: str | None = None, domain: str | None = None) -> str:
+    """The mount that a change goes to: a known row's own; for a new one user_workspace, else the domain's "user", else the sole writable one; an error if none fits.
+
+    read_only keeps new rows out; a known row's mount takes its change whatever the flag, as the flag is one of reading.
+    """
+    if mount is not None:
+        if mount not in [m["id"] for m in mounts]:
+            raise ValueError(f"no mount {mount}")
+        return mount
+    writable = [m for m in mounts if not m.get("read_only")]
+    for wanted in (lambda m: m["id"] == "user_workspace", lambda m: m.get("domain") == (domain or "user")):
+        found = [m["id"] for m in writable if wanted(m)]
+        if found:
+            return found[0]
+    if len(writable) != 1:
+        raise ValueError("no mount takes new rows")
+    return writable[0]["id"]

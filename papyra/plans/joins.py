@@ -199,11 +199,11 @@ def file_associations(documents, labels):
 
 @query("""
 SELECT o_orderkey, l_linenumber, c_name, n_name, p_name, coalesce(s_name, 'none') AS s_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
-LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 WHERE o_orderstatus = 'P' ORDER BY o_orderkey, l_linenumber, p_name, c_name, s_name LIMIT 200""")
+LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 WHERE o_orderstatus = 'P' ORDER BY o_orderkey, l_linenumber, p_name, c_name, s_name""")
 def quiz_rows(lineitem, orders, customer, nation, part, supplier):
     star = lineitem.join(orders.where("o_orderstatus = 'P'"), F.expr("l_orderkey = o_orderkey")).join(customer, F.expr("o_custkey = c_custkey")).join(nation, F.expr("c_nationkey = n_nationkey")).join(part, F.expr("l_partkey = p_partkey"))
     out = star.join(supplier.where("s_acctbal > 0"), F.expr("l_suppkey = s_suppkey"), "left").select("o_orderkey", "l_linenumber", "c_name", "n_name", "p_name", F.coalesce("s_name", F.lit("none")).alias("s_name"))
-    return out.orderBy("o_orderkey", "l_linenumber", "p_name", "c_name", "s_name").limit(200)
+    return out.orderBy("o_orderkey", "l_linenumber", "p_name", "c_name", "s_name")
 
 
 @query("""

@@ -65,12 +65,13 @@ def normalized_tables(part):
 
 
 @query("""
-WITH d AS (SELECT doc_id, text, CAST(doc_id % 40 AS INT) AS o, text[CAST(doc_id % 40 AS INT) - 2:CAST(doc_id % 40 AS INT)] AS b FROM documents WHERE length(text) > 60 AND doc_id % 40 > 5)
-SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN o WHEN strpos(text, b) > 0 THEN strpos(text, b) - 1 + length(b) ELSE length(text) END AS BIGINT) AS place, doc_id % 2 <> 0 AS moved FROM d""")
+WITH d AS (SELECT doc_id, text, CAST(least(3 + doc_id % 40, length(text)) AS INT) AS o FROM documents), b AS (SELECT *, text[greatest(o - 2, 1):o] AS b FROM d)
+SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN o WHEN b <> '' AND strpos(text, b) > 0 THEN strpos(text, b) - 1 + length(b) ELSE length(text) END AS BIGINT) AS place, doc_id % 2 <> 0 AS moved FROM b""")
 def table_anchors(documents):
-    d = documents.where("length(text) > 60 and doc_id % 40 > 5").withColumn("o", F.expr("cast(doc_id % 40 as int)"))
+    d = documents.withColumn("o", F.expr("cast(least(3 + doc_id % 40, length(text)) as int)"))
     offset = F.when(F.expr("doc_id % 2 = 0"), F.col("o")).otherwise(F.lit(-1))
-    at = F.struct(offset.alias("offset"), F.substring("text", F.col("o") - 2, F.lit(3)).alias("before_context"), F.lit("").alias("after_context"))
+    first = F.greatest(F.col("o") - 2, F.lit(1))
+    at = F.struct(offset.alias("offset"), F.substring("text", first, F.col("o") - first + 1).alias("before_context"), F.lit("").alias("after_context"))
     return d.select("doc_id", P.anchor(F.col("text"), at).alias("a")).select("doc_id", F.col("a.place").cast("long").alias("place"), "a.moved")
 
 

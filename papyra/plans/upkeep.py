@@ -26,10 +26,12 @@ def saved_rows(customer):
     return out.crossJoin(F.broadcast(top)).select("k", F.round("v", 2).alias("v"), "note", F.when(F.col("id") > F.col("top"), -1).otherwise(F.col("id")).alias("id"))  # a single row
 
 
-@query("SELECT row_number() OVER (ORDER BY conv_id, turn) AS display_number, conv_id, turn, CASE WHEN role IS DISTINCT FROM lag(role) OVER (ORDER BY conv_id, turn) OR conv_id IS DISTINCT FROM lag(conv_id) OVER (ORDER BY conv_id, turn) THEN 'P' || role END AS printed FROM conversations WHERE conv_id < 10")
+@query("""
+WITH q AS (SELECT *, turn // 4 AS section FROM conversations)
+SELECT row_number() OVER w AS display_number, conv_id, turn, CASE WHEN role IS DISTINCT FROM lag(role) OVER w OR section IS DISTINCT FROM lag(section) OVER w THEN 'P' || role END AS printed FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY section, turn)""")
 def exam_sheet(conversations):
-    rows = conversations.where("conv_id < 10").withColumn("passage", F.concat(F.lit("P"), "role"))
-    return B.exam_sheet(rows, "conv_id", ["turn"], "role", "passage").select("display_number", "conv_id", "turn", "printed")
+    rows = conversations.withColumn("passage", F.concat(F.lit("P"), "role")).withColumn("section", F.expr("turn div 4"))
+    return B.exam_sheet(rows, "conv_id", "section", ["turn"], "role", "passage").select("display_number", "conv_id", "turn", "printed")
 
 
 @query("""

@@ -120,3 +120,33 @@ def test_ingest_without_growing_state(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c")], df.schema).write.mode("append").parquet(source)
     ingest.ingest_new(spark, source, df.schema, mark, sink, "id")
     assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2, 3]
+
+
+def test_sqlite_tables_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    import sqlite3
+
+    from papyra.sources import sqlite
+
+    path = str(tmp_path / "bank.db")
+    with sqlite3.connect(path) as con:
+        con.execute('CREATE TABLE "q s" (id INTEGER PRIMARY KEY, text TEXT, score REAL, raw BLOB, odd INT)')
+        con.executemany('INSERT INTO "q s" VALUES (?, ?, ?, ?, ?)', [(i, f"t{i}" if i % 3 else None, i / 2, b"x", "no number" if i == 5 else i) for i in range(1, 26)])
+        con.execute("CREATE TABLE none (a TEXT)")
+        con.execute("CREATE TABLE keyed (a TEXT PRIMARY KEY, b INT) WITHOUT ROWID")
+        con.execute("INSERT INTO keyed VALUES ('k', 1)")
+    monkeypatch.setattr(sqlite.SqliteReader, "ROWS", 10)
+    df = sqlite.table(spark, path, "q s")
+    assert df.dtypes == [("id", "bigint"), ("text", "string"), ("score", "double"), ("raw", "binary"), ("odd", "bigint")]
+    got = {r.id: r for r in df.collect()}
+    assert len(got) == 25 and got[3].text is None and got[4].score == 2.0 and got[5].odd is None and got[6].odd == 6
+    assert sqlite.table(spark, path, "none").count() == 0 and sqlite.table(spark, path, "keyed").first().b == 1
+    assert sqlite.tables(path) == ["keyed", "none", "q s"]
+
+
+def test_changes_go_to_their_mount():
+    mounts = [{"id": "a", "domain": "law", "read_only": True}, {"id": "b", "domain": "user"}, {"id": "c", "domain": "law"}]
+    assert B.route(mounts, "a") == "a" and B.route(mounts) == "b" and B.route(mounts, domain="law") == "c" and B.route([*mounts, {"id": "user_workspace"}]) == "user_workspace"
+    with pytest.raises(ValueError):
+        B.route(mounts, "z")
+    with pytest.raises(ValueError):
+        B.route([mounts[0]])
