@@ -101,19 +101,28 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
     def run(batches):
         import pyarrow as pa
 
-        columns, parts = [], []
+        # features stay in the few large arrays that they come in; a text's rows are views of them
+        columns, chunks, at = [], [], 0
         for batch in batches:
-            cuts = batch.column(3).offsets.to_numpy()
-            parts += np.split(batch.column(3).flatten().to_numpy().copy(), (cuts[1:-1] - cuts[0])) if len(batch) else []
-            columns.append(np.stack([batch.column(k).to_numpy().astype(np.int64) for k in (0, 4, 1, 2)]))
+            if len(batch):
+                flat, cuts = batch.column(3).flatten().to_numpy().copy(), batch.column(3).offsets.to_numpy().astype(np.int64)
+                cuts = cuts - cuts[0] + at
+                columns.append(np.stack([*(batch.column(k).to_numpy().astype(np.int64) for k in (0, 4, 1, 2)), cuts[:-1], cuts[1:], np.full(len(batch), len(chunks))]))
+                chunks.append((at, flat))
+                at += len(flat)
         rows = []
-        if parts:
-            rank, label_, row, piece = np.concatenate(columns, axis=1)
+        if chunks:
+            rank, label_, row, piece, start, stop, chunk = np.concatenate(columns, axis=1)
             order = np.lexsort((piece, row, label_, rank))
             begins = np.flatnonzero(piece[order] == 0)
             for x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(order)]):
-                rows.append((np.concatenate([parts[k] for k in order[x:y]]), int(label_[order[x]])))
-            del parts, columns
+                own = order[x:y]
+                first, flat = chunks[chunk[own[0]]]
+                if (chunk[own] == chunk[own[0]]).all() and (start[own[1:]] == stop[own[:-1]]).all():
+                    text_at = flat[start[own[0]] - first : stop[own[-1]] - first]
+                else:  # its rows came in two batches
+                    text_at = np.concatenate([chunks[chunk[k]][1][start[k] - chunks[chunk[k]][0] : stop[k] - chunks[chunk[k]][0]] for k in own])
+                rows.append((text_at, int(label_[own[0]])))
         model = Ftrl(1 << SPACE_BITS)
         if rows:
             for _ in range(EPOCHS):
