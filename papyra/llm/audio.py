@@ -150,7 +150,7 @@ def recorded(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(batch.num_columns)), *columns], names=[*batch.schema.names, *made_names])
 
     schema = C.extended(docs.schema, "{} binary, {} binary, {} array<struct<begin:double,end:double>>, {} array<double>".format(*made_names))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.frugal(run), schema)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:

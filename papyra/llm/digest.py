@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "papyra_finger
             made = [encoded(codes(data[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, C.extended(docs.schema, f"{name} string"))
+    return docs.mapInArrow(C.frugal(run), C.extended(docs.schema, f"{name} string"))
 
 
 #: Code points of a range part, about.
@@ -140,7 +140,7 @@ def compared(docs: DataFrame) -> DataFrame:
         if held:
             yield batched([(held[0], *[None] * 6, part, first, held[1])])
 
-    made = C.stored(ranged.mapInArrow(run, f"{_DDL}, part long, first string, last string"))
+    made = C.stored(ranged.mapInArrow(C.frugal(run), f"{_DDL}, part long, first string, last string"))
     # one row a range, of numbers alone, in one window; the texts meet in a join
     numbers = made.where("part is not null").select("part")
     following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
@@ -157,5 +157,5 @@ def compared(docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=list(_RESULT))
 
-    out = made.where("part is null").select(*_RESULT).union(edges.mapInArrow(close, _DDL))
+    out = made.where("part is null").select(*_RESULT).union(edges.mapInArrow(C.frugal(close), _DDL))
     return out.select(*[F.lower(F.hex(c)).alias(c) if c in _BYTES else F.col(c) for c in _RESULT])

@@ -274,7 +274,7 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
                 lists = [pa.array([[b[k] for b in f] for f in found], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), *lists], names=["page_id", "url", "host", "place", "zones", "texts"])
 
-    parsed = C.stored(rows.mapInArrow(parse, "page_id long, url string, host long, place long, zones array<int>, texts array<string>"))
+    parsed = C.stored(rows.mapInArrow(C.frugal(parse), "page_id long, url string, host long, place long, zones array<int>, texts array<string>"))
     is_open = F.array_contains("zones", OPEN)
     main = F.array_join(F.transform(F.filter(F.arrays_zip("zones", "texts"), lambda b: b["zones"] == MAIN), lambda b: b["texts"]), " ")
     done = lambda df, text: df.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
@@ -317,11 +317,11 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
         return run
 
     shape = parsed.select("place", "host", "zones", "texts")
-    opens = C.stored(shape.where(is_open).mapInArrow(held("opens"), "hash long, places array<long>"))
+    opens = C.stored(shape.where(is_open).mapInArrow(C.frugal(held("opens")), "hash long, places array<long>"))
     slots = opens.select(F.col("hash").bitwiseAND(MAP_BITS - 1).alias("slot")).groupBy(F.shiftright("slot", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(slot & 7 as int)))").alias("bits")).toArrow()
     bits = np.zeros(MAP_BITS >> 3, np.uint8)
     bits[slots["byte"].to_numpy()] = slots["bits"].to_numpy()  # MAP_BITS / 8 rows at most
-    others = shape.mapInArrow(held("others", pages.sparkSession.sparkContext.broadcast(bits)), "hash long, places array<long>")
+    others = shape.mapInArrow(C.frugal(held("others", pages.sparkSession.sparkContext.broadcast(bits))), "hash long, places array<long>")
     counted = opens.select("hash", F.size("places").alias("n"), F.lit(1).alias("open")).union(others.select("hash", F.size("places"), F.lit(0))).groupBy("hash").agg(F.sum("n").alias("n"), F.max("open").alias("open"))
     often = counted.where((F.col("n") >= LEAST_PAGES) & (F.col("open") == 1)).select("hash")
     by_page = opens.join(often, "hash").select("hash", F.explode("places").alias("place")).groupBy("place").agg(F.collect_list("hash").alias("often"))
@@ -334,4 +334,4 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
             found = [Stream(z, t, h).text(np.array(o or [], np.int64)) for h, z, t, o in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
-    return closed.union(done(joined.mapInArrow(finish, "page_id long, url string, text string"), F.col("text")))
+    return closed.union(done(joined.mapInArrow(C.frugal(finish), "page_id long, url string, text string"), F.col("text")))

@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *signed, lists, maps], names=["id", "n", "d1", "d2", *SIGNATURE, "keys", "bits"])
 
     schema = "id long, n long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", keys array<long>, bits binary"
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(C.frugal(run), schema)
 
 
 def sets_of(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,7 +113,7 @@ def sets_of(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text"
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "members"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, members array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(C.frugal(run), "id long, members array<long>")
 
 
 def least_estimate(threshold: float) -> float:
@@ -243,6 +243,8 @@ def _across(members: DataFrame, signed: DataFrame, bands: DataFrame, least: floa
                 if len(other):
                     found.append(np.stack([np.minimum(other, ids[a]), np.maximum(other, ids[a])], 1))
         out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        if len(ids) >= BLOCK:
+            C.give_back()
         return pd.DataFrame(out, columns=["a", "b"])
 
     return dealt.drop("home", "c", "others", "main", "blocks").groupBy("key", "block").applyInPandas(run, "a long, b long").distinct()

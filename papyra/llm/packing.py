@@ -80,7 +80,7 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array(n), pa.array(np.arange(place, place + len(n)))], names=["doc_id", "ids", "n_tokens", "place"])
             place += len(n)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long, place long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(C.frugal(run), "doc_id long, ids binary, n_tokens long, place long")
 
 
 def frequencies(ids: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def frequencies(ids: DataFrame) -> DataFrame:
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], names=["token", "df"])
 
-    return ids.select("ids").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    return ids.select("ids").mapInArrow(C.frugal(run), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
 
 
 class Shard:
@@ -191,7 +191,7 @@ def dealt_by_content(ids: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
                 k = keyed_by.value.keys([np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(k[0].astype(np.int32)), pa.array(k[1].astype(np.int32)), batch.column(1)], names=["k0", "k1", "load"])
 
-    keyed = C.stored(ids.select("ids", F.col("n_tokens") + ROW_TOKENS).mapInArrow(keys, "k0 int, k1 int, load long"))
+    keyed = C.stored(ids.select("ids", F.col("n_tokens") + ROW_TOKENS).mapInArrow(C.frugal(keys), "k0 int, k1 int, load long"))
 
     def summed(rows: DataFrame, size: int) -> np.ndarray:
         out = np.zeros(size, np.int64)
@@ -212,7 +212,7 @@ def dealt_by_content(ids: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
         seen = np.flatnonzero(load)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(load[seen])], names=["bin", "load"])
 
-    shards = max(1, deal.fill(summed(keyed.mapInArrow(bins, "bin long, load long"), int(deal.first[-1]))))
+    shards = max(1, deal.fill(summed(keyed.mapInArrow(C.frugal(bins), "bin long, load long"), int(deal.first[-1]))))
     filled_by = context.broadcast(deal)
 
     def dealt(batches):
@@ -224,7 +224,7 @@ def dealt_by_content(ids: DataFrame, idf: np.ndarray) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found.astype(np.int32))], names=["doc_id", "ids", "n_tokens", "place", "shard"])
 
     hashed = ids.select("doc_id", "ids", "n_tokens", "place", F.xxhash64("doc_id", "n_tokens", "place").alias("hash"))
-    return hashed.mapInArrow(dealt, "doc_id long, ids binary, n_tokens long, place long, shard int"), shards
+    return hashed.mapInArrow(C.frugal(dealt), "doc_id long, ids binary, n_tokens long, place long, shard int"), shards
 
 
 def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float):
@@ -319,7 +319,7 @@ def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         if held:
             yield from packed_shard(now, names, held)
 
-    return dealt.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(C.frugal(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:

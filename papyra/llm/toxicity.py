@@ -134,8 +134,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(w[kept], model.bias()))], names=["coordinate", "weight"])
 
     # features are hashed on all executors; the few rows then meet in one task, as training is sequential
-    dealt = picked.repartition(64).mapInArrow(hashed, "rank long, row long, piece long, at array<int>, label int")
-    return dealt.repartition(1).mapInArrow(run, "coordinate long, weight double")
+    dealt = picked.repartition(64).mapInArrow(C.frugal(hashed), "rank long, row long, piece long, at array<int>, label int")
+    return dealt.repartition(1).mapInArrow(C.frugal(run), "coordinate long, weight double")
 
 
 def scored(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "papyra_score") -> DataFrame:
@@ -168,7 +168,7 @@ def scored(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
     schema = C.extended(docs.schema, f"{name} double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.frugal(run), schema)
 
 
 def held_out(key) -> F.Column:
