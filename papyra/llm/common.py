@@ -98,11 +98,9 @@ def frugal(run):
 
 def give_back() -> None:
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
