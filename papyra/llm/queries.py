@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, digest, divergence, html, licences, minhash, mixing, packing, pii, secrets, toxicity
+from . import audio, digest, divergence, html, licences, minhash, mixing, packing, phrases, pii, secrets, toxicity
 from .common import table
 
 
@@ -65,10 +65,14 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_mix, op2_pii, op3_minhash, op4_licences, op5_toxicity, op6_packing, op7_fingerprints, op8_secrets, op9_html, op10_audio, op11_divergence)
+    own = (op1_mix, op2_pii, op3_minhash, op4_licences, op5_toxicity, op6_packing, op7_fingerprints, op8_secrets, op9_html, op10_audio, op11_divergence, op12_collocations)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -145,6 +149,34 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 100),
+inner_ AS (SELECT lang, k, a, w, unnest(range(2, k)) AS m FROM candidates),
+held AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM inner_) GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, unnest(range(1, c.k)) AS j, c.w, c.k
+  FROM candidates c LEFT JOIN held h ON h.lang = c.lang AND h.phrase = c.phrase WHERE h.most IS NULL OR 100 * h.most < 100 * c.a),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, x.a AS l, y.a AS r, n.n, (1000 * c.a * n.n) // (x.a * y.a) AS score
+  FROM cuts c JOIN n ON n.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1 : c.k], ' ')),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM worst WHERE nth = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": MIX_SQL, "op3_minhash": MINHASH_SQL, "op11_divergence": DIVERGENCE_SQL}
+    return {"op1_mix": MIX_SQL, "op3_minhash": MINHASH_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_collocations": COLLOCATIONS_SQL}
