@@ -25,8 +25,8 @@ from . import common as C
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Bytes of text for each cell of the sketch (about eight phrases), cells of a block (2 to this power).
 CELL_BYTES, BLOCK_BITS = 16, 16
-#: Cells of one bitmap (2 to this power: 32 MB), and bytes of the phrases of one automaton.
-BITMAP_BITS, SHARD_BYTES = 28, 2_000_000
+#: Cells of one bitmap (2 to this power: 32 MB), and bytes of the phrases of one automaton (25 bytes of memory each).
+BITMAP_BITS, SHARD_BYTES = 28, 5_000_000
 #: Entries that a task holds before it hands them on.
 HELD = 4_000_000
 
@@ -276,7 +276,7 @@ def counted(docs: DataFrame, names: DataFrame, least: int = LEAST) -> DataFrame:
     dealt = C.stored(names.select("phrase").distinct().withColumn("shard", F.pmod(F.xxhash64(F.substring_index("phrase", " ", 1)), F.lit(shards))))
     parts = []
     for shard, own in sorted(dealt.groupBy("shard").agg(F.sum(F.octet_length("phrase") + 2)).collect()):
-        pieces = 1 + own // (2 * SHARD_BYTES)  # a frequent first word's phrases part further
+        pieces = 1 + own * 2 // (3 * SHARD_BYTES)  # a frequent first word's phrases part further
         for piece in range(pieces):
             rows = dealt.where((F.col("shard") == shard) & (F.pmod(F.xxhash64("phrase"), F.lit(pieces)) == piece)).select(F.col("phrase").cast("binary"))
             phrases = sorted(bytes(r[0]) for r in rows.toLocalIterator())
