@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, digest, divergence, html, licences, minhash, mixing, packing, phrases, pii, secrets, toxicity
+from . import audio, digest, divergence, html, languages, licences, minhash, mixing, packing, phrases, pii, secrets, toxicity
 from .common import table
 
 
@@ -18,6 +18,13 @@ def rank_file() -> str:
     return os.environ.get("PAPYRA_BPE") or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def piece_file() -> str:
+    """The pieces of piece_bpe_32k.model; PAPYRA_PIECES names another file."""
+    import public_tokenizers
+
+    return os.environ.get("PAPYRA_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -69,10 +76,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(table(spark, sf_dir, "documents"), languages.pieces_of(piece_file()))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_mix, op2_pii, op3_minhash, op4_licences, op5_toxicity, op6_packing, op7_fingerprints, op8_secrets, op9_html, op10_audio, op11_divergence, op12_collocations)
+    own = (op1_mix, op2_pii, op3_minhash, op4_licences, op5_toxicity, op6_packing, op7_fingerprints, op8_secrets, op9_html, op10_audio, op11_divergence, op12_collocations, op13_languages)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
