@@ -142,16 +142,25 @@ def question_type(value: Column) -> Column:
     return F.when(F.lower(F.trim(F.coalesce(value, F.lit("")))).isin("descriptive", "subjective", "essay", "written"), "descriptive").otherwise("multiple_choice")
 
 
-def choice_marker(number: Column, style: str) -> Column:
-    """The n-th marker of a style: digits, letters or circled digits; null beyond ten."""
-    marks = {"digit": [str(n) for n in range(1, 11)], "letter": [chr(96 + n) for n in range(1, 11)], "circled": [chr(0x2460 + n) for n in range(10)]}[style]
-    return F.get(F.array(*[F.lit(m) for m in marks]), number - 1)
+# Markers of the choices 1, 2, ... by style.
+MARKERS = {"legacy_korean": "㉮㉯㉴㉵⑤", "circled_number": "①②③④⑤⑥⑦⑧⑨⑩"}
+
+
+def choice_marker(number: Column, style: str | None = "legacy_korean", fallback: Column | None = None) -> Column:
+    """The marker of a choice's number; any other style counts as legacy_korean.
+
+    A number without a marker is the fallback or else itself as text; what is no whole number (null, text) is the fallback or else empty.
+    """
+    marks = MARKERS.get(style, MARKERS["legacy_korean"])
+    whole = number.try_cast("int")
+    other = F.nullif(F.coalesce(fallback, F.lit("")), F.lit("")) if fallback is not None else F.lit(None).cast("string")
+    mark = F.get(F.array(*[F.lit(m) for m in marks]), whole - 1)
+    return F.when(whole.isNull(), F.coalesce(other, F.lit(""))).otherwise(F.coalesce(mark, other, whole.cast("string")))
 
 
 def safe_stem(name: Column, most: int = 80) -> Column:
-    """A file stem: what is no letter, digit, point, underline or dash is one underline, trimmed, cut at `most`; "file" if nothing is left."""
-    out = F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{N}._-]+", "_"), r"^[._]+|[._]+$", ""), 1, most)
-    return F.when(out == "", "file").otherwise(out)
+    """A path part: each sign but letters, digits, dash and underline is an underline, cut at `most`. Null gives an empty part."""
+    return F.substring(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{N}_-]", "_"), 1, most)
 
 
 def title_date(title: Column) -> Column:
@@ -243,7 +252,7 @@ def label(text: Column) -> Column:
 
 
 def no_text_case(raw: Column, clean: Column, images: Column, questions: Column, choices: Column) -> Column:
-    """Why a document gave no text, by its counts."""
+    """Why a document gave no text, by its counts. Classes and limits are fixed values."""
     return (
         F.when(clean > 0, "has_clean_text")
         .when((raw == 0) & (images > 0), "ocr_required")
@@ -270,7 +279,7 @@ def document_role(path: Column, question_marks: Column, choice_marks: Column, an
 
 
 def error_class(error: Column) -> Column:
-    """The class of an error message."""
+    """The class of an error message. Words and classes are fixed values."""
     value = spaced(error)
     low = F.lower(value)
     has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.operators.ordered import evenly_spaced
+from papyra.sources.scratch import stored
+
 #: Weights of the priority score and its buckets.
 WEIGHTS = (0.50, 0.30, 0.20)
 BUCKETS = ((0.75, "first"), (0.55, "high"), (0.35, "middle"))
@@ -70,7 +73,7 @@ def topic_matrix(rows: DataFrame) -> DataFrame:
 def topic_priority(rows: DataFrame) -> DataFrame:
     """Topics weighted by the percentiles of their counts, of their recent counts, and by their risk, in four buckets."""
     valid = _recent(rows).where("l1 <> 'unknown'")
-    per = valid.groupBy("l1", "l2", "l3").agg(F.count("*").alias("total_count"), F.count_if("recent").alias("recent_count"), F.avg("risk").alias("mean_risk")).withColumn("topic", F.struct("l1", "l2", "l3"))
+    per = stored(valid.groupBy("l1", "l2", "l3").agg(F.count("*").alias("total_count"), F.count_if("recent").alias("recent_count"), F.avg("risk").alias("mean_risk")).withColumn("topic", F.struct("l1", "l2", "l3")))  # a row a topic
     f = percentile_map(per, "topic", "total_count").select("topic", F.col("percentile").alias("f"))
     r = percentile_map(per, "topic", "recent_count").select("topic", F.col("percentile").alias("r"))
     out = per.join(f, "topic").join(r, "topic").withColumn("x", WEIGHTS[0] * F.col("f") + WEIGHTS[1] * F.col("r") + WEIGHTS[2] * F.col("mean_risk"))
@@ -89,22 +92,4 @@ def most_common(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
 
 def spot_check(rows: DataFrame, order: list[str], share: float = 0.05, least: int = 10) -> DataFrame:
     """`share` of the rows, `least` at least, evenly spaced in the given order, first and last included. Places come from ranges of the first order column."""
-    numbered = numbered_by(rows, order).withColumnRenamed("number", "place")
-    total = rows.agg(F.count("*").alias("total"), F.greatest(F.lit(least), F.ceil(F.count("*") * share)).alias("wanted"))
-    all_ = numbered.crossJoin(F.broadcast(total))  # a single row
-    # place p is wanted if some i of 0 .. wanted - 1 rounds to it
-    step = (F.col("total") - 1) / F.greatest(F.col("wanted") - 1, F.lit(1))
-    near = F.floor((F.col("place") - 1) / step + 0.5)
-    hit = (near >= 0) & (near < F.col("wanted")) & (F.round(near * step) == F.col("place") - 1)
-    return all_.where((F.col("total") <= F.col("wanted")) | hit).drop("total", "wanted")
-
-
-def numbered_by(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """rows numbered from 1 in a total order: dealt to ranges of the first order column, which is a number, then offset by the ranges' counts."""
-    first = order[0]
-    cuts = rows.agg(F.percentile_approx(first, [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("cuts"))
-    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(first)))).drop("cuts")  # a single row
-    before = dealt.groupBy("range").agg(F.count("*").alias("c"))
-    before = before.select("range", F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
-    return dealt.join(F.broadcast(before), "range").withColumn(name, (F.col("before") + inside).cast("long")).drop("range", "before")  # RANGES rows
+    return evenly_spaced(rows, order, share, least, "place")

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import SPACE, subject_code
-from papyra.operators.relational import remapped
+from papyra.operators.ordered import numbered
 from papyra.sources.scratch import stored
 
 
 def saved(base: DataFrame, incoming: DataFrame, keys: list[str], key: str = "id", keep: list[str] = ()) -> DataFrame:
-    """Base with incoming rows replaced or added by natural key; new rows get dense ids behind the largest one.
+    """Base with incoming rows replaced or added by natural key; new rows get dense ids behind the largest one, in key order.
 
     The last of repeated incoming keys counts (order: their column seq). Columns in keep hold the old value where the new one is null. Columns are base's.
+    A key with a null part is like no other: base's rows of it stay, and incoming ones of it are one new row.
     """
     rest = [c for c in base.columns if c not in (key, *keys)]
     last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("papyra_new"))
@@ -29,9 +30,7 @@ def saved(base: DataFrame, incoming: DataFrame, keys: list[str], key: str = "id"
     known, new = merged.where(F.col(key).isNotNull()), merged.where(F.col(key).isNull())
     if not new.limit(1).count():
         return known.select(*base.columns)
-    hashed = stored(new.withColumn("papyra_h", F.shiftright(F.xxhash64(*keys), 1)))
-    ids = remapped(hashed, "papyra_h", top + 1)
-    named = hashed.join(ids.withColumnRenamed("old_id", "papyra_h"), "papyra_h").withColumn(key, F.col("new_id"))
+    named = numbered(new.drop(key), keys, key, top + 1)
     return known.select(*base.columns).unionByName(named.select(*base.columns))
 
 
@@ -65,11 +64,17 @@ def portable(rows: DataFrame, column: str, mapping: DataFrame, path: str, stored
 
 
 def portable_payloads(rows: DataFrame, key: str, payload: str, mapping: DataFrame, path: str, stored_as: str) -> DataFrame:
-    """Rows whose payloads' image_path values are mapped. Values are exploded, joined by path, and put back by place; a payload's own text stays otherwise."""
-    pattern = r'("image_path"\s*:\s*")((?:[^"\\]|\\.)*)'
-    refs = rows.select(key, F.posexplode(F.regexp_extract_all(payload, F.lit(pattern), F.lit(2))).alias("place", path)).join(mapping.select(path, F.col(stored_as).alias("to")), path, "left")
-    per = refs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("to", path).alias("to")))), lambda x: x["to"]).alias("papyra_to"))
-    pieces = F.split(F.col(payload), r'(?<="image_path":")(?:[^"\\]|\\.)*(?=")', -1)
+    """Rows whose payloads' image_path values are mapped, however the JSON is spaced; a payload's own text stays otherwise.
+
+    Values are exploded as JSON strings, joined by path, and put back by place, behind a control sign that JSON has no other use for.
+    """
+    pattern = r'("image_path"\s*:\s*")((?:[^"\\]++|\\.)*+)'
+    decoded = F.get(F.from_json(F.concat(F.lit('["'), "papyra_raw", F.lit('"]')), "array<string>"), F.lit(0))
+    encoded = F.regexp_extract(F.to_json(F.array("to")), r'(?s)^\["(.*)"\]$', 1)
+    refs = rows.select(key, F.posexplode(F.regexp_extract_all(payload, F.lit(pattern), F.lit(2))).alias("place", "papyra_raw")).withColumn(path, decoded)
+    refs = refs.join(mapping.select(path, F.col(stored_as).alias("to")), path, "left").withColumn("to", F.when(F.col("to").isNotNull(), encoded).otherwise(F.col("papyra_raw")))
+    per = refs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "to"))), lambda x: x["to"]).alias("papyra_to"))
+    pieces = F.split(F.regexp_replace(payload, pattern, "$1\x01"), "\x01", -1)
     rebuilt = F.array_join(F.zip_with(pieces, F.concat("papyra_to", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return rows.join(per, key, "left").withColumn(payload, F.when(F.size(pieces) == F.size("papyra_to") + 1, rebuilt).otherwise(F.col(payload))).drop("papyra_to").select(*rows.columns)
 
@@ -107,9 +112,9 @@ def crawled(start: DataFrame, links: DataFrame, page: str, target: str, most_pag
 
 
 def paginated(links: DataFrame, page: str, href: str, pattern: str) -> DataFrame:
-    """(page, number, href) of pagination links, by number, each once."""
+    """(page, number, href) of pagination links, each number once, with the last of its links (order: the column place; links of one place by href)."""
     number = F.regexp_extract(href, pattern, 1).try_cast("int")
-    return links.withColumn("number", number).where("number >= 1").groupBy(page, "number").agg(F.min(href).alias(href))
+    return links.withColumn("number", number).where("number >= 1").groupBy(page, "number").agg(F.max_by(href, F.struct("place", href)).alias(href))
 
 
 def manifest_with(path: str, mounts: list[dict]) -> None:

@@ -68,14 +68,15 @@ def in_cells(points: DataFrame, xs: list[float], ys: list[float]) -> DataFrame:
 
 
 def first_prefix(rows: DataFrame, text: str, rules: DataFrame, prefix: str, order: str) -> DataFrame:
-    """Rows with the first rule, in order, whose prefix their text begins with, null if there is none. Rows meet rules on prefixes of the lengths that occur."""
+    """Rows with the first rule, in order, whose prefix their text begins with, null if there is none. Rows meet rules on prefixes of the lengths that occur; repeated rows stay."""
     sizes = F.array_distinct(F.collect_list(F.length(prefix)))
     lengths = rules.agg(sizes.alias("papyra_sizes"))
-    cut = rows.crossJoin(F.broadcast(lengths)).withColumn(prefix, F.explode_outer(F.transform("papyra_sizes", lambda n: F.substring(F.col(text), F.lit(1), n))))  # a single row
+    own = rows.select(F.monotonically_increasing_id().alias("papyra_row"), F.struct(*rows.columns).alias("papyra_own"), F.col(text).alias("papyra_text"))
+    cut = own.crossJoin(F.broadcast(lengths)).withColumn(prefix, F.explode_outer(F.transform("papyra_sizes", lambda n: F.substring("papyra_text", F.lit(1), n))))  # a single row
     rest = [c for c in rules.columns if c != prefix]
     hit = cut.join(rules, prefix, "left")
-    keys = rows.columns
-    return hit.groupBy(*keys).agg(F.min(F.when(F.col(order).isNotNull(), F.struct(order, prefix, *[c for c in rest if c != order]))).alias("rule"))
+    rule = F.min(F.when(F.col(order).isNotNull(), F.struct(order, prefix, *[c for c in rest if c != order]))).alias("rule")
+    return hit.groupBy("papyra_row").agg(F.first("papyra_own").alias("papyra_own"), rule).select("papyra_own.*", "rule")
 
 
 def without_known(rows: DataFrame, known: DataFrame, key: str, aliases) -> DataFrame:

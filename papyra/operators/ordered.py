@@ -2,8 +2,63 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from papyra.sources.scratch import stored
+
+
+def walked(rows: DataFrame, partition: str, order: list[str], number: str, step, start, name: str, kind: str) -> DataFrame:
+    """rows with a column made by a walk along each partition in order: step(carry, number) gives (carry, value), start is the first carry.
+
+    Partitions are dealt by key and sorted; a walk goes over a task's rows batch by batch and holds a carry alone, so a long partition is never one group in memory.
+    """
+    place = [rows.columns.index(partition), rows.columns.index(number)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        first, key, carry = True, None, start
+        for batch in batches:
+            out = []
+            for k, n in zip(*(batch.column(i).to_pylist() for i in place)):
+                if first or k != key:
+                    first, key, carry = False, k, start
+                carry, value = step(carry, n)
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, spark_kind)], names=[*batch.schema.names, name])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"{name} {kind}").fields])
+    spark_kind = to_arrow_type(schema[-1].dataType)
+    return rows.repartition(partition).sortWithinPartitions(partition, *order, number).mapInArrow(run, schema)
+
+
+def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows, stored in order over range partitions: papyra_part is a row's partition, papyra_at its place there, from 0. Equal rows may lie on either side of a border."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.withColumn("papyra_part", F.spark_partition_id()).withColumn("papyra_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """rows with dense numbers in order. No task sees all rows: places count within range partitions, and a row a partition says how many precede it."""
+    dealt = ranged(rows, order)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("papyra_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    offsets = dealt.groupBy("papyra_part").agg(F.count("*").alias("n")).select("papyra_part", before.alias("papyra_before"))
+    out = dealt.join(F.broadcast(offsets), "papyra_part")  # a row a partition
+    return out.withColumn(name, (F.col("papyra_before") + F.col("papyra_at") + start).cast("long")).drop("papyra_part", "papyra_at", "papyra_before")
+
+
+def placed(rows: DataFrame, group: str, order: list[str], name: str = "place") -> DataFrame:
+    """rows with their places in their groups, from 0. A group may fill many tasks: rows are numbered over all groups, from which the number of its first row is taken."""
+    every = stored(numbered(rows, [group, *order], "papyra_n", 0))
+    heads = every.groupBy(group).agg(F.min("papyra_n").alias("papyra_head")).withColumnRenamed(group, "papyra_group")
+    out = every.join(heads, F.col(group).eqNullSafe(F.col("papyra_group")))
+    return out.withColumn(name, F.col("papyra_n") - F.col("papyra_head")).drop("papyra_n", "papyra_head", "papyra_group")
 
 
 def previous(rows: DataFrame, partition: str, order: list[str], value: str, matches: Column) -> DataFrame:
@@ -60,9 +115,34 @@ def round_robin(rows: DataFrame, group: str, order: list[str], each: int) -> Dat
 
 
 def systematic(rows: DataFrame, group: str, order: list[str], step: int) -> DataFrame:
-    """Every step-th row of every group, from the first."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("place", place.cast("long")).where(F.col("place") % step == 0)
+    """Every step-th row of every group, from the first."""
+    return placed(rows, group, order).where(F.col("place") % step == 0)
+
+
+def evenly_spaced(rows: DataFrame, order: list[str], share: float = 0.05, least: int = 10, place: str | None = None) -> DataFrame:
+    """A sample (place: with the rows' numbers from 1) of `share` of all rows, rounded up, `least` at least, evenly spaced from the first row to the last: the k-th is round(k (n - 1) / (size - 1)), halves to even."""
+    every = numbered(rows, order, "papyra_n", 0)
+    shown = lambda df: (df.withColumn(place, F.col("papyra_n") + 1) if place else df).drop("papyra_n")
+    n = every.count()
+    size = max(least, math.ceil(n * share))
+    if n <= size:
+        return shown(every)
+    # the sample's k whose place is this row, if there is one: the rounding moves it by half a row at most
+    k = F.lit(size - 1) * F.col("papyra_n") / F.lit(n - 1)
+    hit = lambda x: F.bround(x * F.lit(n - 1) / F.lit(size - 1)).cast("long") == F.col("papyra_n")
+    return shown(every.where(hit(F.floor(k)) | hit(F.ceil(k))))
+
+
+def spot_checked(sample: DataFrame, pages: DataFrame, keys: list[str], text: str, excerpt: str, excused: Column) -> DataFrame:
+    """One row: checked, page_hits, evidence_hits. A sampled row hits its page if that has text, and its evidence if the page's text holds three of the excerpt's
+    first eight words of four signs or more (all, if there are fewer), or if it is excused."""
+    page = pages.groupBy(*keys).agg(F.last(text).alias("papyra_page"))
+    words = F.slice(F.filter(F.split(F.coalesce(excerpt, F.lit("")), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 4), 1, 8)
+    both = sample.join(page, keys, "left").withColumn("papyra_page", F.trim(F.regexp_replace(F.coalesce("papyra_page", F.lit("")), r"\s+", " "))).withColumn("papyra_words", words)
+    found = F.size(F.filter("papyra_words", lambda w: F.contains(F.col("papyra_page"), w)))
+    hit = F.col("papyra_page") != ""
+    evidence = (hit & (F.size("papyra_words") > 0) & (found >= F.least(F.lit(3), F.size("papyra_words")))) | F.coalesce(excused, F.lit(False))
+    return both.agg(F.count("*").alias("checked"), F.count_if(hit).alias("page_hits"), F.count_if(evidence).alias("evidence_hits"))
 
 
 def exact_sample(rows: DataFrame, key: Column, count: int, seed: int) -> DataFrame:
@@ -80,34 +160,27 @@ def asof(rows: DataFrame, partition: str, order: list[str], value: str, matches:
 
 
 def monotone(rows: DataFrame, partition: str, order: list[str], number: str, most: int = 8) -> DataFrame:
-    """Rows whose number is larger than the last kept one's, by `most` at most; the first row of a partition is kept. The carry is a fold over the partition's array."""
-    items = F.array_sort(F.collect_list(F.struct(*order, number)))
+    """Rows whose number is larger than the last kept one's, by `most` at most; the first row of a partition is kept, and null numbers go. The walk is linear and carries the last kept number."""
 
-    def step(acc, x):
-        keep = acc["last"].isNull() | (x[number] > acc["last"]) & (x[number] - acc["last"] <= most)
-        return F.struct(F.when(keep, x[number]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+    def step(last, n):
+        keep = n is not None and (last is None or 0 < n - last <= most)
+        return (n if keep else last), keep
 
-    made = rows.groupBy(partition).agg(items.alias("items"))
-    kind = made.schema["items"].dataType.simpleString()
-    number_type = rows.schema[number].dataType.simpleString()
-    zero = F.struct(F.lit(None).cast(number_type).alias("last"), F.expr(f"cast(array() as {kind})").alias("kept"))
-    return made.select(partition, F.explode(F.aggregate("items", zero, step, lambda a: a["kept"])).alias("x")).select(partition, "x.*")
+    own = rows.select(partition, *[c for c in order if c != partition], *([] if number in (partition, *order) else [number]))
+    return walked(own, partition, order, number, step, None, "papyra_kept", "boolean").where("papyra_kept").drop("papyra_kept")
 
 
 def subject_switches(rows: DataFrame, partition: str, order: list[str], number: str, full: int = 25, reset: int = 20) -> DataFrame:
-    """Rows with the index of their subject: it moves on at a number 1 behind `reset` or more, or when `full` rows of it have passed."""
-    items = F.array_sort(F.collect_list(F.struct(*order, number)))
-
-    def step(acc, x):
-        over = (acc["last"].isNotNull() & (x[number] == 1) & (acc["last"] >= reset)) | (acc["count"] >= full)
-        subject = acc["subject"] + over.cast("int")
-        count = F.when(over, 0).otherwise(acc["count"]) + 1
-        return F.struct(x[number].cast("long").alias("last"), count.alias("count"), subject.alias("subject"), F.concat(acc["out"], F.array(subject)).alias("out"))
-
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("count"), F.lit(0).alias("subject"), F.expr("cast(array() as array<int>)").alias("out"))
-    made = rows.groupBy(partition).agg(items.alias("items"))
-    both = F.arrays_zip("items", F.aggregate("items", zero, step, lambda a: a["out"]).alias("subject"))
-    return made.select(partition, F.explode(both).alias("x")).select(partition, "x.items.*", F.col("x.subject").alias("subject"))
+    """Rows with the index of their subject: it moves on at a number 1 behind `reset` or more, or when `full` rows of it have passed. The walk carries the last number, the count and the index."""
+
+    def step(carry, n):
+        last, count, subject = carry
+        over = (n == 1 and last is not None and last >= reset) or count >= full
+        carry = (n, 1, subject + 1) if over else (n, count + 1, subject)
+        return carry, carry[2]
+
+    own = rows.select(partition, *[c for c in order if c != partition], *([] if number in (partition, *order) else [number]))
+    return walked(own, partition, order, number, step, (None, 0, 0), "subject", "int")
 
 
 def wide_gaps(rows: DataFrame, partition: str, order: list[str], low: str, high: str, least: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import SPACE, spaced
+from papyra.sources.scratch import stored
 
 # Marks of choices (open, and filled for the answer), and the words that open a paper's tail.
 OPEN, FILLED = "①②③④⑤", "❶❷❸❹❺"
@@ -106,8 +107,8 @@ def parsed(lines: DataFrame) -> dict[str, DataFrame]:
     questions: doc, place, number, subject, text, choices, answer, group (the part of its passage), group_order. Errors: two filled marks in a question, or a
     filled mark and a tail that differ; the answers of such papers are null.
     """
-    marked = roles(cleaned(lines))
-    found = contexts(marked)
+    marked = stored(roles(cleaned(lines)))  # each of the parts below reads it
+    found = stored(contexts(marked))
     body = marked.where("question > 0 and not zone and not in_tail")
     inner = body.where("number is null and is_subject").groupBy("doc", "question").agg(F.max_by(F.regexp_extract("text", SUBJECT, 1), "place").alias("inner_subject"))
     text = F.when(F.col("number").isNotNull(), F.regexp_extract("text", START, 2)).otherwise(F.col("text"))
@@ -121,7 +122,7 @@ def parsed(lines: DataFrame) -> dict[str, DataFrame]:
     blocks = rows.groupBy("doc", "question").agg(F.max("number").alias("number"), joined(False).alias("stem"), joined(True).alias("rest"), F.min("place").alias("place"))
     blocks = blocks.withColumn("text", spaced(F.concat_ws(" ", "stem", F.get(F.split("rest", MARK, 2), F.lit(0))))).withColumn("choices", choices_of(F.col("rest")))
     marks = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(rf"(?:^|(?<=[{SPACE}(\[{{:;|/\\]))[{FILLED}](?![:：])"), F.lit(0)), _number))
-    blocks = blocks.withColumn("marks", marks)
+    blocks = stored(blocks.withColumn("marks", marks))
     # subjects and passages that a question follows
     before = found.select("doc", F.col("question").alias("q"), "part", "kind", F.col("text").alias("said"), "ambiguous")
     events = blocks.select("doc", "question", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("said"), F.lit(None).cast("boolean").alias("ambiguous"), F.lit(0).cast("long").alias("part"), F.col("question").alias("q"), F.lit(0).alias("after"))
@@ -137,7 +138,7 @@ def parsed(lines: DataFrame) -> dict[str, DataFrame]:
     made = made.join(named, ["doc", "number"], "left").withColumn("group", F.coalesce("ranged_group", "open_group"))
     order = F.row_number().over(Window.partitionBy("doc", "group").orderBy("question"))
     made = made.withColumn("group_order", F.when(F.col("group").isNotNull(), order))
-    made = made.join(answer_key(marked), ["doc", "number"], "left").withColumn("inline", F.when(F.size("marks") == 1, F.get("marks", F.lit(0))))
+    made = stored(made).join(answer_key(marked), ["doc", "number"], "left").withColumn("inline", F.when(F.size("marks") == 1, F.get("marks", F.lit(0))))
     code = F.when(F.size("marks") > 1, "multiple_inline_answers").when(F.col("inline") != F.col("tail_answer"), "answer_mismatch")
     made = made.withColumn("code", code)
     bad = made.where("code is not null").select("doc", "number", "code")

@@ -198,7 +198,8 @@ def exact_count(found: DataFrame, count: int, seed: int) -> DataFrame:
         raise ValueError("the number of questions must not be negative")
     rank = F.md5(F.concat_ws(":", "unit", F.lit(str(seed))))
     sized = found.where(F.col("count") <= count).select("unit", "count", rank.alias("rank"))
-    some = sized.withColumn("n", F.row_number().over(Window.partitionBy("count").orderBy("rank", "unit"))).where(F.col("n") * F.col("count") <= count)
+    some = sized.withColumn("n", F.row_number().over(Window.partitionBy("count").orderBy("rank", "unit"))).where(F.col("n") <= count)  # each task sorts and keeps its first ones
+    some = some.where(F.col("n") * F.col("count") <= count)
     paths: dict[int, list[str]] = {0: []}
     for r in sorted(some.collect(), key=lambda r: (r["rank"], r["unit"])):
         for total, path in list(paths.items()):

@@ -196,6 +196,19 @@ def systematic_sample(documents):
     return ordered.systematic(documents.select("doc_id", "source"), "source", ["doc_id"], 10)
 
 
+@query(r"""
+WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+s AS (SELECT DISTINCT CAST(round_even(k * (n - 1) / (greatest(10, ceil(n * 0.05)) - 1), 0) AS BIGINT) AS i FROM (SELECT max(n) AS n FROM n), unnest(generate_series(0, CAST(greatest(10, ceil(n * 0.05)) AS BIGINT) - 1)) t(k)),
+p AS (SELECT item_id AS doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS page FROM benchmark),
+w AS (SELECT n.doc_id, n.lang, coalesce(CASE WHEN n.doc_id % 2 = 0 THEN n.text ELSE page END, '') AS page, list_filter(regexp_split_to_array(n.text[1:200], '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 4)[1:8] AS words FROM n JOIN s USING (i) LEFT JOIN p USING (doc_id))
+SELECT count(*) AS checked, count(*) FILTER (page <> '') AS page_hits,
+  count(*) FILTER (page <> '' AND len(words) > 0 AND len(list_filter(words, lambda x: contains(trim(regexp_replace(page, '\s+', ' ', 'g')), x))) >= least(3, len(words)) OR lang = 'es') AS evidence_hits FROM w""")
+def spot_check_counts(documents, benchmark):
+    pages = documents.where("doc_id % 2 = 0").select("doc_id", F.col("text").alias("page")).union(benchmark.where("item_id % 2 = 1").select("item_id", "text"))
+    sample = ordered.evenly_spaced(documents.select("doc_id", "lang", F.substring("text", 1, 200).alias("excerpt")), ["doc_id"])
+    return ordered.spot_checked(sample, pages, ["doc_id"], "page", "excerpt", F.col("lang") == "es")
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE trim(event_type) <> '' GROUP BY user_id")
 def latest_nonblank(events):
     return ordered.latest(events, "user_id", ["ts", "event_id"], "event_type")

@@ -71,7 +71,7 @@ def most_common(part):
 @query("""
 WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS place, count(*) OVER () AS total FROM orders),
 w AS (SELECT CAST(greatest(10, ceil(count(*) * 0.05)) AS BIGINT) AS wanted, count(*) AS total FROM orders),
-i AS (SELECT DISTINCT CAST(round(unnest(range(wanted)) * (total - 1) / greatest(wanted - 1, 1)) AS BIGINT) + 1 AS place FROM w)
+i AS (SELECT DISTINCT CAST(round_even(unnest(range(wanted)) * (total - 1) / greatest(wanted - 1, 1), 0) AS BIGINT) + 1 AS place FROM w)
 SELECT o_orderkey, place FROM r, w WHERE w.total <= w.wanted OR place IN (SELECT place FROM i)""")
 def spot_check(orders):
     return analytics.spot_check(orders.select("o_orderkey"), ["o_orderkey"])

@@ -67,9 +67,13 @@ def html_links(pages):
     return S.links(pages)
 
 
-@query(rf"SELECT page_id, {bare("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")} AS title FROM pages")
+@query(rf"""
+WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<META content=' || chr(39) || 'Own &amp;  ' || page_id || chr(39) || ' property="og:title">' ELSE '' END || html AS html FROM pages),
+m AS (SELECT page_id, html, regexp_extract(html, '(?is)<meta\b[^>]*\bproperty\s*=\s*["'']og:title["''][^>]*>') AS meta FROM p)
+SELECT page_id, coalesce(nullif({bare("trim(regexp_extract(meta, '(?is)' || chr(92) || 'bcontent' || chr(92) || 's*=' || chr(92) || 's*(' || chr(34) || '[^' || chr(34) || ']*' || chr(34) || '|' || chr(39) || '[^' || chr(39) || ']*' || chr(39) || ')', 1), chr(34) || chr(39))")}, ''), {bare("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) AS title FROM m""")
 def html_title(pages):
-    return S.titles(pages)
+    head = F.when(F.expr("page_id % 3 = 0"), F.concat(F.lit("<META content='Own &amp;  "), F.col("page_id").cast("string"), F.lit("' property=\"og:title\">"))).otherwise("")
+    return S.titles(pages.withColumn("html", F.concat(head, "html")))
 
 
 @query(r"""
@@ -116,14 +120,14 @@ def manual_tags(part):
     return part.select("p_partkey", X.manual_tags(F.concat(F.col("p_name"), F.lit(", #manual "), F.col("p_brand")), ["#Manual", "#Red"]).alias("tags"))
 
 
-@query(r"SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'descriptive' ELSE 'multiple_choice' END AS type, CASE WHEN p_size <= 10 THEN chr(9311 + p_size) END AS marker FROM part")
+@query(r"SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'descriptive' ELSE 'multiple_choice' END AS type, CASE WHEN p_size <= 10 THEN chr(9311 + p_size) ELSE p_size::VARCHAR END AS marker, CASE p_size WHEN 1 THEN '㉮' WHEN 2 THEN '㉯' WHEN 3 THEN '㉴' WHEN 4 THEN '㉵' WHEN 5 THEN '⑤' ELSE p_brand END AS legacy FROM part")
 def question_types(part):
     kind = F.when(F.col("p_type").isin("PROMO", "SMALL"), F.lit(" Essay ")).otherwise(F.col("p_type"))
-    return part.select("p_partkey", X.question_type(kind).alias("type"), X.choice_marker(F.col("p_size"), "circled").alias("marker"))
+    return part.select("p_partkey", X.question_type(kind).alias("type"), X.choice_marker(F.col("p_size"), "circled_number").alias("marker"), X.choice_marker(F.col("p_size"), "unknown", F.col("p_brand")).alias("legacy"))
 
 
 @query(rf"""
-WITH s AS (SELECT page_id, regexp_replace(regexp_replace(url, '[^\p{{L}}\p{{N}}._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')[1:80] AS stem FROM pages) SELECT page_id, CASE WHEN stem = '' THEN 'file' ELSE stem END AS stem FROM s""")
+SELECT page_id, regexp_replace(url, '[^\p{{L}}\p{{N}}_-]', '_', 'g')[1:80] AS stem FROM pages""")
 def safe_stems(pages):
     return pages.select("page_id", X.safe_stem(F.col("url")).alias("stem"))
 
@@ -231,13 +235,22 @@ def import_statuses(events):
     return ingest.statuses(rows, rows.where("false"), "user_id").select("event_id", "status")
 
 
+_RETRY_CODES = ("missing_question_image", "question_count", "invalid_correct_answer", "choice_count", "invalid_group_range", "ambiguous_group_range", "other")
+
+
 @query("""
-WITH c AS (SELECT event_id, list_filter([CASE WHEN value < 1 THEN 'timeout' END, CASE WHEN value BETWEEN 0.5 AND 3 THEN 'choice_count' END, CASE WHEN value > 30 THEN 'other' END], lambda x: x IS NOT NULL) AS codes FROM events)
-SELECT event_id, CASE WHEN len(codes) = 0 THEN 'none' WHEN list_has_all(['timeout', 'connection'], codes) THEN 'retry' WHEN list_has_all(['question_count', 'choice_count', 'timeout', 'connection'], codes) THEN 'reparse' ELSE 'manual' END AS class FROM c""")
-def retry_classes(events):
-    v = F.col("value")
-    codes = F.array_compact(F.array(F.when(v < 1, "timeout"), F.when(v.between(0.5, 3), "choice_count"), F.when(v > 30, "other")))
-    return events.select("event_id", ingest.retry_class(codes).alias("class"))
+WITH t AS (SELECT doc_id, upper(text[1:60]) || CASE WHEN doc_id % 4 = 0 THEN ' 수능' ELSE '' END AS title, n_chars % 23 = 0 AS importable,
+  [c FOR c IN ['missing_question_image', 'question_count', 'invalid_correct_answer', 'choice_count', 'invalid_group_range', 'ambiguous_group_range', 'other'] IF (n_chars >> (list_position(['missing_question_image', 'question_count', 'invalid_correct_answer', 'choice_count', 'invalid_group_range', 'ambiguous_group_range', 'other'], c) - 1)) & 3 = 1] AS c,
+  n_chars % 2 = 0 AS inline FROM documents)
+SELECT doc_id, CASE WHEN importable THEN 'parser_fixed_importable' WHEN regexp_matches(title, 'FAT|TAT|전산회계|전산세무') THEN 'accounting_practical_non_mc' WHEN c = ['missing_question_image'] THEN 'missing_required_image'
+  WHEN list_contains(c, 'question_count') THEN 'no_questions_detected' WHEN list_contains(c, 'invalid_correct_answer') AND NOT list_contains(c, 'choice_count') AND contains(title, '수능') THEN 'answer_key_format_unsupported'
+  WHEN list_contains(c, 'invalid_group_range') THEN 'group_parser_remaining' WHEN list_has_any(c, ['choice_count', 'invalid_correct_answer']) THEN CASE WHEN inline THEN 'inline_answer_parser_partially_fixed' ELSE 'choice_or_answer_parser_remaining' END
+  WHEN list_contains(c, 'ambiguous_group_range') THEN 'ambiguous_set_question' ELSE 'quality_block_remaining' END AS class FROM t""")
+def retry_classes(documents):
+    bits = [F.when(F.shiftright("n_chars", k).bitwiseAND(F.lit(3)) == 1, F.lit(f"{c}: {c} of question 7")) for k, c in enumerate(_RETRY_CODES)]
+    title = F.concat(F.upper(F.substring("text", 1, 60)), F.when(F.expr("doc_id % 4 = 0"), " 수능").otherwise(""))
+    old = F.when(F.expr("n_chars % 2 = 0"), F.array(F.lit("Multiple inline answers in one question: 3")))
+    return documents.select("doc_id", ingest.retry_class(F.expr("n_chars % 23 = 0"), F.array_compact(F.array(*bits)), title, old).alias("class"))
 
 
 @query("SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS turn FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 30 ORDER BY turn, lang LIMIT 30")

@@ -47,10 +47,10 @@ def package_manifest(part):
 
 
 @query("""
-SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'data/' || s_suppkey ELSE 'old/' || s_suppkey END AS ref, '{"a":1,"image_path":"' || CASE WHEN s_suppkey % 2 = 0 THEN 'data/' || s_suppkey ELSE 'old/' || s_suppkey END || '","b":{"image_path":"none"}}' AS payload FROM supplier""")
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'data/' || s_suppkey ELSE 'old/' || s_suppkey END AS ref, CASE WHEN s_suppkey % 3 = 0 THEN '{"a":1,"image_path":"' ELSE '{"a": 1, "image_path" : "' END || CASE WHEN s_suppkey % 2 = 0 THEN 'data/' || s_suppkey ELSE 'old/' || s_suppkey END || '","b":{"image_path":"none"}}' AS payload FROM supplier""")
 def portable_refs(supplier):
     old = F.concat(F.lit("old/"), F.col("s_suppkey").cast("string"))
-    rows = supplier.select("s_suppkey", old.alias("ref"), F.concat(F.lit('{"a":1,"image_path":"'), old, F.lit('","b":{"image_path":"none"}}')).alias("payload"))
+    rows = supplier.select("s_suppkey", old.alias("ref"), F.concat(F.when(F.expr("s_suppkey % 3 = 0"), '{"a":1,"image_path":"').otherwise('{"a": 1, "image_path" : "'), old, F.lit('","b":{"image_path":"none"}}')).alias("payload"))
     mapping = supplier.where("s_suppkey % 2 = 0").select(old.alias("path"), F.concat(F.lit("data/"), F.col("s_suppkey").cast("string")).alias("to"))
     return B.portable_payloads(B.portable(rows, "ref", mapping, "path", "to"), "s_suppkey", "payload", mapping, "path", "to")
 
@@ -80,9 +80,9 @@ def crawl(customer):
     return B.crawled(start, links, "page", "target", 40).withColumn("depth", F.col("depth").cast("long"))
 
 
-@query("SELECT host, number, min(url) AS url FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, TRY_CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS INT) AS number, url FROM pages) WHERE number >= 1 GROUP BY ALL")
+@query("SELECT host, number, arg_max(url, (place, url)) AS url FROM (SELECT page_id % 7 AS place, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, TRY_CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS INT) AS number, url FROM pages) WHERE number >= 1 GROUP BY ALL")
 def pagination(pages):
-    return B.paginated(pages.select(X.url_host(F.col("url")).alias("host"), "url"), "host", "url", "[?&]page=([0-9]+)")
+    return B.paginated(pages.select(X.url_host(F.col("url")).alias("host"), "url", F.expr("page_id % 7").alias("place")), "host", "url", "[?&]page=([0-9]+)")
 
 
 @query("""

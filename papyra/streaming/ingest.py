@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +45,39 @@ def statuses(candidates: DataFrame, known: DataFrame, key: str, dry_run: bool =
     return marked.withColumn("status", status).drop("papyra_known")
 
 
-def retry_class(codes) -> F.Column:
-    """What a failed import's set of error codes asks for: nothing, a retry later, a new parse, or a look by hand."""
-    one_of = lambda *names: F.size(F.array_except(codes, F.array(*[F.lit(n) for n in names]))) == 0
-    return F.when(F.size(codes) == 0, "none").when(one_of("timeout", "connection"), "retry").when(one_of("question_count", "choice_count", "timeout", "connection"), "reparse").otherwise("manual")
+# Parts of titles of practical accounting papers, the message and the title part that tell parsers' failures apart.
+ACCOUNTING = ("FAT", "TAT", "전산회계", "전산세무")
+INLINE_ANSWERS, ADMISSION = "Multiple inline answers in one question", "수능"
+
+
+def _accounting(title) -> F.Column:
+    return reduce(lambda a, b: a | b, [title.contains(t) for t in ACCOUNTING])
+
+
+def retry_class(importable, errors, title, old_errors) -> F.Column:
+    """What has become of a failed import on a new try. errors, old_errors: arrays of messages, whose codes stand before the first colon; null counts as none."""
+    heads = lambda messages: F.transform(F.coalesce(messages, F.array().cast("array<string>")), lambda m: F.substring_index(m, ":", 1))
+    codes, before, title = F.array_distinct(heads(errors)), heads(old_errors), F.coalesce(title, F.lit(""))
+    has = lambda *names: F.arrays_overlap(codes, F.array(*[F.lit(n) for n in names]))
+    broken = has("choice_count", "invalid_correct_answer")
+    return (
+        F.when(importable, "parser_fixed_importable")
+        .when(_accounting(title), "accounting_practical_non_mc")
+        .when((F.size(codes) == 1) & has("missing_question_image"), "missing_required_image")
+        .when(has("question_count"), "no_questions_detected")
+        .when(has("invalid_correct_answer") & ~has("choice_count") & title.contains(ADMISSION), "answer_key_format_unsupported")
+        .when(has("invalid_group_range", "group_assignment_mismatch", "group_child_mismatch"), "group_parser_remaining")
+        .when(broken & F.array_contains(before, INLINE_ANSWERS), "inline_answer_parser_partially_fixed")
+        .when(broken, "choice_or_answer_parser_remaining")
+        .when(has("ambiguous_group_range"), "ambiguous_set_question")
+        .otherwise("quality_block_remaining")
+    )
+
+
+def exception_class(message, parse_error, title) -> F.Column:
+    """The class of a new try that ended in an exception; parse_error: whether the parser raised it."""
+    inline = F.coalesce(parse_error & message.contains(INLINE_ANSWERS), F.lit(False))
+    return F.when(_accounting(F.coalesce(title, F.lit(""))), "accounting_practical_non_mc").when(inline, "inline_answer_marker_remaining").otherwise("parse_exception_remaining")
 
 
 def ingest_new(spark: SparkSession, source: str, schema, checkpoint: str, sink: str, key: str) -> None:
