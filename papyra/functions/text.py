@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyra.functions import repairs
+
 # Words and word parts that turn a question's sense round.
 NEGATIVE_PARTS = ("옳지않", "아닌", "틀린", "잘못된", "부적절", "하지않", "없는것", "제외한", "제외되는", "불가능")
 NEGATIVE_WORDS = ("not", "incorrect", "wrong", "except", "least")
@@ -301,18 +303,8 @@ def mapped(text: Column, glyphs: dict[str, str]) -> Column:
     return F.translate(text, "".join(glyphs), "".join(glyphs.values()))
 
 
-def repaired(text: Column, words: list[tuple[str, str]], phrases: list[tuple[str, str]] = ()) -> Column:
-    """Known misreadings replaced: words where no letter or digit stands beside them, phrases anywhere, in the given order."""
-    out = text
-    for old, new in words:
-        out = F.regexp_replace(out, rf"(?<![0-9A-Za-z])\Q{old}\E(?![0-9A-Za-z])", new.replace("\\", "\\\\").replace("$", "\\$"))
-    for old, new in phrases:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out
-
-
 # Patterns of misread texts.
-OCR_NOISE = r"다읔|디음|다음°|오으\s*것|오은\s+거\s+은|0[卜ㅏ]|(?<![A-Za-z])[O0]h(?![A-Za-z])|[卜入人]{2,}|으\s*(?:9|느|그)|으\s+거|[가-힣A-Za-z][卜入人][가-힣A-Za-z]|[튢飇恤喬盞]|[가-힣]°[°。]?[가-힣]|(?<=[a-z])¯(?=[a-z])|[己呑粼訃]"
+OCR_NOISE = r"다읔|디음|다음°|오으\s*것|오은\s+거\s+은|0[卜ㅏ]|(?<![A-Za-z])[O0]h(?![A-Za-z])|[卜入人]{2,}|으\s*(?:9|느|그)|으\s+거|[가-힣A-Za-z][卜入人][가-힣A-Za-z]|[튢飇恤喬盞]|[가-힣]°[°。]?[가-힣]|(?<=[a-z])¯(?=[a-z])|\}[~=`^|\s]*[O0]\s*[가-힣ㄱ-ㅎㅏ-ㅣ]|(?<![A-Za-z])r(?=[가-힣]{2,}법\])|[己呑粼訃]"
 BROKEN_UNIT = r"\[(?:0/해|Ⅵ|H기|시|외|P비|kg되|넣디|Q|\(\)|\))"
 CONFUSABLE = r"\b(?:t0|0f|A11|011e|S0011)\b|\b[A-Za-z]{1,12}[01]+[A-Za-z][A-Za-z01]*\b|\b[A-Za-z][A-Za-z01]*[01]+[A-Za-z]{1,12}\b|(?<=[A-Za-z])[㈜ⅰ-ⅹ殂盞飇恤喬訃粼](?=[A-Za-z])"
 DAMAGED_MARKER = r"(?m)^\s*@(?=\s*[A-Za-z가-힣])"
@@ -323,16 +315,36 @@ CJK_NOTE = r"[（(](?=[가-힣一-龥\s,·/]{1,32}[)）])(?=[^()）]*[一-龥])[
 CJK_PARTY = r"(?<![0-9A-Za-z가-힣一-龥])[甲乙丙丁](?=(?:(?:선장|경장|씨|어선|소유자|사업자|회사))?(?:에게서|에게|은|는|이|가|을|를|의|과|와|도|만)?(?:\s|[,.!?·:;)]|$))"
 
 
-def quality_codes(text: Column) -> Column:
+ROMAN = "[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]"
+ROMAN_IN_LAW = rf"제{ROMAN}+-\d+장|(?:제|부속서\s*){ROMAN}+(?=(?:장(?:의)?|에서(?:의)?|에|으로|의|상))|(?<![0-9A-Za-z가-힣]){ROMAN}(?=(?:에서(?:의)?|에|으로|에게|에는|에도|은|는|이|가|을|를|의|과|와|상|하))"
+ROMAN_ALONE = rf"(?<![0-9A-Za-z]){ROMAN}(?=(?:의)?(?:\s|[.,:;)\]」]|$))"
+ROMAN_MIXED = r"[0-9A-Za-z가-힣*#()\\][ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅰⅱⅲⅳⅴⅵⅶⅷⅸⅹ]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅰⅱⅲⅳⅴⅵⅶⅷⅸⅹ][0-9A-Za-z가-힣*#()\\]"
+HANGUL_NUMBER = r"제\d+(?=[가-힣])|\d+(?:년|개월|일|시간|분|초|회|개|명|인|척|톤|미터|해리|단계|급|종)"
+MIXED_TERM = "지진파의[SP]파|A1해역|A2해역|A3해역|A4해역"
+INTRUDER = r"[가-힣](?:[01IL]|[A-Za-z]{1,3})[가-힣]|[가-힣]\)(?:7b)(?=\s|[가-힣])"
+
+
+def mixed_roman(text: Column) -> Column:
+    """A Roman numeral inside a word, after those of laws and those that stand alone are taken out."""
+    return F.regexp_replace(F.regexp_replace(text, "(?U)" + ROMAN_IN_LAW, ""), "(?U)" + ROMAN_ALONE, "").rlike(ROMAN_MIXED)
+
+
+def intruding_latin(text: Column) -> Column:
+    """Latin letters or 0 and 1 inside a Hangul word, after numbers with their units and known mixed terms are taken out."""
+    return F.regexp_replace(F.regexp_replace(text, "(?U)" + HANGUL_NUMBER, ""), MIXED_TERM, "").rlike("(?U)" + INTRUDER)
+
+
+def quality_codes(text: Column, words=(), phrases=()) -> Column:
     """Codes of a text that was misread: ocr_noise, broken_unit, damaged_list_marker, unbalanced_delimiter.
 
-    Noise: known misreadings, digits in English words (formulas aside), circled numbers that repeat, and CJK signs but for notes in brackets and
-    party names. A list is damaged if a line opens with @, or if a counting question with four colons or more and no view block has fewer than three markers.
+    Noise: signs of misreading, the caller's known misread words and phrases, digits in English words (formulas aside), Roman numerals and Latin signs
+    inside words, circled numbers that repeat, and CJK signs but for notes in brackets and party names. A list is damaged if a line opens with @, or if a counting question with four colons or more and no view block has fewer than three markers.
     """
     value = F.coalesce(text, F.lit(""))
     formula = value.rlike(r"^[A-Za-z0-9_+\-*/^().=\s]+$") & value.rlike(r"[()+\-*/^=]") & value.rlike(r"\d")
     cjk = F.regexp_replace(F.regexp_replace(value, CJK_NOTE, ""), CJK_PARTY, "").rlike("[一-龥]")
-    noise = value.rlike(OCR_NOISE) | ~formula & value.rlike("(?U)" + CONFUSABLE) | value.rlike(REPEATED_CIRCLE) | cjk
+    noise = value.rlike(OCR_NOISE) | ~formula & value.rlike("(?U)" + CONFUSABLE) | value.rlike(REPEATED_CIRCLE) | cjk | mixed_roman(value) | intruding_latin(value)
+    noise = noise | repairs.known(value, words, phrases) if words or phrases else noise
     colons = F.length(value) - F.length(F.replace(value, F.lit(":"), F.lit("")))
     listed = value.rlike(COUNTING) & (colons >= 4) & ~value.rlike(r"<\s*보\s*기\s*>") & (F.regexp_count(value, F.lit(LIST_MARKER)) < 3)
     return F.array_compact(F.array(F.when(noise, "ocr_noise"), F.when(value.rlike(BROKEN_UNIT), "broken_unit"), F.when(value.rlike(DAMAGED_MARKER) | listed, "damaged_list_marker"), F.when(unbalanced(value), "unbalanced_delimiter")))
@@ -371,13 +383,29 @@ def cover(text: Column) -> Column:
 
 # Signs of texts whose parts have lost their order.
 ARTIFACTS = (
-    r"(?:→\s*){2,}$", r"제\s+번\s+\d+\s+", r"제\s+심\s+\d+\s+", r"총톤수\s+톤.+?\s+\d+\s+", r"길이\s+미터.+?\s+\d+\s+", r"해리\s+(?:이상|이하)\s+\d+\s+", r"개의\s+\d+\s+(?:물표|마스트등|원뿔)", r"분을\s+\d+\s+넘지", r"몇\s+\d+\s+(?:회|헥토파스칼)",
-    r"시간을\s+\d+\s+초과", r"년이\s+\d+\s+경과", r"^(?:약\s+)?(?:이상|이하|미만|초과)\s*\d", r"^(?:미터|센티미터)\s+(?:이상|이하|미만|초과)\s*\d", r"(?:\]\d{1,2}\.|[가-힣]\d{1,2}\.)[0-9A-Za-z가-힣\[].+\?", r"경우에\d+(?:\.\d+)?서도",
+    r"(?:→\s*){2,}$", r"제\s+번\s+\d+\s+", r"제\s+심\s+\d+\s+", r"행정\s+사이클.+?\s+[24]\s+(?:있|하중|인장)", r"상\s+유도전동기.+?\s+3\s+회전자계", r"전압\s+증폭률이\s+배인.+?\s+100\s+나타내면", r"총톤수\s+톤.+?\s+\d+\s+", r"길이\s+미터.+?\s+\d+\s+", r"해리\s+(?:이상|이하)\s+\d+\s+", r"개의\s+\d+\s+(?:물표|마스트등|원뿔)", r"분을\s+\d+\s+넘지", r"장음\s+회와\s+단음\s+회\s+신호를\s+\d+\s+\d+", r"몇\s+\d+\s+(?:회|헥토파스칼)",
+    r"시간을\s+\d+\s+초과", r"년이\s+\d+\s+경과", r"탑승한\s+\d+\s+모든", r"선원이\s+\d+\s+실행", r"^(?:약\s+)?(?:이상|이하|미만|초과)\s*\d", r"^(?:미터|센티미터)\s+(?:이상|이하|미만|초과)\s*\d", r"(?:\]\d{1,2}\.|[가-힣]\d{1,2}\.)[0-9A-Za-z가-힣\[].+\?", r"협약.+?\bSOLAS\b\s+(?:사용|옳|것은)", r"\bISM code\s+식별", r"선박용\s+수신기.+?\bGPS\s+아닌", r"경우에\d+(?:\.\d+)?서도",
 )
 
 
+# A number glued behind a Hangul word and followed by another; where that is right; signs around it that are read.
+GLUED, GLUED_RIGHT, LAW, AROUND = r"[가-힣]{1,8}\d+(?:,\d{3})*(?:\.\d+)?\s+[가-힣]{1,8}", r"^기관[1-3]\s+문제$", r"제?\d+조(?:의\d+)?\s*제?\d+항", 12
+
+
 def disordered(text: Column) -> Column:
-    """Whether a sign of lost order stands in a text, or a number glued behind a Hangul word and followed by another (law articles and 기관1-3 aside)."""
+    """Whether a sign of lost order stands in a text, or a number glued behind a Hangul word and followed by another, but for law articles within AROUND signs."""
     value = F.trim(F.coalesce(text, F.lit("")))
-    law = F.regexp_replace(value, r"제?\d+조(?:의\d+)?\s*제?\d+항|기관[1-3]\s+문제", "")
-    return (value != "") & (law.rlike(r"[가-힣]{1,8}\d+(?:,\d{3})*(?:\.\d+)?\s+[가-힣]{1,8}") | value.rlike("|".join(ARTIFACTS)))
+    marks = F.regexp_extract_all(value, F.lit("(?U)" + GLUED), F.lit(0))
+    pairs = F.zip_with(marks, F.split(value, "(?U)" + GLUED, -1), lambda m, p: F.struct(m.alias("mark"), p.alias("before")))
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["mark"])
+        low = F.greatest(start - AROUND, F.lit(0))
+        right = x["mark"].rlike("(?U)" + GLUED_RIGHT) | F.substring(value, low + 1, end + AROUND - low).rlike("(?U)" + LAW)
+        return F.struct(end.alias("at"), (acc["bad"] | ~right).alias("bad"))
+
+    # the piece behind the last mark has no mark
+    pairs = F.filter(pairs, lambda x: x["mark"].isNotNull())
+    glued = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(False).alias("bad")), step, lambda a: a["bad"])
+    return (value != "") & (glued | value.rlike("(?U)" + "|".join(ARTIFACTS)))

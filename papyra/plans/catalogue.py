@@ -363,7 +363,7 @@ def cas_update(orders):
 
 def _load() -> None:
     """The other catalogues register their queries when they are imported."""
-    from papyra.plans import banks, joins, payloads, reports, rules, selections, texts, upkeep  # noqa: F401
+    from papyra.plans import banks, corruption, joins, pages, payloads, reports, rules, selections, texts, upkeep  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

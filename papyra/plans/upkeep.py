@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import geometry as G
 from papyra.functions import payloads as P
+from papyra.functions import repairs as R
 from papyra.functions import text as X
 from papyra.operators import bank as B
 from papyra.operators import papers
@@ -100,7 +101,7 @@ def boxes(part):
 @query("SELECT p_partkey, CAST(len(list_filter(string_split(p_name, ''), lambda c: c IN (' ', 'i', 'l', 'I'))) * 0.5 + len(list_filter(string_split(p_name, ''), lambda c: c NOT IN (' ', 'i', 'l', 'I'))) AS DOUBLE) AS units, lower(p_name) AS plain, regexp_replace(lower(p_name), '[ _-]+', '', 'g') AS label, translate(p_name, 'rw', 'RW') AS mapped, replace(regexp_replace(p_name, '(^|[^0-9A-Za-z])red($|[^0-9A-Za-z])', '\\1RED\\2'), 'ring', 'RING') AS repaired FROM part")
 def text_repairs(part):
     name = F.col("p_name")
-    return part.select("p_partkey", X.display_units(name).alias("units"), X.nfkc(name).alias("plain"), X.label(name).alias("label"), X.mapped(name, {"r": "R", "w": "W"}).alias("mapped"), X.repaired(name, [("red", "RED")], [("ring", "RING")]).alias("repaired"))
+    return part.select("p_partkey", X.display_units(name).alias("units"), X.nfkc(name).alias("plain"), X.label(name).alias("label"), X.mapped(name, {"r": "R", "w": "W"}).alias("mapped"), R.repaired(name, {"red": "RED"}, {"ring": "RING"}).alias("repaired"))
 
 
 @query("""
