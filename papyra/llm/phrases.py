@@ -3,8 +3,9 @@
 1. Every task counts the hashed phrases of its texts, of one to five words; the counts are added up by blocks of cells. A
    cell's sum bounds the frequency of each of its phrases from above. The number of cells follows the size of the texts.
 2. The cells that reach the threshold are a bitmap; the tasks name the phrases in such cells, which are the candidates.
-3. Candidates go to shards of bounded size by their first word. Each shard is compiled into an Aho-Corasick automaton of
-   phrases between delimiters, which scans all texts for overlapping matches. The summed counts are exact.
+3. Candidates go to shards of bounded size by their first word. Each shard is compiled into an Aho-Corasick automaton in
+   which a word is three signs; texts are spelt in these signs, with delimiters for the ends of pieces and for words that no phrase
+   has, so that a match is always whole words of one piece. It scans all texts for overlapping matches; the summed counts are exact.
 4. Thresholds, cuts and ranks are joins and windows over the counted phrases, which hold all parts of each of them.
 
 Bitmaps and shards are broadcast and bounded (BITMAP_BITS, SHARD_BYTES); more cells or candidates take more passes over the texts.
@@ -13,6 +14,7 @@ Bitmaps and shards are broadcast and bounded (BITMAP_BITS, SHARD_BYTES); more ce
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from operator import itemgetter
 
 import numpy as np
@@ -25,8 +27,10 @@ from . import common as C
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Bytes of text for each cell of the sketch (about eight phrases), cells of a block (2 to this power).
 CELL_BYTES, BLOCK_BITS = 16, 16
-#: Cells of one bitmap (2 to this power: 32 MB), and bytes of the phrases of one automaton (25 bytes of memory each).
-BITMAP_BITS, SHARD_BYTES = 28, 5_000_000
+#: Cells of one bitmap (2 to this power: 32 MB), bytes of the phrases of one automaton (about 10 bytes of memory each), its distinct words.
+BITMAP_BITS, SHARD_BYTES, SHARD_WORDS = 28, 16_000_000, 1_000_000
+#: Phrases whose counts are one row of a task's result.
+COUNT_BLOCK = 4096
 #: Entries that a task holds before it hands them on.
 HELD = 4_000_000
 
@@ -44,7 +48,7 @@ def _read(docs: DataFrame) -> DataFrame:
 def _passes(column):
     """(plain bytes, begins, rows) of about PASS_BYTES each: begins parts texts, or pieces of a very long one; rows has their places in the column."""
     data, offsets = C.utf8(column)
-    for i, j in C.passes(offsets):
+    for i, j in C.passes(offsets, C.PASS_BYTES):
         low = _LUT[data[int(offsets[i]) : int(offsets[j])]]
         begins, rows = (offsets[i : j + 1] - offsets[i]).astype(np.int64), np.arange(i, j)
         if len(low) <= 2 * C.PASS_BYTES:
@@ -141,7 +145,7 @@ def heavy_cells(docs: DataFrame, bits: int, least: int = LEAST) -> DataFrame:
         for at, n in zip(frame["cells"], frame["counts"]):
             total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, kind)  # cells of a row are distinct
         hot = total >= least
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(hot, bitorder="little").tobytes()]} if hot.any() else {"block": [], "bits": []})
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(hot, bitorder="little").tobytes()]}).iloc[: int(hot.any())]
 
     sketched = _read(docs).mapInArrow(C.frugal(run), "block long, cells binary, counts binary")
     return sketched.groupBy("block").applyInPandas(summed, "block long, bits binary")
@@ -164,20 +168,25 @@ def candidates(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFram
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
-    words = found.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    return found.where("phrase is not null").select("lang", "phrase"), words
+    words = found.where("block < 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    return found.where("block >= 0").select("lang", F.explode(F.split(F.col("phrases").cast("string"), "\n")).alias("phrase")), words
 
 
 def _named(docs: DataFrame, shared, bits: int, wave_bits: int, wave: int) -> DataFrame:
-    """Distinct (lang, phrase) in the bitmap's cells; with the first wave, rows of null phrase have the number n of a language's words."""
+    """(lang, block, phrases, n): the distinct phrases in the bitmap's cells, by block of cells and parted by line feeds; with the first wave, block -1 has the number n of a language's words."""
 
     def run(batches):
         import pyarrow as pa
 
-        bitmap, seen = shared.value, np.zeros(0, np.uint64)
+        def emptied():
+            keys = list(named)
+            yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in keys], pa.string()), pa.array([block for _, block in keys], pa.int64()), pa.array([b"\n".join(named[k]) for k in keys], pa.binary()), pa.nulls(len(keys), pa.int64())], names=["lang", "block", "phrases", "n"])
+            named.clear()
+
+        bitmap, seen, named, words, held = shared.value, np.zeros(0, np.uint64), {}, {}, 0
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            salts, out, words = _salts(langs), ([], []), {}
+            salts = _salts(langs)
             for low, begins, rows in _passes(batch.column(1)):
                 grams = Grams(low, begins, salts[rows])
                 for row, n in zip(rows.tolist(), np.bincount(grams.doc, minlength=len(rows)).tolist()):
@@ -190,67 +199,85 @@ def _named(docs: DataFrame, shared, bits: int, wave_bits: int, wave: int) -> Dat
                     new, first = np.unique(h[hit], return_index=True)
                     place = np.searchsorted(seen, new)
                     fresh = seen[np.minimum(place, len(seen) - 1)] != new if len(seen) else np.ones(len(new), bool)
-                    for i in at[hit[first[fresh]]].tolist():
-                        out[0].append(langs[rows[grams.doc[i]]])
-                        out[1].append(grams.text(k, i))
-                    seen = np.sort(np.concatenate((seen, new[fresh]))) if len(seen) < HELD else np.sort(new)
-            if wave == 0:
-                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "phrase", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.nulls(len(out[0]), pa.int64())], names=["lang", "phrase", "n"])
+                    for i, block in zip(at[hit[first[fresh]]].tolist(), (cell[hit[first[fresh]]] >> BLOCK_BITS).tolist()):
+                        named.setdefault((langs[rows[grams.doc[i]]], block), []).append(grams.text(k, i))
+                    held += int(fresh.sum())
+                    seen = np.insert(seen, place[fresh], new[fresh]) if len(seen) < HELD else new
+                if held > HELD // 4:
+                    held = 0
+                    yield from emptied()
+        yield from emptied()
+        if wave == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([-1] * len(words), pa.int64()), pa.nulls(len(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["lang", "block", "phrases", "n"])
 
-    return _read(docs).mapInArrow(C.frugal(run), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def joined(key, frame):
+        import pandas as pd
 
+        if key[1] < 0:
+            return pd.DataFrame({"lang": [key[0]], "block": [-1], "phrases": [None], "n": [int(frame["n"].sum())]})
+        found = sorted({p for own in frame["phrases"] for p in own.split(b"\n")})
+        return pd.DataFrame({"lang": [key[0]], "block": [key[1]], "phrases": [b"\n".join(found)], "n": [0]})
 
+    return _read(docs).mapInArrow(C.frugal(run), "lang string, block long, phrases binary, n long").groupBy("lang", "block").applyInPandas(joined, "lang string, block long, phrases binary, n long")
+
+
+#: Signs of the ends of pieces and of words that no phrase of the automaton has.
+_END, _OTHER = "\n", "\x01"
 #: The automaton of a Python worker, kept from task to task of one scan.
 _BUILT: dict = {}
 
 
-def _automaton(key: str, phrases: list):
-    if key not in _BUILT:
-        import ahocorasick
+def _sign(k: int) -> str:
+    """Three signs of the k-th word, of a hundred each, from alphabets of their own, so that no match begins inside a word."""
+    return chr(0x100 + k // 10_000) + chr(0x200 + k // 100 % 100) + chr(0x300 + k % 100)
+
+
+def compiled(phrases: list) -> tuple[dict, object]:
+    """The signs of each word, and the automaton of the phrases (bytes), whose values are their places.
 
-        _BUILT.clear()
-        built = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, phrase in enumerate(phrases):
-            built.add_word(" " + phrase.decode("latin-1") + " ", k)
-        built.make_automaton()
-        _BUILT[key] = built
-    return _BUILT[key]
+    An automaton looks through a node's branches one by one, in the order in which they were added: a hundred of them at most, and common words first.
+    """
+    import ahocorasick
+
+    signs = {w: _sign(k) for k, (w, _) in enumerate(Counter(w for p in phrases for w in p.split(b" ")).most_common())}
+    keys = ["".join([signs[w] for w in p.split(b" ")]) for p in phrases]
+    built = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k in sorted(range(len(keys)), key=keys.__getitem__):
+        built.add_word(keys[k], k)
+    built.make_automaton()
+    return signs | {b"": "", b"\n": _END}, built
 
 
-def guarded(text: bytes) -> bytes:
-    """The text's words in lower case with a space before and behind each, and a line feed between pieces."""
-    text = (b" " + text.translate(_PLAIN) + b" ").replace(b"\n", b" \n ")
-    while b"  " in text:
-        text = text.replace(b"  ", b" ")
-    return text
+def spelt(text: bytes, signs: dict) -> str:
+    """The text's words as signs, with delimiters."""
+    known = signs.get
+    return "".join([known(w, _OTHER) for w in text.translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")])
 
 
-def _scanned(docs: DataFrame, phrases: list) -> DataFrame:
-    """(lang, phrase, n) as single tasks count them; phrases: of one shard, as bytes."""
+def _scanned(docs: DataFrame, phrases: list, least: int) -> DataFrame:
+    """(lang, phrase, a): the phrases (bytes, of one shard) that all texts of a language together hold `least` times or more."""
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches):
         import pyarrow as pa
 
-        phrases = shared.value
-        automaton = _automaton(key, phrases)
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = compiled(shared.value)
+        signs, automaton = _BUILT[key]
         totals: dict = {}
         second = itemgetter(1)
 
         def emptied():
             for lang, total in totals.items():
-                for i in range(0, len(hit := np.flatnonzero(total)), 50_000):
-                    some = hit[i : i + 50_000].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([phrases[k] for k in some], pa.string()), pa.array(total[some])], names=["lang", "phrase", "n"])
+                blocks = [k for k in range(0, len(total), COUNT_BLOCK) if total[k : k + COUNT_BLOCK].any()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(blocks), pa.string()), pa.array(blocks, pa.int64()), pa.array([total[k : k + COUNT_BLOCK].tobytes() for k in blocks], pa.binary())], names=["lang", "block", "counts"])
             totals.clear()
 
         def scan(lang, texts):
-            found = np.fromiter(map(second, automaton.iter(guarded(b"\n".join(texts)).decode("latin-1"))), np.int64)
             if lang not in totals:
-                totals[lang] = np.zeros(len(phrases), np.int64)
-            at, n = np.unique(found, return_counts=True)
-            totals[lang][at] += n
+                totals[lang] = np.zeros(len(automaton), np.int64)
+            np.add.at(totals[lang], np.fromiter(map(second, automaton.iter(spelt(b"\n".join(texts), signs))), np.int64), 1)
 
         for batch in batches:
             by: dict = {}
@@ -262,11 +289,29 @@ def _scanned(docs: DataFrame, phrases: list) -> DataFrame:
                     scan(lang, by.pop(lang)[1:])
             for lang, texts in by.items():
                 scan(lang, texts[1:])
-            if len(totals) > 16:
-                yield from emptied()
+                if len(totals) > 8:
+                    yield from emptied()
         yield from emptied()
 
-    return _read(docs).select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(C.frugal(run), "lang string, phrase string, n long")
+    def summed(key, frame):
+        import pandas as pd
+
+        total = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
+        kept = np.flatnonzero(total >= least)
+        return pd.DataFrame({"lang": key[0], "phrase": np.array([shared.value[key[1] + k].decode() for k in kept.tolist()], object), "a": total[kept]})
+
+    read = _read(docs).select("lang", F.col("text").cast("binary").alias("text"))
+    return read.mapInArrow(C.frugal(run), "lang string, block long, counts binary").groupBy("lang", "block").applyInPandas(summed, "lang string, phrase string, a long")
+
+
+def _bounded(phrases: list):
+    """The phrases in lists of at most SHARD_WORDS distinct words."""
+    if len(phrases) > 1 and len({w for p in phrases for w in p.split(b" ")}) > SHARD_WORDS:
+        half = len(phrases) // 2
+        yield from _bounded(phrases[:half])
+        yield from _bounded(phrases[half:])
+    elif phrases:
+        yield phrases
 
 
 def counted(docs: DataFrame, names: DataFrame, least: int = LEAST) -> DataFrame:
@@ -279,9 +324,8 @@ def counted(docs: DataFrame, names: DataFrame, least: int = LEAST) -> DataFrame:
         pieces = 1 + own * 2 // (3 * SHARD_BYTES)  # a frequent first word's phrases part further
         for piece in range(pieces):
             rows = dealt.where((F.col("shard") == shard) & (F.pmod(F.xxhash64("phrase"), F.lit(pieces)) == piece)).select(F.col("phrase").cast("binary"))
-            phrases = sorted(bytes(r[0]) for r in rows.toLocalIterator())
-            if phrases:
-                parts.append(C.stored(_scanned(docs, phrases).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)))
+            for phrases in _bounded(sorted(bytes(r[0]) for r in rows.toLocalIterator())):
+                parts.append(C.stored(_scanned(docs, phrases, least)))
     if not parts:
         return names.select("lang", "phrase", F.lit(0).alias("words"), F.lit(0).cast("long").alias("a")).where(F.lit(False))
     found = parts[0]
