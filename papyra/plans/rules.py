@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from papyra.operators import quality
+from papyra.operators import gates, quality
 from papyra.operators import validators as V
 from papyra.plans.registry import query
 
@@ -127,3 +127,46 @@ WITH f AS (SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(text, '%%
   CASE WHEN regexp_matches(text, '[0-9]{6,}') THEN 'digits' END, CASE WHEN regexp_matches(text, '[A-Z]{5,}') THEN 'capital' END], lambda x: x IS NOT NULL)) AS code FROM documents) SELECT doc_id, code, 'review' AS severity FROM f""")
 def review_findings(documents):
     return quality.findings(documents, "doc_id", [(code, "review", F.col("text").rlike(p)) for code, p in _REVIEW])
+
+
+#: What a candidate's fourth choice is, and why it is rejected then; the other three are words of a document.
+_FOURTH = [
+    ("own words", ""), ("  ", "empty_choice"), ("첨부 파일 참조", "placeholder_choice"), ("7. 다음 글", "contaminated_choice"), ("틀린 것은 ?", "question_text_in_choice"), ("㉦ mark", "damaged_marker_choice"), ("long words of a tail that goes on and on, entirely beyond all others", "choice_tail_contamination"), ("(open", "unbalanced_choice_delimiter"),
+]
+_FOURTH_CASES = " ".join(f"WHEN {k} THEN '{code}'" for k, (_, code) in enumerate(_FOURTH))
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, n_chars, list_transform(regexp_extract_all(text, '[a-zA-Z]+')[1:3], lambda x: lower(x)[1:15]) AS words, CASE doc_id % {len(_FOURTH)} {_FOURTH_CASES} END AS planted FROM documents),
+r AS (SELECT doc_id, [CASE WHEN planted = 'unbalanced_choice_delimiter' THEN planted END, CASE WHEN len(words) < 3 THEN 'invalid_choice_count' END, CASE WHEN planted NOT IN ('', 'unbalanced_choice_delimiter', 'choice_tail_contamination') THEN CASE WHEN planted = 'empty_choice' OR planted = 'placeholder_choice' THEN planted END END,
+  CASE WHEN len(list_distinct(words)) < len(words) THEN 'duplicate_choice' END, CASE WHEN planted IN ('contaminated_choice', 'question_text_in_choice', 'damaged_marker_choice') THEN planted END, CASE WHEN planted = 'choice_tail_contamination' AND len(words) = 3 THEN planted END,
+  CASE WHEN n_chars % 10 < 7 THEN 'low_confidence' END, CASE WHEN n_chars % 11 = 0 THEN 'parser_diagnostic' END] AS a FROM w)
+SELECT doc_id, array_to_string(list_filter(a, lambda x: x IS NOT NULL), ',') AS reasons FROM r""")
+def candidate_reasons(documents):
+    words = F.transform(F.slice(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0)), 1, 3), lambda x: F.substring(F.lower(x), 1, 15))
+    fourth = F.get(F.array(*[F.lit(t) for t, _ in _FOURTH]), (F.col("doc_id") % len(_FOURTH)).cast("int"))
+    said = F.when(F.expr("n_chars % 11 = 0"), F.array(F.lit("odd"))).otherwise(F.array(F.lit("table_choice_recovery")))
+    return documents.select("doc_id", F.array_join(gates.reasons(F.lit("which one"), F.concat(words, F.array(fourth)), F.expr("n_chars % 10") / 10.0, said), ",").alias("reasons"))
+
+
+_REVIEWED = [("", ""), ("", "pua_remaining"), (" x¯ y", "hwp_overbar_marker_review"), ("\t", "linebreak_remaining"), (" 그림에서 에 알맞은", "dangling_blank_reference"), (" 3 4 [m]", "number_unit_order_suspect"), (" [ ] Ω", "blank_unit_suspect"), (" (가) ?", "paren_question_order_suspect"), (" 다읔", "ocr_noise_text"), (" 시간을 3 초과", "suspicious_text_artifact")]
+_REVIEWED_CASES = " ".join(f"WHEN {k} THEN '{code}'" for k, (_, code) in enumerate(_REVIEWED))
+
+
+@query(f"SELECT doc_id, 'text' AS path, CASE doc_id % 10 {_REVIEWED_CASES} END AS category, 'needs_source_review' AS severity FROM documents WHERE doc_id % 10 <> 0")
+def source_reviews(documents):
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " ")
+    behind = F.get(F.array(*[F.lit(t) for t, _ in _REVIEWED]), (F.col("doc_id") % len(_REVIEWED)).cast("int"))
+    return gates.review_findings(documents.select("doc_id", F.concat(plain, behind).alias("text")), "doc_id", "text")
+
+
+@query("""
+SELECT [x FOR x IN [
+  CASE WHEN EXISTS (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) THEN 'duplicate_questions' END, 'invalid_question_structure',
+  CASE WHEN EXISTS (SELECT 1 FROM orders o LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, max(l_linenumber) AS high FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey WHERE coalesce(n, 0) <> 4 OR high <> 4) THEN 'missing_question_numbers' END,
+  'missing_answers'] IF x IS NOT NULL] AS codes""")
+def staged_bank(lineitem, orders):
+    keyed = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    questions = lineitem.select(keyed.alias("id"), F.col("l_orderkey").alias("set"), F.col("l_linenumber").cast("int").alias("number"), F.lit("text").alias("text"), (F.col("l_suppkey") % 6).cast("int").alias("answer"), F.lit(1).alias("answered"), F.lit(1).alias("source"))
+    choices = lineitem.select(keyed.alias("question"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("number")).withColumn("text", F.col("number").cast("string")).distinct()
+    return gates.staging_codes(questions, choices, expected=orders.select(F.col("o_orderkey").alias("set"), F.lit(4).alias("n"), F.lit(True).alias("answers_required")))
