@@ -264,3 +264,11 @@ def stream_incremental(spark, sf_dir):
 
 
 FOUND["stream_incremental"] = (stream_incremental, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+
+
+def stream_batches(spark, sf_dir):
+    """What the batches of a stream over the folder's event files have observed and written."""
+    return ingest.batch_counts(spark, f"{sf_dir}/events.parquet")
+
+
+FOUND["stream_batches"] = (stream_batches, "SELECT count(*) AS seen, count(*) FILTER (event_id % 2 = 0) AS good, count(DISTINCT event_id) AS written FROM events")

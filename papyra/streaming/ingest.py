@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from papyra.sources.scratch import working_folder
 
@@ -95,3 +97,58 @@ def ingest_new(spark: SparkSession, source: str, schema, checkpoint: str, sink:
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+class Progress(StreamingQueryListener):
+    """What each batch of the session's queries has seen: its observed counts and the rows of its state. Add it with spark.streams.addListener."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        state = sum(s.numRowsTotal for s in p.stateOperators)
+        for name, metrics in p.observedMetrics.items():
+            self.rows.append((str(p.id), name, int(p.batchId), json.dumps(metrics.asDict(), default=str), int(state)))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(query, name, batch, counts, state_rows) of the batches so far; counts is JSON."""
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+        return spark.createDataFrame(self.rows, "query string, name string, batch long, counts string, state_rows long")
+
+
+def ingest_within(spark: SparkSession, source: str, schema, checkpoint: str, sink: str, key: str, at: str, lifetime: str, good: F.Column | None = None, files: int = 1) -> None:
+    """Like ingest(), with keys that are forgotten when the rows' time has passed by the lifetime: the state follows the rows of a lifetime, not all rows.
+
+    A key that repeats within the lifetime is dropped; one that comes again later is new; rows whose own time is behind the newest by more than the lifetime are late and left out. Each batch takes `files` new files and observes, as "ingest", the rows it has seen, and those that are good.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    seen = stream.observe("ingest", F.count(F.lit(1)).alias("seen"), F.count_if(F.lit(True) if good is None else good).alias("good"))
+    fresh = seen.withWatermark(at, lifetime).dropDuplicatesWithinWatermark([key])
+    query = fresh.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", sink).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def batch_counts(spark: SparkSession, source: str, lifetime: str = "1 hour", key: str = "event_id", at: str = "ts") -> DataFrame:
+    """(seen, good, written) over all batches of a stream of the source's files, restarted once: observed counts beside the rows in the sink."""
+    folder, progress = working_folder(spark), Progress()
+    schema = spark.read.parquet(source).withColumn(at, F.col(at).cast("timestamp_ltz")).schema
+    spark.streams.addListener(progress)
+    try:
+        for _ in range(2):
+            ingest_within(spark, source.removesuffix("/") + "*", schema, f"{folder}/mark", f"{folder}/sink", key, at, lifetime, F.col(key) % 2 == 0)
+        counts = progress.table(spark)
+    finally:
+        spark.streams.removeListener(progress)
+    number = lambda name: F.coalesce(F.sum(F.get_json_object("counts", f"$.{name}").cast("long")), F.lit(0)).alias(name)
+    written = spark.read.schema(schema).parquet(f"{folder}/sink").agg(F.count("*").alias("written"))
+    return counts.where("name = 'ingest'").agg(number("seen"), number("good")).crossJoin(written)  # single rows
