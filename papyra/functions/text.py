@@ -173,26 +173,91 @@ def title_date(title: Column) -> Column:
     return F.struct(F.when(found, part(1)).alias("year"), F.when(found, part(2)).alias("month"), F.when(found, part(3)).alias("day"), F.when(found, F.coalesce(part(4), F.lit(1))).alias("session"))
 
 
-def evidence(text: Column, markers: list[str], least: int = 40, most: int = 180) -> Column:
-    """The text in single spaces, cut at the first marker behind `least` characters, `most` at most."""
-    plain = spaced(text)
-    at = [F.locate(m, plain, least + 1) for m in markers]
-    first = F.array_min(F.filter(F.array(*at), lambda x: x > 0))
-    return F.substring(F.when(first.isNotNull(), F.trim(F.substring(plain, F.lit(1), first - 1))).otherwise(plain), 1, most)
+# Signs of a page's furniture in a line without blanks, and the marks of choices at which an excerpt ends.
+FURNITURE, PAPER_HEAD = "합격코스|커리큘럼|동시학습|실전대비", "문제지"
+EXCERPT_ENDS = (r"\(0\)", r"\(1\)", r"\(기\)", r"\(의\)", "㉦", r"㉠\s", "①", r"1\)")
 
 
-def difficulty(text: Column, level2: Column, level1: Column, placeholder: Column, hard: str, middle: list[str], easy: list[str]) -> Column:
-    """struct<level, risk> by the first rule that holds: placeholder, hard words, middle topics, easy topics, else medium."""
+def without_noise(text: Column) -> Column:
+    """The text's lines in single spaces, without blank ones, advertisements, page numbers (k/n in a line under 30 signs) and short heads of papers."""
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", ""))
+    bare = lambda x: F.regexp_replace(x, f"[{SPACE}]+", "")
+    noise = lambda x: bare(x).rlike(FURNITURE) | x.rlike(r"(?U)\b\d+/\d+\b") & (F.length(x) < 30) | bare(x).contains(PAPER_HEAD) & (F.length(bare(x)) < 60)
+    kept = F.array_join(F.filter(trimmed, lambda x: (x != "") & ~noise(x)), " ")
+    return F.trim(F.regexp_replace(kept, f"[{SPACE}]+", " "))
+
+
+def evidence(text: Column, ends: tuple[str, ...] = EXCERPT_ENDS, least: int = 40, most: int = 180) -> Column:
+    """The text without noise, cut where the first match of a pattern lies behind `least` signs, `most` signs at most; an excerpt under `least` signs is the text instead."""
+    plain = without_noise(text)
+    at = F.array_min(F.filter(F.array(*[F.regexp_instr(plain, F.lit("(?U)" + e)) - 1 for e in ends]), lambda x: x > least))
+    cut = F.when(at.isNotNull(), F.trim(F.substring(plain, F.lit(1), at))).otherwise(plain)
+    return F.substring(F.when(F.length(cut) < least, plain).otherwise(cut), 1, most)
+
+
+# Words that tell hard questions and skills, topics of middle and low difficulty, and the reasons for a review.
+HARD = "모두 몇|합한 값|숫자|순서대로|가장 옳지 않은 것은 모두"
+MIDDLE_TOPICS, EASY_TOPICS = ("SOLAS", "MARPOL", "STCW", "UNCLOS", "COLREG", "IAMSAR"), ("일반영어·독해", "해사약어·용어")
+SKILLS = (("상황|절차|입항|대화|case", "case_application"), ("모두 몇|옳지 않은 것은 모두|비교", "comparative_analysis"), ("빈칸|숫자|합한 값", "conceptual_understanding"))
+REVIEW_REASONS = ("OCR/번호분할 누락으로 문항 본문 확인 필요", "주제 분류 신뢰도 낮음", "근거 발췌가 짧거나 OCR 품질 낮음")
+
+
+def difficulty(text: Column, level2: Column, level1: Column, placeholder: Column, hard: str = HARD, middle=MIDDLE_TOPICS, easy=EASY_TOPICS) -> Column:
+    """struct<level, risk> by the first rule that holds: placeholder, hard words (in any case), middle topics, easy topics, else medium."""
     made = lambda level, risk: F.struct(F.lit(level).alias("level"), F.lit(risk).alias("risk"))
-    return F.when(placeholder, made("unknown", 0.5)).when(text.rlike(hard), made("high", 1.0)).when(level2.isin(*middle), made("medium", 0.6)).when(level1.isin(*easy), made("low", 0.3)).otherwise(made("medium", 0.6))
+    return F.when(placeholder, made("unknown", 0.5)).when(text.rlike("(?iU)" + hard), made("high", 1.0)).when(level2.isin(*middle), made("medium", 0.6)).when(level1.isin(*easy), made("low", 0.3)).otherwise(made("medium", 0.6))
+
+
+def cognitive_skill(text: Column, placeholder: Column, skills=SKILLS) -> Column:
+    """The skill of the first pattern (in any case) that a question's text matches, recall if there is none, unknown for placeholders."""
+    return F.when(placeholder, "unknown").otherwise(ladder(F.coalesce(text, F.lit("")), [(f"(?iU)(?:{p})", skill) for p, skill in skills], "recall"))
 
 
 def review_reasons(placeholder: Column, confidence: Column, excerpt: Column) -> Column:
     """The reasons for which a row needs review, joined by "; "; empty if it needs none."""
-    reasons = F.array(F.when(placeholder, "missing text"), F.when(confidence < 0.70, "low confidence"), F.when(F.length(excerpt) < 40, "short evidence"))
+    reasons = F.array(F.when(placeholder, REVIEW_REASONS[0]), F.when(confidence < 0.70, REVIEW_REASONS[1]), F.when(F.length(F.coalesce(excerpt, F.lit(""))) < 40, REVIEW_REASONS[2]))
     return F.array_join(F.array_compact(reasons), "; ")
 
 
+# Words that mark a file's part as one of answers or of questions.
+ANSWER_PARTS, QUESTION_PARTS = ("정답", "답안", "해설", "답"), ("문제지", "문제", "자료")
+
+
+def role_marker(part: Column) -> Column:
+    """The word that marks a part of a file's name: an answer word anywhere in it, else a question word that it is or that a bracket follows; empty if there is none."""
+    value = F.trim(F.regexp_replace(F.coalesce(part, F.lit("")), f"[{SPACE}]+", " "))
+    out = F.lit("")
+    for word in reversed(QUESTION_PARTS):
+        out = F.when((value == word) | value.startswith(f"{word}(") | value.startswith(f"{word}["), word).otherwise(out)
+    for word in reversed(ANSWER_PARTS):
+        out = F.when(value.contains(word), word).otherwise(out)
+    return out
+
+
+def roleish(path: Column) -> Column:
+    """Answerish, questionish or unknown by the marked parts of a file's name between underlines, answers first, else by a word anywhere in it."""
+    stem = F.regexp_replace(F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1), r"(?<=.)\.[^.]*$", "")
+    marks = F.transform(F.filter(F.split(stem, "_"), lambda p: p != ""), role_marker)
+    any_of = lambda words: F.arrays_overlap(marks, F.array(*[F.lit(w) for w in words]))
+    return F.when(any_of(ANSWER_PARTS), "answerish").when(any_of(QUESTION_PARTS), "questionish").when(stem.rlike("|".join(ANSWER_PARTS)), "answerish").when(stem.rlike("|".join(QUESTION_PARTS)), "questionish").otherwise("unknown")
+
+
+def utc_text(at: Column) -> Column:
+    """A timestamp in whole seconds as ISO text of UTC, 2026-01-02T03:04:05+00:00."""
+    return F.date_format(F.to_utc_timestamp(at.cast("timestamp_ltz"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def dated_name(name: Column, day: Column) -> Column:
+    """A name followed by its day, name_2026.01.02."""
+    return F.concat_ws("_", name, F.date_format(day, "yyyy.MM.dd"))
+
+
+def year_or_current(year: Column, today: Column | None = None) -> Column:
+    """The year, or that of today (the session's, if no other day is given) where it is null or 0."""
+    return F.coalesce(F.nullif(year, F.lit(0)), F.year(F.current_date() if today is None else today))
+
+
 def url_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
 
@@ -272,12 +337,22 @@ ANSWER = r"(?:기출)?(?:정답|답안)|정답\s*&\s*해설|확정\s*답안|정
 QUESTION = r"(?:기출)?문제(?:지)?"
 
 
-def document_role(path: Column, question_marks: Column, choice_marks: Column, answer_marks: Column) -> Column:
-    """Notice, answer or question by the name, in that order, else by the marks that a probe has counted; unknown otherwise."""
-    name = F.element_at(F.split(path, "/"), -1)
+#: Papers whose names say nothing of their role, and what a probe may call a role.
+NAMELESS, PROBED_ANSWERS, PROBED_QUESTIONS = r"2023\s*2차\s*-\s*(?:물리|항해)$", ("정답", "답", "답안", "해설", "answer"), ("자료", "문제", "문제지", "question")
+
+
+def document_role(path: Column, question_marks: Column, choice_marks: Column, answer_marks: Column, probe_text: Column | None = None, probe_role: Column | None = None) -> Column:
+    """Notice, answer or question by the name, in that order, else by what a probe has read, called and counted; unknown otherwise."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("_"), F.lit(" ")), f"[{SPACE}]+", " ")))
+    file = F.element_at(F.split(path, "/"), -1)
+    name, whole, stem = plain(file), plain(path), plain(F.regexp_replace(file, r"(?<=.)\.[^.]*$", ""))
+    said, role = plain(probe_text if probe_text is not None else F.lit("")), plain(probe_role if probe_role is not None else F.lit(""))
+    count = lambda c: F.coalesce(c, F.lit(0))
     return (
-        F.when(name.rlike(NOTICE), "notice").when(path.rlike(ANSWER), "answer").when(name.rlike(QUESTION), "question").when(answer_marks > 0, "answer").when((question_marks > 0) & (choice_marks >= 4), "question").otherwise("unknown")
-    )
+        F.when(name.rlike(NOTICE), "notice").when(whole.rlike(ANSWER) | whole.contains("정답안"), "answer").when(name.rlike(QUESTION), "question").when(stem.rlike(NAMELESS), "question")
+        .when(said.rlike(NOTICE), "notice").when(role.isin(*PROBED_ANSWERS), "answer").when(said.rlike(ANSWER) | (count(answer_marks) > 0), "answer").when(role.isin(*PROBED_QUESTIONS), "question")
+        .when((count(question_marks) > 0) & (count(choice_marks) >= 4), "question").otherwise("unknown")
+    )
 
 
 def error_class(error: Column) -> Column:

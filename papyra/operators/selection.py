@@ -22,15 +22,18 @@ PROMPT_WEIGHT, CHOICE_WEIGHT = 0.55, 0.45
 ROUNDS = 6
 
 
-def units(questions: DataFrame) -> DataFrame:
+def units(questions: DataFrame, key=None) -> DataFrame:
     """(unit, count, first_index, ids, shared, children) of questions: singles, and groups at their first member's place with their children in order.
 
     shared: a group's distinct canonical passages in child order; children: content keys (P01) without their kind. A group is bounded by its exam.
+    V02: key, a function of no arguments that gives a text column, takes the place of a question's prompt, choices and anchors in its content key.
     """
     kind = F.when(F.col("group_order").isNotNull(), 0).when(F.col("number").isNotNull(), 1).otherwise(2)
     place = F.struct(kind.alias("kind"), F.coalesce(F.col("group_order").cast("long"), F.col("number").cast("long"), F.col("idx").cast("long")).alias("at"), F.col("idx").cast("long").alias("idx"))
     anchors = F.concat_ws("|", X.numbers(F.col("text")), X.negative(F.col("text")).cast("string"))
     child = F.struct(X.canonical(F.col("text")).alias("prompt"), X.choice_fingerprint(F.coalesce("choices", F.expr("cast(array() as array<string>)"))).alias("choices"), anchors.alias("anchors"))
+    if key is not None:
+        child = F.struct(key().cast("string").alias("prompt"), F.expr("cast(array() as array<string>)").alias("choices"), F.lit("").alias("anchors"))
     unit = F.coalesce(F.concat(F.lit("g:"), F.col("group_id").cast("string")), F.concat(F.lit("q:"), F.col("id").cast("string")))
     passage = F.when(F.col("group_id").isNotNull(), X.canonical(F.col("shared"))).otherwise("")
     rows = questions.select(unit.alias("unit"), place.alias("place"), child.alias("child"), passage.alias("passage"), F.col("id"), F.col("idx").cast("long").alias("idx"))

@@ -142,21 +142,42 @@ def title_dates(orders):
 
 
 @query(rf"""
-WITH s AS (SELECT doc_id, {spaced('text')} AS t FROM documents), m AS (SELECT *, list_min(list_filter([strpos(t[41:], 'the '), strpos(t[41:], ' que ')], lambda x: x > 0)) AS place FROM s)
-SELECT doc_id, (CASE WHEN place IS NULL THEN t ELSE trim(t[1:40 + place - 1]) END)[1:180] AS evidence FROM m""")
+WITH l AS (SELECT doc_id, list_transform(string_split_regex(text || chr(10) || ' ' || (n_chars % 50) || '/50 ' || chr(10) || ' 문 제지 ' || doc_id || chr(10) || '동시 학습', '\r\n|[\n\r]'), lambda x: trim(x, ' ' || chr(9))) AS lines FROM documents),
+s AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(lines, lambda x: x <> '' AND NOT (regexp_matches(regexp_replace(x, '[{_SPACE}]+', '', 'g'), '합격코스|커리큘럼|동시학습|실전대비') OR (regexp_matches(x, '(^|[^0-9A-Za-z_])[0-9]+/[0-9]+($|[^0-9A-Za-z_])') AND length(x) < 30)
+  OR (contains(regexp_replace(x, '[{_SPACE}]+', '', 'g'), '문제지') AND length(regexp_replace(x, '[{_SPACE}]+', '', 'g')) < 60))), ' '), '[{_SPACE}]+', ' ', 'g')) AS t FROM l),
+m AS (SELECT doc_id, t, list_min(list_filter([strpos(t, 'the ') - 1, strpos(t, ' que ') - 1, strpos(t, ' und ') - 1], lambda x: x > 40)) AS place FROM s)
+SELECT doc_id, CASE WHEN place IS NULL OR length(trim(t[1:place])) < 40 THEN t ELSE trim(t[1:place]) END[1:180] AS evidence FROM m""")
 def evidence_excerpt(documents):
-    return documents.select("doc_id", X.evidence(F.col("text"), ["the ", " que "]).alias("evidence"))
+    text = F.concat("text", F.lit("\n "), F.expr("n_chars % 50").cast("string"), F.lit("/50 \n 문 제지 "), F.col("doc_id").cast("string"), F.lit("\n동시 학습"))
+    return documents.select("doc_id", X.evidence(text, ("the ", " que ", " und ")).alias("evidence"))
 
 
 @query(r"""
-SELECT doc_id, CASE WHEN length(text) < 50 THEN 'unknown' WHEN regexp_matches(text, '%%%|###') THEN 'high' WHEN source IN ('web') THEN 'medium' WHEN lang IN ('en') THEN 'low' ELSE 'medium' END AS level,
-  CASE WHEN length(text) < 50 THEN 0.5 WHEN regexp_matches(text, '%%%|###') THEN 1.0 WHEN source IN ('web') THEN 0.6 WHEN lang IN ('en') THEN 0.3 ELSE 0.6 END::DOUBLE AS risk,
-  array_to_string(list_filter([CASE WHEN length(text) < 50 THEN 'missing text' END, CASE WHEN lang = 'fr' THEN 'low confidence' END, CASE WHEN length(text) < 40 THEN 'short evidence' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM documents""")
+WITH t AS (SELECT doc_id, text[1:400] || CASE doc_id % 5 WHEN 0 THEN ' 모두 몇 개' WHEN 1 THEN ' 빈칸' WHEN 2 THEN ' 절차' ELSE '' END AS text, CASE WHEN doc_id % 3 = 0 THEN 'SOLAS' ELSE 'x' END AS l2, CASE WHEN lang = 'en' THEN '일반영어·독해' ELSE lang END AS l1, lang, length(text) < 300 AS p FROM documents)
+SELECT doc_id, CASE WHEN p THEN 'unknown' WHEN doc_id % 5 = 0 THEN 'high' WHEN l2 = 'SOLAS' THEN 'medium' WHEN lang = 'en' THEN 'low' ELSE 'medium' END AS level,
+  CASE WHEN p THEN 0.5 WHEN doc_id % 5 = 0 THEN 1.0 WHEN l2 = 'SOLAS' THEN 0.6 WHEN lang = 'en' THEN 0.3 ELSE 0.6 END::DOUBLE AS risk,
+  CASE WHEN p THEN 'unknown' WHEN doc_id % 5 = 2 OR contains(lower(text), 'case') THEN 'case_application' WHEN doc_id % 5 = 0 THEN 'comparative_analysis' WHEN doc_id % 5 = 1 THEN 'conceptual_understanding' ELSE 'recall' END AS skill,
+  array_to_string(list_filter([CASE WHEN p THEN 'OCR/번호분할 누락으로 문항 본문 확인 필요' END, CASE WHEN lang = 'fr' THEN '주제 분류 신뢰도 낮음' END, CASE WHEN length(text[1:400 - doc_id % 400]) < 40 THEN '근거 발췌가 짧거나 OCR 품질 낮음' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM t""")
 def difficulty_ladder(documents):
-    placeholder = F.length("text") < 50
-    d = X.difficulty(F.col("text"), F.col("source"), F.col("lang"), placeholder, "%%%|###", ["web"], ["en"])
-    reasons = X.review_reasons(placeholder, F.when(F.col("lang") == "fr", 0.5).otherwise(0.9), F.col("text"))
-    return documents.select("doc_id", d.alias("d"), reasons.alias("reasons")).select("doc_id", "d.level", "d.risk", "reasons")
+    placeholder, k = F.length("text") < 300, F.col("doc_id") % 5
+    text = F.concat(F.substring("text", 1, 400), F.when(k == 0, " 모두 몇 개").when(k == 1, " 빈칸").when(k == 2, " 절차").otherwise(""))
+    d = X.difficulty(text, F.when(F.expr("doc_id % 3 = 0"), "SOLAS").otherwise("x"), F.when(F.col("lang") == "en", "일반영어·독해").otherwise(F.col("lang")), placeholder)
+    reasons = X.review_reasons(placeholder, F.when(F.col("lang") == "fr", 0.5).otherwise(0.9), F.substring(text, F.lit(1), (400 - F.col("doc_id") % 400).cast("int")))
+    return documents.select("doc_id", d.alias("d"), X.cognitive_skill(text, placeholder).alias("skill"), reasons.alias("reasons")).select("doc_id", "d.level", "d.risk", "skill", "reasons")
+
+
+@query(r"""
+SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'answerish' WHEN 1 THEN 'questionish' WHEN 2 THEN 'unknown' WHEN 3 THEN 'answerish' WHEN 4 THEN 'questionish' WHEN 5 THEN 'answerish' WHEN 6 THEN 'questionish' ELSE 'unknown' END AS roleish,
+  CASE o_orderkey % 8 WHEN 0 THEN 'answer' WHEN 1 THEN 'question' WHEN 2 THEN 'notice' WHEN 3 THEN 'answer' WHEN 4 THEN 'question' WHEN 5 THEN 'answer' WHEN 6 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'answer' ELSE 'question' END ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'answer' ELSE 'question' END END AS role,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS utc, o_orderstatus || '_' || strftime(o_orderdate, '%Y.%m.%d') AS named, CASE WHEN o_orderkey % 4 = 0 THEN 2026 ELSE year(o_orderdate) END AS year FROM orders""")
+def file_roles(orders):
+    k = F.col("o_orderkey")
+    names = ["a_정답_b.pdf", "a_문제(1).pdf", "채용 시험 공고.pdf", "2024해설집 정답.pdf", "old문제집.pdf", "x_답안.v2.pdf", "a_자료.pdf", "plain.pdf"]
+    path = F.concat(F.lit("folder/"), F.get(F.array(*[F.lit(n) for n in names]), (k % 8).cast("int")))
+    role = X.document_role(path, F.lit(1), F.lit(4), F.when(k % 3 == 0, 2), F.lit("text"), F.lit(""))
+    day = F.col("o_orderdate").cast("date")
+    utc = X.utc_text(F.to_timestamp_ltz(F.col("o_orderdate").cast("string")))
+    return orders.select("o_orderkey", X.roleish(path).alias("roleish"), role.alias("role"), utc.alias("utc"), X.dated_name(F.col("o_orderstatus"), day).alias("named"), X.year_or_current(F.when(k % 4 != 0, F.year(day)), F.lit("2026-11-28").cast("date")).cast("long").alias("year"))
 
 
 @query(r"""

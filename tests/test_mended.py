@@ -116,3 +116,25 @@ def test_exact_count_keeps_few_rows_of_each_task(spark):
     shown = found.withColumn("n", F.row_number().over(plan)).where("n <= 20")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in shown
     assert selection.exact_count(found, 20, 1).agg(F.sum("count")).first()[0] == 20
+
+
+def test_excerpts_roles_and_skills(spark):
+    df = spark.createDataFrame([("합격 코스\n 3/12 \n\n문제지 1\n" + "바다와 배에 관한 글이 서른 자를 넘도록 길게 이어지고 또 이어진다 그리고 끝난다 ① 가 ② 나",), ("짧은 글 ① 가",), (None,), ("x" * 300,)], "t string")
+    got = [r.e for r in df.select(X.evidence(F.col("t")).alias("e")).collect()]
+    assert got == ["바다와 배에 관한 글이 서른 자를 넘도록 길게 이어지고 또 이어진다 그리고 끝난다", "짧은 글 ① 가", "", "x" * 180]
+    parts = ["정답(1)", "문제", "문제(가)", "문제집", "  자료 ", "해설 답", "", None]
+    marks = spark.createDataFrame([(p,) for p in parts], "p string").select(X.role_marker(F.col("p")).alias("m")).collect()
+    assert [r.m for r in marks] == ["정답", "문제", "문제", "", "자료", "해설", "", ""]
+    paths = ["d/2023_2차 - 물리.pdf", "x/정답안/a.pdf", "x/확정_답안.pdf", "x/a.pdf"]
+    made = spark.createDataFrame([(p,) for p in paths], "p string").select(X.document_role(F.col("p"), F.lit(0), F.lit(0), F.lit(0), F.lit("연간 시험 공고"), F.lit("question")).alias("r")).collect()
+    assert [r.r for r in made] == ["question", "answer", "answer", "notice"]
+    skill = spark.createDataFrame([("이 CASE 에서",), ("모두 몇 개",), ("빈칸에",), ("그냥",)], "t string").select(X.cognitive_skill(F.col("t"), F.lit(False)).alias("s")).collect()
+    assert [r.s for r in skill] == ["case_application", "comparative_analysis", "conceptual_understanding", "recall"]
+
+
+def test_units_take_a_key_of_the_caller(spark):
+    rows = [(1, 0, None, None, 1, "One?", ["a", "b"], None), (2, 1, None, None, 2, "Two?", ["c", "d"], None), (3, 2, None, None, 3, "three", ["a"], None)]
+    df = spark.createDataFrame(rows, "id int, idx int, group_id string, group_order int, number int, text string, choices array<string>, shared string")
+    assert selection.first_wins(selection.units(df)).count() == 3
+    same = selection.first_wins(selection.units(df, key=lambda: F.lit("one key")))
+    assert [r.first_index for r in same.collect()] == [0]
