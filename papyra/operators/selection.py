@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import text as X
+from papyra.operators.ordered import numbered
 from papyra.sources.scratch import stored
 
 # Least lengths and similarities of the duplicate rule, and its weights.
@@ -237,6 +238,35 @@ def mock_exam(questions: dict[str, DataFrame], subjects: list[str], count: int,
     return rows.withColumn("display_order", F.row_number().over(Window.orderBy("turn", "first_index", "place")).cast("long")).select("subject", "id", "display_order")  # count rows a subject
 
 
+def practice(questions: DataFrame, count: int | None = None, seed: int = 0, years: tuple[int | None, int | None] = (None, None), tags: str = "", taken: DataFrame | None = None) -> DataFrame:
+    """Units of the questions (also with year and tags) of a range of years, open on either side, and of any of the tags, none like another or like one that is taken.
+
+    With a count, whole units of just so many questions; without one, all of them in input order. Where a bound of years is set, questions without a year go.
+    """
+    pool = questions
+    for bound, low in zip(years, (True, False)):
+        if bound is not None:
+            pool = pool.where(F.col("year") >= bound if low else F.col("year") <= bound)
+    pool = pool.where(X.tagged(F.coalesce("tags", F.lit("")), tags)) if tags.strip() else pool
+    found = stored(first_wins(stored(units(pool))))
+    found = found if taken is None else stored(excluded(found, taken))
+    return found.orderBy("first_index") if count is None else exact_count(found, count, seed)
+
+
+def sections(parts: list[tuple[str, DataFrame, dict]]) -> DataFrame:
+    """(section, id, display_order) of an export: each part is a section's name, its questions and the options of practice(); no section repeats a question of an earlier one.
+
+    A loop over a handful of sections.
+    """
+    taken, out = None, []
+    for k, (name, questions, options) in enumerate(parts):
+        chosen = stored(practice(questions, taken=taken, **options))
+        taken = chosen if taken is None else stored(taken.unionByName(chosen))
+        out.append(chosen.select(F.lit(k).alias("turn"), F.lit(name).alias("section"), "first_index", F.posexplode("ids").alias("place", "id")))
+    rows = reduce(lambda a, b: a.unionByName(b), out)
+    return numbered(rows, ["turn", "first_index", "place"], "display_order").select("section", "id", "display_order")
+
+
 def shuffled_choices(rows: DataFrame, key: str, choices: str, seed: int) -> DataFrame:
     """Choices in the order of md5 of key, choice, place and seed: the same on every run."""
     ranked = F.transform(F.col(choices), lambda c, i: F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), c, i.cast("string"), F.lit(str(seed)))).alias("r"), c.alias("c")))

@@ -138,3 +138,18 @@ def test_units_take_a_key_of_the_caller(spark):
     assert selection.first_wins(selection.units(df)).count() == 3
     same = selection.first_wins(selection.units(df, key=lambda: F.lit("one key")))
     assert [r.first_index for r in same.collect()] == [0]
+
+
+def test_sections_of_an_export(spark):
+    ddl = "id int, idx int, group_id string, group_order int, number int, text string, choices array<string>, shared string, year int, tags string"
+    law = [(k, k, "g" if k in (4, 5) else None, None, k, f"law question number {k % 7} of a long text", ["a", str(k % 7)], "shared passage" if k in (4, 5) else None, 2000 + k if k else None, "#law, #sea" if k % 2 else "#law") for k in range(10)]
+    nav = [(100 + k, k, None, None, k, f"law question number {k} of a long text", ["a", str(k)], None, 2005, "#nav") for k in range(12)]
+    a, b = spark.createDataFrame(law, ddl), spark.createDataFrame(nav, ddl)
+    ids = lambda df: [r.id for r in df.select(F.explode("ids").alias("id")).collect()]
+    assert ids(selection.practice(a)) == [0, 1, 2, 3, 4, 5, 6]  # 7 to 9 repeat 0 to 2
+    assert ids(selection.practice(a, years=(2002, 2004))) == [2, 3, 4] and ids(selection.practice(a, years=(None, 2002), tags="#sea")) == [1]
+    assert len(ids(selection.practice(a, 3, 1))) == 3
+    got = [tuple(r) for r in selection.sections([("law", a, {"years": (2001, 2003)}), ("nav", b, {"count": 5, "seed": 3})]).orderBy("display_order").collect()]
+    assert [(s, i) for s, i, _ in got][:3] == [("law", 1), ("law", 2), ("law", 3)] and [d for *_, d in got] == list(range(1, 9))
+    nav_ids = {i for s, i, _ in got if s == "nav"}
+    assert len(nav_ids) == 5 and not nav_ids & {101, 102, 103}
