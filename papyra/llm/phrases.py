@@ -25,8 +25,8 @@ from . import common as C
 
 #: Words of the longest phrase, least occurrences of a phrase, rows reported for each language.
 WORDS, LEAST, TOP = 5, 100, 2000
-#: Bytes of text for each cell of the sketch (about eight phrases), cells of a block (2 to this power).
-CELL_BYTES, BLOCK_BITS = 16, 16
+#: Bytes of text for each cell of the sketch (about six phrases, so few cells reach the threshold by chance), cells of a block (2 to this power).
+CELL_BYTES, BLOCK_BITS = 8, 16
 #: Cells of one bitmap (2 to this power: 32 MB), bytes of the phrases of one automaton (about 10 bytes of memory each), its distinct words.
 BITMAP_BITS, SHARD_BYTES, SHARD_WORDS = 28, 16_000_000, 1_000_000
 #: Phrases whose counts are one row of a task's result.
