@@ -97,8 +97,8 @@ def crawled(start: DataFrame, links: DataFrame, page: str, target: str, most_pag
 
     A loop over depths, each a join of the newest pages with the links; it ends where a depth adds no page. The limit is the crawl's feature: within a depth pages come by name.
     """
-    seen = stored(start.select(F.col(page), F.lit(0).alias("depth")).distinct().orderBy(page).limit(most_pages))
-    newest, depth, count = seen, 0, seen.count()
+    newest = stored(start.select(F.col(page), F.lit(0).alias("depth")).distinct().orderBy(page).limit(most_pages))
+    seen, depth, count = newest, 0, newest.count()
     while count < most_pages:
         depth += 1
         found = newest.join(links.select(page, target), page).select(F.col(target).alias(page)).distinct()
@@ -107,7 +107,7 @@ def crawled(start: DataFrame, links: DataFrame, page: str, target: str, most_pag
         n = fresh.count()
         if not n:
             break
-        seen, newest, count = stored(seen.unionByName(fresh)), fresh, count + n
+        seen, newest, count = seen.unionByName(fresh), fresh, count + n  # each depth is stored once
     return seen
 
 

@@ -161,19 +161,16 @@ def chained_starts(starts: DataFrame, doc: str, place: str, number: str, gap: in
     """The question starts of each document that form its longest chain: numbers grow by 1 to `gap` as places grow.
 
     Of equally long chains the one with the fewest missing numbers counts, then the one of the earliest starts from the end on. A candidate looks only at the best chain that ends in each of the `gap`
-    numbers before its own, so a document costs its candidates times `gap`. A document's candidates are one group.
+    numbers before its own, so a document costs its candidates times `gap`. Documents follow one another in sorted partitions; one document's candidates are held at a time.
     """
     schema = starts.schema
+    place_of = [starts.columns.index(c) for c in (doc, number)]
 
-    def longest(frame):
-        frame = frame.sort_values([place, number], kind="stable").reset_index(drop=True)
+    def longest(numbers: list) -> list[int]:
+        """Which of a document's candidates, in order of place, are the chain's."""
         best: dict[int, tuple] = {}  # number: (length, -missing, row) of the best chain that ends in it
         back, top = [], None
-        for i, n in enumerate(frame[number]):
-            if n is None or n != n:
-                back.append(None)
-                continue
-            n = int(n)
+        for i, n in enumerate(numbers):
             before = max(((*best[m][:2], -best[m][2], m) for m in range(n - gap, n) if m in best), default=None)
             prior = best[before[3]] if before else None
             own = (prior[0] + 1, prior[1] - (n - before[3] - 1), i) if prior else (1, 0, i)
@@ -186,9 +183,33 @@ def chained_starts(starts: DataFrame, doc: str, place: str, number: str, gap: in
         while at is not None:
             kept.append(at)
             at = back[at]
-        return frame.iloc[kept[::-1]]
-
-    return starts.where(F.col(number).isNotNull()).groupBy(doc).applyInPandas(longest, schema)
+        return kept[::-1]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def chained():
+            """The held rows of one document that are its chain's."""
+            whole = pa.Table.from_batches(held)
+            return whole.take(longest([int(n) for n in whole.column(place_of[1]).to_pylist()])).combine_chunks().to_batches()
+
+        held, key = [], None
+        for batch in batches:
+            keys, at = batch.column(place_of[0]).to_pylist(), 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if held and keys[at] != key:
+                    yield from chained()
+                    held = []
+                key = keys[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield from chained()
+
+    return starts.where(F.col(number).isNotNull()).repartition(doc).sortWithinPartitions(doc, place, number).mapInArrow(run, schema)
 
 
 def recovered_segments(segments: DataFrame, doc: str, number: str, text: str, last: Column | int, least_before: int = 40, least_after: int = 30) -> DataFrame:
