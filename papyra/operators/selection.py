@@ -21,6 +21,8 @@ SHORTEST, PROMPT, CHOICE, COMBINED, DESCRIPTIVE = 18, 0.90, 0.92, 0.95, 0.97
 PROMPT_WEIGHT, CHOICE_WEIGHT = 0.55, 0.45
 #: Rounds in which candidates meet the first of their buckets alone, before all that are left meet one another.
 ROUNDS = 6
+#: Pairs of one bucket that are so few in all that they meet at once: rounds only spare pairs, the result is the same.
+FEW_PAIRS = 200_000
 
 
 def units(questions: DataFrame, key=None) -> DataFrame:
@@ -147,7 +149,7 @@ def first_wins(found: DataFrame) -> DataFrame:
     """Units without those that are a duplicate of an earlier unit that is kept. Not transitive, and in the order of first_index.
 
     Units of equal keys collapse to the first. In each round every unit meets the first unit of its buckets alone; units that are the first of all
-    of theirs are kept, and their duplicates go. What is left after ROUNDS rounds meets in pairs.
+    of theirs are kept, and their duplicates go. What is left after ROUNDS rounds, or where FEW_PAIRS are left, meets in pairs.
     """
     keyed = found.withColumn("papyra_key", key_hash())
     first = keyed.groupBy("papyra_key").agg(F.min_by("unit", "first_index").alias("unit"))
@@ -155,6 +157,9 @@ def first_wins(found: DataFrame) -> DataFrame:
     buckets = _buckets(left)
     gone = None
     for _ in range(ROUNDS):
+        open_pairs = buckets.groupBy("block", "sign").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+        if open_pairs <= FEW_PAIRS:
+            break
         hubs = buckets.groupBy("block", "sign").agg(F.min_by("unit", "first_index").alias("a"), F.count("*").alias("c")).where("c > 1")
         pairs = stored(buckets.join(hubs, ["block", "sign"]).where("unit <> a").select("a", F.col("unit").alias("b")).distinct())
         if not pairs.limit(1).count():
@@ -166,6 +171,7 @@ def first_wins(found: DataFrame) -> DataFrame:
     x, y = buckets.alias("x"), buckets.alias("y")
     pairs = stored(x.join(y, F.expr("x.block = y.block and x.sign = y.sign and x.first_index < y.first_index")).select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct())
     edges = _verified(pairs, left)
+    gone = left.select("unit").limit(0) if gone is None else gone
     while edges.limit(1).count():
         sure = edges.select(F.col("a").alias("unit")).distinct().join(edges.select(F.col("b").alias("unit")).distinct(), "unit", "left_anti")
         dropped = stored(edges.join(sure.withColumnRenamed("unit", "a"), "a", "left_semi").select(F.col("b").alias("unit")).distinct())
