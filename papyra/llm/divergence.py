@@ -24,7 +24,7 @@ TOP = 50
 #: Entries that a task's counters hold before they are handed on, and texts of more bytes are split into words part by part.
 HELD, PART_BYTES = 300_000, 1 << 20
 #: Distinct vectors and first sources of pairs that one evaluation has.
-VECTORS, SIDE = 20_000, 512
+VECTORS, SIDE = 2_000, 512
 
 #: Letters A-Z in lower case, a-z and all bytes of other characters stay; the rest parts words.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
