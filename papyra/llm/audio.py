@@ -160,7 +160,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
     """
     out = recorded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     payload = F.expr(f"substring(papyra_media, {HEADER + 1}, octet_length(papyra_media) - {HEADER})")
-    held = out.withColumn("payload", F.when(F.expr(f"conv(hex(reverse(substring(papyra_media, 41, 4))), 16, 10) = octet_length(papyra_media) - {HEADER}"), payload))
+    # the length's bytes one by one, the last first: reverse() takes binary for text and keeps bytes that look like one character together
+    length = F.conv(F.hex(F.concat(*[F.expr(f"substring(papyra_media, {k}, 1)") for k in (44, 43, 42, 41)])), 16, 10)
+    held = out.withColumn("payload", F.when(length == F.octet_length("papyra_media") - HEADER, payload))
     active = F.aggregate("papyra_spans", F.lit(0.0), lambda a, s: a + s["end"] - s["begin"])
     feature = F.concat_ws(":", F.sha2("papyra_tensors", 256), F.array_join(F.transform("papyra_mel", lambda x: F.format_string("%.4f", x)), ","), F.size("papyra_spans").cast("string"), F.format_string("%.3f", active))
     return held.select(

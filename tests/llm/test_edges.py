@@ -375,6 +375,14 @@ def test_media_digests_equal_plain_python(spark):
     assert got[0].feature == got[1].feature != got[2].feature
 
 
+def test_payloads_whose_length_has_bytes_like_those_of_characters(spark):
+    # 50,112 is C0 C3 00 00 in the header, 60,480 is EC 40, and 12,900,096 has C4 as its third byte
+    sizes = [49_535, 49_536, 49_663, 60_000, 130_000, 12_900_000]
+    for r in audio.media_digests(spark.createDataFrame([(n, "x" * n) for n in sizes], "doc_id long, text string")).collect():
+        payload = b"x" * r.doc_id + b"\xff" * (-r.doc_id % audio.UNIT)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (r.doc_id, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+
+
 def test_hysteresis_opens_high_and_closes_low():
     energy = np.array([0, 0, 10, 6, 5, 1, 0, 6, 0, 10, 10], np.float32)
     step = audio.HOP * audio.DOWN / audio.RATE
