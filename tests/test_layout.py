@@ -106,6 +106,24 @@ def test_ruled_tables_come_apart(spark):
     assert got[0].score == round(0.7 + 0.2 + 0.1 * (0.5 + 0.5 + 1 + 0.6) / 4, 4)
 
 
+def test_crossing_lines_are_linked_page_by_page(spark, monkeypatch):
+    monkeypatch.setattr(L, "_PAIRS", 5)
+    r = random.Random(4)
+    lines = [(p, k, r.choice("xy"), float(a := r.randrange(30)), float(a + r.randrange(12)), float(r.randrange(30))) for p in range(12) for k in r.sample(range(50), p * 2)]
+    want = set()
+    for p in range(12):
+        own = [x for x in lines if x[0] == p]
+        low = {x[1]: x[1] for x in own}
+        met = [(a[1], b[1]) for a in own for b in own if a[2] == "y" and b[2] == "x" and a[3] - 1 <= b[5] <= a[4] + 1 and b[3] - 1 <= a[5] <= b[4] + 1]
+        for _ in own:
+            for a, b in met:
+                low[a] = low[b] = min(low[a], low[b])
+        want |= {(p, low[x[1]], *x[2:]) for x in own if any(x[1] in e for e in met)}
+    odd = [(None, 1, "y", 0.0, 9.0, 1.0), (None, 2, "x", 0.0, 9.0, 1.0), (1, None, "y", 0.0, 99.0, 1.0)]
+    df = spark.createDataFrame(lines + odd, "page int, id int, axis string, low double, high double, at double")
+    assert {(x.page, x.table, *line) for x in L.crossed(df, "page", 1.0).collect() for line in x.lines} == want and len({w[1] for w in want}) > 10
+
+
 def test_components_of_long_paths(spark):
     r = random.Random(3)
     ids = list(range(300))
