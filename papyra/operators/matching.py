@@ -45,19 +45,22 @@ def range_members(rows: DataFrame, key: str, number: str, low: str, high: str, r
 def best_owner(boxes: DataFrame, owners: DataFrame, cell: float, least: float = 0.50) -> DataFrame:
     """Each box (id, x0, y0, x1, y1) with the owner that holds the largest share of it, `least` at least; the smaller owner among equals, none if two are equal in both.
 
-    Boxes and owners meet in grid cells; a box's candidates are reduced by two minima over structs, combined before the shuffle.
+    Boxes of one place are one, and so are owners, with their number: the different places meet in grid cells, and a place's candidates are reduced by
+    two minima over structs, combined before the shuffle. So the work grows with the pairs of different places, not of boxes.
     """
     from papyra.operators.relational import overlapping
 
-    area = lambda: (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    met = overlapping(boxes, owners, cell)
-    sized = met.join(boxes.select(F.col("id").alias("a_id"), area().alias("own")), "a_id").join(owners.select(F.col("id").alias("b_id"), area().alias("size")), "b_id")
-    eligible = sized.withColumn("share", F.col("area") / F.col("own")).where(F.col("share") >= least)
+    corners = ["x0", "y0", "x1", "y1"]
+    at = F.struct(*[F.col(c).alias(c) for c in corners])
+    area = lambda s: (F.col(f"{s}.x1") - F.col(f"{s}.x0")) * (F.col(f"{s}.y1") - F.col(f"{s}.y0"))
+    owned = owners.where("id is not null").groupBy(*corners).agg(F.count("*").alias("same"), F.min("id").alias("owner"))
+    places, holders = boxes.select(at.alias("id"), *corners).distinct(), owned.select(F.struct(*corners, "same", "owner").alias("id"), *corners)
+    sized = overlapping(places, holders, cell).select("a_id", F.col("b_id.same").alias("same"), F.col("b_id.owner").alias("owner"), (F.col("area") / area("a_id")).alias("share"), area("b_id").alias("size"))
+    eligible = sized.where(F.col("share") >= least)
     rank = F.struct((-F.col("share")).alias("minus"), F.col("size").alias("size"))
-    best = eligible.groupBy("a_id").agg(F.min(rank).alias("best"))
-    tied = eligible.join(best, "a_id").where(rank == F.col("best")).groupBy("a_id").agg(F.count("*").alias("ties"), F.min("b_id").alias("owner"))
-    out = boxes.select("id").join(tied.withColumnRenamed("a_id", "id"), "id", "left")
-    return out.select("id", F.when(F.col("ties") == 1, F.col("owner")).alias("owner"))
+    best = eligible.groupBy("a_id", rank.alias("rank")).agg(F.sum("same").alias("ties"), F.min("owner").alias("owner")).groupBy("a_id").agg(F.min(F.struct("rank", "ties", "owner")).alias("best"))
+    found = best.select(*[F.col(f"a_id.{c}").alias(c) for c in corners], F.when(F.col("best.ties") == 1, F.col("best.owner")).alias("owner"))
+    return boxes.select("id", *corners).join(found, corners, "left").select("id", "owner")
 
 
 def in_cells(points: DataFrame, xs: list[float], ys: list[float]) -> DataFrame:

@@ -106,3 +106,16 @@ def test_rare_trigrams_miss_no_pair_of_the_ratio():
                 for x in (a, b):
                     # of all but the prefix at least one less can be shared, so the prefixes meet
                     assert len(both) > len(x) - 2 - selection.prefix_size(len(x), with_choices)
+
+
+def test_owners_of_one_place_meet_its_boxes_once(spark, monkeypatch):
+    from papyra.operators import matching, relational
+
+    sizes, plain = [], relational.overlapping
+    monkeypatch.setattr(relational, "overlapping", lambda a, b, cell: sizes.append((a.count(), b.count())) or plain(a, b, cell))
+    ddl = "id int, x0 double, y0 double, x1 double, y1 double"
+    boxes = spark.createDataFrame([(k, 10.0 * (k % 4), 0.0, 10.0 * (k % 4) + 4, 4.0) for k in range(400)] + [(400, None, 0.0, 1.0, 1.0)], ddl)
+    # the first place has an owner, the second 100 that are equal, the third one smaller than the others, the fourth none that holds half of it
+    owners = [(1, 0.0, 0.0, 4.0, 4.0)] + [(k, 10.0, 0.0, 14.0, 4.0) for k in range(2, 102)] + [(k, 20.0, -9.0, 24.0, 4.0) for k in range(200, 300)] + [(150, 20.0, 0.0, 24.0, 9.0), (301, 33.0, 0.0, 34.0, 4.0), (None, 0.0, 0.0, 4.0, 4.0)]
+    got = {r.id: r.owner for r in matching.best_owner(boxes, spark.createDataFrame(owners, ddl), 8).collect()}
+    assert got == {**{k: {0: 1, 2: 150}.get(k % 4) for k in range(400)}, 400: None} and sizes == [(5, 5)]
