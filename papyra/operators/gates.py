@@ -99,12 +99,15 @@ def reasons(stem: Column, choices: Column, confidence: Column, diagnostics: Colu
 
 def review_categories(text: Column, in_table: bool | Column = False) -> Column:
     """Q17: categories of a text that should be compared with its source: those of its quality codes, then those of the patterns, then lost order. Line breaks in a table's cell are right."""
-    value = F.coalesce(text, F.lit(""))
     table = in_table if isinstance(in_table, Column) else F.lit(in_table)
     names = F.create_map(*[F.lit(x) for pair in CATEGORY.items() for x in pair])
-    codes = F.transform(X.quality_codes(value), lambda c: names[c])
-    found = [_when(value.rlike("(?U)" + p) & (~table if name == "linebreak_remaining" else F.lit(True)), name) for name, p in REVIEWS]
-    return F.concat(codes, *found, _when(X.disordered(value), "suspicious_text_artifact"))
+
+    def found(value: Column) -> Column:
+        codes = F.transform(X.quality_codes(value), lambda c: names[c])
+        by_pattern = [_when(value.rlike("(?U)" + p) & (~table if name == "linebreak_remaining" else F.lit(True)), name) for name, p in REVIEWS]
+        return F.concat(codes, *by_pattern, _when(X.disordered(value), "suspicious_text_artifact"))
+
+    return let(F.coalesce(text, F.lit("")), found)
 
 
 def review_findings(rows: DataFrame, key: str, text: str, payload: str | None = None) -> DataFrame:

@@ -98,3 +98,24 @@ def test_running_sums(spark):
     lists = [[random.Random(n).randrange(9) for _ in range(n)] for n in (0, 1, 2, 3, 8, 100, 1025)]
     want = [[sum(x[: k + 1]) for k in range(len(x))] for x in lists]
     assert shown(column(spark, lists, "array<int>"), offsets.running(F.col("t"))) == want
+
+
+def test_checks_compute_their_text_once(spark):
+    from papyra.operators import gates
+
+    made = F.regexp_replace("t", "zzz", "")
+    for check in (X.quality_codes(made), X.disordered(made), X.evidence(made), gates.review_categories(made)):
+        plan = column(spark, ["x"]).select(check.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("zzz") == 1 and plan.count("합격코스") <= 2
+
+
+@pytest.mark.parametrize("text, want", [
+    ("plain Oh words", ["ocr_noise"]), ("a (} 0 가)", ["ocr_noise"]), ("a卜b", ["ocr_noise"]), ("see r해양법]", ["ocr_noise"]), ("a¯b", ["ocr_noise"]), ("가12명a나", ["ocr_noise"]), ("room", []), ("Ohm and or", []), ("제Ⅲ장의", []), ("x 100", []),
+])
+def test_first_looks_lose_no_sign(spark, text, want):
+    assert [c for c in column(spark, [text]).select(X.quality_codes(F.col("t")).alias("c")).first().c if c == "ocr_noise"] == want
+
+
+@pytest.mark.parametrize("text, want", [("see ISM code 식별", True), ("a]12.b?", False), ("a]12.bc?", True), ("한쪽 →→", True), ("plain text", False), ("시간을 3 초과", True)])
+def test_first_looks_lose_no_artifact(spark, text, want):
+    assert column(spark, [text]).select(X.disordered(F.col("t")).alias("c")).first().c is want
