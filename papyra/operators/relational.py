@@ -43,6 +43,38 @@ def overlapping(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     return met.where((w > 0) & (h > 0) & once).select("a_id", "b_id", (w * h).alias("area"))
 
 
+#: Ids that one list holds, about; and a box's corners.
+_LIST, _CORNERS = 1024, ["x0", "y0", "x1", "y1"]
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """overlapping() for boxes of which many share a place.
+
+    Only different places meet in the grid cells. The ids of a place stand in lists, and each pair of lists is dealt to the tasks before it is written out, so a task holds two lists
+    and its work is the pairs that it returns.
+    """
+
+    def places(df: DataFrame) -> DataFrame:
+        return df.groupBy(*_CORNERS).agg(F.count("*").alias("n"))
+
+    def lists(df: DataFrame, of: DataFrame, p: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / _LIST))
+        held = df.join(of, _CORNERS).groupBy(*_CORNERS, part.alias(f"{p}_part")).agg(F.collect_list(F.struct("id")).alias(f"{p}_ids"))
+        return held.withColumnsRenamed({c: f"{p}_{c}" for c in _CORNERS})
+
+    spark = a.sparkSession
+    of_a, of_b = places(a), places(b)
+    at = F.struct(*_CORNERS).alias("id")
+    both = overlapping(of_a.select(at, *_CORNERS), of_b.select(at, *_CORNERS), cell)
+    both = both.select(*[F.col(f"{p}_id.{c}").alias(f"{p}_{c}") for p in "ab" for c in _CORNERS], "area")
+    for df, of, p in ((a, of_a, "a"), (b, of_b, "b")):
+        both = both.join(lists(df, of, p), [f"{p}_{c}" for c in _CORNERS])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = both.repartition(tasks, *[f"{p}_{c}" for p in "ab" for c in (*_CORNERS, "part")])
+    each = dealt.select("area", "b_ids", F.explode("a_ids").alias("a")).select("area", "a", F.explode("b_ids").alias("b"))
+    return each.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "area")
+
+
 def compared(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Key, old and new value and added, removed, changed or same."""
     a, b = old.select(key, F.col(value).alias("old_value")), new.select(key, F.col(value).alias("new_value"))

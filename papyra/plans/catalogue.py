@@ -133,7 +133,7 @@ def rect_overlap_join(part, supplier):
     box = lambda df, i, x, y, w, h: df.select(F.col(i).alias("id"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + w).cast("double").alias("x1"), (y + h).cast("double").alias("y1"))
     a = box(part, "p_partkey", F.col("p_partkey") % 97, F.col("p_size"), 3, 2)
     b = box(supplier, "s_suppkey", F.col("s_suppkey") % 89, F.col("s_suppkey") % 43, 4, 5)
-    return relational.overlapping(a, b, 8)
+    return relational.overlap_pairs(a, b, 8)
 
 
 @query("""

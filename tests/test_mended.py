@@ -153,3 +153,17 @@ def test_sections_of_an_export(spark):
     assert [(s, i) for s, i, _ in got][:3] == [("law", 1), ("law", 2), ("law", 3)] and [d for *_, d in got] == list(range(1, 9))
     nav_ids = {i for s, i, _ in got if s == "nav"}
     assert len(nav_ids) == 5 and not nav_ids & {101, 102, 103}
+
+
+def test_boxes_of_one_place_meet_others_once(spark):
+    from papyra.operators import relational
+
+    box = lambda ids, x: ids.select("id", *[F.lit(float(v)).alias(c) for c, v in (("x0", x), ("y0", 0), ("x1", x + 2), ("y1", 2))])
+    a = box(spark.range(5000), 1).unionByName(box(spark.range(0, -3, -1), 9)).unionByName(box(spark.range(1).select(F.lit(None).cast("long").alias("id")), 1))
+    b = box(spark.range(7), 2).unionByName(box(spark.range(2), 2))
+    got = relational.overlap_pairs(a, b, 8)
+    assert got.count() == 5001 * 9 and got.where("a_id is null").count() == 9 and got.select("a_id", "b_id").distinct().count() == 5001 * 7
+    assert {r.area for r in got.select("area").distinct().collect()} == {2.0}
+    # as many boxes as would be 40 billion candidates in their common cell, none of which overlap
+    began = time.time()
+    assert relational.overlap_pairs(box(spark.range(200000), 1), box(spark.range(200000), 4), 8).count() == 0 and time.time() - began < 60
