@@ -128,18 +128,40 @@ def staging_codes(questions: DataFrame, choices: DataFrame, documents: DataFrame
     questions: id, set, number, text, answer, answered, source; choices: question, number, text; documents: path, role, hash, parsed, error; sources: id, path, hash, answer_path, answer_name;
     rejected: n; expected: set, n, answers_required (numbers 1 to n are expected). A null source lacks its provenance; a required answer is one of the choices, all of them (-1), or tagged as missing (questions' column tags).
     """
-    per = choices.groupBy(F.col("question").alias("id")).agg(
-        F.count("*").alias("c"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"), F.min("number").alias("low"), F.max("number").alias("high"), F.count_distinct("number").alias("d"), F.collect_set("number").alias("numbers")
-    )
+    # a question's choice numbers are 1 to n, as n is 4 or 5, if they set these bits
+    bits = F.bit_or(F.when(F.col("number").between(1, 5), F.expr("shiftleft(1, cast(number as int))")))
+    per = choices.groupBy(F.col("question").alias("id")).agg(F.count("*").alias("c"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"), F.min("number").alias("low"), F.max("number").alias("high"), bits.alias("bits"))
     q = questions.join(per, "id", "left")
     n = F.coalesce("c", F.lit(0))
-    off = (F.trim(F.coalesce("text", F.lit(""))) == "") | ~n.isin(4, 5) | (F.col("blank") > 0) | (F.col("low") != 1) | (F.col("high") != n) | (F.col("d") != n)
-    off = off | ~F.col("answered").isin(0, 1) | (F.col("answered") == 0) & (F.col("answer") != 0) | (F.col("answered") == 1) & (F.col("answer") != -1) & ~F.coalesce(F.array_contains("numbers", F.col("answer")), F.lit(False))
-    flags = [
-        ("placeholder_choices", choices.where(F.col("text").contains(MISSING_CHOICE))),
-        ("duplicate_questions", questions.groupBy("set", "number").count().where("count > 1")),
-        ("invalid_question_structure", q.where(F.coalesce(off, F.lit(True)))),
-    ]
+    off = (F.trim(F.coalesce("text", F.lit(""))) == "") | ~n.isin(4, 5) | (F.col("blank") > 0) | (F.col("low") != 1) | (F.col("high") != n) | F.when(n == 4, F.col("bits") != 0b11110).otherwise(F.col("bits") != 0b111110)
+    # the answer of a question whose numbers are 1 to n is one of them
+    off = off | ~F.col("answered").isin(0, 1) | (F.col("answered") == 0) & (F.col("answer") != 0) | (F.col("answered") == 1) & (F.col("answer") != -1) & ~F.col("answer").between(1, n)
+    tags = F.coalesce(F.col("tags"), F.lit("")) if "tags" in questions.columns else F.lit("")
+    tagged = F.array_contains(F.transform(F.split(tags, ","), lambda t: F.regexp_replace(F.trim(t), "^#", "")), UNANSWERED_TAG)
+    fine = (F.col("answered") == 0) & (F.col("answer") == 0) & tagged | (F.col("answered") == 1) & ((F.col("answer") == -1) | F.col("answer").between(1, n))
+    # all that is asked of the questions, in one pass: they meet by set, and a set's numbers one after the other
+    told = q.select("set", "number", F.coalesce(off, F.lit(True)).alias("off"), F.coalesce(fine, F.lit(False)).alias("fine"), F.col("source").isNull().alias("bare")).repartition("set")
+    told = told.groupBy("set", "number").agg(F.count("*").alias("n"), F.bool_or("off").alias("off"), F.bool_and("fine").alias("fine"), F.bool_or("bare").alias("bare"))
+    own = [F.bool_or(F.col("n") > 1).alias("double"), F.bool_or("off").alias("off")]
+    if expected is not None:
+        last, asked = F.coalesce(F.greatest("n", F.lit(0)), F.lit(0)), F.col("answers_required")
+        spine = expected.select("set", last.alias("last"), F.when(asked, last).otherwise(0).alias("asked"), (asked.isNull() & (last > 0)).alias("unclear"))
+        spine = spine.groupBy("set").agg(F.max("last").alias("last"), F.max("asked").alias("asked"), F.bool_or("unclear").alias("unclear"), F.lit(True).alias("known"))
+        told = told.join(spine, "set", "full")
+        inside = lambda high: F.coalesce(F.col("number").between(1, F.col(high)), F.lit(False))
+        own += [
+            F.count_if(inside("last")).alias("held"), F.count_if(inside("asked") & F.col("fine")).alias("fit"), F.bool_or(F.col("known") & F.col("n").isNotNull() & ~inside("last")).alias("strange"), F.bool_or(F.col("known") & F.col("bare")).alias("bare"),
+            F.max("last").alias("last"), F.max("asked").alias("asked"), F.bool_or("unclear").alias("unclear"), F.bool_or("known").alias("known"),
+        ]
+        per_set = told.groupBy("set").agg(*own)
+        whole = per_set.agg(
+            F.bool_or("double").alias("double"), F.bool_or("off").alias("off"), F.bool_or(F.col("known") & ((F.col("held") != F.col("last")) | F.col("strange") | F.col("unclear"))).alias("numbers"),
+            F.bool_or(F.col("known") & (F.col("fit") != F.col("asked"))).alias("answers"), F.bool_or("bare").alias("bare"),
+        )
+        late = [("missing_question_numbers", "numbers"), ("missing_answers", "answers"), ("missing_provenance", "bare")]
+    else:
+        whole, late = told.agg(*own), []
+    flags = [("placeholder_choices", choices.where(F.col("text").contains(MISSING_CHOICE)))]
     if documents is not None:
         flags.append(("unparsed_question_documents", documents.where("role = 'question' and (parsed = 0 or error is not null)")))
         if sources is not None:
@@ -153,17 +175,8 @@ def staging_codes(questions: DataFrame, choices: DataFrame, documents: DataFrame
             flags.append(("provenance_mismatch", named.join(good.select("id"), "id", "left_anti")))
     if rejected is not None:
         flags.append(("rejected_candidates", rejected.groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where("n > 0")))
-    if expected is not None:
-        spine = expected.select("set", "answers_required", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("number"))
-        tags = F.coalesce(F.col("tags"), F.lit("")) if "tags" in questions.columns else F.lit("")
-        tagged = F.array_contains(F.transform(F.split(tags, ","), lambda t: F.regexp_replace(F.trim(t), "^#", "")), UNANSWERED_TAG)
-        fine = (F.col("answered") == 0) & (F.col("answer") == 0) & tagged | (F.col("answered") == 1) & ((F.col("answer") == -1) | F.col("answer").between(1, n))
-        own = q.select("set", "number", F.coalesce(fine, F.lit(False)).alias("fine"), "source", F.lit(True).alias("there")).join(expected.select("set"), "set", "left_semi")
-        both = spine.join(own, ["set", "number"], "full")
-        flags += [
-            ("missing_question_numbers", both.where("there is null or answers_required is null")),
-            ("missing_answers", both.where("answers_required and not coalesce(fine, false)")),
-            ("missing_provenance", both.where("there and source is null")),
-        ]
-    seen = reduce(lambda a, b: a.unionByName(b), [df.limit(1).select(F.lit(k).alias("k"), F.lit(code).alias("code")) for k, (code, df) in enumerate(flags)])
+    order = ["placeholder_choices", "duplicate_questions", "invalid_question_structure", "unparsed_question_documents", "provenance_mismatch", "rejected_candidates", *[code for code, _ in late]]
+    at = lambda code: F.struct(F.lit(order.index(code)).alias("k"), F.lit(code).alias("code"))
+    of_all = F.array_compact(F.array(*[F.when(F.col(c), at(code)) for code, c in [("duplicate_questions", "double"), ("invalid_question_structure", "off"), *late]]))
+    seen = reduce(lambda a, b: a.unionByName(b), [df.limit(1).select(at(code).alias("f")).select("f.*") for code, df in flags], whole.select(F.explode(of_all).alias("f")).select("f.*"))
     return seen.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "code"))), lambda x: x["code"]).alias("codes"))

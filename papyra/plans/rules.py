@@ -168,5 +168,6 @@ SELECT [x FOR x IN [
 def staged_bank(lineitem, orders):
     keyed = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     questions = lineitem.select(keyed.alias("id"), F.col("l_orderkey").alias("set"), F.col("l_linenumber").cast("int").alias("number"), F.lit("text").alias("text"), (F.col("l_suppkey") % 6).cast("int").alias("answer"), F.lit(1).alias("answered"), F.lit(1).alias("source"))
-    choices = lineitem.select(keyed.alias("question"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("number")).withColumn("text", F.col("number").cast("string")).distinct()
+    # a question's choices are made where its distinct key lies
+    choices = lineitem.select(keyed.alias("question")).distinct().select("question", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("number")).withColumn("text", F.col("number").cast("string"))
     return gates.staging_codes(questions, choices, expected=orders.select(F.col("o_orderkey").alias("set"), F.lit(4).alias("n"), F.lit(True).alias("answers_required")))

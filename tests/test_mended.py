@@ -167,3 +167,25 @@ def test_boxes_of_one_place_meet_others_once(spark):
     # as many boxes as would be 40 billion candidates in their common cell, none of which overlap
     began = time.time()
     assert relational.overlap_pairs(box(spark.range(200000), 1), box(spark.range(200000), 4), 8).count() == 0 and time.time() - began < 60
+
+
+def test_a_staged_bank_reads_its_questions_once(spark):
+    from papyra.operators import gates
+
+    kinds = "id int, set string, number int, text string, answer int, answered int, source int"
+    rows = [(1, "s", 1, "t", 1, 1, 1), (2, "s", 2, "t", 4, 1, 1), (3, None, 1, "t", 2, 1, 1), (4, "other", 9, "t", -1, 1, None)]
+    choices = spark.createDataFrame([(i, k, "x") for i in range(1, 5) for k in range(1, 5)], "question int, number int, text string")
+
+    def codes(asked, rows=rows, choices=choices):
+        expected = spark.createDataFrame(asked, "set string, n int, answers_required boolean")
+        return gates.staging_codes(spark.createDataFrame(rows, kinds), choices, expected=expected).first().codes
+
+    assert codes([("s", 2, True)]) == [] and codes([("s", 2, None)]) == ["missing_question_numbers"]
+    assert codes([("s", 3, False)]) == ["missing_question_numbers"] == codes([("s", 1, True)]) and codes([("s", 3, True)]) == ["missing_question_numbers", "missing_answers"]
+    assert codes([("s", 2, True), ("empty", 0, True)]) == [] and codes([("s", 2, True), (None, 1, False)]) == ["missing_question_numbers"]
+    assert codes([("other", 9, False)]) == ["missing_question_numbers", "missing_provenance"]
+    assert codes([("s", 2, True)], [*rows, (5, "s", 2, "t", 1, 1, 1)]) == ["duplicate_questions", "invalid_question_structure", "missing_answers"]
+    twice = choices.where("question <> 1").unionByName(spark.createDataFrame([(1, k, "x") for k in (1, 2, 2, 4)], choices.schema))
+    assert codes([("s", 2, True)], choices=twice) == ["invalid_question_structure"]
+    plan = gates.staging_codes(spark.createDataFrame(rows, kinds), choices, expected=spark.createDataFrame([("s", 2, True)], "set string, n int, answers_required boolean"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
