@@ -189,3 +189,16 @@ def test_a_staged_bank_reads_its_questions_once(spark):
     assert codes([("s", 2, True)], choices=twice) == ["invalid_question_structure"]
     plan = gates.staging_codes(spark.createDataFrame(rows, kinds), choices, expected=spark.createDataFrame([("s", 2, True)], "set string, n int, answers_required boolean"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_pages_are_dealt_once(spark, monkeypatch):
+    from papyra.operators import layout
+
+    words = spark.createDataFrame([(p, x + 300.0 * (k % 2), 100.0 + 20 * (k // 2), x + 300.0 * (k % 2) + 100, 110.0 + 20 * (k // 2), f"w{k}") for p in range(3) for k in range(8) for x in (40.0,)], "page int, x0 double, y0 double, x1 double, y1 double, text string")
+    pages = spark.createDataFrame([(p, 640.0, 400.0) for p in (0, 1, 7, None)], "page int, width double, height double")
+    monkeypatch.setattr(layout, "stored", lambda df: pytest.fail("a page's words are stored"))
+    found, lines = layout.dividers(words, pages), layout.page_lines(words, pages)
+    assert sorted(map(tuple, found.collect()), key=str) == [(0, 240.0), (1, 240.0), (7, None), (None, None)]
+    assert sorted((r.page, r.column, r.line, r.text) for r in lines.collect()) == [(p, c, k, f"w{2 * k + c}") for p in (0, 1) for c in (0, 1) for k in range(4)]
+    for df in (found, lines):
+        assert df._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
