@@ -202,3 +202,21 @@ def test_pages_are_dealt_once(spark, monkeypatch):
     assert sorted((r.page, r.column, r.line, r.text) for r in lines.collect()) == [(p, c, k, f"w{2 * k + c}") for p in (0, 1) for c in (0, 1) for k in range(4)]
     for df in (found, lines):
         assert df._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_chains_leave_in_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from papyra.operators import layout
+
+    starts = spark.range(30000).select(F.expr("id div 3").alias("doc"), (F.col("id") % 3).alias("place"), F.when(F.col("id") % 3 == 2, 1).otherwise(F.col("id") % 3 + 1).cast("int").alias("n"))
+    long = spark.range(25000).select(F.lit(-1).cast("long").alias("doc"), F.col("id").alias("place"), F.col("id").cast("int").alias("n"))  # over several batches
+    found = layout.chained_starts(starts.unionByName(long), "doc", "place", "n")
+    assert {(r.doc == -1, r.size) for r in found.groupBy("doc").agg(F.count("*").alias("size")).collect()} == {(False, 2), (True, 25000)} and found.select("doc").distinct().count() == 10001
+    # short documents were a batch each
+    kept = []
+    monkeypatch.setattr(type(starts), "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+    layout.chained_starts(starts, "doc", "place", "n")
+    batch = pa.record_batch({"doc": [k // 2 for k in range(1000)], "place": list(range(1000)), "n": [k % 2 for k in range(1000)]})
+    made = list(kept[0](iter([batch, batch.slice(998)])))
+    assert len(made) == 2 and sum(len(b) for b in made) == 1000
