@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,12 +52,28 @@ class Table:
         return "".join([*pieces, text[at:]]) if at else text
 
 
+#: Code points of texts that are spelt out in Python at once.
+_AT_ONCE = 1 << 20
+
+
 def _over(text: Column, kind: str, words: dict[str, str], phrases: dict[str, str], each) -> Column:
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = Table(words, True), Table(phrases, False)
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables, made = (Table(words, True), Table(phrases, False)), pa.string() if kind == "string" else pa.bool_()
         for batch in batches:
-            yield pd.Series([None if t is None else each(t, *tables) for t in batch], dtype=object)
+            # a batch's texts are never all in Python: results go into Arrow by parts
+            parts, part, size = [], [], 0
+            for t in batch:
+                t = t.as_py()
+                part.append(None if t is None else each(t, *tables))
+                size += len(t or "")
+                if size >= _AT_ONCE:
+                    parts.append(pa.array(part, made))
+                    part, size = [], 0
+            parts.append(pa.array(part, made))
+            yield pa.concat_arrays(parts)
+            del batch, parts, part
+            pa.default_memory_pool().release_unused()
 
     return run(text)
 

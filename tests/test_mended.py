@@ -220,3 +220,12 @@ def test_chains_leave_in_batches(spark, monkeypatch):
     batch = pa.record_batch({"doc": [k // 2 for k in range(1000)], "place": list(range(1000)), "n": [k % 2 for k in range(1000)]})
     made = list(kept[0](iter([batch, batch.slice(998)])))
     assert len(made) == 2 and sum(len(b) for b in made) == 1000
+
+
+def test_repairs_go_over_texts_by_parts(spark):
+    from papyra.functions import repairs
+
+    assert repairs._AT_ONCE
+    rows = spark.range(12, numPartitions=1).select("id", F.when(F.col("id") % 5 != 4, F.concat(F.lit("s0 "), F.repeat(F.lit("x"), 400000), F.col("id").cast("string"))).alias("t"))
+    got = rows.select("id", repairs.repaired(F.col("t"), {"s0": "so"}).alias("r"), repairs.known(F.col("t"), {"s0": "so"}).alias("k")).select("id", F.left("r", F.lit(3)).alias("r"), F.length("r").alias("n"), "k").collect()
+    assert [(r.r, r.k) for r in got] == [(None, False) if k % 5 == 4 else ("so ", True) for k in range(12)] and {r.n for r in got if r.n} == {400004, 400005}
