@@ -1,16 +1,17 @@
-"""Papers as ordered text lines to questions, choices, groups and answers: window functions and regular expressions over (doc, place, text).
+"""Papers as ordered text lines to questions, choices, groups and answers: array functions and regular expressions over (doc, lines).
 
-A line's role follows from running sums over its paper, so papers are parsed side by side and none of their lines pass through Python. A paper is
-bounded; its lines meet in one window partition.
+A paper is bounded: its lines meet in one row, which is cut into questions and contexts where it stands. So papers are parsed side by side, lines are shuffled
+once at most, and none of them pass through Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import SPACE, spaced
-from papyra.sources.scratch import stored
 
 # Marks of choices (open, and filled for the answer), and the words that open a paper's tail.
 OPEN, FILLED = "①②③④⑤", "❶❷❸❹❺"
@@ -28,77 +29,223 @@ def _number(mark: Column) -> Column:
     return F.greatest(F.call_function("instr", F.lit(OPEN), mark), F.call_function("instr", F.lit(FILLED), mark))
 
 
-def cleaned(lines: DataFrame, doc: str = "doc", place: str = "place", text: str = "text") -> DataFrame:
-    """(doc, place, text) in single spaces, without blank lines."""
-    return lines.select(F.col(doc).alias("doc"), F.col(place).alias("place"), spaced(F.col(text)).alias("text")).where("text <> ''")
-
-
 def without_running_heads(lines: DataFrame, page: str, is_margin: Column) -> DataFrame:
     """Lines without those in a margin whose text stands on two pages of the paper or more; counted over distinct pages, joined back by text."""
     heads = lines.groupBy("doc", "text").agg(F.count_distinct(page).alias("n")).where("n >= 2").select("doc", "text", F.lit(True).alias("head"))
     return lines.join(heads, ["doc", "text"], "left").where(F.col("head").isNull() | ~is_margin).drop("head")
 
 
-def roles(lines: DataFrame) -> DataFrame:
-    """Lines with in_tail, question (the running number of the question start that they follow), number, zone (context lines behind it) and part (the context event).
+def gathered(lines: DataFrame) -> DataFrame:
+    """Papers as (doc, lines): lines is array<struct<place, text>> in the paper's order. The only shuffle that papers need."""
+    return lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("lines"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first(items: Column, holds: Callable[[Column, Column], Column]) -> Column:
+    """The place, from 1, of the first item that holds; one behind the last if there is none."""
+    return _let(F.array_position(F.transform(items, holds), True), lambda k: F.when(k > 0, k.cast("int")).otherwise(F.size(items) + 1))
+
+
+def _before(items: Column, place: Column) -> Column:
+    return F.slice(items, F.lit(1), place - 1)
+
+
+def _behind(items: Column, place: Column) -> Column:
+    return F.slice(items, place, F.size(items))
+
+
+def _places(items: Column, holds: Callable[[Column, Column], Column]) -> Column:
+    """The places, from 1, of the items that hold."""
+    return F.filter(F.transform(items, lambda x, i: F.when(holds(x, i), i + 1)), lambda k: k.isNotNull())
+
+
+def _cut(items: Column, starts: Column) -> Column:
+    """Items in pieces, each from one of the places to the next one."""
+    ends = lambda at: F.concat(at, F.array(F.size(items) + 1))
+    return _let(starts, lambda at: _let(ends(at), lambda to: F.transform(at, lambda k, i: F.slice(items, k, F.get(to, i + 1) - k))))
+
+
+def _texts(items: Column, by: str) -> Column:
+    return F.array_join(F.transform(items, lambda x: x["text"]), by)
+
+
+def _line(x: Column) -> Column:
+    """A line with the number of the question that it starts and what its text is."""
+    text = x["text"]
+    return F.struct(
+        x["place"].alias("place"),
+        text.alias("text"),
+        _let(_let(F.regexp_extract(text, START, 1), lambda n: F.when(n != "", n.try_cast("int"))), lambda n: F.when(n.between(1, 500), n)).alias("number"),
+        text.rlike("|".join(TAIL)).alias("opens_tail"),
+        text.rlike(SUBJECT).alias("is_subject"),
+        text.rlike(PASSAGE).alias("is_passage"),
+        text.rlike(f"[{OPEN}{FILLED}]").alias("shows"),
+    )
+
+
+def _context(x: Column) -> Column:
+    return x["number"].isNull() & (x["is_subject"] | x["is_passage"])
+
+
+def _said(part: Column, question: Column) -> Column:
+    """A context's lines as (question, kind, text, first, last, ambiguous): a subject, or a passage with the range of questions that it names."""
+
+    def made(text: Column, head: Column) -> Column:
+        bounds = F.transform(F.regexp_extract_all(F.regexp_extract(text, RANGE, 0), F.lit(r"\p{Nd}{1,3}"), F.lit(0)), lambda n: n.cast("int"))
+        named = F.when(~head["is_subject"], bounds)
+        subject = F.trim(F.regexp_extract(head["text"], SUBJECT, 1))
+        return _let(
+            named,
+            lambda n: F.struct(
+                question.cast("long").alias("question"),
+                F.when(head["is_subject"], "subject").otherwise("passage").alias("kind"),
+                F.when(head["is_subject"], subject).otherwise(text).alias("text"),
+                F.array_min(n).alias("first"),
+                F.array_max(n).alias("last"),
+                (~head["is_subject"] & F.array_min(n).isNull()).alias("ambiguous"),
+            ),
+        )
+
+    return _let(_texts(part, " "), lambda text: made(text, F.get(part, F.lit(0))))
+
+
+def _asked(rows: Column, question: Column) -> Column:
+    """A question's lines, without contexts, as (question, number, place, text, choices, marks, inner_subject)."""
+    inner = F.try_element_at(F.filter(rows, lambda x: x["number"].isNull() & x["is_subject"]), F.lit(-1))["text"]
+    kept = F.transform(
+        F.filter(rows, lambda x: x["number"].isNotNull() | ~x["is_subject"]),
+        lambda x: F.struct(x["place"].alias("place"), F.when(x["number"].isNotNull(), F.regexp_extract(x["text"], START, 2)).otherwise(x["text"]).alias("text")),
+    )
+
+    def opens(x: Column, _: Column) -> Column:
+        # up to the first line whose mark opens a choice, marks are plain text
+        prefix = F.trim(F.get(F.split(x["text"], MARK, 2), F.lit(0)))
+        return x["text"].rlike(MARK) & _let(prefix, lambda p: (p == "") | p.rlike("[?？:：]$"))
+
+    def made(lines: Column, stem: Column, rest: Column) -> Column:
+        marks = F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(rf"(?:^|(?<=[{SPACE}(\[{{:;|/\\]))[{FILLED}](?![:：])"), F.lit(0)), _number))
+        return F.struct(
+            question.cast("long").alias("question"),
+            F.get(rows, F.lit(0))["number"].alias("number"),
+            F.get(lines, F.lit(0))["place"].alias("place"),
+            spaced(F.concat_ws(" ", stem, F.get(F.split(rest, MARK, 2), F.lit(0)))).alias("text"),
+            choices_of(rest).alias("choices"),
+            marks.alias("marks"),
+            F.regexp_extract(inner, SUBJECT, 1).alias("inner_subject"),
+        )
+
+    return _let(kept, lambda lines: _let(_first(lines, opens), lambda k: _let(_texts(_behind(lines, k), "\n"), lambda rest: made(lines, _texts(_before(lines, k), "\n"), rest))))
+
+
+def _block(lines: Column, question: Column) -> Column:
+    """The lines from a question's start (or the paper's, for 0) to the next one as (asked, said): the question, and the contexts behind it.
 
     A subject line or a passage mark ends a question only when the question has shown a choice.
     """
-    by_doc, up_to = Window.partitionBy("doc").orderBy("place"), Window.partitionBy("doc", "question").orderBy("place")
-    tail = F.col("text").rlike("|".join(TAIL)).cast("int")
-    number = F.nullif(F.regexp_extract("text", START, 1), F.lit("")).try_cast("int")
-    rows = lines.withColumn("in_tail", F.max(tail).over(by_doc) == 1).withColumn("number", F.when(~F.col("in_tail") & number.between(1, 500), number))
-    rows = rows.withColumn("question", F.sum(F.col("number").isNotNull().cast("int")).over(by_doc))
-    subject, passage = F.col("text").rlike(SUBJECT), F.col("text").rlike(PASSAGE)
-    rows = rows.withColumn("context", ~F.col("in_tail") & F.col("number").isNull() & (subject | passage))
-    shown = F.coalesce(F.max(F.col("text").rlike(f"[{OPEN}{FILLED}]").cast("int")).over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    leaves = F.col("context") & ((F.col("question") == 0) | (shown == 1))
-    rows = rows.withColumn("zone", F.max(leaves.cast("int")).over(up_to) == 1)
-    return rows.withColumn("part", F.sum((F.col("zone") & F.col("context")).cast("int")).over(by_doc)).withColumn("is_subject", subject)
-
-
-def contexts(marked: DataFrame) -> DataFrame:
-    """(doc, part, question, kind, text, first, last, ambiguous): subjects and passages with the range of questions that they name."""
-    first = F.min(F.struct("place", "is_subject", "text", "question"))
-    found = marked.where("zone and not in_tail").groupBy("doc", "part").agg(first.alias("f"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("all"))
-    subject = F.regexp_extract("f.text", SUBJECT, 1)
-    named = F.regexp_extract("all", RANGE, 0)
-    bounds = F.transform(F.regexp_extract_all(named, F.lit(r"\p{Nd}{1,3}"), F.lit(0)), lambda x: x.cast("int"))
-    kind = F.when(F.col("f.is_subject"), "subject").otherwise("passage")
-    out = found.select("doc", "part", F.col("f.question").alias("question"), kind.alias("kind"), F.when(F.col("f.is_subject"), F.trim(subject)).otherwise(F.col("all")).alias("text"), F.when(kind == "passage", F.array_min(bounds)).alias("first"), F.when(kind == "passage", F.array_max(bounds)).alias("last"))
-    return out.withColumn("ambiguous", (F.col("kind") == "passage") & F.col("first").isNull())
-
-
-def answer_key(marked: DataFrame) -> DataFrame:
-    """(doc, number, tail_answer) of the tail: rows of numbers and rows of marks in turns, up to the first other line.
-
-    A key counts only whole: each turn has as many marks as numbers, no number comes twice, and all are question numbers in the paper's order.
+
+    def split(k: Column) -> Column:
+        parts = _let(_behind(lines, k), lambda zone: F.transform(_cut(zone, _places(zone, lambda x, _: _context(x))), lambda part: _said(part, question)))
+        return F.struct(F.when(question > 0, _let(_before(lines, k), lambda rows: _asked(rows, question))).alias("asked"), parts.alias("said"))
+
+    shown = _first(lines, lambda x, _: x["shows"])
+    return _let(shown, lambda m: _let(_first(lines, lambda x, i: _context(x) & ((question == 0) | (i + 1 > m))), split))
+
+
+def _key(tail: Column, asked: Column) -> Column:
+    """The answers of a tail as (numbers, marks): rows of numbers and rows of marks in turns, up to the first other line.
+
+    A key counts only whole, else it is null: each turn has as many marks as numbers, no number comes twice, and all are question numbers in the paper's order.
     """
-    w = Window.partitionBy("doc").orderBy("place")
-    tail = marked.where("in_tail").withColumn("head", F.row_number().over(w)).where("head > 1").drop("head")
-    kind = F.when(F.col("text").rlike(r"^(?:\p{Nd}{1,3}\s*)+$"), "number").when(F.col("text").rlike(rf"^(?:[{OPEN}{FILLED}]\s*)+$"), "answer").otherwise("other")
-    rows = tail.withColumn("kind", kind).withColumn("begun", F.max((F.col("kind") == "number").cast("int")).over(w)).where("begun = 1")
-    rows = rows.withColumn("over", F.max((F.col("kind") == "other").cast("int")).over(w)).where("over = 0")
-    turn = ((F.col("kind") == "number") & (F.coalesce(F.lag("kind").over(w), F.lit("answer")) != "number")).cast("int")
-    rows = rows.withColumn("turn", turn).withColumn("turn", F.sum("turn").over(w))
-    tokens = F.when(F.col("kind") == "number", F.transform(F.regexp_extract_all("text", F.lit(r"\p{Nd}{1,3}"), F.lit(0)), lambda x: x.cast("int"))).otherwise(F.transform(F.regexp_extract_all("text", F.lit(f"[{OPEN}{FILLED}]"), F.lit(0)), _number))
-    each = rows.withColumn("tokens", tokens).groupBy("doc", "turn", "kind").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    both = each.groupBy("doc", "turn").agg(F.max(F.when(F.col("kind") == "number", F.col("tokens"))).alias("numbers"), F.max(F.when(F.col("kind") == "answer", F.col("tokens"))).alias("marks"))
-    whole = both.groupBy("doc").agg(F.bool_and(F.coalesce(F.size("numbers") == F.size("marks"), F.lit(False))).alias("even"))
-    pairs = both.join(whole.where("even"), "doc").select("doc", "turn", F.posexplode(F.arrays_zip("numbers", "marks")).alias("k", "p")).select("doc", "turn", "k", F.col("p.numbers").alias("number"), F.col("p.marks").alias("tail_answer"))
-    expected = marked.where("number is not null").groupBy("doc", "number").agg(F.max("question").alias("at"))
-    placed = pairs.join(expected, ["doc", "number"], "left").withColumn("ok", F.col("at").isNotNull() & (F.coalesce(F.lag("at").over(Window.partitionBy("doc").orderBy("turn", "k")), F.lit(0)) <= F.col("at")))
-    sound = placed.groupBy("doc").agg(F.bool_and("ok").alias("ok"), (F.count_distinct("number") == F.count("*")).alias("once")).where("ok and once")
-    return placed.join(sound.select("doc"), "doc", "left_semi").select("doc", "number", "tail_answer")
+
+    def row(x: Column) -> Column:
+        text = x["text"]
+        numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\p{Nd}{1,3}"), F.lit(0)), lambda n: n.cast("int"))
+        marks = F.transform(F.regexp_extract_all(text, F.lit(f"[{OPEN}{FILLED}]"), F.lit(0)), _number)
+        kind = F.when(text.rlike(r"^(?:\p{Nd}{1,3}\s*)+$"), "number").when(text.rlike(rf"^(?:[{OPEN}{FILLED}]\s*)+$"), "answer").otherwise("other")
+        return _let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == "number", numbers).when(k == "answer", marks).alias("tokens")))
+
+    tokens = lambda turn, kind: F.flatten(F.transform(F.filter(turn, lambda r: r["kind"] == kind), lambda r: r["tokens"]))
+
+    def turns(rows: Column) -> Column:
+        starts = _places(rows, lambda r, i: (r["kind"] == "number") & ~F.coalesce(F.get(rows, i - 1)["kind"] == "number", F.lit(False)))
+        return F.transform(_cut(rows, starts), lambda t: F.struct(tokens(t, "number").alias("numbers"), tokens(t, "answer").alias("marks")))
+
+    def whole(t: Column) -> Column:
+        all_of = lambda c: F.flatten(F.transform(t, lambda x: x[c])).alias(c)
+        both = F.struct(all_of("numbers"), all_of("marks"))
+        at = lambda n: F.array_max(F.transform(F.filter(asked, lambda q: q["number"] == n), lambda q: q["question"]))
+        even = F.forall(t, lambda x: F.size(x["numbers"]) == F.size(x["marks"]))
+        once = lambda k: F.size(F.array_distinct(k["numbers"])) == F.size(k["numbers"])
+        placed = lambda k: _let(F.transform(k["numbers"], at), lambda p: F.forall(p, lambda x: x.isNotNull()) & (F.array_sort(p) == p))
+        return _let(both, lambda k: F.when(even & once(k) & placed(k), k))
+
+    begun = _let(F.transform(tail, row), lambda rows: _behind(rows, _first(rows, lambda r, _: r["kind"] == "number")))
+    return _let(begun, lambda rows: _let(_before(rows, _first(rows, lambda r, _: r["kind"] == "other")), lambda rows: _let(turns(rows), whole)))
+
+
+def _placed(asked: Column, said: Column) -> Column:
+    """Questions with the subject and the group of the contexts that they follow or that name them, and their place in the group."""
+    last = lambda items: F.try_element_at(items, F.lit(-1))
+
+    def one(q: Column, subjects: Column, inner: Column) -> Column:
+        outer = last(F.filter(subjects, lambda c: c["question"] < q["question"]))["text"]
+        subject = F.coalesce(last(F.filter(inner, lambda x: x["question"] <= q["question"]))["inner_subject"], outer)
+        ranged = F.array_max(F.transform(F.filter(said, lambda c: q["number"].between(c["first"], c["last"])), lambda c: c["part"]))
+        event = last(F.filter(said, lambda c: c["question"] < q["question"]))
+        group = F.coalesce(ranged, _let(event, lambda c: F.when(c["ambiguous"], c["part"])))
+        return F.struct(*[q[c].alias(c) for c in ("question", "number", "place", "text", "choices", "marks")], subject.alias("subject"), group.alias("group"))
+
+    def ordered(rows: Column) -> Column:
+        groups = F.transform(rows, lambda q: q["group"])
+        fields = ("number", "place", "subject", "text", "choices", "marks", "group")
+        return _let(groups, lambda g: F.transform(rows, lambda q, i: F.struct(*[q[c].alias(c) for c in fields], F.when(q["group"].isNotNull(), F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda x: x == q["group"]))).alias("group_order"))))
+
+    subjects = F.filter(said, lambda c: c["kind"] == "subject")
+    inner = F.filter(asked, lambda q: q["inner_subject"].isNotNull())
+    return _let(subjects, lambda s: _let(inner, lambda n: _let(F.transform(asked, lambda q: one(q, s, n)), ordered)))
+
+
+def _answered(q: Column, key: Column) -> Column:
+    """A question with its answer, or with the code of why it has none."""
+    tail = F.get(key["marks"], (F.array_position(key["numbers"], q["number"]) - 1).cast("int"))
+    inline = F.when(F.size(q["marks"]) == 1, F.get(q["marks"], F.lit(0)))
+    shown = F.transform(q["choices"], lambda c: F.struct(c["number"].alias("number"), F.when(c["text"] == "", PICTURE).otherwise(c["text"]).alias("text")))
+
+    def made(a: Column) -> Column:
+        code = F.when(F.size(q["marks"]) > 1, "multiple_inline_answers").when(a["inline"] != a["tail"], "answer_mismatch")
+        return _let(code, lambda k: F.struct(*[q[c].alias(c) for c in ("place", "number", "subject", "text")], shown.alias("choices"), F.when(k.isNull(), F.coalesce(a["inline"], a["tail"])).cast("int").alias("answer"), q["group"].alias("group"), q["group_order"].alias("group_order"), k.alias("code")))
+
+    return _let(F.struct(inline.alias("inline"), tail.alias("tail")), made)
+
+
+def _paper(lines: Column) -> Column:
+    """A paper's lines as (contexts, questions)."""
+
+    def made(said: Column, asked: Column, tail: Column) -> Column:
+        key = _key(tail, asked)
+        return F.struct(said.alias("contexts"), _let(key, lambda k: F.transform(_placed(asked, said), lambda q: _answered(q, k))).alias("questions"))
+
+    def blocks(body: Column, tail: Column) -> Column:
+        starts = F.concat(F.array(F.lit(1)), _places(body, lambda x, _: x["number"].isNotNull()))
+        fields = ("question", "kind", "text", "first", "last", "ambiguous")
+        said = lambda b: F.transform(F.flatten(F.transform(b, lambda x: x["said"])), lambda c, i: F.struct((i + 1).cast("long").alias("part"), *[c[f].alias(f) for f in fields]))
+        asked = lambda b: F.filter(F.transform(b, lambda x: x["asked"]), lambda q: q.isNotNull())
+        return _let(F.transform(_cut(body, starts), _block), lambda b: _let(said(b), lambda s: _let(asked(b), lambda q: made(s, q, tail))))
+
+    read = F.filter(F.transform(lines, lambda x: F.struct(x["place"].alias("place"), spaced(x["text"]).alias("text"))), lambda x: x["text"] != "")
+    return _let(F.transform(read, _line), lambda x: _let(_first(x, lambda y, _: y["opens_tail"]), lambda k: _let(_before(x, k), lambda body: blocks(body, _behind(x, k + 1)))))
 
 
 def choices_of(text: Column) -> Column:
     """array<struct<number, filled, text>> of the marks of a block's text, each with what follows up to the next one; the first of each number counts."""
-    marks = F.regexp_extract_all(text, F.lit(MARK), F.lit(0))
-    pieces = F.slice(F.split(text, MARK, -1), F.lit(2), F.size(marks))
-    made = F.zip_with(marks, pieces, lambda m, p: F.struct(_number(m).alias("number"), m.rlike(f"[{FILLED}]").alias("filled"), spaced(p).alias("text")))
-    numbers = F.transform(made, lambda c: c["number"])
-    return F.filter(made, lambda c, i: F.array_position(numbers, c["number"]) == i + 1)
+    pieces = lambda marks: F.slice(F.split(text, MARK, -1), F.lit(2), F.size(marks))
+    made = lambda marks: F.zip_with(marks, pieces(marks), lambda m, p: F.struct(_number(m).alias("number"), m.rlike(f"[{FILLED}]").alias("filled"), spaced(p).alias("text")))
+    firsts = lambda rows: _let(F.transform(rows, lambda c: c["number"]), lambda numbers: F.filter(rows, lambda c, i: F.array_position(numbers, c["number"]) == i + 1))
+    return _let(F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), lambda marks: _let(made(marks), firsts))
 
 
 def parsed(lines: DataFrame) -> dict[str, DataFrame]:
@@ -107,45 +254,17 @@ def parsed(lines: DataFrame) -> dict[str, DataFrame]:
     questions: doc, place, number, subject, text, choices, answer, group (the part of its passage), group_order. Errors: two filled marks in a question, or a
     filled mark and a tail that differ; the answers of such papers are null.
     """
-    marked = stored(roles(cleaned(lines)))  # each of the parts below reads it
-    found = stored(contexts(marked))
-    body = marked.where("question > 0 and not zone and not in_tail")
-    inner = body.where("number is null and is_subject").groupBy("doc", "question").agg(F.max_by(F.regexp_extract("text", SUBJECT, 1), "place").alias("inner_subject"))
-    text = F.when(F.col("number").isNotNull(), F.regexp_extract("text", START, 2)).otherwise(F.col("text"))
-    rows = body.where("number is not null or not is_subject").withColumn("text", text)
-    # up to the first line whose mark opens a choice, marks are plain text
-    prefix = F.trim(F.get(F.split("text", MARK, 2), F.lit(0)))
-    opens = F.col("text").rlike(MARK) & ((prefix == "") | prefix.rlike("[?？:：]$"))
-    w = Window.partitionBy("doc", "question").orderBy("place")
-    rows = rows.withColumn("open", F.max(opens.cast("int")).over(w) == 1)
-    joined = lambda open_: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("open") == open_, F.struct("place", "text")))), lambda x: x["text"]), "\n")
-    blocks = rows.groupBy("doc", "question").agg(F.max("number").alias("number"), joined(False).alias("stem"), joined(True).alias("rest"), F.min("place").alias("place"))
-    blocks = blocks.withColumn("text", spaced(F.concat_ws(" ", "stem", F.get(F.split("rest", MARK, 2), F.lit(0))))).withColumn("choices", choices_of(F.col("rest")))
-    marks = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(rf"(?:^|(?<=[{SPACE}(\[{{:;|/\\]))[{FILLED}](?![:：])"), F.lit(0)), _number))
-    blocks = stored(blocks.withColumn("marks", marks))
-    # subjects and passages that a question follows
-    before = found.select("doc", F.col("question").alias("q"), "part", "kind", F.col("text").alias("said"), "ambiguous")
-    events = blocks.select("doc", "question", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("said"), F.lit(None).cast("boolean").alias("ambiguous"), F.lit(0).cast("long").alias("part"), F.col("question").alias("q"), F.lit(0).alias("after"))
-    events = events.unionByName(before.select("doc", F.lit(None).cast("long").alias("question"), "kind", "said", "ambiguous", "part", "q", F.lit(1).alias("after")))
-    run = Window.partitionBy("doc").orderBy("q", "after", "part")
-    last = lambda c: F.last(c, ignorenulls=True).over(run)
-    events = events.withColumn("outer", last(F.when(F.col("kind") == "subject", F.col("said")))).withColumn("event", last(F.when(F.col("kind").isNotNull(), F.struct("kind", "ambiguous", "part"))))
-    follows = events.where("question is not null").select("doc", "question", "outer", F.when(F.col("event.ambiguous"), F.col("event.part")).alias("open_group"))
-    made = blocks.join(follows, ["doc", "question"]).join(inner, ["doc", "question"], "left")
-    made = made.withColumn("subject", F.coalesce(F.last("inner_subject", ignorenulls=True).over(Window.partitionBy("doc").orderBy("question")), "outer"))
-    ranged = found.where("kind = 'passage' and first is not null").select("doc", "part", F.explode(F.sequence("first", "last")).alias("number"))
-    named = ranged.groupBy("doc", "number").agg(F.max("part").alias("ranged_group"))
-    made = made.join(named, ["doc", "number"], "left").withColumn("group", F.coalesce("ranged_group", "open_group"))
-    order = F.row_number().over(Window.partitionBy("doc", "group").orderBy("question"))
-    made = made.withColumn("group_order", F.when(F.col("group").isNotNull(), order))
-    made = stored(made).join(answer_key(marked), ["doc", "number"], "left").withColumn("inline", F.when(F.size("marks") == 1, F.get("marks", F.lit(0))))
-    code = F.when(F.size("marks") > 1, "multiple_inline_answers").when(F.col("inline") != F.col("tail_answer"), "answer_mismatch")
-    made = made.withColumn("code", code)
-    bad = made.where("code is not null").select("doc", "number", "code")
-    shown = F.transform("choices", lambda c: F.struct(c["number"].alias("number"), F.when(c["text"] == "", PICTURE).otherwise(c["text"]).alias("text")))
-    answer = F.when(F.col("code").isNull(), F.coalesce("inline", "tail_answer"))
-    questions = made.select("doc", "place", "number", "subject", "text", shown.alias("choices"), answer.cast("int").alias("answer"), "group", F.col("group_order").cast("int").alias("group_order"))
-    return {"questions": questions, "contexts": found, "errors": bad}
+    return parsed_papers(gathered(lines))
+
+
+def parsed_papers(papers: DataFrame) -> dict[str, DataFrame]:
+    """As parsed, of papers given whole as (doc, lines): a paper is one row, so nothing is shuffled, sorted or stored."""
+    made = papers.select("doc", _paper(F.col("lines")).alias("paper"))
+    # an outer generator: for an inner one, Catalyst adds a filter that computes each paper a second time
+    questions = made.where("doc is not null").select("doc", F.inline_outer("paper.questions")).where("number is not null")
+    contexts = made.select("doc", F.inline_outer("paper.contexts")).where("part is not null")
+    errors = questions.where("code is not null").select("doc", "number", "code")
+    return {"questions": questions.drop("code"), "contexts": contexts, "errors": errors}
 
 
 def segments(pages: DataFrame, document: str, page: str, text: str, start: str) -> DataFrame:

@@ -132,28 +132,37 @@ def table_counters(part):
 
 
 def _papers(orders, lineitem):
-    """A paper an order: its lineitems of distinct numbers as questions of four choices, the answer filled or in the tail."""
-    k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
-    q = lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
-    answer = (p % 4).cast("int")
-    even = k % 2 == 0
-    mark = lambda i: F.when(~even & (answer == i), papers.FILLED[i]).otherwise(papers.OPEN[i])
-    line = lambda place, text: F.struct((n * 10 + place).alias("place"), text.alias("text"))
-    texts = [line(0, F.concat(n.cast("string"), F.lit(". What is part "), p.cast("string"), F.lit("?"))), line(1, F.concat(F.lit("  "), mark(0), F.lit(" one "), mark(1), F.lit("  two"))), line(2, F.concat(mark(2), F.lit(" three"))), line(3, F.lit("more")), line(4, F.concat(mark(3), F.lit(" four")))]
-    body = q.select(k.alias("doc"), F.explode(F.array(*texts)).alias("l")).select("doc", "l.place", "l.text")
-    keyed = q.where("l_orderkey % 2 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", answer.alias("a")))).alias("rows"))
-    numbers = F.array_join(F.transform("rows", lambda r: r["l_linenumber"].cast("string")), " ")
-    marks = F.array_join(F.transform("rows", lambda r: F.get(F.array(*[F.lit(m) for m in papers.OPEN]), r["a"])), " ")
-    tail = keyed.select(F.col("l_orderkey").alias("doc"), F.explode(F.array(F.struct(F.lit(9000).alias("place"), F.lit(papers.TAIL[0]).alias("text")), F.struct(F.lit(9001).alias("place"), numbers.alias("text")), F.struct(F.lit(9002).alias("place"), marks.alias("text")))).alias("l")).select("doc", "l.place", "l.text")
-    head = orders.select(F.col("o_orderkey").alias("doc"), F.explode(F.array(F.struct(F.lit(1).alias("place"), F.concat(F.lit("1과목 : "), "o_orderpriority").alias("text")), F.struct(F.lit(2).alias("place"), F.lit("[문제 1~2] 다음 글을 읽고 물음에 답하시오.").alias("text")))).alias("l")).select("doc", "l.place", "l.text")
-    return head.unionByName(body).unionByName(tail)
+    """A paper an order: its lineitems of distinct numbers as questions of four choices, the answer filled or in the tail. Orders and lineitems are dealt once, before they are lines."""
+    item = F.struct(F.col("l_linenumber").alias("n"), F.col("p").isNull().alias("none"), "p")
+    none = F.lit(None)
+    lines = lineitem.select(F.col("l_orderkey").alias("doc"), "l_linenumber", F.col("l_partkey").alias("p"), none.cast("string").alias("said"), F.lit(False).alias("heads"))
+    heads = orders.select(F.col("o_orderkey").alias("doc"), none.cast("int").alias("l_linenumber"), none.cast("long").alias("p"), F.col("o_orderpriority").alias("said"), F.lit(True).alias("heads"))
+    tasks = max(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * orders.sparkSession.sparkContext.defaultParallelism)
+    dealt = heads.unionByName(lines).where("doc is not null").repartition(tasks, "doc")
+    whole = dealt.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(~F.col("heads"), item))).alias("items"), F.max("said").alias("said"), F.bool_or("heads").alias("heads"))
+    whole = whole.withColumn("items", F.filter("items", lambda x, i: (i == 0) | ~x["n"].eqNullSafe(F.get("items", i - 1)["n"])))  # the first of a number has its smallest part
+
+    doc, line = F.col("doc"), lambda place, text: F.struct(place.cast("int").alias("place"), text.alias("text"))
+    answer = lambda x: (x["p"] % 4).cast("int")
+    mark = lambda x, i: F.when((doc % 2 != 0) & (answer(x) == i), papers.FILLED[i]).otherwise(papers.OPEN[i])
+
+    def asked(x):
+        texts = [F.concat(x["n"].cast("string"), F.lit(". What is part "), x["p"].cast("string"), F.lit("?")), F.concat(F.lit("  "), mark(x, 0), F.lit(" one "), mark(x, 1), F.lit("  two")), F.concat(mark(x, 2), F.lit(" three")), F.lit("more"), F.concat(mark(x, 3), F.lit(" four"))]
+        return F.array(*[line(x["n"] * 10 + k, text) for k, text in enumerate(texts)])
+
+    joined = lambda of: F.array_join(F.transform("items", of), " ")
+    tail = F.array(line(F.lit(9000), F.lit(papers.TAIL[0])), line(F.lit(9001), joined(lambda x: x["n"].cast("string"))), line(F.lit(9002), joined(lambda x: F.get(F.array(*[F.lit(m) for m in papers.OPEN]), answer(x)))))
+    head = F.array(line(F.lit(1), F.concat(F.lit("1과목 : "), "said")), line(F.lit(2), F.lit("[문제 1~2] 다음 글을 읽고 물음에 답하시오.")))
+    some = lambda lines, condition: F.when(condition, lines).otherwise(F.array())
+    text = F.concat(some(head, F.col("heads")), F.flatten(F.transform("items", asked)), some(tail, (doc % 2 == 0) & (F.size("items") > 0)))
+    return whole.select("doc", F.array_sort(text).alias("lines"))
 
 
 @query("""
 WITH q AS (SELECT l_orderkey AS doc, l_linenumber AS number, min(l_partkey) AS p FROM lineitem GROUP BY ALL)
 SELECT doc, number, o_orderpriority AS subject, 'What is part ' || p || '?' AS text, '1.one 2.two 3.three more 4.four' AS choices, CAST(p % 4 + 1 AS INT) AS answer, number <= 2 AS grouped FROM q JOIN orders ON o_orderkey = doc""")
 def parsed_papers(orders, lineitem):
-    found = papers.parsed(_papers(orders, lineitem))["questions"]
+    found = papers.parsed_papers(_papers(orders, lineitem))["questions"]
     shown = F.array_join(F.transform("choices", lambda c: F.concat_ws(".", c["number"].cast("string"), c["text"])), " ")
     return found.select("doc", "number", "subject", "text", shown.alias("choices"), "answer", F.col("group").isNotNull().alias("grouped"))
 

@@ -75,3 +75,27 @@ def test_ocr_words_and_grids(spark):
     assert [tuple(r) for r in P.words_to_lines(words).collect()] == [(1, 1, 1, 1, "hello world", 10, 5, 40, 14, 0.85)]
     rules = spark.createDataFrame([(1, "x", v) for v in (10.0, 11.0, 50.0, 90.5, 90.0)], "page int, axis string, at double")
     assert sorted((r.edge, r.at) for r in P.grid(rules, "page", "axis", "at", 2).collect()) == [(0, 10.5), (1, 50.0), (2, 90.25)]
+
+
+def test_papers_are_dealt_once_and_not_stored(spark):
+    got = P.parsed(lines(spark, SET, BAD))
+    for name in ("questions", "contexts", "errors"):
+        plan = got[name]._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "FileScan" not in plan and "Window" not in plan and "Join" not in plan, name
+
+
+def test_whole_papers_are_not_shuffled(spark):
+    papers = spark.createDataFrame([(1, [(k, x) for k, x in enumerate(SET.split("\n"))]), (2, []), (3, None)], "doc long, lines array<struct<place: long, text: string>>")
+    got = P.parsed_papers(papers)
+    assert "Exchange" not in got["questions"]._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc, r.number, r.answer) for r in got["questions"].collect()) == [(1, 1, 2), (1, 2, 4), (1, 3, 2), (1, 4, 3)]
+
+
+def test_an_order_s_paper_takes_one_shuffle(spark):
+    from papyra.plans.upkeep import parsed_papers
+
+    orders = spark.createDataFrame([(2, "a"), (3, "b"), (5, "none")], "o_orderkey long, o_orderpriority string")
+    items = spark.createDataFrame([(2, 1, 9), (2, 1, 6), (2, 3, 7), (3, 2, 8)], "l_orderkey long, l_linenumber int, l_partkey long")
+    found = parsed_papers(orders, items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.doc, r.number, r.subject, r.text, r.answer, r.grouped) for r in found.collect()) == [(2, 1, "a", "What is part 6?", 3, True), (2, 3, "a", "What is part 7?", 4, False), (3, 2, "b", "What is part 8?", 1, True)]
