@@ -229,3 +229,18 @@ def test_repairs_go_over_texts_by_parts(spark):
     rows = spark.range(12, numPartitions=1).select("id", F.when(F.col("id") % 5 != 4, F.concat(F.lit("s0 "), F.repeat(F.lit("x"), 400000), F.col("id").cast("string"))).alias("t"))
     got = rows.select("id", repairs.repaired(F.col("t"), {"s0": "so"}).alias("r"), repairs.known(F.col("t"), {"s0": "so"}).alias("k")).select("id", F.left("r", F.lit(3)).alias("r"), F.length("r").alias("n"), "k").collect()
     assert [(r.r, r.k) for r in got] == [(None, False) if k % 5 == 4 else ("so ", True) for k in range(12)] and {r.n for r in got if r.n} == {400004, 400005}
+
+
+def test_range_members_hold_words_not_numbers(spark):
+    from papyra.operators import matching as M
+
+    spans = [(1, 0, 199), (1, 0, 199), (1, 5, 7), (2, -70, 3), (2, 4, 3), (3, 1, 2), (4, None, 2), (None, 1, 2), (5, 63, 64)]
+    rows = [(1, k) for k in range(0, 200)] + [(1, 6), (1, None), (2, -71), (2, 4), *[(2, k) for k in range(-70, 4)], (2, -70), (None, 1), (4, 2), (5, 63), (5, 63)]
+    ranges = spark.createDataFrame([(*s, f"r{k}") for k, s in enumerate(spans)], "k long, low long, high long, name string")
+    found = M.range_members(spark.createDataFrame(rows, "k long, n int"), "k", "n", "low", "high", ranges)
+    got = {r["name"]: (r.complete, r.repeats) for r in found.collect()}
+    # two equal ranges count a row twice, as a join by their key does
+    assert got == {"r0": (True, 202), "r1": (True, 202), "r2": (True, 1), "r3": (True, 1), "r4": (True, 0), "r5": (False, 0), "r6": (None, 0), "r7": (False, 0), "r8": (False, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("keys=[")[1].split("]")[0] for line in plan.splitlines() if "HashAggregate(keys=[" in line]
+    assert keys and not any(part.strip().startswith("n#") for k in keys for part in k.split(",")) and plan.count("REPARTITION_BY_NUM") >= 2
