@@ -139,7 +139,7 @@ def _papers(orders, lineitem):
     heads = orders.select(F.col("o_orderkey").alias("doc"), none.cast("int").alias("l_linenumber"), none.cast("long").alias("p"), F.col("o_orderpriority").alias("said"), F.lit(True).alias("heads"))
     tasks = max(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * orders.sparkSession.sparkContext.defaultParallelism)
     dealt = heads.unionByName(lines).where("doc is not null").repartition(tasks, "doc")
-    whole = dealt.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(~F.col("heads"), item))).alias("items"), F.max("said").alias("said"), F.bool_or("heads").alias("heads"))
+    whole = dealt.groupBy("doc").agg(F.sort_array(F.collect_list(F.when(~F.col("heads"), item))).alias("items"), F.max("said").alias("said"), F.bool_or("heads").alias("heads"))
     whole = whole.withColumn("items", F.filter("items", lambda x, i: (i == 0) | ~x["n"].eqNullSafe(F.get("items", i - 1)["n"])))  # the first of a number has its smallest part
 
     doc, line = F.col("doc"), lambda place, text: F.struct(place.cast("int").alias("place"), text.alias("text"))
@@ -155,7 +155,7 @@ def _papers(orders, lineitem):
     head = F.array(line(F.lit(1), F.concat(F.lit("1과목 : "), "said")), line(F.lit(2), F.lit("[문제 1~2] 다음 글을 읽고 물음에 답하시오.")))
     some = lambda lines, condition: F.when(condition, lines).otherwise(F.array())
     text = F.concat(some(head, F.col("heads")), F.flatten(F.transform("items", asked)), some(tail, (doc % 2 == 0) & (F.size("items") > 0)))
-    return whole.select("doc", F.array_sort(text).alias("lines"))
+    return whole.select("doc", F.sort_array(text).alias("lines"))
 
 
 @query("""

@@ -99,3 +99,10 @@ def test_an_order_s_paper_takes_one_shuffle(spark):
     found = parsed_papers(orders, items)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert sorted((r.doc, r.number, r.subject, r.text, r.answer, r.grouped) for r in found.collect()) == [(2, 1, "a", "What is part 6?", 3, True), (2, 3, "a", "What is part 7?", 4, False), (3, 2, "b", "What is part 8?", 1, True)]
+
+
+def test_a_question_s_choices_are_read_from_rows_and_a_long_key_takes_no_backtracking(spark):
+    got = P.parsed(lines(spark, "1. a\n① x\n전자문제집 CBT 앱\n1\n②\n" + "1" * 90 + "x"))["questions"]
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "regexp_extract_all(rest" in above
+    assert [(r.number, r.answer, [tuple(c) for c in r.choices]) for r in got.collect()] == [(1, 2, [(1, "x")])]
