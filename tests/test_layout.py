@@ -153,3 +153,11 @@ def test_segments_are_recovered_from_the_one_before(spark):
     rows = [(1, 1, f"{body} 2. {more} 3 {more}"), (1, 5, f"{body} 6. short"), (2, 1, f"x 2. {more}"), (3, 2, body)]
     got = sorted(map(tuple, L.recovered_segments(spark.createDataFrame(rows, "doc int, number int, text string"), "doc", "number", "text", F.lit(6)).collect()))
     assert got == [(1, 1, body), (1, 2, more), (1, 3, more), (1, 5, f"{body} 6. short"), (2, 1, f"x 2. {more}"), (3, 2, body)]
+
+
+def test_each_document_has_its_divider(spark):
+    from papyra.plans.pages import column_dividers
+
+    words = " ".join(["word"] * 24)
+    documents = spark.createDataFrame([(1, words), (2, words), (3, words), (5, "few words"), (-7, words), (None, "a b"), (9, "12")], "doc_id long, text string")
+    assert {r.page: r.divider for r in column_dividers(documents).collect()} == {1: 305.0, 2: 305.0, 3: None, 5: None, -7: 305.0, None: None}
