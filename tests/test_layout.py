@@ -161,3 +161,5 @@ def test_each_document_has_its_divider(spark):
     words = " ".join(["word"] * 24)
     documents = spark.createDataFrame([(1, words), (2, words), (3, words), (5, "few words"), (-7, words), (None, "a b"), (9, "12")], "doc_id long, text string")
     assert {r.page: r.divider for r in column_dividers(documents).collect()} == {1: 305.0, 2: 305.0, 3: None, 5: None, -7: 305.0, None: None}
+    dealt = column_dividers(documents)._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "w AS text" in dealt  # words' texts aren't shuffled
